@@ -166,3 +166,8 @@ def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
             part = part[: len(part) - width] + part[width:] * np.uint64(pow(base, width, 2**64))
             width *= 2
     return mix(out)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, a written table, with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
