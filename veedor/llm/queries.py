@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, repetition, simhash, substring_dedup
+from . import bpe, exact_dedup, repetition, simhash, substring_dedup, suffix_tree_lm
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scored(documents(spark, sf_dir))
+
+
 def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_relative_lz": op7_relative_lz,
     "op10_repetition": op10_repetition,
 }
