@@ -171,3 +171,29 @@ def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, a written table, with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def bit_of(h: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each hash in a bitmap of ``bits`` bits, a power of two."""
+    return (mix(h ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap with the places of all hashes of a one-column table; bits / 8 bytes, whatever the table's size."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bit_of(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits) + 1)], ["at"])
+
+    page = F.call_function("bitmap_bucket_number", F.col("at")).alias("page")
+    pages = hashes.mapInArrow(places, "at long").groupBy(page).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bitmap"))
+    out = np.zeros(max(bits // 8, 4096), np.uint8)
+    for number, part in pages.toLocalIterator():
+        part = np.frombuffer(part, np.uint8)
+        out[(number - 1) * 4096 : (number - 1) * 4096 + len(part)] = part
+    return out
+
+
+def in_bitmap(full: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    at = bit_of(h, bits)
+    return (full[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

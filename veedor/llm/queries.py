@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, repetition, simhash, substring_dedup, suffix_tree_lm
+from . import bpe, exact_dedup, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(documents(spark, sf_dir))
 
 
+def op3_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_zstd.scored(docs, quality_zstd.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(documents(spark, sf_dir))
 
@@ -38,6 +43,10 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.scored(documents(spark, sf_dir))
 
@@ -53,7 +62,9 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_zstd_quality": op3_zstd_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii": op5_pii,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_relative_lz": op7_relative_lz,
     "op10_repetition": op10_repetition,

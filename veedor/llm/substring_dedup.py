@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, keyed, mix, same_row, slices, words, written
+from .common import bitmap, grams, in_bitmap, keyed, mix, same_row, slices, words
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -90,36 +90,19 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["anchor", "n"])
 
 
-def _bit(anchor: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(anchor ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(bits - 1)).astype(np.int64)
-
-
 def recurring(docs: DataFrame, window: int, bits: int) -> np.ndarray:
     """The bitmap of anchors that occur twice or more; bits / 8 bytes."""
     counted = docs.mapInArrow(lambda b: _anchors(b, window), "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits) + 1)], ["at"])
-
-    at = counted.mapInArrow(places, "at long")
-    page = F.call_function("bitmap_bucket_number", F.col("at")).alias("page")
-    pages = at.groupBy(page).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("at"))).alias("bitmap"))
-    out = np.zeros(bits // 8, np.uint8)
-    for page, bitmap in pages.toLocalIterator():
-        part = np.frombuffer(bitmap, np.uint8)
-        out[(page - 1) * 4096 : (page - 1) * 4096 + len(part)] = part
-    return out
+    return bitmap(counted, bits)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], window: int, bits: int, bitmap) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], window: int, bits: int, sent) -> Iterator[pa.RecordBatch]:
     """Rows of step 2's shuffle: deal (what it goes by), anchor, doc_id, th, start, size, local, hashes (null: settled, all windows recur)."""
-    full = bitmap.value
+    full = sent.value
     for batch in slices(batches, most=1 << 21):
         w = words(batch.column(2))
         start, size, anchor = blocks(w.hashes, w.first, window)
-        at = _bit(anchor, bits)
-        hit = (full[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        hit = in_bitmap(full, anchor, bits)
         start, size, anchor = start[hit], size[hit], anchor[hit]
         if not len(start):
             continue
@@ -270,8 +253,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if window < 2:
         raise ValueError("a window has two words at least")
     rows = keyed(docs, id_col, text_col)
-    bitmap = docs.sparkSession.sparkContext.broadcast(recurring(rows, window, filter_bits))
-    dealt = rows.mapInArrow(lambda b: _blocks(b, window, filter_bits, bitmap), BLOCK)
+    sent = docs.sparkSession.sparkContext.broadcast(recurring(rows, window, filter_bits))
+    dealt = rows.mapInArrow(lambda b: _blocks(b, window, filter_bits, sent), BLOCK)
     met = dealt.repartition("deal").sortWithinPartitions("deal", "anchor", "doc_id", "start")
     found = met.mapInArrow(_compared, FOUND)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "found", "src_doc", "src_start")).alias("found"))
