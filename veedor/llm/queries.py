@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm
+from . import bpe, exact_dedup, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,20 @@ def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return mixing.mixed(docs, mixing.tempered(docs))
+
+
+URL_RULES = [url_filter.Rule.parse(v, t) for v, t in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
+
+
+def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = url_filter.fit(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judged(pages, URL_RULES, model)
+
+
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(documents(spark, sf_dir)).drop("th")
 
@@ -67,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_relative_lz": op7_relative_lz,
+    "op8_pfair_mix": op8_pfair_mix,
+    "op9_boosted_urls": op9_boosted_urls,
     "op10_repetition": op10_repetition,
 }
 
