@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "f06_captured_entity"
+from .plans import signals
+
+PARTS = [signals]
+QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
+ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
+FLAGSHIP = "f20_exec_summary"
