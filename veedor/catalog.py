@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import signals
+from .plans import graph, signals
 
-PARTS = [signals]
+PARTS = [signals, graph]
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
 FLAGSHIP = "f20_exec_summary"
