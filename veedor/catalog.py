@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph, signals
+from .plans import graph, records, signals
 
-PARTS = [signals, graph]
+PARTS = [signals, graph, records]
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
 FLAGSHIP = "f20_exec_summary"

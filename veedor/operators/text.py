@@ -1,0 +1,250 @@
+"""Document text: pages, chunks, rule flags, retrieval, quote checks and scores."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import columns as c
+from ..functions import rules
+
+
+def boilerplate(pages: DataFrame, min_ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
+    """(document_id, line, n): first and last lines that recur on at least half of a document's pages, three at least."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    line = lambda i: F.get(lines, F.lit(i) if i == 0 else F.size(lines) - 1)
+    fit = lambda x: F.when((F.length(x).between(2, 120)) & ~(x.rlike(r"[.?!]$") & (F.size(F.split(x, r"\s+")) > 6)), x)
+    ends = pages.select("document_id", "page_number", F.explode(F.array_distinct(F.array_compact(F.array(fit(line(0)), fit(line(-1)))))).alias("line"))
+    total = pages.groupBy("document_id").agg(F.count("*").alias("pages"))
+    counted = ends.groupBy("document_id", "line").agg(F.count("*").alias("n")).join(total, "document_id")
+    return counted.where((F.col("pages") >= min_pages) & (F.col("n") >= F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * min_ratio)))).select("document_id", "line", "n")
+
+
+def strip_boilerplate(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages without leading and trailing boilerplate and empty lines; inner lines stay."""
+    known = found.groupBy("document_id").agg(F.collect_set("line").alias("_lines"))
+    lines = F.split("text", "\n")
+    mark = F.transform(lines, lambda x: (F.trim(x) == "") | F.array_contains(F.col("_lines"), F.trim(x)))
+    first = F.array_position(mark, False)
+    last = F.size(lines) + 1 - F.array_position(F.reverse(mark), False)
+    inner = F.when(first > 0, F.array_join(F.slice(lines, first.cast("int"), (last - first + 1).cast("int")), "\n")).otherwise("")
+    joined = pages.join(known, "document_id", "left")
+    return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(inner)).drop("_lines")
+
+
+HEADING = re.compile(r"^\s*((?:\d+(?:\.\d+)*\.?|[IVXLC]+\.)\s+[A-ZÁÉÍÓÚÑ][^\n]{2,100}|[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ \t]{4,80})\s*$", re.MULTILINE)
+
+
+def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most ``size``; an end prefers a paragraph, then a sentence, in the chunk's second half, then any space."""
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        if end < len(text):
+            middle = start + size // 2
+            cuts = [at + len(mark) for mark in ("\n\n", ". ", ".\n") if (at := text.rfind(mark, middle, end)) >= 0]
+            blank = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
+            end = cuts[0] if cuts else blank if blank > start else end
+        out.append((start, end))
+        if end >= len(text):
+            break
+        start = max(end - overlap, start + 1)
+    return out
+
+
+CHUNK = "document_id string, chunk_id string, chunk_index int, page_start int, page_end int, char_start int, char_end int, section_hint string, text string"
+
+
+def chunks(pages: DataFrame, size: int = 1200, overlap: int = 1) -> DataFrame:
+    """A document's pages joined by an empty line and cut into chunks, with the pages each lies on and the last heading before it.
+
+    The cut of a chunk depends on the one before, so a document is cut in one piece, and documents in parallel.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, parts in zip(batch["document_id"], batch["pages"]):
+                parts = sorted(parts, key=lambda p: p["page_number"])
+                text, starts = "", []
+                for p in parts:
+                    text += "\n\n" if starts else ""
+                    starts.append(len(text))
+                    text += p["text"] or ""
+                page = lambda at: parts[max(0, sum(s <= at for s in starts) - 1)]["page_number"]  # noqa: B023, E731
+                heads = [(m.start(), m[1].strip()) for m in HEADING.finditer(text)]
+                n = 0
+                for a, b in cut_points(text, size, overlap):
+                    if body := text[a:b].strip():
+                        hint = next((h for at, h in reversed(heads) if at < a), None)
+                        rows.append((doc, f"{doc}::{n:05d}", n, page(a), page(b - 1), a, b, hint, body))
+                        n += 1
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK.split(", ")])
+
+    whole = pages.groupBy("document_id").agg(F.collect_list(F.struct("page_number", "text")).alias("pages"))
+    return whole.select(F.col("document_id").cast("string").alias("document_id"), "pages").mapInPandas(run, CHUNK)
+
+
+def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 160) -> DataFrame:
+    """Chunks within each page, white space made single blanks, ends moved back to a blank, with a real overlap."""
+    kind = "document_id string, page_number int, chunk_index int, text string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, page, text in zip(batch["document_id"], batch["page_number"], batch["text"]):
+                text, start, n = " ".join((text or "").split()), 0, 0
+                while start < len(text):
+                    end = min(start + size, len(text))
+                    if end < len(text) and (blank := text.rfind(" ", start + 1, end)) > start:
+                        end = blank
+                    rows.append((doc, page, n, text[start:end].strip()))
+                    n += 1
+                    if end >= len(text):
+                        break
+                    start = max(end - overlap, start + 1)
+            yield pd.DataFrame(rows, columns=["document_id", "page_number", "chunk_index", "text"])
+
+    return pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, kind)
+
+
+def tokens(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, top: int = 20) -> DataFrame:
+    """(query_id, chunk_id, score, rank): Okapi scores above zero; a token's negative idf becomes epsilon times the average idf.
+
+    Only query tokens are joined, by equality on the token; statistics are over all chunks.
+    """
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("token"))
+    tf = words.groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = df.agg(F.avg(idf).alias("mean"))
+    df = df.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(idf < 0, epsilon * F.col("mean")).otherwise(idf).alias("idf"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
+    hits = asked.join(df, "token").join(tf, "token")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    return ranked(scored, top)
+
+
+def ranked(scored: DataFrame, top: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, top: int = 20, min_score: float | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by inner product of unit vectors; queries (query_id, q) are a stated, small set and travel."""
+    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
+    return ranked(scored if min_score is None else scored.where(F.col("score") >= min_score), top)
+
+
+def fuse(lists: list[DataFrame], k: int = 60, top: int = 5, allowed: DataFrame | None = None) -> DataFrame:
+    """Reciprocal rank fusion of ranked lists; ``allowed`` chunks are chosen after fusion, so fewer than top may remain."""
+    both = lists[0].select("query_id", "chunk_id", "rank")
+    for other in lists[1:]:
+        both = both.unionByName(other.select("query_id", "chunk_id", "rank"))
+    scored = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 8).alias("score"))
+    return ranked(scored if allowed is None else scored.join(allowed, "chunk_id", "left_semi"), top)
+
+
+def page_flags(pages: DataFrame, table=tuple(rules.PAGE_RULES), most: int = 3, around: int = 120) -> DataFrame:
+    """(document_id, rule_id, flag_code, severity, score, page_number, quote): at most ``most`` hits of a rule in a document, by page.
+
+    A page's hit is the first pattern of the rule that matches; the quote is cut from the text that was matched.
+    """
+    text = F.lower(c.fold(F.col("text")))
+    first = lambda patterns: F.array_compact(F.array(*[F.when(F.regexp_instr(text, F.lit(p)) > 0, F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.length(F.regexp_substr(text, F.lit(p))).alias("n"))) for p in patterns]))
+    hits = F.array_compact(F.array(*[F.when(F.size(first(p)) > 0, F.struct(F.lit(r).alias("rule_id"), F.lit(code).alias("flag_code"), F.lit(s).alias("severity"), F.lit(x).alias("score"), F.get(first(p), F.lit(0)).alias("hit"))) for r, code, s, x, p in table]))
+    rows = pages.select("document_id", "page_number", text.alias("t"), F.explode(hits).alias("h")).select("document_id", "page_number", "t", "h.*")
+    order = W.partitionBy("document_id", "rule_id").orderBy("page_number")
+    start = F.greatest(F.lit(1), F.col("hit.at") - around)
+    quote = F.substring("t", start, F.col("hit.at") - start + F.col("hit.n") + around)
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("document_id", "rule_id", "flag_code", "severity", "score", "page_number", F.trim(quote).alias("quote"))
+
+
+def dossiers(flags: DataFrame) -> DataFrame:
+    """Per document: flags by severity, the score's sum and level, distinct pages."""
+    out = flags.groupBy("document_id").agg(F.count("*").alias("total_flags"), *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in ("low", "medium", "high")], F.sum("score").cast("long").alias("total_score"), F.countDistinct("page_number").alias("pages"))
+    points, lowest = c.SCALES["dossier"]
+    return out.withColumn("risk_level", c.bucket(F.col("total_score"), points, lowest))
+
+
+def critique(flags: DataFrame, chunk_texts: DataFrame, min_confidence: float = 0.3) -> DataFrame:
+    """accepted, or the first reason against: no chunk, empty quote, quote not literal in the chunk, low confidence, accusatory words."""
+    joined = flags.join(chunk_texts.select("chunk_id", F.col("text").alias("_text")), "chunk_id", "left")
+    reason = F.coalesce(
+        F.when(F.col("_text").isNull(), "chunk_missing"), F.when(F.trim(F.coalesce("quote", F.lit(""))) == "", "quote_empty"), F.when(~F.col("_text").contains(F.col("quote")), "quote_not_literal"),
+        F.when(F.col("confidence") < min_confidence, "low_confidence"), F.when(F.size(c.banned_terms(F.col("quote"))) > 0, "accusatory"),
+    )
+    return joined.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_text")
+
+
+def similar_quotes(flags: DataFrame, least: float = 0.7) -> DataFrame:
+    """flags (document_id, flag_code, flag_id, confidence, quote) that stay: by confidence, one goes if a kept quote of its code shares 70 % of tokens."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        kept, sets = [], []
+        for i, row in group.sort_values(["confidence", "flag_id"], ascending=[False, True]).iterrows():
+            t = set(row["folded"].split())
+            if not any(len(t & s) >= least * len(t | s) for s in sets):
+                kept.append(i)
+                sets.append(t)
+        return group.loc[kept].drop(columns="folded")
+
+    return flags.withColumn("folded", F.lower(c.fold(F.coalesce("quote", F.lit(""))))).groupBy("document_id", "flag_code").applyInPandas(run, flags.schema)
+
+
+#: Points of a flag's severity.
+SEVERITY_POINTS = {"low": 10, "medium": 20, "high": 30}
+
+
+def score(flags: DataFrame, context: DataFrame, cap: int = 100, activation: int = 75) -> DataFrame:
+    """Per document of ``context`` (document_id, has_key): severity points, 15 for an anchor, 15 for evidence, 10 for a key; active from 75 unless blocked."""
+    points = F.create_map(*[F.lit(x) for kv in SEVERITY_POINTS.items() for x in kv])
+    filled = lambda x: F.max((F.trim(F.coalesce(x, F.lit(""))) != "").cast("int"))
+    per = flags.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(points[F.col("severity")]).alias("base"), filled(F.col("anchor_quote")).alias("anchor"), filled(F.col("evidence_quote")).alias("evidence"))
+    j = context.join(per, "document_id", "left")
+    raw = F.col("base") + 15 * F.col("anchor") + 15 * F.col("evidence") + F.when(F.col("has_key"), 10).otherwise(0)
+    total = F.coalesce(F.least(raw, F.lit(cap)), F.lit(0)).cast("int")
+    blockers = F.array_compact(F.array(F.when(F.col("n").isNull(), "no_flags"), F.when(~F.col("has_key"), "no_key"), F.when(F.col("evidence") == 0, "no_evidence")))
+    return j.select("document_id", total.alias("score"), F.array_join(blockers, ",").alias("blockers"), ((total >= activation) & (F.size(blockers) == 0)).alias("active"))
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    """(document_id, label, page_start, page_end): runs of pages whose headings have one label; a page without one goes on with the label before."""
+    head = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9 .]{4,80}\s*$"))
+    label = F.nullif(c.cluster(F.get(head, F.lit(0)), F.lit("")), F.lit("Otros"))
+    order = W.partitionBy("document_id").orderBy("page_number")
+    rows = pages.select("document_id", "page_number", F.coalesce(F.last(label, True).over(order), F.lit("Otros")).alias("label"))
+    rows = rows.withColumn("new", F.coalesce((F.col("label") != F.lag("label").over(order)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    return rows.groupBy("document_id", "run", "label").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end")).drop("run")
+
+
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Tokens hashed into buckets with a sign, scaled to unit length: vectors for tests without a model."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> list[float]:
+            v = [0.0] * dim
+            for w in (t or "").lower().split():
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+                v[h % dim] += 1.0 if h >> 63 else -1.0
+            norm = math.sqrt(sum(x * x for x in v)) or 1.0
+            return [x / norm for x in v]
+
+        return texts.map(one)
+
+    return run(text)
