@@ -1,0 +1,107 @@
+"""Process packs, manifests and per-record reads: selections and joins with a stated reason for what is left out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def best_document(documents: DataFrame, key: str, classes: list[tuple[str, str]]) -> DataFrame:
+    """Per process the class of its best document, the first class whose pattern a title matches, and how many documents it has."""
+    title, rank = F.lower("title"), F.lit(len(classes))
+    for i, (_, pattern) in reversed(list(enumerate(classes))):
+        rank = F.when(title.rlike(pattern), F.lit(i)).otherwise(rank)
+    names = F.array(*[F.lit(n) for n, _ in classes], F.lit("other"))
+    return documents.groupBy(key).agg(F.min(rank).alias("r"), F.count("*").alias("n_documents")).select(key, F.get(names, F.col("r")).alias("status"), "n_documents")
+
+
+def inventory(documents: DataFrame, key: str) -> DataFrame:
+    """Per pack: which kinds of document it has, pages, its mode, and what is missing."""
+    has = lambda kind, name: F.max((F.col("kind") == kind).cast("int")).alias(name)
+    out = documents.groupBy(key).agg(F.count("*").alias("total_documents"), F.sum("pages").cast("long").alias("total_pages"), has("tdr", "has_tdr"), has("award", "has_award"))
+    mode = F.when((F.col("has_tdr") == 1) & (F.col("has_award") == 1), "investigative").when(F.col("has_tdr") == 1, "preventive").otherwise("unknown")
+    missing = F.array_join(F.array_compact(F.array(F.when(F.col("has_tdr") == 0, "tdr"), F.when(F.col("has_award") == 0, "award"))), ",")
+    return out.withColumns({"mode": mode, "missing": missing})
+
+
+#: Settings by mode.
+STRATEGY = {"preventive": (0.6, 5), "investigative": (0.5, 8), "unknown": (0.7, 3)}
+
+
+def strategy(packs: DataFrame, table: dict = STRATEGY) -> DataFrame:
+    rows = packs.sparkSession.createDataFrame([(k, *v) for k, v in table.items()], "mode string, evidence_threshold double, top_k int")
+    return packs.join(F.broadcast(rows), "mode", "left")  # one row a mode
+
+
+def pack_graph(documents: DataFrame, key: str, doc: str) -> DataFrame:
+    """(source, target, kind): packs to documents, documents to their kinds."""
+    text = lambda c: F.col(c).cast("string")
+    a = documents.select(F.concat(F.lit("pack:"), text(key)).alias("source"), F.concat(F.lit("doc:"), text(doc)).alias("target"), F.lit("HAS_DOCUMENT").alias("kind"))
+    b = documents.select(F.concat(F.lit("doc:"), text(doc)).alias("source"), F.concat(F.lit("kind:"), F.col("kind")).alias("target"), F.lit("OF_KIND").alias("kind"))
+    return a.unionByName(b).distinct()
+
+
+def bridge(manifest: DataFrame, contracts: DataFrame, key: str = "ocid") -> DataFrame:
+    """The manifest with its contract, or the reason why there is none."""
+    c = contracts.select(F.col(key).alias("_key"), "external_id").groupBy("_key").agg(F.min("external_id").alias("external_id"))
+    j = manifest.join(c, F.col(key) == F.col("_key"), "left").drop("_key")
+    return j.withColumn("reason", F.when(F.col(key).isNull(), "no_ocid").when(F.col("external_id").isNull(), "no_contract"))
+
+
+def resolve(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """For each wanted key the record with that id, else one whose id starts with it and a colon; the largest amount first, nulls last."""
+    exact = wanted.join(records, F.col("wanted") == F.col("external_id")).withColumn("how", F.lit(0))
+    prefix = wanted.join(records.withColumn("_head", F.substring_index("external_id", ":", 1)).where("external_id like '%:%'"), F.col("wanted") == F.col("_head")).drop("_head").withColumn("how", F.lit(1))
+    order = W.partitionBy("wanted").orderBy("how", F.desc_nulls_last("monto"), "external_id")
+    return exact.unionByName(prefix).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+
+
+def first_per_contract(documents: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    return documents.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+
+
+def doc_key(*parts: Column) -> Column:
+    """The first of id and checksum that there is, else a hash of the url."""
+    *known, url = parts
+    return F.coalesce(*known, F.sha2(url, 256))
+
+
+def document_id(path: Column, size: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws("::", path, size.cast("string"))), 1, 16)
+
+
+def active_sanction(text: Column, until: Column, as_of) -> Column:
+    return F.coalesce(F.upper(text).rlike("VIGENTE|ACTIVA"), F.lit(False)) | F.coalesce(until >= F.lit(as_of).cast("date"), F.lit(False))
+
+
+def guard(df: DataFrame, path: str, pattern: str = r"(?i)(^|/)(fixtures?|tests?|mock)(/|$)") -> DataFrame:
+    """Rows whose path is no fixture's."""
+    return df.where(~F.coalesce(F.col(path).rlike(pattern), F.lit(False)))
+
+
+def source_health(registry: DataFrame) -> DataFrame:
+    """unknown where a browser is needed, failed without a collector, degraded without local data, else ok."""
+    status = F.when(F.col("source_type") == "playwright", "unknown").when(~F.col("collector"), "failed").when(~F.col("local_data"), "degraded").otherwise("ok")
+    return registry.withColumn("health", status)
+
+
+def classify(documents: DataFrame, table: list[tuple[str, int, str]]) -> DataFrame:
+    """Document class by weights: a pattern in the file name counts twice; ties go to the higher priority (first in the table)."""
+    scores = F.array(*[F.struct((2 * F.col("name").rlike(p).cast("int") + F.col("text").rlike(p).cast("int")).alias("score"), F.lit(prio).alias("priority"), F.lit(k).alias("kind")) for k, prio, p in table])
+    best = F.array_max(F.filter(scores, lambda s: s["score"] > 0))
+    return documents.withColumn("kind", F.coalesce(best["kind"], F.lit("unknown")))
+
+
+def synthesis(flags: DataFrame, key: str = "document_id", most: int = 5) -> DataFrame:
+    """Per document: the number of flags, confidence by their average, and at most ``most`` distinct questions."""
+    avg = F.avg("confidence")
+    level = F.when(avg >= 0.65, "high").when(avg >= 0.40, "medium").otherwise("low")
+    return flags.groupBy(key).agg(F.count("*").alias("n"), level.alias("level"), F.array_join(F.slice(F.array_sort(F.collect_set("question")), 1, most), ",").alias("questions"))
+
+
+def plan(flags: DataFrame, templates: DataFrame, clusters: DataFrame, most: int = 4) -> DataFrame:
+    """(document_id, flag_code, query): at most ``most`` templates of a flag whose cluster the document has."""
+    rows = flags.join(templates, "flag_code").join(clusters, ["document_id", "cluster"], "left_semi")
+    order = W.partitionBy("document_id", "flag_code").orderBy("place")
+    return rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).select("document_id", "flag_code", "query")
