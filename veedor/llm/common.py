@@ -197,3 +197,33 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def in_bitmap(full: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     at = bit_of(h, bits)
     return (full[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def tally(parts: Iterator[np.ndarray], kind: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """(kind, n): how often each of the parts' 64-bit values occurs, summed over a task, given out whenever more than ``most`` different keys are held."""
+    keys, counts, fresh, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merge():
+        k = np.concatenate([keys, *(f[0] for f in fresh)])
+        c = np.concatenate([counts, *(f[1] for f in fresh)])
+        order = np.argsort(k, kind="stable")
+        k, c = k[order], c[order]
+        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        return k[begin], np.add.reduceat(c, begin) if len(k) else c
+
+    def batch(k, c):
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], [kind, "n"])
+
+    for part in parts:
+        found, n = np.unique(part, return_counts=True)
+        fresh.append((found, n))
+        size += len(found)
+        if size > max(500_000, len(keys)):
+            keys, counts = merge()
+            fresh, size = [], 0
+            if len(keys) > most:
+                yield batch(keys, counts)
+                keys, counts = keys[:0], counts[:0]
+    keys, counts = merge()
+    if len(keys):
+        yield batch(keys, counts)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, keyed, same_row, slices, words, written
+from .common import bitmap, in_bitmap, keyed, same_row, slices, tally, words, written
 
 KINDS = ["email", "ip", "card", "phone", "term_general", "term_remove"]
 #: Each is linear in the text: possessive repeats, and no start inside a run that a start before it has covered.
@@ -110,19 +110,18 @@ def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: floa
     # Only terms of such pairs are counted; a fixed bitmap finds them, and passes a few others that the join drops.
     sent = rows.sparkSession.sparkContext.broadcast(bitmap(pairs.select("t").distinct(), filter_bits))
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Of each batch the candidate terms, once for each text that has them."""
         for batch in slices(batches):
             w = words(batch.column(2), fold=True)
             hit = np.flatnonzero(in_bitmap(sent.value, w.hashes, filter_bits))
-            text = np.searchsorted(w.first, hit, side="right") - 1
-            h = w.hashes[hit]
+            text, h = np.searchsorted(w.first, hit, side="right") - 1, w.hashes[hit]
             order = np.lexsort((h, text))
             h, text = h[order], text[order]
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]) if len(h) else np.zeros(0, bool)
-            t, n = np.unique(h[once], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(n)], ["t", "n"])
+            yield h[once].view(np.int64)
 
-    n_t = rows.select("doc_id", "th", "text").mapInArrow(terms, "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+    n_t = rows.select("doc_id", "th", "text").mapInArrow(lambda b: tally(terms(b), "t"), "t long, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
     joined = pairs.join(n_t, "t").join(entities, "e")
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / F.col("n_t") / F.col("n_e"))
     content = F.log2(F.lit(float(total)) / F.col("n_e"))
