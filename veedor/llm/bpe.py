@@ -29,7 +29,7 @@ from .common import slices
 #: Characters a pre-token's class looks at beyond its end, at most.
 LOOKAHEAD = 2
 #: Pre-tokens that a worker remembers with their ids.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 @dataclass
