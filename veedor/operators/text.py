@@ -217,7 +217,7 @@ def score(flags: DataFrame, context: DataFrame, cap: int = 100, activation: int
     per = flags.groupBy("document_id").agg(F.count("*").alias("n"), F.sum(points[F.col("severity")]).alias("base"), filled(F.col("anchor_quote")).alias("anchor"), filled(F.col("evidence_quote")).alias("evidence"))
     j = context.join(per, "document_id", "left")
     raw = F.col("base") + 15 * F.col("anchor") + 15 * F.col("evidence") + F.when(F.col("has_key"), 10).otherwise(0)
-    total = F.coalesce(F.least(raw, F.lit(cap)), F.lit(0)).cast("int")
+    total = F.when(F.col("n").isNull(), 0).otherwise(F.least(raw, F.lit(cap))).cast("int")
     blockers = F.array_compact(F.array(F.when(F.col("n").isNull(), "no_flags"), F.when(~F.col("has_key"), "no_key"), F.when(F.col("evidence") == 0, "no_evidence")))
     return j.select("document_id", total.alias("score"), F.array_join(blockers, ",").alias("blockers"), ((total >= activation) & (F.size(blockers) == 0)).alias("active"))
 

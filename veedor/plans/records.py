@@ -487,8 +487,8 @@ def x25(spark, sf):
 
 
 @query("x23_score", """WITH f AS (SELECT source AS document_id, count(*) AS n, sum(CASE WHEN contains(text, '$$$') THEN 30 ELSE 10 END) AS base, max((lang = 'fr')::INT) AS anchor, max((n_chars > 5000)::INT) AS evidence FROM documents WHERE contains(text, '$$$') OR contains(text, '!!') GROUP BY 1),
-j AS (SELECT document_id, n, coalesce(least(base + 15 * anchor + 15 * evidence + CASE WHEN substr(document_id, 4)::INT % 2 = 0 THEN 10 ELSE 0 END, 100), 0)::INT AS score, substr(document_id, 4)::INT % 2 = 0 AS k, evidence FROM (SELECT DISTINCT source AS document_id FROM documents) LEFT JOIN f USING (document_id))
-SELECT document_id, score, concat_ws(',', CASE WHEN n IS NULL THEN 'no_flags' END, CASE WHEN NOT k THEN 'no_key' END, CASE WHEN evidence = 0 THEN 'no_evidence' END) AS blockers, score >= 75 AND n IS NOT NULL AND k AND evidence > 0 AS active FROM j""")
+j AS (SELECT document_id, n, (CASE WHEN n IS NULL THEN 0 ELSE least(base + 15 * anchor + 15 * evidence + CASE WHEN substr(document_id, 4)::INT % 2 = 0 THEN 10 ELSE 0 END, 100) END)::INT AS score, substr(document_id, 4)::INT % 2 = 0 AS k, evidence FROM (SELECT DISTINCT source AS document_id FROM documents) LEFT JOIN f USING (document_id))
+SELECT document_id, score, concat_ws(',', CASE WHEN n IS NULL THEN 'no_flags' END, CASE WHEN NOT k THEN 'no_key' END, CASE WHEN evidence = 0 THEN 'no_evidence' END) AS blockers, coalesce(score >= 75 AND n IS NOT NULL AND k AND evidence > 0, false) AS active FROM j""")
 def x23(spark, sf):
     docs = star.read(spark, sf, "documents").withColumn("document_id", F.col("source"))
     t = F.col("text")
