@@ -55,11 +55,56 @@ def op7_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(documents(spark, sf_dir))
 
 
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents
+), p AS (
+  SELECT doc_id, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN array_to_string(ws[i:i + 34], ' ') END AS run FROM w, unnest(range(1, len(ws) + 1)) r(i)
+), f AS (
+  SELECT doc_id, i, word, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS found FROM p
+), c AS (
+  SELECT doc_id, i, word, max(found::INT) OVER (o ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone, found AND NOT coalesce(lag(found) OVER o, false) AS starts FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept, count(*) FILTER (starts) AS n_factors FROM c GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0)::BIGINT AS n_factors FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def op8_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.mixed(docs, mixing.tempered(docs))
 
 
+OP8_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, count(*) AS n, pow(count(*), 0.7) AS w FROM documents GROUP BY source
+), exact AS (
+  SELECT source, n, w / sum(w) OVER () * 1000 AS x FROM sizes
+), quota AS (
+  SELECT source, n, floor(x)::BIGINT + (row_number() OVER (ORDER BY x - floor(x) DESC, source NULLS FIRST) <= 1000 - sum(floor(x)) OVER ())::BIGINT AS q FROM exact
+), served AS (
+  SELECT source, n, q, row_number() OVER (ORDER BY source NULLS FIRST) AS i FROM quota WHERE q > 0
+), sim(slot, ks, pick, k) AS (
+  SELECT -1::BIGINT, list_transform(list(q ORDER BY i), lambda v: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM served
+  UNION ALL
+  SELECT slot + 1, list_transform(ks, lambda v, j: v + (j = best)::BIGINT), best, ks[best] FROM (
+    SELECT slot, ks, list_min(list_transform(ks, lambda v, j: CASE WHEN v < qs[j] AND v * 1000 // qs[j] <= slot + 1 THEN ((v + 1) * 1000 + qs[j] - 1) // qs[j] * 1000 + j ELSE 1000000000 END)) % 1000 AS best
+    FROM sim, (SELECT list(q ORDER BY i) AS qs FROM served) WHERE slot < 999)
+), slots AS (
+  SELECT pick AS i, k, slot AS s FROM sim WHERE slot >= 0
+), ranked AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rank FROM documents
+), ends AS (
+  SELECT min((n + 63) // 64 // q * 1000 + s) AS stop FROM served JOIN slots USING (i) WHERE k = (n + 63) // 64 % q
+), placed AS (
+  SELECT doc_id, r.source, rank, rank // 64 AS block, rank // 64 // q * 1000 + s AS slot
+  FROM ranked r LEFT JOIN served v ON r.source IS NOT DISTINCT FROM v.source LEFT JOIN slots t ON t.i = v.i AND t.k = rank // 64 % q
+)
+SELECT doc_id, source, rank, block, slot, coalesce(slot < stop, false) AS in_mix FROM placed, ends
+"""
+
+
 URL_RULES = [url_filter.Rule.parse(v, t) for v, t in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))]
 
 
@@ -88,4 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
+    "op7_relative_lz": OP7_SQL,
+    "op8_pfair_mix": OP8_SQL,
 }
