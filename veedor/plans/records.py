@@ -462,7 +462,7 @@ VEC = "vec AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_
 
 
 @query("x13_rrf_hybrid", f"""WITH {BM25}, {VEC}, u AS (SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, chunk_id, rank FROM vec WHERE rank <= 20), f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY ALL)
-SELECT * FROM (SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM f WHERE chunk_id % 2 = 0) WHERE rank <= 5""")
+SELECT * FROM (SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM f WHERE chunk_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) WHERE rank <= 5""")
 def x13(spark, sf):
     e, docs = star.read(spark, sf, "embeddings"), star.read(spark, sf, "documents")
     vec = tx.vector_top(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
