@@ -65,8 +65,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     marked = suspects(hashes, written(repeated(hashes, bits), "filter"), bits)
     alone = marked.where(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     maybe = marked.where("suspect").select("doc_id", "sha")
-    sizes = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    found = alone.unionByName(maybe.join(sizes, "sha"))  # a group of very many copies is a skewed join, which AQE splits
+    # Written, so that both sides of the join come from shuffles of their own: only then does AQE split a group of very many copies.
+    sizes = written(maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    found = alone.unionByName(maybe.join(sizes, "sha"))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
