@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph, more, records, signals
+from .plans import graph, more, reads, records, signals
 
-PARTS = [signals, graph, records, more]
+PARTS = [signals, graph, records, more, reads]
 QUERIES = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLES = {name: q for part in PARTS for name, q in part.ORACLES.items()}
 FLAGSHIP = "f20_exec_summary"

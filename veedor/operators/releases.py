@@ -66,3 +66,14 @@ def enrich(companies: DataFrame, register: DataFrame) -> DataFrame:
     meta = F.when(F.col("_added").isNull(), F.col("metadata")).otherwise(F.map_concat(F.map_filter("metadata", lambda k, v: ~F.array_contains(F.map_keys("_added"), k)), F.col("_added")))
     sources = F.when(F.col("_added").isNull(), F.col("sources")).otherwise(F.array_sort(F.array_union("sources", F.array(F.lit("sunat")))))
     return j.withColumns({"metadata": meta, "sources": sources}).drop("_ruc", "_added")
+
+
+def aliased(rows: DataFrame, aliases: dict[str, list[str]], keep: list[str]) -> DataFrame:
+    """Fields by any of their headers: headers are compared without accents, case and signs; the first filled one counts."""
+    import re
+    import unicodedata
+
+    plain = lambda h: re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFKD", h).encode("ascii", "ignore").decode().lower()).strip("_")
+    known = {plain(n): n for n in reversed(rows.columns)}
+    pick = lambda options: F.coalesce(*[F.nullif(F.trim(rows[f"`{known[o]}`"]), F.lit("")) for o in options if o in known], F.lit(None).cast("string"))
+    return rows.select(*keep, *[pick(options).alias(field) for field, options in aliases.items()])

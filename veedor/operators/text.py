@@ -248,3 +248,38 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
         return texts.map(one)
 
     return run(text)
+
+
+def weakened(flags: DataFrame, weak: Column, most: float = 0.45) -> DataFrame:
+    """Signals in a neutral place are low and at most ``most`` sure."""
+    return flags.withColumns({"severity": F.when(weak, "low").otherwise(F.col("severity")), "confidence": F.when(weak, F.least("confidence", F.lit(most))).otherwise(F.col("confidence"))})
+
+
+def paragraph_chunks(pages: DataFrame, target: int = 700, least: int = 200) -> DataFrame:
+    """(document_id, page_number, chunk_index, section, text): paragraphs packed to about ``target`` characters; a page's last title carries on.
+
+    Each page is packed on its own; a title is the last heading on this or an earlier page of the document.
+    """
+    kind = "document_id string, page_number int, chunk_index int, section string, text string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, page, text in zip(batch["document_id"], batch["page_number"], batch["text"]):
+                packed, section = [], None
+                for paragraph in re.split(r"\n\s*\n|\n", text or ""):
+                    paragraph = paragraph.strip()
+                    if not paragraph:
+                        continue
+                    if HEADING.fullmatch(paragraph):
+                        section = paragraph
+                    if packed and len(packed[-1]) + len(paragraph) < target or packed and len(packed[-1]) < least:
+                        packed[-1] += "\n" + paragraph
+                    else:
+                        packed.append(paragraph)
+                rows += [(doc, page, i, section, body) for i, body in enumerate(packed)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
+
+    rows = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, kind)
+    carried = F.last("section", True).over(W.partitionBy("document_id").orderBy("page_number", "chunk_index"))
+    return rows.withColumn("section", carried)

@@ -44,3 +44,18 @@ def contract_chunks(won: DataFrame) -> DataFrame:
     tags = F.array_compact(F.array(F.lit("contrato"), F.lower("modalidad"), F.lower("region")))
     meta = F.create_map(F.lit("ruc"), F.col("ruc"), F.lit("entidad_ruc"), F.col("entidad_ruc"), F.lit("anio"), F.col("anio").cast("string"))
     return won.select("external_id", text.alias("text"), tags.alias("tags"), meta.alias("metadata"))
+
+
+def save_index(vectors: DataFrame, path: str, model: str, dim: int) -> None:
+    """Vectors with a manifest of what made them."""
+    spark = vectors.sparkSession
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    spark.createDataFrame([(model, dim)], "model string, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_index(spark, path: str, model: str, dim: int) -> DataFrame:
+    """The vectors; an index of another model or dimension is an error."""
+    found = spark.read.schema("model string, dim int").json(f"{path}/manifest").first()
+    if (found.model, found.dim) != (model, dim):
+        raise ValueError(f"index is of {found.model}/{found.dim}, not {model}/{dim}")
+    return spark.read.parquet(f"{path}/vectors")
