@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path
 from .detectors import money, names
 
 
@@ -52,13 +53,20 @@ def subgraph(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
 
     A breadth-first frontier: nodes reached before are anti-joined, so no node is expanded twice and no paths are kept.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     spark = edges.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:
+        """Written to the shared folder, so that a level does not work out the levels before it again."""
+        path = fresh_path(spark, "frontier")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     frontier = spark.createDataFrame([(start, 0)], "node string, depth int")
     seen = frontier
     for depth in range(1, max_depth + 1):
         near = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = near.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = kept(near.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(frontier)
     return seen
 
