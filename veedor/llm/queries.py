@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
 
@@ -109,8 +110,11 @@ URL_RULES = [url_filter.Rule.parse(v, t) for v, t in (("allow", "org/"), ("block
 
 
 def op9_boosted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    model = url_filter.fit(url_filter.labelled_by_rules(pages, URL_RULES))
+    """A page shows the document whose number ends its path; that document's labels are the url's: toxic or of low quality is blocked."""
+    pages, labels = spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    number = F.regexp_extract(url_filter.parts(F.col("url"))[1], r"/([0-9]{1,18})(?:\.html)?/?$", 1).try_cast("long")
+    bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    model = url_filter.fit(pages.select("url", number.alias("doc_id")).join(bad, "doc_id").select("url", "blocked"))
     return url_filter.judged(pages, URL_RULES, model)
 
 
