@@ -106,3 +106,21 @@ def test_distributions_sum_to_one(spark):
             owner = np.full(len(every), s)
             states = [*lm._suffixes(tree, owner, d), owner]
             assert lm.probabilities(tree, every, states, tree.unigram).sum() == pytest.approx(1, abs=0.001)
+
+
+@pytest.mark.parametrize("travel", [{}, {"least_head": 0.01, "least_sent": 0.01, "filter_bits": 1 << 15}])
+def test_evidence_counts_alike_at_every_size(spark, travel):
+    """A pair seen a few times keeps its entry however much other text there is, joined or broadcast."""
+    r = random.Random(4)
+    filler = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(60))) for i in range(1000, 6000)]
+    rows = corpus() + [(600 + i, "quod erat demonstrandum") for i in range(4)] + filler
+    want, retained = brute(rows, 2, 0.0, 0.0)
+    assert ("quod",) in retained and 4 < 2e-5 * want[0][4]
+    got = lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), **travel).collect()
+    order = lambda x: (str(x[0]), x[2])
+    for a, b in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+    alone = {r.doc_id: r.score - r.base_score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), least_context=2e-4, least_pair=2e-4).collect()}
+    many = {r.doc_id: r.score - r.base_score for r in got}
+    assert all(many[600 + i] > alone[600 + i] + 3 for i in range(4))

@@ -1,17 +1,20 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are words with A-Z lower-cased and one end after each text.  The tree's root is the add-one unigram; a
-node is a context of up to ``max_context`` tokens.  As in Ron, Singer and Tishby's learner, a context is tried only
-if its relative frequency reaches ``least_context`` and keeps its own probability only for next tokens with which its
-relative frequency reaches ``least_pair``.  At most 1 / least_context contexts and 1 / least_pair entries of each length
-can reach these whatever the corpus, so the tree is broadcast under a proven bound; all counts are over the whole
-training corpus.  A tried context is retained if its next-token distribution diverges from its longest retained
-suffix's by more than the entries cost (see ``diverges``).  Retained distributions are smoothed by absolute
+node is a context of up to ``max_context`` tokens.  A context keeps its own probability for each next token with which
+it was seen ``least_count`` times, whatever the size of the corpus, so the tree grows with the corpus; all counts are
+over the whole training corpus.  A context is retained if its next-token distribution diverges from its longest
+retained suffix's by more than the entries cost (see ``diverges``).  Retained distributions are smoothed by absolute
 discounting into that suffix; a token is scored in the longest retained suffix of what stands before it.
 
-Token counts are exact for every token.  Those of at least ``least_head`` relative frequency (at most 1 / least_head
-tokens) are broadcast; the rest, each rare by definition and so never a hot key, are joined by a shuffle.
-Tokens are told apart by 64-bit hashes.
+The tree is held in written tables (``grown``), one for each length.  As an entry's probability is known when the
+table is made, a text's score is a sum of weights of its tokens and runs of tokens: a run that is an entry corrects
+what its suffix and the way back say, a run that is a retained context adds the log of the way back.  Weights are
+joined with the runs by a shuffle; those of at least ``least_head`` (tokens) or ``least_sent`` (runs) relative
+frequency, at most 1 / frequency of them, are broadcast, so no joined key is hot.  A bitmap of fixed size keeps back
+runs without a weight; a full one costs time and loses nothing.  Tokens and runs are told apart by 64-bit hashes.
+
+``train`` holds the same model in one process, for relative floors that bound its size.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, keyed, mix, slices, tally, words, written
+from .common import Words, bitmap, in_bitmap, keyed, mix, slices, tally, words, written
 
 #: The end's hash; no word has it unless by a chance of 2**-64.
 END = np.uint64(0x0EAD_0F7E_C7E4_D001)
 DISCOUNT = 0.75
+_RUN = np.uint64(0x9FB21C651E98DF25)
 
 
 def find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -209,60 +214,192 @@ def sequence_tokens(w: Words) -> np.ndarray:
     return np.concatenate([w.hashes, np.full(len(w.first) - 1, END, np.uint64)]).view(np.int64)
 
 
-PART = "doc_id long, th int, h long, summary boolean, n_tokens long, n_known long, base double, score double"
+def longer(p: np.ndarray, s: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` tokens whose runs without the last and without the first token have hashes p and s."""
+    return mix(p * _RUN + s + np.uint64(length))
+
+
+def runs(hashes: np.ndarray, begins: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For lengths 2..most: (ends, hashes, p, s) of the runs within a text."""
+    place = np.arange(len(hashes)) - np.maximum.accumulate(np.where(begins, np.arange(len(hashes)), 0))
+    out, key = [], hashes
+    for length in range(2, most + 1):
+        p, s = key[:-1], key[1:]
+        key = np.concatenate([key[:1], longer(p, s, length)])
+        ends = np.flatnonzero(place >= length - 1)
+        out.append((ends, key[ends], p[ends - 1], s[ends - 1]))
+    return out
+
+
+def tally_runs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
+    """(p, s, n): how often each run (hash, p, s) occurs, summed over a task, given out whenever more than ``most`` are held."""
+    held, size = [], 0
+
+    def merged():
+        key, p, s, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        at = order[begin]
+        return key[begin], p[at], s[at], np.add.reduceat(n[order], begin)
+
+    def batch(x):
+        order = np.argsort(x[2])
+        x = [c[order] for c in x]
+        return pa.RecordBatch.from_arrays([pa.array(x[1].view(np.int64)), pa.array(x[2].view(np.int64)), pa.array(x[3])], ["p", "s", "n"])
+
+    for key, p, s in parts:
+        if len(key):
+            held.append((key, p, s, np.ones(len(key), np.int64)))
+            size += len(key)
+        if size > most:
+            x = merged()
+            held, size = [x], len(x[0])
+            if size > most // 2:
+                yield batch(x)
+                held, size = [], 0
+    if held:
+        yield batch(merged())
+
+
+def grown(rows: DataFrame, max_context: int, least_count: int, least_context: float, least_pair: float, filter_bits: int) -> tuple[int, int, DataFrame, list[DataFrame]]:
+    """(number of tokens, of different ones, (h, n, w) of every token, (h, n, w) of the runs of each length from 2 that have a weight).
+
+    Weights are natural logs; a token's is without its own probability.
+    """
+    learn = rows.where("not held_out")
+    spark = rows.sparkSession
+
+    def unigrams(batches):
+        return tally((sequence_tokens(words(b.column(2), fold=True)) for b in slices(batches)), "h")
+
+    counts = written(learn.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
+    n, v = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    floor = max(float(least_count), least_pair * n)
+    levels, backs = [counts.select("h", "n", F.log((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("lp"), F.lit(0.0).alias("own"))], []
+    for length in range(2, max_context + 2):
+        before = levels[-1].where(F.col("n") >= floor)
+        sent = spark.sparkContext.broadcast(bitmap(before.select("h"), filter_bits))
+
+        def found(batches, sent=sent, length=length):
+            def parts():
+                for b in slices(batches):
+                    hashes, begins, _ = sequence(words(b.column(2), fold=True))
+                    _, key, p, s = runs(hashes, begins, length)[-1]
+                    # no run is seen more often than a run inside it
+                    ok = in_bitmap(sent.value, s, filter_bits)
+                    ok[ok] = in_bitmap(sent.value, p[ok], filter_bits)
+                    yield key[ok], p[ok], s[ok]
+
+            return tally_runs(parts())
+
+        # A task gives its runs ordered by s, so that those of one s lie together; they are dealt once by s and what is left once by p.
+        seen = learn.mapInArrow(found, "p long, s long, n long").repartition("s").groupBy("p", "s").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
+        whole = before.where(F.col("n") >= least_context * n).select(F.col("h").alias("p"), F.col("n").alias("total"))
+        entries = seen.join(before.select(F.col("h").alias("s"), F.col("lp").alias("suffix")), "s").join(whole, "p")
+        x, total, of = F.col("n").cast("double"), F.col("total").cast("double"), W.partitionBy("p")
+        sums = {"kept": F.sum(x), "mass": F.sum(F.exp("suffix")), "size": F.count("*"), "gain": F.sum(x * (F.log(x / total) - F.col("suffix"))), "one": F.min("s")}
+        entries = entries.withColumns({k: f.over(of) for k, f in sums.items()})
+        rest = F.greatest(total - F.col("kept"), F.lit(0.0))
+        gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / total / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        retained = (gain > 0.5 * F.col("size") * F.log(F.greatest(total, F.lit(2.0)))) & (gain > 0.005 * total)  # as diverges()
+        entries = entries.withColumn("back", F.when(retained, F.log(1 - (F.col("kept") - DISCOUNT * F.col("size")) / total)))
+        lp = F.when(F.col("back").isNull(), F.col("suffix")).otherwise(F.log((x - DISCOUNT) / total + F.exp(F.col("back") + F.col("suffix"))))
+        own = F.when(F.col("back").isNull(), 0.0).otherwise(F.col("lp") - F.col("back") - F.col("suffix"))
+
+        def named(batches, length=length):
+            for b in batches:
+                p, s = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(longer(p, s, length).view(np.int64)), *(b.column(i) for i in range(2, 7))], ["h", "n", "lp", "own", "context", "back"])
+
+        once = F.col("s") == F.col("one")  # a context's way back stands with one of its entries
+        full = entries.withColumn("lp", lp).select("p", "s", "n", "lp", own.alias("own"), F.when(once & F.col("back").isNotNull(), F.col("p")).alias("context"), F.when(once, F.col("back")).alias("back"))
+        table = written(full.mapInArrow(named, "h long, n long, lp double, own double, context long, back double"), "runs")
+        levels.append(table.drop("context", "back"))
+        backs.append(table.where("context is not null").select(F.col("context").alias("h"), "back"))
+        sent.unpersist()
+    out = []
+    for i, level in enumerate(levels):
+        w = F.col("own")
+        if i < len(backs):
+            level, w = level.join(backs[i], "h", "left"), w + F.coalesce("back", F.lit(0.0))
+        level = level.select("h", "n", w.alias("w"))
+        out.append(written(level.where("w != 0") if i else level, "weights"))
+    return n, v, out[0], out[1:]
+
+
+PART = "doc_id long, th int, h long, kind int, n_tokens long, n_known long, base double, score double"
 
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_context: int = 2, least_head: float = 2.5e-7, least_context: float = 2e-5, least_pair: float = 1e-6) -> DataFrame:
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_context: int = 2, least_head: float = 2.5e-7, least_context: float = 0.0, least_pair: float = 0.0, least_count: int = 2, least_sent: float = 1e-6, filter_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Trained on rows whose crc32(id as text) mod 7 is not 2; rows with a null id train too.  Scores are log10
     probabilities: base_score by the add-one unigram, score by the tree.  Null and empty texts are one end.
     With no training row every token has probability 1 / 1.  Repeated rows each count and each get a row.
+    ``least_context`` and ``least_pair`` add floors of relative frequency for contexts and entries; ``least_head``,
+    ``least_sent`` and ``filter_bits`` only say how weights travel.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     rows = keyed(docs, id_col, text_col).withColumn("held_out", held)
-    tree, counts = train(rows, max_context, least_head, least_context, least_pair)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    whole = np.log10(tree.n + tree.v + 1)
+    n, v, tokens, grams = grown(rows, max_context, least_count, least_context, least_pair, filter_bits)
+    spark = docs.sparkSession
+    whole = float(np.log10(n + v + 1))
+
+    def frequent(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        top = df.where(F.col("n") >= max(1.0, least * n)).toArrow()  # at most 1 / least rows
+        h, c, w = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("w").to_numpy() / np.log(10)
+        order = np.argsort(h)
+        return h[order], c[order], w[order]
+
+    few = [x.where(F.col("n") < max(1.0, least_sent * n)) for x in grams]
+    rare = tokens.where(F.col("n") < max(1.0, least_head * n)).select("h", "n", "w")
+    for x in few:
+        rare = rare.unionByName(x.select("h", F.lit(None).cast("long").alias("n"), "w"))
+    masks = [bitmap(x.select("h"), filter_bits) for x in few]
+    sent = spark.sparkContext.broadcast((frequent(tokens, least_head), [frequent(x, least_sent) for x in grams], masks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        unigram, logs = t.unigram, np.log10(t.counts + 1.0)
+        (head, counts, weights), tops, masks = sent.value
+        logs = np.log10(counts + 1.0)
         for batch in slices(batches):
             texts = batch.num_rows
             hashes, begins, text = sequence(words(batch.column(2), fold=True))
-            tokens = find(t.head, hashes)
-            states = [np.concatenate([[-1], s[:-1]]) for s in t.ids(tokens, begins, len(t.levels))] if len(t.head) else []
-            known = tokens >= 0
-            p = np.ones(len(tokens))
-            p[known] = unigram[tokens[known]]
-            p = np.log10(probabilities(t, tokens, states, p))  # of a token outside the head: what its unigram probability is multiplied by
-            use = ~begins
-            total = lambda x: np.bincount(text[use], x[use], texts)
-            base = total(np.where(known, logs[np.maximum(tokens, 0)] if len(logs) else 0.0, 0.0))
-            figures = [total(np.ones(len(text))).astype(np.int64), total(known.astype(float)).astype(np.int64), base, total(p)]
+            tokens = find(head, hashes)
+            use, known = ~begins, (tokens >= 0) & ~begins
+            total = lambda where, x: np.bincount(text[where], x, texts)
+            base = total(known, logs[tokens[known]])
+            score = base + total(known, weights[tokens[known]] - whole)
+            tail = [(np.flatnonzero(use & ~known), hashes[use & ~known], 1)]
+            for (ends, key, _, _), (keys, _, w), mask in zip(runs(hashes, begins, len(tops) + 1), tops, masks):
+                at = find(keys, key)
+                score += total(ends[at >= 0], w[at[at >= 0]])
+                may = at < 0
+                may[may] = in_bitmap(mask, key[may], filter_bits)
+                tail.append((ends[may], key[may], 2))
+            figures = [total(use, np.ones(int(use.sum()))).astype(np.int64), total(known, np.ones(int(known.sum()))).astype(np.int64), base, score]
             spread = mix(np.arange(texts, dtype=np.uint64) + hashes[: texts] + np.uint64(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spread), pa.array(np.ones(texts, bool)), *map(pa.array, figures)], NAMES)
-            rare = np.flatnonzero(use & ~known)
-            at = pa.array(text[rare])
-            none = [pa.nulls(len(rare), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes[rare].view(np.int64)), pa.array(np.zeros(len(rare), bool)), *none], NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spread), pa.array(np.zeros(texts, np.int32)), *map(pa.array, figures)], NAMES)
+            for where, h, kind in tail:
+                at = pa.array(text[where])
+                none = [pa.nulls(len(where), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64)), pa.array(np.full(len(where), kind, np.int32)), *none], NAMES)
 
     parts = rows.select("doc_id", "th", "text").mapInArrow(run, PART)
-    tail = counts.where(F.col("n") < max(1.0, least_head * tree.n))
-    joined = parts.join(tail, "h", "left").withColumn("n", F.when(~F.col("summary"), F.coalesce("n", F.lit(0))))
+    summary, token = F.col("kind") == 0, F.col("kind") == 1
+    joined = parts.join(rare, "h", "left").withColumns({"n": F.when(token, F.coalesce("n", F.lit(0))), "w": F.when(~summary, F.col("w"))})
     sums = joined.groupBy("doc_id", "th").agg(
-        F.count(F.when(F.col("summary"), 1)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("head_known"), F.max("base").alias("head_base"), F.max("score").alias("head_score"),
-        F.count(F.when(F.col("n") > 0, 1)).alias("tail_known"), F.coalesce(F.sum(F.log10(F.col("n") + 1)), F.lit(0.0)).alias("tail_log"), F.count("n").alias("tail_n"),
+        F.count(F.when(summary, 1)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("head_known"), F.max("base").alias("head_base"), F.max("score").alias("head_score"),
+        F.count(F.when(F.col("n") > 0, 1)).alias("tail_known"), F.coalesce(F.sum(F.log10(F.col("n") + 1)), F.lit(0.0)).alias("tail_log"), F.count("n").alias("tail_n"), (F.coalesce(F.sum("w"), F.lit(0.0)) / F.lit(float(np.log(10)))).alias("tail_w"),
     )
     each = lambda c: F.col(c) / F.col("copies")
     out = sums.withColumn("held_out", held).select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + each("tail_known")).cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"),
-        (F.col("head_base") + each("tail_log") - F.col("n_tokens") * F.lit(float(whole))).alias("base_score"),
-        (F.col("head_score") + each("tail_log") - each("tail_n") * F.lit(float(whole))).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("head_known") + each("tail_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("head_base") + each("tail_log") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
+        (F.col("head_score") + each("tail_log") - each("tail_n") * F.lit(whole) + each("tail_w")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     )
     return out.drop("copy")
 
 
-NAMES = ["doc_id", "th", "h", "summary", "n_tokens", "n_known", "base", "score"]
+NAMES = ["doc_id", "th", "h", "kind", "n_tokens", "n_known", "base", "score"]
