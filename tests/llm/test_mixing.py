@@ -60,3 +60,26 @@ def test_tempered(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, source string, slot string")
     got = mixing.tempered(docs, power=0.5)
     assert got["a"] == pytest.approx(len([1 for _, s, _ in rows() if s == "a"]) ** 0.5) and None in got
+
+
+def test_arranged_keeps_every_row_in_order(spark):
+    data = rows() + [(10_000 + i, f"s{i}", "u") for i in range(1_100)] + [(20_000, None, "n")]
+    docs = spark.createDataFrame(data, "doc_id long, source string, slot string")
+    weights = mixing.tempered(docs)
+    quota, period = mixing.served(weights)
+    assert min(quota.values()) >= 1 and sum(quota.values()) == period and set(quota) == {s for _, s, _ in data}
+    assert mixing.served({"big": 1e6, "tiny": 1.0, None: 1.0}) == ({"big": 998, "tiny": 1, None: 1}, 1_000)
+    got = mixing.arranged(docs, weights, block=7)
+    assert got.columns == docs.columns
+    slots = {(s, k): t for s, k, t in mixing.schedule(quota, period)}
+    order = {s: sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i) for i, x, _ in data if x == s) for s in quota}
+    want = sorted((k // 7 // quota[s] * period + slots[s, k // 7 % quota[s]], k, i, s) for s, x in order.items() for k, (_, i) in enumerate(x))
+    assert [(-1 if r.doc_id is None else r.doc_id, r.source) for r in got.collect()] == [(i, s) for _, _, i, s in want]
+
+
+def test_the_mix_stage_keeps_small_and_hot_sources_whole(spark):
+    import corpus_pipeline
+
+    data = [(i, "hot" if i < 2_000 else f"s{i % 3}" if i < 2_300 else "tiny", "x") for i in range(2_303)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    assert sorted(map(tuple, corpus_pipeline.mix(spark, docs, "").collect())) == data

@@ -71,3 +71,14 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_pipeline_keeps_all_clean_documents(spark, tmp_path):
+    """Nothing after near dedup leaves a document out, however unlike the sources' sizes are."""
+    rows = some_docs()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect())
+    assert got == sorted(r.doc_id for r in docs.select("doc_id").collect())

@@ -64,16 +64,17 @@ def key(id_col: str) -> Column:
     return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
-def ranked(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, key, rank): ranks within each source from 0 in the order of a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key(id_col).alias("key"))
+def ranked(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", *more: Column) -> DataFrame:
+    """(doc_id, source, key, rank) and columns ``more``: ranks within each source from 0 in the order of a hash of the id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key(id_col).alias("key"), *more)
+    names = rows.columns[3:]
     ranges = 16 ** max(1, len(f"{docs.count() // RANGE_ROWS:x}"))
     rows = rows.withColumn("range", F.substring("key", 1, len(f"{ranges - 1:x}")))
     sizes = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).select(F.col("source").alias("_source"), F.col("range").alias("_range"), "before")
     inner = rows.withColumn("inner", F.row_number().over(W.partitionBy("source", "range").orderBy("key", "doc_id")) - 1)
     joined = inner.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
-    return joined.select("doc_id", "source", "key", (F.col("before") + F.col("inner")).alias("rank"))
+    return joined.select("doc_id", "source", "key", (F.col("before") + F.col("inner")).alias("rank"), *names)
 
 
 def mixed(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 64, period: int = 1_000) -> DataFrame:
@@ -83,14 +84,18 @@ def mixed(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: st
     every source is within one block of its weight.  Rows of a source without a slot (weight 0 or not named) have
     a null slot and are not in the mix.  A null source is a source; repeated rows each have a rank.
     """
-    spark = docs.sparkSession
     quota = quotas(weights, period)
-    table, names = _table(spark, docs, source_col, quota, period)
-    rows = ranked(docs, id_col, source_col).withColumn("block", F.floor(F.col("rank") / block).cast("long"))
-    placed = rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(table), (F.col("_i") == F.col("_t")) & (F.col("block") % F.col("_q") == F.col("_k")), "left")
-    slot = F.floor(F.col("block") / F.col("_q")) * period + F.col("_slot")
+    placed = _placed(docs, quota, ranked(docs, id_col, source_col), source_col, block, period)
     end = mix_end(docs, quota, source_col, block, period)
-    return placed.select("doc_id", "source", "rank", "block", slot.cast("long").alias("slot"), F.coalesce(slot < end, F.lit(False)).alias("in_mix"))
+    return placed.select("doc_id", "source", "rank", "block", "slot", F.coalesce(F.col("slot") < end, F.lit(False)).alias("in_mix"))
+
+
+def _placed(docs: DataFrame, quota: dict, rows: DataFrame, source_col: str, block: int, period: int) -> DataFrame:
+    """Ranked rows of docs with their block and slot."""
+    table, names = _table(docs.sparkSession, docs, source_col, quota, period)
+    rows = rows.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    placed = rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(table), (F.col("_i") == F.col("_t")) & (F.col("block") % F.col("_q") == F.col("_k")), "left")
+    return placed.withColumn("slot", (F.floor(F.col("block") / F.col("_q")) * period + F.col("_slot")).cast("long"))
 
 
 def _table(spark: SparkSession, docs: DataFrame, source_col: str, quota: dict, period: int) -> tuple[DataFrame, DataFrame]:
@@ -121,3 +126,29 @@ def selected(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col:
     own = F.struct(key(id_col).alias("key"), F.col(id_col).alias("doc_id"))
     joined = docs.select(F.struct(*[docs[n] for n in names]).alias("_row"), F.col(source_col).alias("_source"), own.alias("_own"))
     return joined.join(F.broadcast(last), F.col("_source").eqNullSafe(F.col("_s"))).where(F.col("_own") <= F.col("last")).select("_row.*")
+
+
+def served(weights: dict, period: int = 1_000) -> tuple[dict, int]:
+    """(quotas, period) with a slot for every source: the period grows with the sources, and the largest give what the smallest lack."""
+    period = max(period, 4 * len(weights))
+    quota = quotas(weights, period)
+    large = [(-q, i, s) for i, (s, q) in enumerate(quota.items()) if q > 1]
+    heapq.heapify(large)
+    for s in [s for s, q in quota.items() if not q]:
+        q, i, most = heapq.heappop(large)
+        quota[s], quota[most] = 1, -q - 1
+        if quota[most] > 1:
+            heapq.heappush(large, (q + 1, i, most))
+    return quota, period
+
+
+def arranged(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 64, period: int = 1_000) -> DataFrame:
+    """All rows of docs, all columns as they were, ordered by slot: none is left out.
+
+    Until the first source has run out every source is within one block of its share (see ``served``); later slots hold the sources
+    that are left, in the same order.  Rows of a source that ``weights`` does not name come last.
+    """
+    quota, period = served(weights, period)
+    rows = ranked(docs, id_col, source_col, F.struct(*[docs[n] for n in docs.columns]).alias("_row"))
+    placed = _placed(docs, quota, rows, source_col, block, period)
+    return placed.orderBy(F.col("slot").asc_nulls_last(), "source", "rank").select("_row.*")
