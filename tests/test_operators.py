@@ -92,3 +92,11 @@ def test_similar_quotes(spark):
     rows = [("d", "F", 1, 0.9, "uno dos tres cuatro"), ("d", "F", 2, 0.8, "UNO dos trés cuatro"), ("d", "G", 3, 0.5, "uno dos tres cuatro"), ("d", "F", 4, 0.1, None)]
     df = spark.createDataFrame(rows, "document_id string, flag_code string, flag_id int, confidence double, quote string")
     assert sorted(r.flag_id for r in tx.similar_quotes(df).collect()) == [1, 3, 4]
+
+
+def test_all_hits_of_a_hot_document_are_kept(spark, tmp_path):
+    from veedor.plans import reads
+
+    docs = spark.range(10_050).select(F.col("id").alias("doc_id"), F.lit("one | two").alias("text"), F.lit("hot").alias("source"), F.lit("en").alias("lang"), F.lit(9).cast("long").alias("n_chars"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(r.n for r in reads.k9(spark, str(tmp_path)).collect()) == 10_050

@@ -159,8 +159,8 @@ def fuse(lists: list[DataFrame], k: int = 60, top: int = 5, allowed: DataFrame |
     return ranked(scored if allowed is None else scored.join(allowed, "chunk_id", "left_semi"), top)
 
 
-def page_flags(pages: DataFrame, table=tuple(rules.PAGE_RULES), most: int = 3, around: int = 120) -> DataFrame:
-    """(document_id, rule_id, flag_code, severity, score, page_number, quote): at most ``most`` hits of a rule in a document, by page.
+def page_flags(pages: DataFrame, table=tuple(rules.PAGE_RULES), most: int | None = 3, around: int = 120) -> DataFrame:
+    """(document_id, rule_id, flag_code, severity, score, page_number, quote): at most ``most`` hits of a rule in a document, by page; all if None.
 
     A page's hit is the first pattern of the rule that matches; the quote is cut from the text that was matched.
     """
@@ -171,7 +171,8 @@ def page_flags(pages: DataFrame, table=tuple(rules.PAGE_RULES), most: int = 3, a
     order = W.partitionBy("document_id", "rule_id").orderBy("page_number")
     start = F.greatest(F.lit(1), F.col("hit.at") - around)
     quote = F.substring("t", start, F.col("hit.at") - start + F.col("hit.n") + around)
-    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("document_id", "rule_id", "flag_code", "severity", "score", "page_number", F.trim(quote).alias("quote"))
+    rows = rows if most is None else rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    return rows.select("document_id", "rule_id", "flag_code", "severity", "score", "page_number", F.trim(quote).alias("quote"))
 
 
 def dossiers(flags: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ def x19(spark, sf):
 @query("k9_run_artifacts", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS n FROM page WHERE regexp_matches(lower(translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')), '[a-z]+ \\| [a-z]+') GROUP BY 1")
 def k9(spark, sf):
     path = fresh_path(spark, "run")
-    flags = tx.page_flags(pages(spark, sf), [(k, *v) for k, v in RULE_WORDS.items() if k == "R-B"], most=10_000)
+    flags = tx.page_flags(pages(spark, sf), [(k, *v) for k, v in RULE_WORDS.items() if k == "R-B"], most=None)
     flags.write.json(f"{path}/flags")
     return spark.read.schema("document_id string").json(f"{path}/flags").groupBy("document_id").agg(F.count("*").alias("n"))
 
