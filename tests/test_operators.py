@@ -100,3 +100,10 @@ def test_all_hits_of_a_hot_document_are_kept(spark, tmp_path):
     docs = spark.range(10_050).select(F.col("id").alias("doc_id"), F.lit("one | two").alias("text"), F.lit("hot").alias("source"), F.lit("en").alias("lang"), F.lit(9).cast("long").alias("n_chars"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert sum(r.n for r in reads.k9(spark, str(tmp_path)).collect()) == 10_050
+
+
+def test_physical_presentation_and_single_supplier(spark):
+    texts = ["Presentar la documentación en forma física", "Mesa de partes virtual", "Solo podrán participar empresas con experiencia en el sector salud", "Contrato anterior con ministerio", "entrega digital"]
+    pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "document_id string, page_number int, text string")
+    got = {(r.rule_id, r.flag_code, r.severity, r.score, r.page_number) for r in tx.page_flags(pages).collect()}
+    assert got == {("TDR-R007", "PHYSICAL_PRESENTATION_REQUIRED", "medium", 15, 0), ("TDR-R007", "PHYSICAL_PRESENTATION_REQUIRED", "medium", 15, 1), ("TDR-R008", "SINGLE_SUPPLIER_CONTEXT", "medium", 15, 2), ("TDR-R008", "SINGLE_SUPPLIER_CONTEXT", "medium", 15, 3)}

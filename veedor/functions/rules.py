@@ -60,6 +60,9 @@ PAGE_RULES = [
     ("TDR-R004", "EXCESSIVE_CERTIFICATION_REQUIREMENT", "medium", 15, (r"\biso\s*(?:9001|14001|27001|37001|45001)\b", r"\bcertificacion\s+internacional\b")),
     ("TDR-R005", "LOW_TRACEABILITY_OUTPUT", "low", 10, (r"\binforme\s+final\b", r"\b(?:powerpoint|ppt|presentacion)\b", r"\bentregable\s+unico\b")),
     ("TDR-R006", "SUBJECTIVE_EVALUATION_CRITERIA", "medium", 15, (r"\ba\s+criterio\s+del\s+comite\b", r"\bcalidad\s+de\s+la\s+propuesta\b", r"\bmejor\s+propuesta\s+tecnica\b")),
+    ("TDR-R007", "PHYSICAL_PRESENTATION_REQUIRED", "medium", 15, (r"\bpresent(?:ar|e)\s+(?:la\s+)?documentaci\w+\s+(?:en\s+)?(?:forma\s+)?f[ií]sica\b", r"\bmesa\s+de\s+partes\s+(?:virtual|electronica)\b", r"\bdebe(?:r)?\s+present\w+\s+(?:la\s+)?documentaci\w+\s+(?:en\s+)?(?:forma\s+)?f[ií]sica\b", r"\bdomicilio\s+(?:de\s+)?presentaci\w+\b", r"\bforma\s+f[ií]sica\b", r"\bpf[ií]sica\b")),
+    # Patterns as in the reference: what has accents or capitals here matches no folded text, there as here.
+    ("TDR-R008", "SINGLE_SUPPLIER_CONTEXT", "medium", 15, (r"\bsolo\s+(?:podran\s+)?participar\s+(?:empresas?\s+)?con\s+(?:experiencia\s+en\s+)?(?:el\s+)?sector\s+(?:salud|privado)\b", r"\bexperiencia\s+(?:m[ií]nima\s+)?de\s+(?:\d+\s+)?años?\s+(?:en\s+)?(?:el\s+)?sector\b", r"\bcontrat(?:o|ación)\s+(?:anterior\s+)?con\s+(?:ESSALUD|Minsa|ministerio)\b", r"\bcalificado\s+(?:proveedor\s+)?de\s+(?:salud|servicios?\s+m[eé]dicos?)\b")),
 ]
 
 # Accusatory stems that outputs must not have, and neutral words for some.
