@@ -94,3 +94,20 @@ def test_keep_one(spark):
     assert sorted(r.component_id for r in got.collect()) == ["b", "c", "d"]
     assert simhash.keep_one(docs.limit(0), "id", "body").count() == 0
     assert np.bitwise_count(np.uint64(7)) == 3
+
+
+def test_second_dealing_has_each_fingerprint_once(spark):
+    all_masks = [simhash.signed(m) for m in simhash.masks(6, 3)]
+    first = spark.createDataFrame([(1, fp, m) for fp in range(5) for m in all_masks], "kind long, a long, b long")
+    finer = {f for m in simhash.masks(6, 3) for f in simhash._finer(m, 3)}
+    assert simhash._again(first, 3, 6).count() == 5 * len(finer) < 5 * sum(len(simhash._finer(m, 3)) for m in simhash.masks(6, 3))
+
+
+def test_nothing_too_large_is_dropped_after_the_last_dealing():
+    import pyarrow as pa
+    import pytest
+
+    rows = pa.RecordBatch.from_arrays([pa.array([0, 0, 0]), pa.array([0, 0, 0]), pa.array([1, 2, 3])], ["mask", "key", "fp"])
+    with pytest.raises(RuntimeError):
+        list(simhash._met(3, 2, True)([rows]))
+    assert sum(b.num_rows for b in simhash._met(3, 2)([rows])) == 3

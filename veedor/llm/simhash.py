@@ -100,8 +100,8 @@ def forest(fps: np.ndarray, distance: int) -> np.ndarray:
     return fps.view(np.int64)[at]
 
 
-def _met(distance: int, limit: int):
-    """Over rows sorted by (mask, key): links of each meeting as (0, fp, fp), rows of too large ones as (1, fp, mask)."""
+def _met(distance: int, limit: int, last_dealing: bool = False):
+    """Over rows sorted by (mask, key): links of each meeting as (0, fp, fp), rows of too large ones as (1, fp, mask); in the last dealing these are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = np.zeros((0, 3), np.int64), None  # the meeting that may go on in the next batch; the last too large one
@@ -125,6 +125,8 @@ def _met(distance: int, limit: int):
                 part = x[starts[i] : ends[i]]
                 meeting = (int(part[0, 0]), int(part[0, 1]))
                 if len(part) > limit or large == meeting:
+                    if last_dealing:
+                        raise RuntimeError(f"over {limit} fingerprints meet after the last dealing")
                     large = meeting
                     parts.append((1, part[:, [2, 0]]))
                 elif i == last:
@@ -141,14 +143,18 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = LIMIT
     """(a, b): links between distinct fingerprints; together they connect all that a chain of ``distance`` bits connects."""
     choices = [signed(m) for m in masks(blocks, distance)]
 
-    def meet(rows: DataFrame, most: int) -> DataFrame:
+    def meet(rows: DataFrame, most: int, last: bool) -> DataFrame:
         dealt = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))).repartition(F.col("mask"), F.col("key"))
-        return dealt.sortWithinPartitions("mask", "key", "fp").mapInArrow(_met(distance, most), "kind long, a long, b long")
+        return dealt.sortWithinPartitions("mask", "key", "fp").mapInArrow(_met(distance, most, last), "kind long, a long, b long")
 
-    first = written(meet(fps.select("fp", F.explode(F.array(*map(F.lit, choices))).alias("mask")), limit), "meetings")
+    first = written(meet(fps.select("fp", F.explode(F.array(*map(F.lit, choices))).alias("mask")), limit, False), "meetings")
+    return first.where("kind = 0").unionByName(meet(_again(first, distance, blocks), 1 << 13, True)).select("a", "b").distinct()
+
+
+def _again(first: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(fp, mask): the rows of too large meetings by finer masks, each once though the finer masks of two choices can be the same."""
     finer = F.create_map(*[x for m in masks(blocks, distance) for x in (F.lit(signed(m)), F.array(*[F.lit(signed(f)) for f in _finer(m, distance)]))])
-    again = first.where("kind = 1").select(F.col("a").alias("fp"), F.explode(finer[F.col("b")]).alias("mask"))
-    return first.where("kind = 0").unionByName(meet(again, 1 << 13).where("kind = 0")).select("a", "b").distinct()
+    return first.where("kind = 1").select(F.col("a").alias("fp"), F.explode(finer[F.col("b")]).alias("mask")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
