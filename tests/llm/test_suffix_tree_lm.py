@@ -19,8 +19,8 @@ def held(i):
     return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
 
 
-def brute(rows, max_context, least_context, least_pair):
-    """The same model by dictionaries of tuples."""
+def model(rows, max_context, least_context, least_pair):
+    """The same model by dictionaries of tuples: (P(x | context), retained contexts, unigram, counts, their sum)."""
     train = [tokens(t) for i, t in rows if not held(i)]
     c = Counter(x for t in train for x in t)
     n, v = sum(c.values()), len(c)
@@ -61,6 +61,11 @@ def brute(rows, max_context, least_context, least_pair):
                 new[s] = (kept, total, 1 - (sum(kept.values()) - lm.DISCOUNT * len(kept)) / total)
         retained |= new
         tried = {s + (x,): k for s, kept in entries.items() for x, k in kept.items() if k >= least_context * n}
+    return prob, retained, uni, c, n
+
+
+def brute(rows, max_context, least_context, least_pair):
+    prob, retained, uni, c, n = model(rows, max_context, least_context, least_pair)
     out = []
     for i, t in rows:
         seq = [None, *tokens(t)]
@@ -97,15 +102,12 @@ def test_contexts_help_on_held_out_text(spark):
     assert lm.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_distributions_sum_to_one(spark):
-    docs = lm.keyed(spark.createDataFrame(corpus(), "doc_id long, text string"), "doc_id", "text").withColumn("held_out", lm.F.lit(False))
-    tree, _ = lm.train(docs, 2, 1e-9, 0.004, 0.002)
-    every = np.arange(len(tree.head))
-    for d, level in enumerate(tree.levels):
-        for s in np.flatnonzero(~np.isnan(level.back)):
-            owner = np.full(len(every), s)
-            states = [*lm._suffixes(tree, owner, d), owner]
-            assert lm.probabilities(tree, every, states, tree.unigram).sum() == pytest.approx(1, abs=0.001)
+def test_distributions_sum_to_one():
+    """What follows a retained context adds up to one over all tokens, but for the share that unseen ones keep."""
+    prob, retained, _, c, _ = model(corpus(), 3, 0.0, 0.0)
+    assert {len(s) for s in retained} == {1, 2, 3}
+    for s in retained:
+        assert sum(prob(list(s), x) for x in c) == pytest.approx(1, abs=0.002)
 
 
 @pytest.mark.parametrize("travel", [{}, {"least_head": 0.01, "least_sent": 0.01, "filter_bits": 1 << 15}])

@@ -6,6 +6,7 @@ hashing work on that buffer with numpy, so no Python object is made per word.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,11 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors.
+
+    Tables that a result may still be read from stay until the folder is cleared; the others go with ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more, and let Spark delete the shuffle files of finished jobs.
+
+    Spark drops a shuffle's files once the driver's collector finds its plan unused, which on a quiet driver can take half an hour.
+    """
+    for t in tables:
+        place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    gc.collect()
+    for spark in {t.sparkSession for t in tables}:
+        spark._jvm.System.gc()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,80 +7,78 @@ over the whole training corpus.  A context is retained if its next-token distrib
 retained suffix's by more than the entries cost (see ``diverges``).  Retained distributions are smoothed by absolute
 discounting into that suffix; a token is scored in the longest retained suffix of what stands before it.
 
-The tree is held in written tables (``grown``), one for each length.  As an entry's probability is known when the
-table is made, a text's score is a sum of weights of its tokens and runs of tokens: a run that is an entry corrects
-what its suffix and the way back say, a run that is a retained context adds the log of the way back.  Weights are
-joined with the runs by a shuffle; those of at least ``least_head`` (tokens) or ``least_sent`` (runs) relative
-frequency, at most 1 / frequency of them, are broadcast, so no joined key is hot.  A bitmap of fixed size keeps back
-runs without a weight; a full one costs time and loses nothing.  Tokens and runs are told apart by 64-bit hashes.
-
-``train`` holds the same model in one process, for relative floors that bound its size.
+As an entry's probability is known when the tree is made, a text's score is a sum of weights of its tokens and runs of
+tokens: a run that is an entry corrects what its suffix and the way back say, a run that is a retained context adds the
+log of the way back.  Counts, entries, weights and questions about weights all travel as packed blobs dealt by hash
+(see ``exchange``): a task sums what it has seen before it sends, so a hot run is one value a flush, and places grow
+with the corpus.  Weights of tokens of at least ``least_head`` and of runs of at least ``least_sent`` relative
+frequency, at most 1 / frequency of them, are broadcast; a text asks for the others.  Bitmaps of fixed size keep back
+runs that can have no entry or weight; a full one costs time and loses nothing.
+
+Tokens and runs are told apart by 64-bit hashes; a question about a weight carries the first 48 bits of one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, in_bitmap, keyed, mix, slices, tally, words, written
+from . import exchange
+from .common import Words, discard, mix, slices, tally, words, written
 
 #: The end's hash; no word has it unless by a chance of 2**-64.
 END = np.uint64(0x0EAD_0F7E_C7E4_D001)
 DISCOUNT = 0.75
 _RUN = np.uint64(0x9FB21C651E98DF25)
-
-
-def find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x among sorted distinct values, -1 where it is not one."""
-    if not len(sorted_values):
-        return np.full(len(x), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == x, at, -1)
-
-
-@dataclass
-class Level:
-    """Entries (context, next token) of contexts of one length, sorted by key = context * head size + token."""
-
-    keys: np.ndarray
-    counts: np.ndarray
-    #: For each context id of this length: its share of discounted mass that goes to its suffix; NaN: not retained.
-    back: np.ndarray = None
-    total: np.ndarray = None
-    #: For each entry taken as a longer context: whether it is frequent enough to be one, and the id of its suffix of this length.
-    longer: np.ndarray = None
-
-
-@dataclass
-class Tree:
-    head: np.ndarray  # hashes, sorted
-    counts: np.ndarray
-    n: int
-    v: int
-    context: np.ndarray  # whether a head token is frequent enough to be a context
-    paired: np.ndarray  # and to be a next token in an entry
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def unigram(self) -> np.ndarray:
-        return (self.counts + 1) / (self.n + self.v + 1)
-
-    def ids(self, tokens: np.ndarray, begins: np.ndarray, most: int) -> list[np.ndarray]:
-        """For lengths 1..most, the id of the context that ends at each token, -1 where none is known."""
-        known = tokens >= 0
-        out = [np.where(known & self.context[np.maximum(tokens, 0)], tokens, -1)]
-        for level in self.levels[: most - 1]:
-            before = np.concatenate([[-1], out[-1][:-1]])
-            ok = (before >= 0) & known & ~begins
-            entry = np.full(len(tokens), -1, np.int64)
-            entry[ok] = find(level.keys, before[ok] * len(self.head) + tokens[ok])
-            out.append(np.where((entry >= 0) & level.longer[np.maximum(entry, 0)] if len(level.keys) else False, entry, -1))
+#: Most values that a task holds of what it sums before it sends, and most questions of one flush.
+HELD, ASKED = 1_000_000, 1_000_000
+#: Most texts of a flush.
+TEXTS = 60_000
+
+# Kinds of packed rows, with their columns.
+RUN, TOKEN, PRIOR, WEIGHT, ASK_TOKEN, ASK_RUN, HEADER, REPLY = range(8)
+KINDS = {
+    RUN: ["u8", "u8", "i8", "f8"],  # p, s, n, log probability of the last token in the suffix
+    TOKEN: ["u8", "i8", "f8"],  # hash, n, weight
+    PRIOR: ["u8", "i8", "f8", "f8"],  # hash, n, log probability of the last token, own weight as an entry
+    WEIGHT: ["u8", "i8", "f8"],  # as TOKEN, for runs
+    ASK_TOKEN: ["u4", "u2", "u2"],  # 32 and 16 bits of a hash, text's number in the flush
+    ASK_RUN: ["u4", "u2", "u2"],
+    HEADER: ["i8", "u1", "i8", "i8", "f8", "f8", "i8"],  # id, whether there is one, tokens, known, base, score, questions
+    REPLY: ["u2", "u4", "u4", "f8", "f8"],  # text's number, questions, known, base, score
+}
+
+
+class Index:
+    """Where hashes stand among sorted distinct ones: by their first bits beyond what all share, then step by step in a bucket of about one."""
+
+    def __init__(self, sorted_values: np.ndarray):
+        n = len(sorted_values)
+        self.least = sorted_values[0] if n else np.uint64(0)
+        span = int(sorted_values[-1]) - int(sorted_values[0]) if n else 0
+        self.shift = np.uint64(max(0, span.bit_length() - n.bit_length()))
+        self.buckets = np.uint64((span >> int(self.shift)) + 1)
+        self.values = np.append(sorted_values, np.uint64(2**64 - 1))
+        self.starts = np.append(np.searchsorted((sorted_values - self.least) >> self.shift, np.arange(int(self.buckets), dtype=np.uint64)), n).astype(np.int32)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Index of each x, -1 where it is not one."""
+        at = self.starts[np.minimum((x - self.least) >> self.shift, self.buckets)].astype(np.int64)
+        met = self.values[at]
+        out = np.where(met == x, at, -1)
+        left = np.flatnonzero(met < x)
+        while len(left):
+            at[left] += 1
+            met = self.values[at[left]]
+            hit = met == x[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[met < x[left]]
+        out[out == len(self.values) - 1] = -1
         return out
 
 
@@ -98,120 +96,14 @@ def sequence(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, begins, text
 
 
-def _fold(tree: Tree, level: int, context: np.ndarray, total: np.ndarray, parents: np.ndarray) -> None:
-    """Retain contexts of a level: ``context`` are ids, ``total`` their counts, ``parents`` P(entry's token | suffix) for each entry."""
-    at = tree.levels[level]
-    size = len(tree.head) if level == 0 else len(tree.levels[level - 1].keys)
-    at.total, at.back = np.zeros(size), np.full(size, np.nan)
-    at.total[context] = total
-    if not len(at.keys):
-        return
-    owner = at.keys // len(tree.head)
-    begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    ids, n = owner[begin], at.counts.astype(float)
-    whole = at.total[ids]
-    kept, suffix_mass, entries = np.add.reduceat(n, begin), np.add.reduceat(parents, begin), np.diff(np.append(begin, len(owner)))
-    gain = np.add.reduceat(n * np.log(n / at.total[owner] / parents), begin)
-    rest = np.maximum(whole - kept, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        other = np.where(rest > 0, rest * np.log(rest / whole / np.maximum(1 - suffix_mass, 1e-12)), 0)
-    back = 1 - (kept - DISCOUNT * entries) / np.maximum(whole, 1)
-    at.back[ids] = np.where(diverges(gain + other, entries, whole), back, np.nan)
-
-
 def diverges(gain: np.ndarray, entries: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The divergence test: the log-likelihood gain over the suffix exceeds half a log of the count for each entry (BIC), and 0.005 nats a token."""
     return (gain > 0.5 * entries * np.log(np.maximum(total, 2))) & (gain > 0.005 * total)
 
 
-def probabilities(tree: Tree, tokens: np.ndarray, states: list[np.ndarray], unigram: np.ndarray) -> np.ndarray:
-    """P(token | longest retained suffix state); states[d] holds the context ids of length d + 1 before each token."""
-    p = unigram
-    for level, state in zip(tree.levels, states):
-        ok = state >= 0
-        ok[ok] = ~np.isnan(level.back[state[ok]])
-        s, t = state[ok], tokens[ok]
-        entry = np.where(t >= 0, find(level.keys, s * len(tree.head) + t), -1)
-        own = np.where(entry >= 0, (level.counts[np.maximum(entry, 0)] - DISCOUNT) / level.total[s], 0.0) if len(level.keys) else 0.0
-        p = p.copy()
-        p[ok] = own + level.back[s] * p[ok]
-    return p
-
-
-def train(rows: DataFrame, max_context: int, least_head: float, least_context: float, least_pair: float) -> tuple[Tree, DataFrame]:
-    """(tree, (h, n): the count of every token), from (doc_id, th, text, held_out) where held_out is false."""
-    learn = rows.where("not held_out")
-    spark = rows.sparkSession
-
-    def unigrams(batches):
-        return tally((sequence_tokens(words(b.column(2), fold=True)) for b in slices(batches)), "h")
-
-    counts = written(learn.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n, v = int(n), int(v)
-    top = counts.where(F.col("n") >= max(1.0, least_head * n)).toArrow()  # at most 1 / least_head rows
-    head, c = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(head)
-    head, c = head[order], c[order]
-    tree = Tree(head, c, n, v, c >= least_context * n, c >= least_pair * n)
-    for depth in range(max_context):
-        sent = spark.sparkContext.broadcast(tree)
-
-        def pairs(batches, sent=sent, depth=depth):
-            def keys():
-                t = sent.value
-                for b in slices(batches):
-                    hashes, begins, _ = sequence(words(b.column(2), fold=True))
-                    tokens = find(t.head, hashes)
-                    state = np.concatenate([[-1], t.ids(tokens, begins, depth + 1)[depth][:-1]])
-                    ok = (state >= 0) & (tokens >= 0) & ~begins
-                    ok[ok] = t.paired[tokens[ok]]
-                    yield state[ok] * len(t.head) + tokens[ok]
-
-            return tally(keys(), "key")
-
-        found = learn.mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least_pair * n)).toArrow()
-        keys, m = found.column("key").to_numpy(), found.column("n").to_numpy()
-        order = np.argsort(keys)
-        level = Level(keys[order], m[order])
-        level.longer = level.counts >= least_context * n
-        tree.levels.append(level)
-        if depth == 0:
-            context, total = np.flatnonzero(tree.context), tree.counts[tree.context]
-        else:
-            context = np.flatnonzero(tree.levels[depth - 1].longer)
-            total = tree.levels[depth - 1].counts[context]
-        token = level.keys % max(len(head), 1)
-        owner = level.keys // max(len(head), 1)
-        _fold(tree, depth, context, total, probabilities(tree, token, _suffixes(tree, owner, depth), tree.unigram[token]) if len(token) else np.zeros(0))
-        sent.unpersist()
-    return tree, counts
-
-
-def _suffixes(tree: Tree, owner: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For contexts ``owner`` of length depth + 1: the ids of their proper suffixes of lengths 1..depth."""
-    if depth == 0:
-        return []
-    size = len(tree.head)
-    names, at = [], owner
-    for d in range(depth - 1, -1, -1):  # a context's tokens, last first
-        names.append(tree.levels[d].keys[at] % size)
-        at = tree.levels[d].keys[at] // size
-    names.append(at)
-    names.reverse()
-    out = []
-    for k in range(1, depth + 1):
-        part = names[-k:]
-        state = np.where(tree.context[part[0]], part[0], -1)
-        for d, t in enumerate(part[1:]):
-            state = np.where(state >= 0, find(tree.levels[d].keys, state * size + t), -1)
-        out.append(state)
-    return out
-
-
 def sequence_tokens(w: Words) -> np.ndarray:
     """The counted tokens of some texts: all words, and an end for each text."""
-    return np.concatenate([w.hashes, np.full(len(w.first) - 1, END, np.uint64)]).view(np.int64)
+    return np.concatenate([w.hashes, np.full(len(w.first) - 1, END, np.uint64)])
 
 
 def longer(p: np.ndarray, s: np.ndarray, length: int) -> np.ndarray:
@@ -231,175 +123,307 @@ def runs(hashes: np.ndarray, begins: np.ndarray, most: int) -> list[tuple[np.nda
     return out
 
 
-def tally_runs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1_500_000) -> Iterator[pa.RecordBatch]:
-    """(p, s, n): how often each run (hash, p, s) occurs, summed over a task, given out whenever more than ``most`` are held."""
+def groups(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbours begins."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def tally_runs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[exchange.Part]:
+    """(RUN, [s, p, n]): how often each run (hash, p, s) occurs, summed over a task, given out whenever more than HELD are held."""
     held, size = [], 0
 
     def merged():
         key, p, s, n = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        order = np.argsort(key)
+        begin = groups(key[order])
         at = order[begin]
-        return key[begin], p[at], s[at], np.add.reduceat(n[order], begin)
-
-    def batch(x):
-        order = np.argsort(x[2])
-        x = [c[order] for c in x]
-        return pa.RecordBatch.from_arrays([pa.array(x[1].view(np.int64)), pa.array(x[2].view(np.int64)), pa.array(x[3])], ["p", "s", "n"])
+        return key[at], p[at], s[at], np.add.reduceat(n[order], begin)
 
     for key, p, s in parts:
         if len(key):
             held.append((key, p, s, np.ones(len(key), np.int64)))
             size += len(key)
-        if size > most:
+        if size > HELD:
             x = merged()
             held, size = [x], len(x[0])
-            if size > most // 2:
-                yield batch(x)
+            if size > HELD // 2:
+                yield RUN, [x[2], x[1], x[3]]
                 held, size = [], 0
     if held:
-        yield batch(merged())
+        x = merged()
+        yield RUN, [x[2], x[1], x[3]]
 
 
-def grown(rows: DataFrame, max_context: int, least_count: int, least_context: float, least_pair: float, filter_bits: int) -> tuple[int, int, DataFrame, list[DataFrame]]:
-    """(number of tokens, of different ones, (h, n, w) of every token, (h, n, w) of the runs of each length from 2 that have a weight).
+def parts_of(batches: Iterator[pa.RecordBatch], *kinds: int) -> Iterator[exchange.Part]:
+    return exchange.unfolded(batches, {k: KINDS[k] for k in kinds})
 
-    Weights are natural logs; a token's is without its own probability.
-    """
-    learn = rows.where("not held_out")
-    spark = rows.sparkSession
+
+def counted(learn: DataFrame, places: int) -> tuple[int, int, DataFrame]:
+    """(number of tokens, of different ones, a table of PRIOR rows of all of them); lp and own are filled in later."""
 
     def unigrams(batches):
-        return tally((sequence_tokens(words(b.column(2), fold=True)) for b in slices(batches)), "h")
+        found = tally((sequence_tokens(words(b.column(1), fold=True)).view(np.int64) for b in slices(batches)), "h")
+        return exchange.dealt(((RUN, [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()]) for b in found), places)
 
-    counts = written(learn.mapInArrow(unigrams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
-    n, v = (int(x) for x in counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    floor = max(float(least_count), least_pair * n)
-    levels, backs = [counts.select("h", "n", F.log((F.col("n") + 1) / F.lit(float(n + v + 1))).alias("lp"), F.lit(0.0).alias("own"))], []
-    for length in range(2, max_context + 2):
-        before = levels[-1].where(F.col("n") >= floor)
-        sent = spark.sparkContext.broadcast(bitmap(before.select("h"), filter_bits))
+    def settle(place, held):
+        h, n = exchange.gathered(held, {RUN: ["u8", "i8"]})[RUN]
+        order = np.argsort(h)
+        begin = groups(h[order])
+        h, n = h[order][begin], np.add.reduceat(n[order], begin)
+        blob = exchange.packed([h, n, np.zeros(len(h)), np.zeros(len(h))])
+        yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([PRIOR], pa.int32()), pa.array([0]), pa.array([len(h)], pa.int32()), pa.array([blob])], ["n_tokens", *exchange.NAMES[1:]])
 
-        def found(batches, sent=sent, length=length):
-            def parts():
-                for b in slices(batches):
-                    hashes, begins, _ = sequence(words(b.column(2), fold=True))
-                    _, key, p, s = runs(hashes, begins, length)[-1]
-                    # no run is seen more often than a run inside it
-                    ok = in_bitmap(sent.value, s, filter_bits)
-                    ok[ok] = in_bitmap(sent.value, p[ok], filter_bits)
-                    yield key[ok], p[ok], s[ok]
-
-            return tally_runs(parts())
-
-        # A task gives its runs ordered by s, so that those of one s lie together; they are dealt once by s and what is left once by p.
-        seen = learn.mapInArrow(found, "p long, s long, n long").repartition("s").groupBy("p", "s").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-        whole = before.where(F.col("n") >= least_context * n).select(F.col("h").alias("p"), F.col("n").alias("total"))
-        entries = seen.join(before.select(F.col("h").alias("s"), F.col("lp").alias("suffix")), "s").join(whole, "p")
-        x, total, of = F.col("n").cast("double"), F.col("total").cast("double"), W.partitionBy("p")
-        sums = {"kept": F.sum(x), "mass": F.sum(F.exp("suffix")), "size": F.count("*"), "gain": F.sum(x * (F.log(x / total) - F.col("suffix"))), "one": F.min("s")}
-        entries = entries.withColumns({k: f.over(of) for k, f in sums.items()})
-        rest = F.greatest(total - F.col("kept"), F.lit(0.0))
-        gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / total / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
-        retained = (gain > 0.5 * F.col("size") * F.log(F.greatest(total, F.lit(2.0)))) & (gain > 0.005 * total)  # as diverges()
-        entries = entries.withColumn("back", F.when(retained, F.log(1 - (F.col("kept") - DISCOUNT * F.col("size")) / total)))
-        lp = F.when(F.col("back").isNull(), F.col("suffix")).otherwise(F.log((x - DISCOUNT) / total + F.exp(F.col("back") + F.col("suffix"))))
-        own = F.when(F.col("back").isNull(), 0.0).otherwise(F.col("lp") - F.col("back") - F.col("suffix"))
-
-        def named(batches, length=length):
-            for b in batches:
-                p, s = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(longer(p, s, length).view(np.int64)), *(b.column(i) for i in range(2, 7))], ["h", "n", "lp", "own", "context", "back"])
-
-        once = F.col("s") == F.col("one")  # a context's way back stands with one of its entries
-        full = entries.withColumn("lp", lp).select("p", "s", "n", "lp", own.alias("own"), F.when(once & F.col("back").isNotNull(), F.col("p")).alias("context"), F.when(once, F.col("back")).alias("back"))
-        table = written(full.mapInArrow(named, "h long, n long, lp double, own double, context long, back double"), "runs")
-        levels.append(table.drop("context", "back"))
-        backs.append(table.where("context is not null").select(F.col("context").alias("h"), "back"))
-        sent.unpersist()
-    out = []
-    for i, level in enumerate(levels):
-        w = F.col("own")
-        if i < len(backs):
-            level, w = level.join(backs[i], "h", "left"), w + F.coalesce("back", F.lit(0.0))
-        level = level.select("h", "n", w.alias("w"))
-        out.append(written(level.where("w != 0") if i else level, "weights"))
-    return n, v, out[0], out[1:]
+    table = written(exchange.met(learn.mapInArrow(unigrams, exchange.ROWS), places, settle, "n_tokens long, kind int, flush long, n int, blob binary"), "tokens")
+    n, v = (int(x) for x in table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first())
+    return n, v, table
+
+
+def grown(learn: DataFrame, max_context: int, least_count: int, least_context: float, least_pair: float, filter_bits: int) -> tuple[int, int, DataFrame]:
+    """(number of tokens, of different ones, a table of TOKEN rows of all tokens and WEIGHT rows of the runs that have a weight), from (doc_id, text).
 
+    Weights are natural logs; a token's is without its own probability.
+    """
+    spark = learn.sparkSession
+    n, v, tokens = counted(learn, exchange.places_for(spark, 0))
+    prior = tokens
+    places, floor = exchange.places_for(spark, n), max(float(least_count), least_pair * n)
+    rate, levels = np.log(n + v + 1), []
+    for length in range(2, max_context + 2):
+        first = length == 2
 
-PART = "doc_id long, th int, h long, kind int, n_tokens long, n_known long, base double, score double"
+        def priors(batches, first=first):
+            for _, (h, m, lp, own) in parts_of(batches, PRIOR):
+                yield h, m, np.log(m + 1.0) - rate if first else lp, own
 
+        sent = spark.sparkContext.broadcast(exchange.bitmap(lambda b, priors=priors: (h[m >= floor] for h, m, _, _ in priors(b)), prior, filter_bits))
 
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_context: int = 2, least_head: float = 2.5e-7, least_context: float = 0.0, least_pair: float = 0.0, least_count: int = 2, least_sent: float = 1e-6, filter_bits: int = 1 << 28) -> DataFrame:
+        def found(batches, sent=sent, length=length):
+            for b in slices(batches):
+                hashes, begins, _ = sequence(words(b.column(1), fold=True))
+                _, key, p, s = runs(hashes, begins, length)[-1]
+                # no run is seen more often than a run inside it
+                ok = exchange.in_bitmap(sent.value, s)
+                ok[ok] = exchange.in_bitmap(sent.value, p[ok])
+                yield key[ok], p[ok], s[ok]
+
+        def with_suffix(place, held):
+            """Sums the runs that end alike and finds the probability of each in its suffix."""
+            (s, p, m), (h, lp) = exchange.gathered(held, {RUN: ["u8", "u8", "i8"], PRIOR: ["u8", "f8"]}).values()
+            key = mix(s * _RUN + p)
+            order = np.argsort(key)
+            begin = groups(key[order])
+            if not len(begin):
+                return
+            m = np.add.reduceat(m[order], begin)
+            often = m >= floor
+            begin, m = order[begin[often]], m[often]
+            s, p = s[begin], p[begin]
+            order = np.argsort(h)
+            at = Index(h[order]).find(s)
+            s, p, m, at = s[at >= 0], p[at >= 0], m[at >= 0], at[at >= 0]
+            if len(s):
+                yield exchange.rows([(place, RUN, 0, len(s), exchange.packed([p, s, m, lp[order][at]]))])
+
+        dealt_runs = learn.mapInArrow(lambda b, found=found: exchange.dealt(tally_runs(found(b)), places), exchange.ROWS)
+        suffixes = prior.mapInArrow(lambda b, priors=priors: exchange.dealt(((PRIOR, [h[m >= floor], lp[m >= floor]]) for h, m, lp, _ in priors(b)), places), exchange.ROWS)
+        seen = written(exchange.met(dealt_runs.unionByName(suffixes), places, with_suffix), "runs")
+        def entered(place, held, length=length, first=first):
+            """The divergence test of each context: its entries, and the weights of the runs one shorter."""
+            (p, s, m, suffix), (h, total, own) = exchange.gathered(held, {RUN: KINDS[RUN], PRIOR: ["u8", "i8", "f8"]}).values()
+            order = np.argsort(h)
+            h, total, own = h[order], total[order], own[order]
+            back = np.zeros(len(h))
+            at = Index(h).find(p)
+            ok = at >= 0
+            ok[ok] = total[at[ok]] >= least_context * n
+            order = np.flatnonzero(ok)[np.lexsort((s[ok], p[ok]))]
+            p, s, m, suffix, at = p[order], s[order], m[order], suffix[order], at[order]
+            if len(p):
+                begin = groups(p)
+                size, whole, x = np.diff(np.append(begin, len(p))), total[at[begin]].astype(float), m.astype(float)
+                each = np.repeat(whole, size)
+                kept, mass = np.add.reduceat(x, begin), np.add.reduceat(np.exp(suffix), begin)
+                gain = np.add.reduceat(x * (np.log(x / each) - suffix), begin)
+                rest = np.maximum(whole - kept, 0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain = gain + np.where(rest > 0, rest * np.log(rest / whole / np.maximum(1 - mass, 1e-12)), 0)
+                retained = diverges(gain, size, whole)
+                way = np.where(retained, np.log(1 - (kept - DISCOUNT * size) / whole), 0.0)
+                back[at[begin]] = way
+                way, retained = np.repeat(way, size), np.repeat(retained, size)
+                lp = np.where(retained, np.log((x - DISCOUNT) / each + np.exp(way + suffix)), suffix)
+                new = longer(p, s, length)
+                order = np.argsort(new)
+                yield exchange.rows([(place, PRIOR, 0, len(p), exchange.packed([c[order] for c in (new, m, lp, np.where(retained, lp - way - suffix, 0.0))]))])
+            w = own + back
+            use = np.ones(len(w), bool) if first else w != 0
+            if use.any():
+                yield exchange.rows([(place, TOKEN if first else WEIGHT, 0, int(use.sum()), exchange.packed([h[use], total[use], w[use]]))])
+
+        entries = seen.mapInArrow(lambda b: exchange.dealt(((RUN, c) for _, c in parts_of(b, RUN)), places), exchange.ROWS)
+        contexts = prior.mapInArrow(lambda b, priors=priors: exchange.dealt(((PRIOR, [h, m, own]) for h, m, _, own in priors(b)), places), exchange.ROWS)
+        prior = written(exchange.met(entries.unionByName(contexts), places, entered), "entries")
+        levels.append(prior)
+        sent.unpersist()
+        discard(seen, *([] if length > 2 else [tokens]))
+
+    def last(batches):
+        for _, (h, m, _, own) in parts_of(batches, PRIOR):
+            use = own != 0
+            if use.any():
+                yield exchange.rows([(0, WEIGHT, 0, int(use.sum()), exchange.packed([h[use], m[use], own[use]]))])
+
+    table = prior.mapInArrow(last, exchange.ROWS)
+    for level in levels:
+        table = table.unionByName(level.where(F.col("kind") != PRIOR))
+    table = written(table, "weights")
+    discard(*levels)
+    return n, v, table
+
+
+def frequent(table: DataFrame, kind: int, least: float) -> tuple[Index, np.ndarray, np.ndarray]:
+    """Hashes, counts and weights in base 10 of the rows of a kind seen at least ``least`` times."""
+
+    def chosen(batches):
+        for _, (h, m, w) in parts_of(batches, kind):
+            use = m >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(m[use]), pa.array(w[use])], ["h", "n", "w"])
+
+    top = table.mapInArrow(chosen, "h long, n long, w double").toArrow()
+    h, m, w = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("w").to_numpy()
+    order = np.argsort(h)
+    return Index(h[order]), m[order], w[order] / np.log(10)
+
+
+def asking(batches: Iterator[pa.RecordBatch], sent, lengths: int, places: int) -> Iterator[pa.RecordBatch]:
+    """Of texts (doc_id, text) what the broadcast weights say, as HEADER rows, and the questions that are left."""
+    (head, counts, weights), (top, _, top_weights), mask = sent.value
+    logs, figures, asks, size, texts, flush = np.log10(counts + 1.0), [], [], 0, 0, TaskContext.get().partitionId() << 24
+
+    def out() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*figures)]
+        questions = np.zeros(texts, np.int64)
+        for _, _, text in asks:
+            questions += np.bincount(text, minlength=texts)
+        yield exchange.rows([(flush % places, HEADER, flush, texts, exchange.packed([*columns, questions]))])
+        for kind in (ASK_TOKEN, ASK_RUN):
+            mine = [(h, t) for k, h, t in asks if k == kind]
+            if mine:
+                h, t = (np.concatenate(x) for x in zip(*mine))
+                yield from exchange.dealt(iter([(kind, [h, t.astype(np.uint16)])]), places, flush, thin=lambda c: [(c[0] >> np.uint64(32)).astype(np.uint32), (c[0] >> np.uint64(16)).astype(np.uint16), c[1]])
+
+    for batch in slices(batches):
+        n = batch.num_rows
+        hashes, begins, text = sequence(words(batch.column(1), fold=True))
+        tokens = head.find(hashes)
+        use, known = ~begins, (tokens >= 0) & ~begins
+        total = lambda where, x: np.bincount(text[where], x, n)
+        base = total(known, logs[tokens[known]])
+        score = base + total(known, weights[tokens[known]])
+        rare = np.flatnonzero(use & ~known)
+        asks.append((ASK_TOKEN, hashes[rare], text[rare] + texts))
+        size += len(rare)
+        for ends, key, _, _ in runs(hashes, begins, lengths):
+            may = exchange.in_bitmap(mask, key)  # all runs with a weight
+            ends, key = ends[may], key[may]
+            at = top.find(key)
+            score += total(ends[at >= 0], top_weights[at[at >= 0]])
+            may = at < 0
+            asks.append((ASK_RUN, key[may], text[ends[may]] + texts))
+            size += int(may.sum())
+        ids = batch.column(0)
+        valid = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+        count = lambda where: np.bincount(text[where], minlength=n).astype(np.int64)
+        figures.append((ids.fill_null(0).to_numpy(zero_copy_only=False), valid, count(use), count(known), base, score))
+        texts += n
+        if size > ASKED or texts > TEXTS - 5_000:
+            yield from out()
+            figures, asks, size, texts, flush = [], [], 0, 0, flush + 1
+    if texts:
+        yield from out()
+
+
+def answered(place: int, rows: Iterator[exchange.Row]) -> Iterator[pa.RecordBatch]:
+    """The sums of what a place's weights say to each flush's questions; HEADER rows pass."""
+    parts, models = {TOKEN: [], WEIGHT: []}, {}
+    for kind, flush, n, blob in rows:
+        if kind in parts:
+            parts[kind].append((kind, flush, n, blob))
+        elif kind == HEADER:
+            yield exchange.rows([(0, HEADER, flush, n, blob.to_pybytes())])
+        else:
+            if kind not in models:  # weights come before questions
+                own = TOKEN if kind == ASK_TOKEN else WEIGHT
+                h, m, w = exchange.gathered(parts.pop(own), {own: KINDS[own]})[own]
+                order = np.argsort(h)
+                models[kind] = (Index(h[order] >> np.uint64(16)), np.log10(m[order] + 1.0), w[order])
+            h, logs, w = models[kind]
+            high, low, text = exchange.unpacked(blob, n, KINDS[kind])
+            at = h.find(high.astype(np.uint64) << np.uint64(16) | low)
+            hit, text = at >= 0, text.astype(np.int64)
+            asked = np.bincount(text)
+            some = np.flatnonzero(asked)
+            sums = lambda x: np.bincount(text[hit], x[at[hit]], len(asked))[some]  # noqa: E731, B023
+            score = sums(w)
+            known, base = (np.bincount(text[hit], minlength=len(asked))[some], sums(logs)) if kind == ASK_TOKEN else (np.zeros(len(some), np.int64), np.zeros(len(some)))
+            columns = [some.astype(np.uint16), asked[some].astype(np.uint32), known.astype(np.uint32), base, base + score]
+            yield exchange.rows([(0, REPLY, flush, len(some), exchange.packed(columns))])
+
+
+def summed(whole: float):
+    """The figures of a flush's texts, from its header and all replies."""
+
+    def settle(flush: int, rows: Iterator[exchange.Row]) -> Iterator[pa.RecordBatch]:
+        _, _, n, blob = next(rows)  # the header comes first
+        ids, valid, tokens, known, base, score, questions = exchange.unpacked(blob, n, KINDS[HEADER])
+        for _, _, n, blob in rows:
+            text, asked, own, b, w = exchange.unpacked(blob, n, KINDS[REPLY])
+            questions[text] -= asked
+            known[text] += own
+            base[text] += b
+            score[text] += w
+        if questions.any():
+            raise RuntimeError("replies do not fit the questions: a task that ran again gave its rows in another order")
+        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(tokens), pa.array(known), pa.array(base - tokens * whole), pa.array(score - tokens * whole)], SCORES)
+
+    return settle
+
+
+SCORES = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_context: int = 2, least_head: float = 1e-6, least_context: float = 0.0, least_pair: float = 0.0, least_count: int = 2, least_sent: float = 1e-6, filter_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Trained on rows whose crc32(id as text) mod 7 is not 2; rows with a null id train too.  Scores are log10
-    probabilities: base_score by the add-one unigram, score by the tree.  Null and empty texts are one end.
-    With no training row every token has probability 1 / 1.  Repeated rows each count and each get a row.
+    probabilities: base_score by the add-one unigram, score by the tree.  Null and empty texts are one end, very long
+    ones count whole.  With no training row every token has probability 1 / 1.  Repeated rows each count and each get
+    a row; an empty table gives none.  Other columns of docs are not looked at.
     ``least_context`` and ``least_pair`` add floors of relative frequency for contexts and entries; ``least_head``,
     ``least_sent`` and ``filter_bits`` only say how weights travel.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
-    rows = keyed(docs, id_col, text_col).withColumn("held_out", held)
-    n, v, tokens, grams = grown(rows, max_context, least_count, least_context, least_pair, filter_bits)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    n, v, table = grown(rows.where(~held), max_context, least_count, least_context, least_pair, filter_bits)
     spark = docs.sparkSession
-    whole = float(np.log10(n + v + 1))
-
-    def frequent(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        top = df.where(F.col("n") >= max(1.0, least * n)).toArrow()  # at most 1 / least rows
-        h, c, w = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("w").to_numpy() / np.log(10)
-        order = np.argsort(h)
-        return h[order], c[order], w[order]
-
-    few = [x.where(F.col("n") < max(1.0, least_sent * n)) for x in grams]
-    rare = tokens.where(F.col("n") < max(1.0, least_head * n)).select("h", "n", "w")
-    for x in few:
-        rare = rare.unionByName(x.select("h", F.lit(None).cast("long").alias("n"), "w"))
-    masks = [bitmap(x.select("h"), filter_bits) for x in few]
-    sent = spark.sparkContext.broadcast((frequent(tokens, least_head), [frequent(x, least_sent) for x in grams], masks))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, counts, weights), tops, masks = sent.value
-        logs = np.log10(counts + 1.0)
-        for batch in slices(batches):
-            texts = batch.num_rows
-            hashes, begins, text = sequence(words(batch.column(2), fold=True))
-            tokens = find(head, hashes)
-            use, known = ~begins, (tokens >= 0) & ~begins
-            total = lambda where, x: np.bincount(text[where], x, texts)
-            base = total(known, logs[tokens[known]])
-            score = base + total(known, weights[tokens[known]] - whole)
-            tail = [(np.flatnonzero(use & ~known), hashes[use & ~known], 1)]
-            for (ends, key, _, _), (keys, _, w), mask in zip(runs(hashes, begins, len(tops) + 1), tops, masks):
-                at = find(keys, key)
-                score += total(ends[at >= 0], w[at[at >= 0]])
-                may = at < 0
-                may[may] = in_bitmap(mask, key[may], filter_bits)
-                tail.append((ends[may], key[may], 2))
-            figures = [total(use, np.ones(int(use.sum()))).astype(np.int64), total(known, np.ones(int(known.sum()))).astype(np.int64), base, score]
-            spread = mix(np.arange(texts, dtype=np.uint64) + hashes[: texts] + np.uint64(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spread), pa.array(np.zeros(texts, np.int32)), *map(pa.array, figures)], NAMES)
-            for where, h, kind in tail:
-                at = pa.array(text[where])
-                none = [pa.nulls(len(where), k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h.view(np.int64)), pa.array(np.full(len(where), kind, np.int32)), *none], NAMES)
-
-    parts = rows.select("doc_id", "th", "text").mapInArrow(run, PART)
-    summary, token = F.col("kind") == 0, F.col("kind") == 1
-    joined = parts.join(rare, "h", "left").withColumns({"n": F.when(token, F.coalesce("n", F.lit(0))), "w": F.when(~summary, F.col("w"))})
-    sums = joined.groupBy("doc_id", "th").agg(
-        F.count(F.when(summary, 1)).alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("head_known"), F.max("base").alias("head_base"), F.max("score").alias("head_score"),
-        F.count(F.when(F.col("n") > 0, 1)).alias("tail_known"), F.coalesce(F.sum(F.log10(F.col("n") + 1)), F.lit(0.0)).alias("tail_log"), F.count("n").alias("tail_n"), (F.coalesce(F.sum("w"), F.lit(0.0)) / F.lit(float(np.log(10)))).alias("tail_w"),
-    )
-    each = lambda c: F.col(c) / F.col("copies")
-    out = sums.withColumn("held_out", held).select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + each("tail_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("head_base") + each("tail_log") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("head_score") + each("tail_log") - each("tail_n") * F.lit(whole) + each("tail_w")).alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    )
-    return out.drop("copy")
-
-
-NAMES = ["doc_id", "th", "h", "kind", "n_tokens", "n_known", "base", "score"]
+    places = exchange.places_for(spark, n)
+    floors = {TOKEN: max(1.0, least_head * n), WEIGHT: max(1.0, least_sent * n)}
+
+    def rare(batches):
+        for kind, (h, m, w) in parts_of(batches, TOKEN, WEIGHT):
+            use = m < floors[kind]
+            yield kind, [h[use], m[use], w[use] / np.log(10)]
+
+    mask = exchange.bitmap(lambda b: (c[0] for _, c in parts_of(b, WEIGHT)), table, filter_bits)
+    sent = spark.sparkContext.broadcast((frequent(table, TOKEN, floors[TOKEN]), frequent(table, WEIGHT, floors[WEIGHT]), mask))
+    asks = rows.mapInArrow(lambda b: asking(b, sent, max_context + 1, places), exchange.ROWS)
+    both = asks.unionByName(table.mapInArrow(lambda b: exchange.dealt(rare(b), places), exchange.ROWS))
+    replies = exchange.met(both, places, answered)
+    out = exchange.met(replies, places, summed(float(np.log10(n + v + 1))), "doc_id long, n_tokens long, n_known long, base_score double, score double", by="flush")
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
