@@ -58,6 +58,44 @@ def test_factors_name_a_source(spark):
     assert substring_dedup.removed(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [35, 7, 3])
+def test_every_factor_is_a_copy_of_its_source(spark, window):
+    """Passages of several sources in a row, the text's own repeats, and copies of whole documents over many tasks."""
+    texts = corpus(window + 1)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    passages = [[f"p{k}w{i}" for i in range(60)] for k in range(3)]
+    texts += [" ".join(passages[0]), " ".join(passages[1]), " ".join(passages[0][:50] + passages[1][5:]), " ".join(passages[2]) * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in substring_dedup.removed(docs, window=window).collect()}
+    factors = 0
+    for i, t in enumerate(texts):
+        w = split(t)
+        gone = set()
+        for f in got[i].factors:
+            assert f.end - f.start >= window and (f.src_doc, f.src_start) != (i, f.start)
+            assert w[f.start : f.end] == split(texts[f.src_doc])[f.src_start : f.src_start + f.end - f.start]
+            gone.update(range(f.start, f.end))
+            factors += 1
+        assert len(gone) == got[i].n_removed
+    assert factors > 50
+    two = got[len(texts) - 2].factors
+    assert [f.src_doc for f in two if f.end - f.start >= 40] == [len(texts) - 4, len(texts) - 3]
+
+
+def test_rows_with_equal_32_bit_hashes_are_told_apart(spark):
+    from veedor.llm import pii, simhash, suffix_tree_lm
+
+    a, b = "short 24812", "a much longer text of many words number 106293"
+    for i in (None, 7):
+        docs = spark.createDataFrame([(i, a, "x", 1), (i, b, "y", 2)], "doc_id long, text string, _id string, _th int")
+        assert docs.select(substring_dedup.F.hash("text").alias("h")).distinct().count() == 1
+        assert sorted(r.n_tokens for r in suffix_tree_lm.scored(docs).collect()) == [3, 10]
+        assert sorted(r.n_words for r in substring_dedup.removed(docs).collect()) == [2, 9]
+        assert pii.sanitised(docs).count() == 2 and sorted(r.text for r in pii.sanitised(docs).collect()) == sorted([a, b])
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted([a, b])
+
+
 def test_blocks_cover_every_window_once():
     texts = corpus(1)
     w = words(pa.array(texts))

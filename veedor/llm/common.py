@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,19 +54,27 @@ def discard(*tables: DataFrame) -> None:
         place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
         place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
     gc.collect()
-    for spark in {t.sparkSession for t in tables}:
-        spark._jvm.System.gc()
+    SparkSession.active()._jvm.System.gc()
+
+
+#: A row's text in 128 bits; with the id it tells rows apart.
+TH = "struct<a:bigint,b:bigint>"
+
+
+def text_key(text: Column) -> Column:
+    """Two XXH64 of a text under different seeds, so that rows that share an id (or have none) are told apart by 128 bits."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(0x5EED), text).alias("b"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, th, text): other columns cannot clash.  th tells rows apart that share an id; null text is empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("th"), text.alias("text"))
 
 
 def same_row(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     """Join on (doc_id, th), where a null id equals a null id; a's key columns stay."""
-    right = b.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+    right = b.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), *[c for c in b.columns if c not in ("doc_id", "th")])
     return a.join(right, a["doc_id"].eqNullSafe(right["_id"]) & (a["th"] == right["_th"]), how).drop("_id", "_th")
 
 

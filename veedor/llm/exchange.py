@@ -32,7 +32,7 @@ def places_for(spark: SparkSession, values: int) -> int:
 
 
 def packed(columns: list[np.ndarray]) -> bytes:
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return _COMPRESSOR.compress(b"".join(planes))
 
 
@@ -113,6 +113,17 @@ def gathered(rows: Iterator[Row], kinds: dict[int, list[str]]) -> dict[int, list
     return {k: [np.concatenate([np.zeros(0, t), *(p[i] for p in parts[k])]) for i, t in enumerate(types)] for k, types in kinds.items()}
 
 
+def groups(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where each group of equal neighbours begins."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def bitmap(hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], table: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits (a power of two, 2**16 to 2**32) in which a hash's first bits are its position; bits / 8 bytes on the driver, whatever the table's size."""
     places = min(places_for(table.sparkSession, 0), bits >> 10)

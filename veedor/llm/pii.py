@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, keyed, same_row, slices, tally, words, written
+from .common import TH, bitmap, in_bitmap, keyed, same_row, slices, tally, words, written
 
 KINDS = ["email", "ip", "card", "phone", "term_general", "term_remove"]
 #: Each is linear in the text: possessive repeats, and no start inside a run that a start before it has covered.
@@ -135,7 +135,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     the bitmap of candidate terms; a full one costs time and loses nothing.
     """
     rows = keyed(docs, id_col, text_col)
-    found = written(rows.mapInArrow(lambda b: _found(b, window), "doc_id long, th int, base array<struct<kind:int,start:int,end:int>>, near array<struct<e:long,t:long,start:int,end:int>>"), "entities")
+    found = written(rows.mapInArrow(lambda b: _found(b, window), f"doc_id long, th {TH}, base array<struct<kind:int,start:int,end:int>>, near array<struct<e:long,t:long,start:int,end:int>>"), "entities")
     pairs = disclosing(found, rows, support, generalise, filter_bits)
     near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
     told = near.join(pairs, ["e", "t"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))

@@ -66,9 +66,9 @@ WITH w AS (
 ), c AS (
   SELECT doc_id, i, word, max(found::INT) OVER (o ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone, found AND NOT coalesce(lag(found) OVER o, false) AS starts FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), g AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept, count(*) FILTER (starts) AS n_factors FROM c GROUP BY doc_id
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept, count(*) FILTER (starts) AS n_spans FROM c GROUP BY doc_id
 )
-SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_factors, 0)::BIGINT AS n_factors FROM w LEFT JOIN g USING (doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans FROM w LEFT JOIN g USING (doc_id)
 """
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import _BASE, _BYTE, _INVERSE, Words, keyed, powers, raw_text, slices, words
+from .common import _BASE, _BYTE, _INVERSE, TH, Words, keyed, powers, raw_text, slices, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -138,7 +138,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             figures = [w.counts, total(inside & ((raw & 0xC0) != 0x80)), total(SYMBOLS[raw]), repeated_lines(raw, offsets, w), covered(w, longest, window), covered(w, longest, min_words), top]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in figures)], FIGURES)
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, th int, " + ", ".join(f"{n} long" for n in FIGURES[2:]))
+    return keyed(docs, id_col, text_col).mapInArrow(run, f"doc_id long, th {TH}, " + ", ".join(f"{n} long" for n in FIGURES[2:]))
 
 
 FIGURES = ["doc_id", "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat"]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, keyed, raw_text, slices, written
+from .common import FOLD, TH, discard, keyed, raw_text, slices, text_key, written
 
 #: Most fingerprints that one task compares with each other; also the most that a second dealing can bring together.
 LIMIT = 8_192
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(low[a:b], size, seed) for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, th int, fp long")
+    return keyed(docs, id_col, text_col).mapInArrow(run, f"doc_id long, th {TH}, fp long")
 
 
 def signed(x: int) -> int:
@@ -172,7 +172,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.unionByName(least.where("u != m").select("u", F.col("m").alias("v"))).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        now = written(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, written(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break
@@ -198,14 +199,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row."""
+    """(doc_id, fingerprint, component_id) for every row: nulls, repeats and long texts as ``near_duplicates`` takes them."""
     rows = near_duplicates(docs, **options)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is their component's smallest, and those without an id; all columns as they were."""
+    """One row of each component, that of its smallest id, and the rows without an id; all columns as they were.
+
+    Null and empty texts have fingerprint zero, so of all of them one row stays.  Rows that repeat the smallest id with another
+    text of the component stay too, as no id is smaller; very long texts count whole; an empty table stays empty.
+    """
     rows = near_duplicates(docs, id_col, text_col, **options)
-    gone = written(rows.where("doc_id != component_id").select("doc_id", "th").distinct(), "dropped").toDF("_id", "_th")
+    gone = written(rows.where("doc_id != component_id").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct(), "dropped")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (F.hash(text) == F.col("_th")), "left_anti")
+    own = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_own"), text_key(text).alias("_text"))
+    return own.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_th")), "left_anti").select("_row.*")

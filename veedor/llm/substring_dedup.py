@@ -1,19 +1,18 @@
-"""Substring dedup by relative Lempel-Ziv parsing: every document is factored against all indexed blocks of all documents.
-
-A block is what surrounds an anchor: the run of ANCHOR words whose hash is the least of a window.  Equal windows
-have equal anchors, so a window can recur only around an anchor that recurs.  Three steps, each over all rows:
-
-1. Anchors are counted.  Those met twice or more fill a bitmap of ``filter_bits`` bits, whose size is its proven
-   bound for the broadcast; a full bitmap lets more through and loses nothing.
-2. Each anchor in the bitmap is a reference block: its windows' hashes, with where it stands.  Equal blocks of one
-   batch are joined before the shuffle (all but the first are settled and travel by document, not by block), so a
-   passage that a third of all documents share sends each task one row a batch.  Blocks that meet are compared window by window; each learns which of its
-   windows start elsewhere too, and where the first such place is.
-3. Each document is parsed greedily from left to right: a factor starts at a window found elsewhere and grows
-   while the next window is found too.  As every window that straddles two sources has been looked up itself,
-   factors are exact at their boundaries, and their union is the duplicate spans.
-
-A window is compared by 64 bits of its own and 64 bits of its anchor.
+"""Substring dedup by relative Lempel-Ziv parsing: every document is factored against the indexed windows of all documents.
+
+Three steps, each over all rows; numbers travel as packed blobs dealt by hash (see ``exchange``).
+
+1. A window's anchor is the run of words with the least hash in it.  Equal windows have equal anchors, so a window can
+   recur only where its anchor does.  Anchors are counted; those met twice or more fill a bitmap of ``filter_bits``
+   bits, whose size is its proven bound for the broadcast.  A full bitmap lets more through and loses nothing.
+2. The windows around recurring anchors are the reference index.  A task settles what recurs within a flush of texts and
+   sends each different window once, so a passage that a third of all documents share is one value a flush.  Where a
+   window's hash lands, its reference is the least (doc_id, start) that it has elsewhere.
+3. Each document is parsed from left to right: a factor starts at a window with a reference and grows for as long as
+   the next window's reference is the next place of the same source, so it is a copy of its source; then the next
+   factor starts.  A window that straddles two factors has been looked up itself, so spans are exact at the boundaries.
+
+A window is compared by 96 bits: 64 of its own, 32 of it and its anchor.
 """
 
 from __future__ import annotations
@@ -22,11 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, grams, in_bitmap, keyed, mix, same_row, slices, words
+from . import exchange
+from .common import TH, discard, grams, keyed, mix, same_row, slices, tally, words, written
+
+#: Windows and texts of a flush, at most but for one long text.
+WINDOWS, TEXTS = 1_000_000, 60_000
+ANCHOR, HEADER, LOCAL, WINDOW, REPLY = range(5)
+KINDS = {
+    ANCHOR: ["u8", "i8"],  # hash, n
+    HEADER: ["i8", "i8", "i8", "i8"],  # doc_id, both halves of th, words before the text in the flush
+    LOCAL: ["u4", "u4", "i8", "u4"],  # first window, windows, source document, source start
+    WINDOW: ["u8", "u4", "i8", "u4", "u4"],  # hash, check, doc_id, start, place in the flush
+    REPLY: ["u4", "i8", "u4"],  # place in the flush, source document, source start
+}
+#: Stands for a null id in packed columns.
+NONE = -(2**63)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -79,227 +93,226 @@ def occurrences(h: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.n
     return np.searchsorted(places, low + size - 1 + width - 1, side="right") - np.searchsorted(places, low)
 
 
-def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(anchor, n): how often each anchor occurs in a batch, as far as that matters: once or more.  Errs to more, never to fewer."""
-    for batch in slices(batches):
-        w = words(batch.column(2))
-        start, size, anchor = blocks(w.hashes, w.first, window)
-        if len(start):
-            found, which = np.unique(anchor, return_inverse=True)
-            n = np.bincount(which, occurrences(w.hashes, start, size, anchor, window))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["anchor", "n"])
+def recurring(docs: DataFrame, window: int, bits: int) -> np.ndarray:
+    """The bitmap of anchors that occur twice or more; bits / 8 bytes.  Counts err to more, never to fewer."""
+    places = exchange.places_for(docs.sparkSession, 0)
 
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in slices(batches):
+            w = words(batch.column(2))
+            start, size, anchor = blocks(w.hashes, w.first, window)
+            if len(start):
+                yield np.repeat(anchor, np.minimum(occurrences(w.hashes, start, size, anchor, window), 2)).view(np.int64)
 
-def recurring(docs: DataFrame, window: int, bits: int) -> np.ndarray:
-    """The bitmap of anchors that occur twice or more; bits / 8 bytes."""
-    counted = docs.mapInArrow(lambda b: _anchors(b, window), "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    return bitmap(counted, bits)
+    def counted(batches):
+        found = tally(seen(batches), "h")
+        return exchange.dealt(((ANCHOR, [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()]) for b in found), places)
 
+    def twice(place, rows):
+        h, n = exchange.gathered(rows, {ANCHOR: KINDS[ANCHOR]})[ANCHOR]
+        order = np.argsort(h)
+        begin = exchange.groups(h[order])
+        if len(begin):
+            h, n = h[order][begin], np.add.reduceat(n[order], begin)
+            yield exchange.rows([(place, ANCHOR, 0, int((n > 1).sum()), exchange.packed([h[n > 1], n[n > 1]]))])
 
-def _blocks(batches: Iterator[pa.RecordBatch], window: int, bits: int, sent) -> Iterator[pa.RecordBatch]:
-    """Rows of step 2's shuffle: deal (what it goes by), anchor, doc_id, th, start, size, local, hashes (null: settled, all windows recur)."""
-    full = sent.value
-    for batch in slices(batches, most=1 << 21):
+    table = exchange.met(docs.mapInArrow(counted, exchange.ROWS), places, twice)
+    return exchange.bitmap(lambda b: (c[0] for _, c in exchange.unfolded(b, {ANCHOR: KINDS[ANCHOR]})), table, bits)
+
+
+def _runs(at: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, sizes) of the runs of windows ``at`` (rising) that are neighbours and have neighbouring sources."""
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    where = np.flatnonzero(new)
+    return where, np.diff(np.append(where, len(at)))
+
+
+def _asking(batches: Iterator[pa.RecordBatch], window: int, sent, places: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc_id, th, text) a HEADER for each flush, what recurs within it as LOCAL runs, and each different WINDOW once."""
+    held, total, texts = [], 0, 0  # (doc_id, th, words) of texts, (hash, check, doc_id, start, place) of windows
+
+    def out() -> Iterator[pa.RecordBatch]:
+        ids, a, b, counts = (np.concatenate(c) for c in zip(*(x[0] for x in held)))
+        h, check, doc, start, at = (np.concatenate(c) for c in zip(*(x[1] for x in held)))
+        # The flush is named by what is in it: a task that runs again with its rows in another order names other flushes.
+        name = xxhash.xxh64(np.concatenate([ids, a, b]).tobytes(), seed=TaskContext.get().partitionId())
+        flush = name.intdigest() - (1 << 63)
+        yield exchange.rows([(flush % places, HEADER, flush, len(ids), exchange.packed([ids, a, b, np.cumsum(counts) - counts]))])
+        if not len(h):
+            return
+        order = np.argsort(h)
+        begin = exchange.groups(h[order])
+        size = np.diff(np.append(begin, len(h)))
+        first = np.minimum.reduceat(order, begin)
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(begin)), size)
+        later = np.where(np.arange(len(h)) == first[group], len(h), np.arange(len(h)))
+        second = np.minimum.reduceat(later[order], begin)
+        source = np.where(later < len(h), first[group], second[group])
+        twin = np.flatnonzero(source < len(h))
+        source = source[twin]
+        where, sizes = _runs(at[twin].astype(np.int64), doc[source], start[source].astype(np.int64))
+        if len(where):
+            yield exchange.rows([(flush % places, LOCAL, flush, len(where), exchange.packed([at[twin][where], sizes.astype(np.uint32), doc[source][where], start[source][where]]))])
+        yield from exchange.dealt(iter([(WINDOW, [c[first] for c in (h, check, doc, start, at)])]), places, flush)
+
+    for batch in slices(batches):
         w = words(batch.column(2))
         start, size, anchor = blocks(w.hashes, w.first, window)
-        hit = in_bitmap(full, anchor, bits)
+        hit = exchange.in_bitmap(sent.value, anchor)
         start, size, anchor = start[hit], size[hit], anchor[hit]
-        if not len(start):
-            continue
-        text = np.searchsorted(w.first, start, side="right") - 1
-        own = grams(w.hashes, window, 77)
         ends = np.cumsum(size)
-        index = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(start, size)
-        hashes = own[index]
-        total = np.add.reduceat(mix(hashes + np.uint64(1)) * (np.uint64(2) * (np.arange(len(hashes), dtype=np.uint64) - np.repeat(ends - size, size).astype(np.uint64)) + np.uint64(1)), ends - size)
-        order = np.lexsort((start, size, total, anchor))
-        a, t, s = anchor[order], total[order], size[order]
-        again = np.zeros(len(order), bool)
-        again[1:] = (a[1:] == a[:-1]) & (t[1:] == t[:-1]) & (s[1:] == s[:-1])
-        settled = np.zeros(len(order), bool)
-        settled[order[again]] = True
-        local = np.zeros(len(order), bool)
-        local[order[:-1][again[1:]]] = True
-        ids, ths = batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text))
-        spread = mix((text.astype(np.uint64) << np.uint64(32)) ^ start.astype(np.uint64) ^ anchor)
-        deal = np.where(settled, spread, anchor).view(np.int64)
-        sizes = np.where(settled, 0, size)
-        kept = hashes[np.repeat(~settled, size)]
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), kept.view(np.int64), mask=pa.array(settled))
-        # Of settled rows the source is the first equal block of the batch.
-        first_of = np.arange(len(order))
-        group = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-        first_of[order] = order[group]
-        src = pa.array(np.where(settled, first_of, -1))
-        src = pc_null(src)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(deal), pa.array(anchor.view(np.int64)), ids, ths, pa.array((start - w.first[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(local), lists, ids.take(src), pa.array((start - w.first[text]).astype(np.int32)).take(src)],
-            ["deal", "anchor", "doc_id", "th", "start", "size", "local", "hashes", "src_doc", "src_start"],
-        )
-
-
-def pc_null(index: pa.Array) -> pa.Array:
-    """Indices in which -1 is null."""
-    x = index.to_numpy(zero_copy_only=False)
-    return pa.array(x, mask=x < 0)
-
-
-BLOCK = "deal long, anchor long, doc_id long, th int, start int, size int, local boolean, hashes array<long>, src_doc long, src_start int"
-FOUND = "doc_id long, th int, start int, size int, found array<boolean>, src_doc long, src_start int"
-
-
-def _compared(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Over blocks sorted by (deal, anchor): which of a block's windows start elsewhere too.  Held: whole meetings of about ``most`` windows."""
-    held: list[pa.Table] = []
-    windows = 0
-
-    def settle(table: pa.Table) -> pa.RecordBatch | None:
-        table = table.combine_chunks()
-        if not table.num_rows:
-            return None
-        batch = table.to_batches()[0]
-        col = lambda n: batch.column(batch.schema.get_field_index(n))
-        size = col("size").to_numpy(zero_copy_only=False).astype(np.int64)
-        lists = col("hashes")
-        settled = lists.is_null().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size)
-        found = np.ones(int(ends[-1]), bool)
-        src_doc, src_start = col("src_doc"), col("src_start")
-        open_ = np.flatnonzero(~settled)
-        if len(open_):
-            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            n = size[open_]
-            row = np.repeat(open_, n)
-            anchor = col("anchor").to_numpy(zero_copy_only=False).view(np.uint64)[row]
-            local = col("local").to_numpy(zero_copy_only=False)[row]
-            order = np.lexsort((np.arange(len(h)), h, anchor))
-            a, x = anchor[order], h[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (a[1:] != a[:-1]) | (x[1:] != x[:-1])
-            group = np.cumsum(new) - 1
-            many = np.bincount(group) > 1
-            seen = np.zeros(len(order), bool)
-            seen[order] = many[group]
-            # A window's source is the first equal window, or for that one the second; a block's, that of its first window that has one.
-            begin = np.flatnonzero(new)
-            head = order[begin][group]
-            second = order[np.minimum(begin + 1, len(order) - 1)][group]
-            source = np.empty(len(order), np.int64)
-            source[order] = np.where(head == order, np.where(many[group], second, -1), head)
-            inner = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            where = np.full(batch.num_rows, -1, np.int64)
-            offset = np.zeros(batch.num_rows, np.int64)
-            firsts = np.minimum.reduceat(np.where(source >= 0, np.arange(len(h)), len(h)), np.cumsum(n) - n)
-            has = firsts < len(h)
-            own = firsts[has]
-            where[open_[has]] = row[source[own]]
-            offset[open_[has]] = inner[source[own]] - inner[own]
-            flat = np.repeat(ends - size, size)[np.repeat(~settled, size)] + inner
-            found[flat] = seen | local
-            own_doc = col("doc_id").take(pc_null(pa.array(where)))
-            own_start = col("start").take(pc_null(pa.array(where)))
-            mask = pa.array(settled)
-            src_doc = pc.if_else(mask, src_doc, own_doc)
-            src_start = pc.if_else(mask, src_start, pc.add(own_start, pa.array(offset.astype(np.int32))))
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(found))
-        any_ = np.logical_or.reduceat(found, ends - size)
-        out = pa.RecordBatch.from_arrays([col("doc_id"), col("th"), col("start"), col("size"), lists, src_doc, src_start], ["doc_id", "th", "start", "size", "found", "src_doc", "src_start"])
-        return out.filter(pa.array(any_))
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(pa.Table.from_batches([batch]))
-        windows += pc.sum(batch.column(batch.schema.get_field_index("size"))).as_py()
-        if windows < most:
-            continue
-        table = pa.concat_tables(held)
-        deal = table.column("deal").to_numpy()
-        cut = int(np.searchsorted(deal, deal[-1], side="left"))  # the last meeting may go on
-        if cut and (out := settle(table.slice(0, cut))):
-            yield out
-        held = [table.slice(cut)]
-        windows = pc.sum(held[0].column("size")).as_py() or 0 if cut else windows
-        most = max(most, 2 * windows)
-    if held and (out := settle(pa.concat_tables(held))):
-        yield out
-
-
-def factors(found: list[tuple[int, int, list[bool], int | None, int | None]], window: int) -> list[tuple[int, int, int | None, int | None]]:
-    """The greedy parse of a document: (start, end, source document, source start) in words, from its blocks by start.
-
-    A factor grows while the next window is found too; where none is, it ends.  Its source is that of its first block.
-    """
-    out: list[tuple[int, int, int | None, int | None]] = []
-    next_start = None
-    for start, size, flags, src_doc, src_start in sorted(found, key=lambda x: x[0]):
-        for i in range(size):
-            if not flags[i]:
-                next_start = None
-            elif next_start == start + i:
-                out[-1] = (out[-1][0], start + i + window, *out[-1][2:])
-                next_start += 1
+        index = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)
+        h = grams(w.hashes, window, 77)[index] if len(index) else np.zeros(0, np.uint64)
+        text = np.searchsorted(w.first, index, side="right") - 1
+        ids, th = batch.column(0).fill_null(NONE).to_numpy(zero_copy_only=False), batch.column(1)
+        check = (mix(h + np.repeat(anchor, size)) >> np.uint64(32)).astype(np.uint32)
+        windows = (h, check, ids[text], (index - w.first[text]).astype(np.uint32), (index + total).astype(np.uint32))
+        held.append(((ids, th.field(0).to_numpy(), th.field(1).to_numpy(), w.counts), windows))
+        total += len(w.hashes)
+        texts += batch.num_rows
+        if sum(len(x[1][0]) for x in held) > WINDOWS or texts > TEXTS or total > 1 << 31:
+            yield from out()
+            held, total, texts = [], 0, 0
+    if texts:
+        yield from out()
+
+
+def _answered(place: int, rows: Iterator[exchange.Row]) -> Iterator[pa.RecordBatch]:
+    """To each flush the references of the windows that it asked about and that others have too; HEADER and LOCAL rows pass."""
+    flushes, sizes, parts = [], [], []
+    for kind, flush, n, blob in rows:
+        if kind == WINDOW:
+            flushes.append(flush)
+            sizes.append(n)
+            parts.append(exchange.unpacked(blob, n, KINDS[WINDOW]))
+        else:
+            yield exchange.rows([(0, kind, flush, n, blob.to_pybytes())])
+    if not parts:
+        return
+    h, check, doc, start, at = (np.concatenate(c) for c in zip(*parts))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(h)
+    many = np.zeros(len(h), bool)
+    same = h[order][1:] == h[order][:-1]
+    many[order[1:][same]] = True
+    many[order[:-1][same]] = True
+    h, check, doc, start, at, row = (c[many] for c in (h, check, doc, start, at, row))
+    order = np.lexsort((start, doc, check, h))
+    h, check, doc, start, at, row = (c[order] for c in (h, check, doc, start, at, row))
+    begin = exchange.groups(h, check)
+    size = np.diff(np.append(begin, len(h)))
+    source = np.repeat(begin, size)
+    source[begin] = begin + (size > 1)
+    found = np.flatnonzero(np.repeat(size > 1, size))
+    found = found[np.argsort(row[found], kind="stable")]
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(row[found], minlength=len(sizes)))])
+    for i, flush in enumerate(flushes):
+        mine = found[cuts[i] : cuts[i + 1]]
+        if len(mine):
+            yield exchange.rows([(0, REPLY, flush, len(mine), exchange.packed([at[mine], doc[source[mine]], start[source[mine]]]))])
+
+
+FACTORS = "array<struct<start:int,end:int,src_doc:bigint,src_start:int>>"
+
+
+def _parsed(window: int):
+    """The factors of the texts of a flush that have any, from its LOCAL runs and all replies."""
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("src_doc", pa.int64()), ("src_start", pa.int32())])
+
+    def settle(flush: int, rows: Iterator[exchange.Row]) -> Iterator[pa.RecordBatch]:
+        of, _, n, blob = next(rows)
+        if of != HEADER:
+            raise RuntimeError("replies to an unknown flush: a task that ran again gave its rows in another order")
+        ids, a, b, before = exchange.unpacked(blob, n, KINDS[HEADER])
+        at, doc, start = [], [], []
+        for of, _, n, blob in rows:
+            if of == LOCAL:
+                first, size, d, s = exchange.unpacked(blob, n, KINDS[LOCAL])
+                inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                at.append(np.repeat(first.astype(np.int64), size) + inner)
+                doc.append(np.repeat(d, size))
+                start.append(np.repeat(s.astype(np.int64), size) + inner)
             else:
-                out.append((start + i, start + i + window, src_doc, None if src_start is None else src_start + i))
-                next_start = start + i + 1
-    return out
-
-
-SPANS = "array<struct<start:int,end:int,src_doc:long,src_start:int>>"
-
-
-def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 1 << 27) -> DataFrame:
-    """(doc_id, th, text, found): every row, with its blocks that recur (null where none does)."""
+                x, d, s = exchange.unpacked(blob, n, KINDS[REPLY])
+                at.append(x.astype(np.int64))
+                doc.append(d)
+                start.append(s.astype(np.int64))
+        if not at:
+            return
+        at, doc, start = (np.concatenate(c) for c in (at, doc, start))
+        order = np.argsort(at, kind="stable")  # of a window found here and elsewhere, what is here comes first
+        begin = order[exchange.groups(at[order])]
+        at, doc, start = at[begin], doc[begin], start[begin]
+        where, size = _runs(at, doc, start)
+        at, doc, start = at[where], doc[where], start[where]
+        text = np.searchsorted(before, at, side="right") - 1
+        some = exchange.groups(text)
+        own = (at - before[text]).astype(np.int32)
+        values = [pa.array(own), pa.array(own + size.astype(np.int32) + np.int32(window - 1)), pa.array(doc, mask=doc == NONE), pa.array(start.astype(np.int32))]
+        lists = pa.ListArray.from_arrays(np.append(some, len(text)).astype(np.int32), pa.StructArray.from_arrays(values, fields=list(kind)))
+        mine = text[some]
+        th = pa.StructArray.from_arrays([pa.array(a[mine]), pa.array(b[mine])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[mine], mask=ids[mine] == NONE), th, lists], ["doc_id", "th", "factors"])
+
+    return settle
+
+
+def factored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 1 << 27) -> DataFrame:
+    """(doc_id, th, text, factors): every row, with its factors by start (null where it has none), in words.
+
+    A factor's words are those from src_start of src_doc on.  One that starts before the last one's end is a copy across a
+    boundary.  Rows that share id and text have the same factors; where an id is repeated or null, src_doc is that id.
+    """
     if window < 2:
         raise ValueError("a window has two words at least")
     rows = keyed(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(recurring(rows, window, filter_bits))
-    dealt = rows.mapInArrow(lambda b: _blocks(b, window, filter_bits, sent), BLOCK)
-    met = dealt.repartition("deal").sortWithinPartitions("deal", "anchor", "doc_id", "start")
-    found = met.mapInArrow(_compared, FOUND)
-    by_doc = found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "found", "src_doc", "src_start")).alias("found"))
-    return same_row(rows, by_doc, "left")
+    spark = docs.sparkSession
+    sent, places = spark.sparkContext.broadcast(recurring(rows, window, filter_bits)), exchange.places_for(spark, 0)
+    asked = rows.mapInArrow(lambda b: _asking(b, window, sent, places), exchange.ROWS)
+    replies = exchange.met(asked, places, _answered)
+    parsed = written(exchange.met(replies, places, _parsed(window), f"doc_id long, th {TH}, factors {FACTORS}", by="flush"), "factors")
+    discard()
+    return same_row(rows, parsed.dropDuplicates(["doc_id", "th"]), "left")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, filter_bits: int = 1 << 27) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, factors) for every row: kept is the text's words that stay, joined by one space.
+    """(doc_id, n_words, n_removed, kept, factors, n_spans) for every row: kept is the text's words that stay, joined by one space.
 
     A word goes if a window of ``window`` words over it has the same words as a window that starts anywhere else,
     in the same text or another.  Windows are judged on the input.  Rows that share id and text are different rows
-    with equal windows.  Null and empty texts have no words.
+    with equal windows.  Null and empty texts have no words, very long ones count whole; an empty table stays empty.
+    n_spans counts the runs of neighbouring windows that recur, whatever their sources.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = {n: [] for n in ("n_words", "n_removed", "kept", "factors")}
-            for text, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            out = {n: [] for n in ("n_words", "n_removed", "kept", "n_spans")}
+            for text, parse in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 w = text.encode().split()
-                parse = factors([(f["start"], f["size"], f["found"], f["src_doc"], f["src_start"]) for f in _once(found or [])], window)
-                stay, at = [], 0
-                for a, b, _, _ in parse:
-                    stay += w[at:a]
-                    at = max(at, b)
+                stay, at, spans, next_start = [], 0, 0, None
+                for f in parse or []:
+                    stay += w[at : f["start"]]
+                    at = max(at, f["end"])
+                    spans += f["start"] != next_start
+                    next_start = f["end"] - window + 1
                 stay += w[at:]
                 out["n_words"].append(len(w))
                 out["n_removed"].append(len(w) - len(stay))
                 out["kept"].append(b" ".join(stay).decode())
-                out["factors"].append([{"start": a, "end": b, "src_doc": d, "src_start": s} for a, b, d, s in parse])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("src_doc", pa.int64()), ("src_start", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept"], pa.string()), pa.array(out["factors"], kind)], ["doc_id", "n_words", "n_removed", "kept", "factors"])
-
-    spans = duplicate_spans(docs, id_col, text_col, window, filter_bits)
-    return spans.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, factors {SPANS}")
-
+                out["n_spans"].append(spans)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            columns = [pa.array(v, k) for v, k in zip(out.values(), kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[:3], batch.column(3), columns[3]], ["doc_id", "n_words", "n_removed", "kept", "factors", "n_spans"])
 
-def _once(found: list[dict]) -> list[dict]:
-    """One of the blocks that rows of one id and one text have each sent."""
-    seen: dict[int, dict] = {}
-    for f in found:
-        have = seen.get(f["start"])
-        seen[f["start"]] = f if have is None else have | {"found": [a or b for a, b in zip(have["found"], f["found"])]}
-    return list(seen.values())
+    parsed = factored(docs, id_col, text_col, window, filter_bits)
+    out = parsed.mapInArrow(run, f"doc_id long, n_words long, n_removed long, kept string, factors {FACTORS}, n_spans long")
+    return out.withColumn("factors", F.coalesce("factors", F.array().cast(FACTORS)))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, n_factors) for every row."""
-    return removed(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    """(doc_id, n_words, n_removed, kept_sha256, n_spans) for every row: nulls, repeats and long texts as ``removed`` takes them."""
+    return removed(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")

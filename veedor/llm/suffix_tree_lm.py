@@ -123,17 +123,6 @@ def runs(hashes: np.ndarray, begins: np.ndarray, most: int) -> list[tuple[np.nda
     return out
 
 
-def groups(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Where each group of equal neighbours begins."""
-    if not len(sorted_columns[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(sorted_columns[0]), bool)
-    new[0] = True
-    for c in sorted_columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
 def tally_runs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[exchange.Part]:
     """(RUN, [s, p, n]): how often each run (hash, p, s) occurs, summed over a task, given out whenever more than HELD are held."""
     held, size = [], 0
@@ -141,7 +130,7 @@ def tally_runs(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> It
     def merged():
         key, p, s, n = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(key)
-        begin = groups(key[order])
+        begin = exchange.groups(key[order])
         at = order[begin]
         return key[at], p[at], s[at], np.add.reduceat(n[order], begin)
 
@@ -174,7 +163,7 @@ def counted(learn: DataFrame, places: int) -> tuple[int, int, DataFrame]:
     def settle(place, held):
         h, n = exchange.gathered(held, {RUN: ["u8", "i8"]})[RUN]
         order = np.argsort(h)
-        begin = groups(h[order])
+        begin = exchange.groups(h[order])
         h, n = h[order][begin], np.add.reduceat(n[order], begin)
         blob = exchange.packed([h, n, np.zeros(len(h)), np.zeros(len(h))])
         yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([PRIOR], pa.int32()), pa.array([0]), pa.array([len(h)], pa.int32()), pa.array([blob])], ["n_tokens", *exchange.NAMES[1:]])
@@ -217,7 +206,7 @@ def grown(learn: DataFrame, max_context: int, least_count: int, least_context: f
             (s, p, m), (h, lp) = exchange.gathered(held, {RUN: ["u8", "u8", "i8"], PRIOR: ["u8", "f8"]}).values()
             key = mix(s * _RUN + p)
             order = np.argsort(key)
-            begin = groups(key[order])
+            begin = exchange.groups(key[order])
             if not len(begin):
                 return
             m = np.add.reduceat(m[order], begin)
@@ -245,7 +234,7 @@ def grown(learn: DataFrame, max_context: int, least_count: int, least_context: f
             order = np.flatnonzero(ok)[np.lexsort((s[ok], p[ok]))]
             p, s, m, suffix, at = p[order], s[order], m[order], suffix[order], at[order]
             if len(p):
-                begin = groups(p)
+                begin = exchange.groups(p)
                 size, whole, x = np.diff(np.append(begin, len(p))), total[at[begin]].astype(float), m.astype(float)
                 each = np.repeat(whole, size)
                 kept, mass = np.add.reduceat(x, begin), np.add.reduceat(np.exp(suffix), begin)
