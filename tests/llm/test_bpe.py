@@ -21,11 +21,22 @@ def test_encode_matches_library_for_any_text():
     run()
 
 
-@pytest.mark.parametrize("chunk,overlap", [(65_536, 1_024), (64, 16), (20, 5), (7, 3)])
-def test_chunks_do_not_change_ids(spark, chunk, overlap):
+def test_chunks_in_a_task_do_not_change_ids():
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(st.sampled_from(["word", " ", "  ", "\n", "'s", "12", "é", "東", "?!", "\u00a0", "x" * 9]), max_size=40).map("".join), st.integers(1, 6), st.integers(0, 9))
+    def run(text, overlap, more):
+        assert RANKS.encode_chunked(text, 2 * overlap + more, overlap).tolist() == RANKS.encoding.encode_ordinary(text)
+
+    run()
+    text = "Some words, and more of them. " * 2_000
+    assert RANKS.encode_chunked(text, 8_192, 256).tolist() == RANKS.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("chunk,overlap,spread", [(8_192, 256, 65_536), (64, 16, 0), (20, 5, 100), (7, 3, 0), (64, 16, 300)])
+def test_chunks_do_not_change_ids(spark, chunk, overlap, spread):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null id " * 20, "x"), (3, "a" * 300, "x"), (3, "other text of one id " * 9, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.decoded), list(r.ids)) for r in bpe.decode(bpe.encode(docs, RANKS, chunk=chunk, overlap=overlap), RANKS).collect())
+    got = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.decoded), list(r.ids)) for r in bpe.decode(bpe.encode(docs, RANKS, chunk=chunk, overlap=overlap, spread=spread), RANKS).collect())
     want = sorted((i is None, i or 0, (t or "").encode(), RANKS.encoding.encode_ordinary(t or "")) for i, t, _ in rows)
     assert got == want
 
