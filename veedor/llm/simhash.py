@@ -10,6 +10,7 @@ no link is lost, and nothing grows with the square of a group of copies.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,23 +24,44 @@ from .common import FOLD, TH, discard, keyed, raw_text, slices, text_key, writte
 
 #: Most fingerprints that one task compares with each other; also the most that a second dealing can bring together.
 LIMIT = 8_192
+GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
-    """SimHash of a text whose A-Z are lower-cased: the majority of the bits of its shingles' XXH64; 0 without a word."""
-    words = text.split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - size + 1)
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    spans = list(zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist()))
-    for at in range(0, n, 65_536):
-        part = spans[at : at + 65_536]
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in part), np.uint64, len(part))
-        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def fingerprint(text: bytes, size: int = 3, seed: int = 42, piece: int = 1 << 20) -> int:
+    """SimHash of a text whose A-Z are lower-cased: the majority of the bits of its shingles' XXH64; 0 without a word.
+
+    A long text is worked on in pieces of about ``piece`` bytes, each with the last words of the one before.
+    """
+    total, n, carry, at = np.zeros(64, np.int64), 0, [], 0
+    digest = xxhash.xxh64_intdigest
+
+    def add(words: list[bytes], runs: int) -> None:
+        joined = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        spans = zip(starts[:runs].tolist(), ends[len(words) - runs :].tolist())
+        h = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, runs)
+        for low in range(0, runs, 65_536):
+            bits = np.unpackbits(h[low : low + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[:] += bits.sum(axis=0, dtype=np.int64)
+
+    while at < len(text):
+        end = GAP.search(text, min(at + piece, len(text)))
+        end = end.end() if end else len(text)
+        words = carry + text[at:end].split()
+        at = end
+        runs = len(words) - size + 1
+        if runs > 0:
+            add(words, runs)
+            n += runs
+            carry = words[runs:]
+        else:
+            carry = words
+    if not n:
+        if not carry:
+            return 0
+        add(carry, 1)
+        n = 1
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
