@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, raw_text, slices
+from .common import keyed, least, raw_text, slices
 
 BLOCK, SAMPLE_BLOCK = 1_024, 2_048
 
@@ -85,13 +85,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("r", F.xxhash64("doc_id"))
     half = F.col("r").bitwiseAND(F.lit(1)) == 0
-    first = [known.where(half & (F.col("y") == y)).orderBy("r", "doc_id").limit(per_class).withColumn("use", F.lit(y)) for y in (0, 1)]
-    second = known.where(~half).orderBy("r", "doc_id").limit(calibration).withColumn("use", F.lit(2))
-    chosen = first[0].unionByName(first[1]).unionByName(second).drop("r")  # at most 2 * per_class + calibration rows of two numbers
+    first = [least(known.where(half & (F.col("y") == y)).withColumn("s", F.xxhash64(F.lit(y), "doc_id")), "s", per_class, "doc_id").drop("s").withColumn("use", F.lit(y)) for y in (0, 1)]
+    second = least(known.where(~half).withColumn("s", F.xxhash64(F.lit(2), "doc_id")), "s", calibration, "doc_id").drop("s").withColumn("use", F.lit(2))
+    chosen = first[0].unionByName(first[1]).unionByName(second)  # at most 2 * per_class + calibration rows of two numbers
     rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     held = {0: 0, 1: 0}
-    for r in rows.where("use < 2").select("use", "text").toLocalIterator():
+    # Sorted, so that the dictionaries do not depend on how the table lies in files.
+    for r in rows.where("use < 2").orderBy("use", "r", "doc_id", "th").select("use", "text").toLocalIterator():
         t = r.text.encode()
         if held[r.use] + len(t) <= sample_bytes:
             texts[r.use].append(t)
@@ -110,6 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(4))], ["y", *"abcd"])
 
     got = rows.where("use = 2").select("y", "text").mapInArrow(measure, "y int, a double, b double, c double, d double").toPandas()
+    got = got.sort_values(["y", *"abcd"])
     x, y = got[list("abcd")].to_numpy(), got["y"].to_numpy(float)
     if not len(y):
         x, y = np.array([[1.0, 0, 0, 0]] * 2), np.array([0.0, 1.0])
@@ -117,7 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; null and empty texts get the calibration's value for no difference."""
+    """(doc_id, held_out, score, predicted) for every row; null and empty texts get the calibration's value for no difference.
+
+    Rows that repeat each get the same score; very long texts count whole; an empty table gives none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
