@@ -24,7 +24,8 @@ def plain(url):
 
 def test_rules_and_parts(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[6], "h")], "page_id long, url string, verdict string")
-    model = url_filter.fit(url_filter.labelled_by_rules(pages, RULES))
+    known = [(u, (rule := plain(u)[2]).verdict == "block") for u in URLS if plain(u)[2]]
+    model = url_filter.fit(spark.createDataFrame(known, "url string, blocked boolean"))
     got = {r.page_id: r for r in url_filter.judged(pages, RULES, model).collect()}
     assert len(got) == len(URLS) + 1
     for i, u in enumerate(URLS):
@@ -54,3 +55,22 @@ def test_without_labels():
         p = url_filter.train([("u", "h", "/")] * len(y), np.array(y)).block_probability([("http://x", "x", "")])
         assert len(p) == 1 and 0 < p[0] < 1
     assert url_filter.entropy("aabb") == 1.0 and url_filter.entropy("") == 0.0
+
+
+def test_labels_without_signal_block_nothing():
+    """Trees that do not help on held-out urls are not used, so urls are not blocked by noise."""
+    r = random.Random(5)
+    urls = [(f"http://h{i % 7}.net/{r.randrange(10**6)}", f"h{i % 7}.net", f"/{i}") for i in range(600)]
+    y = np.array([float(r.random() < 0.3) for _ in urls])
+    p = url_filter.train(urls, y).block_probability(urls)
+    assert p.max() < 0.5
+
+
+def test_a_bounded_sample_of_very_many_urls(spark):
+    """The sample is the urls with the least hashes, whatever files they lie in; very long urls are taken whole."""
+    rows = [(f"http://{'bad' if i % 3 == 0 else 'fine'}{i % 50}.net/{i}", i % 3 == 0) for i in range(3_000)] + [("http://long.net/" + "x" * 50_000, True), (None, True), ("http://fine1.net/1", None)]
+    docs = spark.createDataFrame(rows, "url string, blocked boolean")
+    a, b = (url_filter.fit(d, most=500) for d in (docs, docs.repartition(7)))
+    probe = [(u, *plain(u)[:2]) for u, _ in rows[:60]]
+    assert a.block_probability(probe).tolist() == b.block_probability(probe).tolist()
+    assert ((a.block_probability(probe) >= 0.5) == [y for _, y in rows[:60]]).mean() > 0.95

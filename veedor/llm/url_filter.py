@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, least
 
 #: A url's host and path.
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -147,26 +147,46 @@ def grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray
 
 
 def train(urls: list[tuple[str, str, str]], blocked: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, least: int = 5, ridge: float = 1.0, shrink: float = 20.0) -> Boosted:
-    """From (url, host, path) and whether each is blocked; with one label or none, the rate alone."""
-    n, ones = len(urls), float(np.sum(blocked))
+    """From (url, host, path) and whether each is blocked; the rate alone with one label or none, and where trees do not help on held-out urls."""
+    blocked = np.asarray(blocked, float)
+    n, ones = len(urls), float(blocked.sum())
     share = (ones + 0.5) / (n + 1)
-    bias = math.log(share / (1 - share))
+    plain = Boosted(math.log(share / (1 - share)), [], {}, share)
+    if not 0 < ones < n:
+        return plain
+    # Every third url (they come in the order of a hash) says how many trees help: none, where the features tell nothing.
+    test = np.arange(n) % 3 == 2
+    best, loss = 0, None
+    if test.any() and 0 < blocked[~test].sum() < (~test).sum():
+        learn = [u for u, t in zip(urls, test) if not t]
+        model = _boosted(learn, blocked[~test], trees, depth, rate, least, ridge, shrink)
+        x = np.array([lexical(*u, model.rates, model.rate) for u, t in zip(urls, test) if t], float)
+        y, score = blocked[test], np.full(int(test.sum()), model.bias)
+        for k in range(len(model.trees) + 1):
+            if k:
+                score = score + model.trees[k - 1].predict(x)
+            now = float(np.mean(np.logaddexp(0, score) - y * score))
+            if loss is None or now < loss - 1e-4:
+                best, loss = k, now
+    return _boosted(urls, blocked, best, depth, rate, least, ridge, shrink) if best else plain
+
+
+def _boosted(urls: list[tuple[str, str, str]], blocked: np.ndarray, trees: int, depth: int, rate: float, least: int, ridge: float, shrink: float) -> Boosted:
+    n, share = len(urls), (float(blocked.sum()) + 0.5) / (len(urls) + 1)
     seen, bad = Counter(), Counter()
     for (_, host, _), y in zip(urls, blocked):
         for s in suffixes(host):
             seen[s] += 1
             bad[s] += int(y)
     rates = {s: (bad[s] + shrink * share) / (c + shrink) for s, c in seen.items() if c >= 5}
-    model = Boosted(bias, [], rates, share)
-    if not 0 < ones < n:
-        return model
-    x, y = np.array([lexical(*u, rates, share) for u in urls], float), np.asarray(blocked, float)
+    model = Boosted(math.log(share / (1 - share)), [], rates, share)
+    x = np.array([lexical(*u, rates, share) for u in urls], float)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
-    score = np.full(n, bias)
+    score = np.full(n, model.bias)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-score))
-        tree = grow(x, bins, edges, p - y, p * (1 - p), depth, rate, least, ridge)
+        tree = grow(x, bins, edges, p - blocked, p * (1 - p), depth, rate, least, ridge)
         model.trees.append(tree)
         score += tree.predict(x)
     return model
@@ -184,14 +204,16 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", m
     """
     host, path = parts(F.col(url_col).cast("string"))
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"), F.col(label_col).cast("int").alias("y"))
-    rows = rows.groupBy("url", "host", "path").agg(F.max("y").alias("y")).orderBy(F.xxhash64("url"), "url").limit(most).collect()
+    rows = rows.groupBy("url", "host", "path").agg(F.max("y").alias("y")).withColumn("r", F.xxhash64("url"))
+    rows = least(rows, "r", most, "url").orderBy("r", "url").collect()
     return train([(r.url, r.host, r.path) for r in rows], np.array([r.y for r in rows], float), **options)
 
 
 def judged(pages: DataFrame, rules: list[Rule], model: Boosted, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block) for every row: the longest fitting rule's verdict, else the model's.
 
-    Null urls and urls without ``://`` have an empty host and path and go to the model.
+    Null urls and urls without ``://`` have an empty host and path and go to the model.  Of rules of one length the later wins;
+    repeated rows each get a row; a very long url counts whole; an empty table gives none.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -209,11 +231,3 @@ def judged(pages: DataFrame, rules: list[Rule], model: Boosted, id_col: str = "p
         "page_id", "host", "path", pick([r.text for r in rules]).alias("rule"),
         F.coalesce(pick([r.verdict for r in rules]), F.when(F.col("p_block") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "p_block",
     )
-
-
-def labelled_by_rules(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
-    """(url, blocked) of the urls that a rule fits: an allow list and a block list are labelled urls."""
-    host, path = parts(F.col(url_col).cast("string"))
-    found = fitting(host, path, rules)
-    rows = pages.select(F.col(url_col).alias("url"), found.alias("rule")).where("rule is not null")
-    return rows.select("url", F.element_at(F.array(*[F.lit(r.verdict == "block") for r in rules]), F.col("rule") + 1).alias("blocked"))
