@@ -60,6 +60,33 @@ def test_long_repetitive_text(text):
     assert repetition.longest_of(w, run).tolist() == [n - period, 0, n - period]
 
 
+def test_long_texts_take_the_lean_way_with_equal_results():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abc") for _ in range(400)), "", "z", "x " * 300, " ".join(f"w{r.randrange(60)}" for _ in range(900)), "a b c d e f g " * 40, "a b"]
+    w = words(pa.array(texts))
+    assert repetition.long_repeats(w).tolist() == repetition.repeats(w).tolist()
+
+
+def test_a_very_long_text_of_one_word_in_bounded_memory():
+    """3,000,000 equal words (6 MB) in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, pyarrow as pa
+from veedor.llm import repetition
+from veedor.llm.common import words
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+w = words(pa.array(["x " * 3_000_000]))
+run = repetition.repeats(w)
+assert repetition.longest_of(w, run).tolist() == [2_999_999] and repetition.covered(w, run, 8).tolist() == [3_000_000]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.strip()) < 600
+
+
 def test_passing_keeps_rows_and_columns(spark):
     clean = " ".join(f"word{i}" for i in range(40))
     docs = spark.createDataFrame([(1, clean, "x"), (2, "short", "x"), (3, "same words " * 60, None), (None, clean, "y")], "doc_id long, text string, kept string")

@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import _BASE, _BYTE, _INVERSE, TH, Words, keyed, powers, raw_text, slices, words
+from .common import TH, Words, keyed, raw_text, slices, span_hashes, words
 
+#: Words of a batch (one long text, as batches are small) from which memory counts more than time.
+LONG = 1 << 18
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -29,6 +31,8 @@ def repeats(w: Words) -> np.ndarray:
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
+    if n > LONG:
+        return long_repeats(w)
     text = np.repeat(np.arange(len(w.first) - 1), w.counts)
     end = np.repeat(w.first[1:], w.counts)
     order = np.lexsort((w.hashes, text))
@@ -73,6 +77,64 @@ def repeats(w: Words) -> np.ndarray:
     return out
 
 
+def long_repeats(w: Words) -> np.ndarray:
+    """As ``repeats``, for very long texts: two ranks of 32 bits at a time, and longest common prefixes from the finished suffix array by Kasai's pass."""
+    n = len(w.hashes)
+    text = np.repeat(np.arange(len(w.first) - 1, dtype=np.int32), w.counts)
+    end = w.first[1:].astype(np.int32)
+    _, word = np.unique(w.hashes, return_inverse=True)
+    word = word.astype(np.int32)
+    key = text.astype(np.int64) << 32 | word
+    suffix = np.argsort(key, kind="stable").astype(np.int32)
+    fresh = np.ones(n, bool)
+    fresh[1:] = key[suffix[1:]] != key[suffix[:-1]]
+    del key
+    at = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[suffix] = np.maximum.accumulate(np.where(fresh, at, 0))
+    del fresh
+    width, active = 1, np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1).astype(np.int32)
+    while len(active):
+        far = np.minimum(active + np.int32(width), n).astype(np.int32) if width < n else np.full(len(active), n, np.int32)
+        second = np.where(far < end[text[active]], rank[np.minimum(far, n - 1)], -1)
+        key = rank[active].astype(np.int64) << 32 | (second + 1)
+        del far, second
+        by = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[by]
+        new_first, new = np.ones(len(by), bool), np.ones(len(by), bool)
+        new_first[1:] = key[1:] >> 32 != key[:-1] >> 32
+        new[1:] = key[1:] != key[:-1]
+        first = (key >> 32).astype(np.int32)
+        del key
+        at = np.arange(len(by), dtype=np.int32)
+        group, part = np.maximum.accumulate(np.where(new_first, at, 0)), np.maximum.accumulate(np.where(new, at, 0))
+        mine = active[by]
+        suffix[first + at - group] = mine
+        rank[mine] = first + part - group
+        active = np.sort(mine[np.bincount(part, minlength=len(by))[part] > 1])
+        width *= 2
+    before = np.full(n, -1, np.int32)  # the suffix that stands before each
+    before[suffix[1:]] = suffix[:-1]
+    before[text[before] != text] = -1
+    del rank, suffix
+    ends, words_, far, out = memoryview(end[text]), memoryview(word), memoryview(before), np.zeros(n, np.int32)
+    run, k = memoryview(out), 0
+    for i in range(n):
+        j = far[i]
+        if j < 0:
+            k = 0
+            continue
+        most = ends[i] - max(i, j)
+        while k < most and words_[i + k] == words_[j + k]:
+            k += 1
+        run[i] = k
+        k = k - 1 if k else 0
+    longest = out.copy()
+    some = np.flatnonzero(before >= 0)
+    np.maximum.at(longest, before[some], out[some])
+    return longest.astype(np.int64)
+
+
 def covered(w: Words, run: np.ndarray, least: int) -> np.ndarray:
     """For each text, how many words lie in repeated runs of at least ``least`` words."""
     n = len(run)
@@ -107,9 +169,7 @@ def repeated_lines(raw: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray
     stops = np.where((stops > starts) & ends_break, stops - 1, stops)
     has = np.searchsorted(w.starts, stops) > np.searchsorted(w.starts, starts)
     starts, stops, text = starts[has], stops[has], text[has]
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * powers(_BASE, len(raw)), out=sums[1:])
-    h = (sums[stops] - sums[starts]) * powers(_INVERSE, len(raw))[starts]
+    h = span_hashes(raw, starts, stops)
     order = np.lexsort((stops - starts, h, text))
     t, x, k = text[order], h[order], (stops - starts)[order]
     again = (t[1:] == t[:-1]) & (x[1:] == x[:-1]) & (k[1:] == k[:-1])
