@@ -83,3 +83,11 @@ def test_the_mix_stage_keeps_small_and_hot_sources_whole(spark):
     data = [(i, "hot" if i < 2_000 else f"s{i % 3}" if i < 2_300 else "tiny", "x") for i in range(2_303)]
     docs = spark.createDataFrame(data, "doc_id long, source string, text string")
     assert sorted(map(tuple, corpus_pipeline.mix(spark, docs, "").collect())) == data
+
+
+def test_no_source_with_a_weight_is_left_out(spark):
+    data = [(i, f"s{i // 2}", "x") for i in range(4_000)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = mixing.mixed(docs, mixing.tempered(docs), block=2)
+    assert got.where("slot is null").count() == 0 and got.where("in_mix").count() > 3_900
+    assert mixing.served({"a": 1.0, "b": 0.0})[0] == {"a": 1000, "b": 0}

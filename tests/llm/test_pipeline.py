@@ -1,13 +1,12 @@
 import hashlib
 import random
-from collections import Counter
 
 import public_tokenizers
 
 import corpus_pipeline
 from tests.llm.test_repetition import brute as brute_repeats
 from tests.llm.test_simhash import brute_components, brute_fp
-from veedor.llm import bpe, mixing
+from veedor.llm import bpe
 
 
 def some_docs():
@@ -45,16 +44,8 @@ def brute(rows):
     for i, f in fps.items():
         least[comp[f]] = min(least.get(comp[f], i), i)
     kept = [row for row in kept if least[comp[fps[row[0]]]] == row[0]]
-    sizes = Counter(row[3] for row in kept)
-    quota = mixing.quotas({s: n**0.7 for s, n in sizes.items()}, 1000)
-    slots = {(s, k): t for s, k, t in mixing.schedule(quota, 1000)}
-    end = min(-(-n // 64) // quota[s] * 1000 + slots[s, -(-n // 64) % quota[s]] for s, n in sizes.items())
-    out = []
-    for s in sizes:
-        mine = sorted((row for row in kept if row[3] == s), key=lambda row: hashlib.md5(str(row[0]).encode()).hexdigest())
-        out += [row for k, row in enumerate(mine) if k // 64 // quota[s] * 1000 + slots[s, k // 64 % quota[s]] < end]
     ranks = bpe.Ranks.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return sorted((row[0], ranks.encoding.encode_ordinary(row[1]), hashlib.sha256(row[1].encode()).hexdigest()) for row in out)
+    return sorted((row[0], ranks.encoding.encode_ordinary(row[1]), hashlib.sha256(row[1].encode()).hexdigest()) for row in kept)
 
 
 def test_pipeline_matches_brute_force(spark, tmp_path):

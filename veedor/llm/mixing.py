@@ -21,6 +21,8 @@ from .common import written
 
 #: Most rows that a range of hashes has on average within all sources together.
 RANGE_ROWS = 20_000
+#: Most sources of a mix; the schedule has at least four slots for each.
+MOST_SOURCES = 100_000
 
 
 def quotas(weights: dict, period: int) -> dict:
@@ -57,7 +59,15 @@ def schedule(quota: dict, period: int) -> list[tuple[object, int, int]]:
 
 def tempered(docs: DataFrame, source_col: str = "source", power: float = 0.7) -> dict:
     """Target weights from the sources' sizes to a power below one, which raises small sources; a null source is one of its own."""
-    return {r[0]: float(r[1]) ** power for r in docs.groupBy(source_col).count().collect()}
+    return {s: float(n) ** power for s, n in sizes(docs, source_col).items()}
+
+
+def sizes(docs: DataFrame, source_col: str) -> dict:
+    """Rows of each source.  The schedule is worked out on the driver, so more than MOST_SOURCES are refused, not cut."""
+    rows = docs.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources: group them first")
+    return {r[0]: r[1] for r in rows}
 
 
 def key(id_col: str) -> Column:
@@ -81,10 +91,11 @@ def mixed(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: st
     """(doc_id, source, rank, block, slot, in_mix) for every row.
 
     ``slot`` orders the mix; in_mix holds for the slots before the first one whose source has run out, in which
-    every source is within one block of its weight.  Rows of a source without a slot (weight 0 or not named) have
-    a null slot and are not in the mix.  A null source is a source; repeated rows each have a rank.
+    every source is within one block of its weight.  Every source with a weight has a slot, as the period grows with the
+    sources.  Rows of a source of weight 0 or not named have a null slot and are not in the mix.  A null source is a
+    source; repeated rows each have a rank, ties go by id; texts are not looked at; an empty table gives no row.
     """
-    quota = quotas(weights, period)
+    quota, period = served(weights, period)
     placed = _placed(docs, quota, ranked(docs, id_col, source_col), source_col, block, period)
     end = mix_end(docs, quota, source_col, block, period)
     return placed.select("doc_id", "source", "rank", "block", "slot", F.coalesce(F.col("slot") < end, F.lit(False)).alias("in_mix"))
@@ -109,14 +120,14 @@ def _table(spark: SparkSession, docs: DataFrame, source_col: str, quota: dict, p
 
 def mix_end(docs: DataFrame, quota: dict, source_col: str, block: int, period: int) -> int:
     """The first slot whose block no row is in."""
-    sizes = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}  # one row a source
+    have = sizes(docs, source_col)
     slot_of = {(s, k): slot for s, k, slot in schedule(quota, period)}
-    blocks = {s: -(-sizes.get(s, 0) // block) for s, q in quota.items() if q}
+    blocks = {s: -(-have.get(s, 0) // block) for s, q in quota.items() if q}
     return min(n // quota[s] * period + slot_of[s, n % quota[s]] for s, n in blocks.items())
 
 
 def selected(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 64, period: int = 1_000) -> DataFrame:
-    """The rows of docs that are in the mix, all columns as they were.
+    """The rows of docs that are in the mix (see ``mixed``), all columns as they were; the others are those of ``mixed`` that are not in_mix.
 
     Each source's share of the mix is a prefix of its ranks, so its last row's key says which rows are in; one key a source travels, no text.
     """
@@ -134,7 +145,7 @@ def served(weights: dict, period: int = 1_000) -> tuple[dict, int]:
     quota = quotas(weights, period)
     large = [(-q, i, s) for i, (s, q) in enumerate(quota.items()) if q > 1]
     heapq.heapify(large)
-    for s in [s for s, q in quota.items() if not q]:
+    for s in [s for s, q in quota.items() if not q and weights[s]]:
         q, i, most = heapq.heappop(large)
         quota[s], quota[most] = 1, -q - 1
         if quota[most] > 1:
