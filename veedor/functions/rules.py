@@ -68,3 +68,195 @@ PAGE_RULES = [
 # Accusatory stems that outputs must not have, and neutral words for some.
 BANNED = ["corrupto", "corrupcion comprobada", "corrupcion", "fraude", "fraudulento", "ilegal", "ilegalidad", "delito", "delincuencia", "culpable", "colusion comprobada", "direccionamiento comprobado", "testaferro", "criminal", "criminalidad", "ladron", "ladrones", "complice", "mafioso", "delincuente", "robo"]
 NEUTRAL = {"corrupto": "que presenta senales de riesgo", "fraude": "patron atipico", "fraudulento": "irregular", "ilegal": "que requiere verificacion", "culpable": "vinculado a los hechos", "delincuente": "persona sujeta a investigacion", "robo": "apropiacion indebida"}
+
+# Retrieval flags with severity and base confidence.
+FLAGS = {
+    "LOW_TRACEABILITY_OUTPUT": ("medium", 0.55),
+    "OBSOLETE_PHYSICAL_FORMAT": ("medium", 0.60),
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": ("medium", 0.55),
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": ("high", 0.65),
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": ("medium", 0.50),
+    "SUBJECTIVE_EVALUATION_CRITERIA": ("high", 0.60),
+    "UNREALISTIC_DEADLINE": ("medium", 0.55),
+    "OVER_SPECIFIED_EXPERIENCE": ("high", 0.65),
+}
+
+# What a retrieved text must have for a flag, in this order; case does not count.
+EVIDENCE = {
+    "LOW_TRACEABILITY_OUTPUT": (
+        r"entregable\s+(?:en\s+)?(?:sin\s+)?(?:formato\s+)?(?:estructurado|digital|maquina)",
+        r"no\s+se\s+exige\s+(?:ningun\s+)?(?:formato\s+)?digital",
+        r"sin\s+(?:dataset|base\s+de\s+datos|formato\s+estructurado)",
+        r"trazabilidad",
+    ),
+    "OBSOLETE_PHYSICAL_FORMAT": (
+        r"exclusivamente\s+fisico",
+        r"formato\s+A3",
+        r"presentar\s+(?:en\s+)?(?:formato\s+)?(?:impreso|fisico)",
+        r"ejemplar(?:es)?\s+original(?:es)?",
+        r"medio\s+fisico",
+    ),
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": (
+        r"copias?\s+legalizada",
+        r"notarial",
+        r"fedatead",
+        r"foliad",
+        r"visado",
+        r"original\s+y\s+copia",
+        r"tres\s+juegos",
+        r"sobre\s+cerrado",
+        r"entrega\s+f[íi]sica\s+obligatoria",
+        r"documentos?\s+(?:f[íi]sicos?|adicionales)\s+(?:exigidos?|solicitados?|obligatorios?)",
+        r"lista\s+extensa\s+de\s+documentos",
+        r"presentar\s+(?:los\s+)?(?:siguientes\s+)?\d+\s+(?:documentos?|copias?|anexos?|formatos?|formularios?)",
+        r"no\s+menor\s+a\s+(?:\d+\s+)?(?:documentos?|copias?|p[áa]ginas?)",
+        r"firmas?\s+legalizadas?\s+ante\s+notari",
+    ),
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": (
+        r"marca\s+(?:unic|exclu)",
+        r"modelo\s+(?:unic|especif|exclu)",
+        r"equipo\s+(?:de\s+)?(?:marca|modelo)\s+(?:unic|exclu)",
+        r"proveedor\s+(?:unic|propiet|exclu)",
+    ),
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": (
+        r"certificacion(?:es)?\s+(?:de\s+)?(?:iso|nf|une)",
+        r"acreditacion(?:es)?\s+(?:de\s+)?(?:iso|nf|une)",
+        r"homologacion(?:es)?\s+(?:de\s+)?(?:iso|nf|une)",
+        r"iso\s+\d{4}",
+    ),
+    "SUBJECTIVE_EVALUATION_CRITERIA": (
+        r"juicio\s+del\s+comite",
+        r"criterios?\s+subjetivos?",
+        r"discrecional(?:es)?",
+        r"afinidad\s+(?:institucional|del\s+comite)",
+    ),
+    "UNREALISTIC_DEADLINE": (
+        r"plazo\s+(?:muy\s+)?(?:corto|apretado)",
+        r"cronograma\s+(?:muy\s+)?ajustado",
+        r"entrega\s+en\s+(?:\d+\s+)?dias\s+(?:habiles)?",
+    ),
+    "OVER_SPECIFIED_EXPERIENCE": (
+        r"experiencia\s+minima\s+de\s+\d+\s+an",
+        r"experiencia\s+minima\s+de\s+\w+\s+an",
+        r"experiencia\s+especifica\s+(?:de\s+)?\d+\s+an",
+        r"experiencia\s+especifica\s+restrictiva",
+        r"experiencia\s+especifica\s+del\s+mismo\s+sector",
+        r"monto\s+acumulado\s+minimo",
+        r"contratos?\s+(?:del|mismo)\s+sector\s+(?:con\s+)?(?:experiencia\s+)?(?:previa\s+)?(?:minima\s+)?(?:de\s+)?\d+",
+        r"experiencia\s+espec[ií]fica\s+(?:establecida|requerida|exigida|definida)\s+en\s+(?:las\s+bases|el\s+procedimiento)",
+        r"(?:contratos?|servicios?|experiencia)\s+(?:iguales?\s+o\s+)?similares\s+al\s+objeto",
+    ),
+}
+
+# What makes a quote in a neutral section a real signal; flags that are not named are never weakened.
+ANCHORS = {
+    "OVER_SPECIFIED_EXPERIENCE": (
+        r"\b\d+\s*(?:\([^)]{1,24}\))?\s*(?:an[oó]s?|a[nñ]os?|anios?)\b",
+        r"\(\s*\d+\s*\)\s*(?:an[oó]s?|a[nñ]os?|anios?)\b",
+        r"\b(?:an[oó]s?|a[nñ]os?|anios?)\s*\(\s*\d+\s*\)",
+        r"monto\s+(?:acumulado|m[ií]nimo|no\s+menor)",
+        r"S/\s*[\d.,]+",
+        r"objeto\s+similar(?:es)?",
+        r"similar(?:es)?\s+al\s+objeto",
+        r"mismo\s+sector",
+        r"restrictiv",
+        r"sin\s+equivalente",
+    ),
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": (
+        r"\b\d+\s+(?:documentos?|copias?|p[áa]ginas?|anexos?|formularios?)\b",
+        r"tres\s+juegos",
+        r"sobre\s+cerrado",
+        r"original\s+y\s+copia",
+        r"obligatori",
+    ),
+}
+NEUTRAL_CLUSTERS = ("Otros", "Confidencialidad y propiedad", "")
+
+# Queries of each flag, in this order.
+PLANNER_QUERIES = {
+    "LOW_TRACEABILITY_OUTPUT": ("entregable digital dataset csv base de datos estructurada", "informe formato electronico trazabilidad", "sin base de datos sin archivo editable", "entregable no estructurado"),
+    "OBSOLETE_PHYSICAL_FORMAT": ("informe impreso formato fisico ejemplar original A3", "entrega fisica papel sin medio digital", "exclusivamente fisico medio fisico"),
+    "SUBJECTIVE_EVALUATION_CRITERIA": ("a juicio del comite a criterio del comite", "a satisfaccion de la entidad afinidad institucional", "criterios subjetivos calidad general rigor tecnico", "evaluacion discrecional sin rubrica medible"),
+    "OVER_SPECIFIED_EXPERIENCE": ("experiencia minima de anios monto acumulado", "contratos del mismo sector experiencia especifica", "experiencia previa restrictiva proveedor unico"),
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": ("marca unica modelo especifico proveedor propietario", "caracteristicas exclusivas sin equivalente", "marca referencial modelo exacto"),
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": ("certificacion ISO obligatoria acreditacion vigente", "homologacion certificacion no relacionada", "certificaciones desproporcionadas para el contrato"),
+    "UNREALISTIC_DEADLINE": ("plazo de presentacion en dias calendario corto", "cronograma ajustado urgente reducido"),
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": ("copia legalizada notarial fedateado", "foliado visado original y copia", "tres juegos originales sobre cerrado", "entrega fisica obligatoria de documentos", "presentar los siguientes documentos copias anexos", "no menor a documentos paginas", "documentos fisicos adicionales exigidos"),
+    "AI_NO_AUDIT_TRAIL": ("inteligencia artificial sin auditoria gobernanza", "modelo automatizado sin trazabilidad ni revision humana"),
+}
+
+# Sections in which each flag is looked for.
+FLAG_CLUSTERS = {
+    "LOW_TRACEABILITY_OUTPUT": ("Entregables", "Forma de pago"),
+    "OBSOLETE_PHYSICAL_FORMAT": ("Entregables",),
+    "SUBJECTIVE_EVALUATION_CRITERIA": ("Criterios de evaluación",),
+    "OVER_SPECIFIED_EXPERIENCE": ("Experiencia del postor",),
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": ("Requisitos técnicos", "Equipamiento"),
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": ("Requisitos técnicos",),
+    "UNREALISTIC_DEADLINE": ("Plazos",),
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": ("Anexos / formatos", "Requisitos técnicos"),
+    "AI_NO_AUDIT_TRAIL": ("Requisitos técnicos", "Entregables"),
+}
+
+# Words of a question and the flags that they ask for, in this order.
+INTENTS = {
+    "risk_scan": (
+        ("riesgo", "senales", "restrictivos", "baja trazabilidad", "revisar", "sospechoso", "sospechosa", "atipico", "atipica", "irregularidad", "patron", "documentos obligatorios", "documentacion exigida"),
+        ("EXCESSIVE_DOCUMENT_REQUIREMENT", "SUBJECTIVE_EVALUATION_CRITERIA", "SPECIFIC_EQUIPMENT_REQUIREMENT", "EXCESSIVE_CERTIFICATION_REQUIREMENT", "LOW_TRACEABILITY_OUTPUT", "OBSOLETE_PHYSICAL_FORMAT", "UNREALISTIC_DEADLINE", "OVER_SPECIFIED_EXPERIENCE"),
+    ),
+    "documentary_burden": (("documentos", "copias", "notarial", "legalizada", "papeleo", "fedateado"), ("EXCESSIVE_DOCUMENT_REQUIREMENT", "OBSOLETE_PHYSICAL_FORMAT")),
+    "evaluation_discretion": (("evaluacion", "subjetivo", "subjetiva", "juicio", "discrecional", "comite"), ("SUBJECTIVE_EVALUATION_CRITERIA",)),
+    "market_restriction": (("marca", "modelo", "exclusiv", "proveedor unico", "especificacion tecnica"), ("SPECIFIC_EQUIPMENT_REQUIREMENT", "EXCESSIVE_CERTIFICATION_REQUIREMENT")),
+}
+
+# Words of the first-phase sector filter, in this order, as they stand there.
+PHASE1_WORDS = {
+    "salud": ("salud", "essalud", "minsa", "hospital", "instituto nacional de salud", "direccion general de salud", "direccion regional de salud", "red de salud", "microred", "oncosalud", "sanidad", "epidemiologia", "vacunas", "insumos medicos", "laboratorio", "diagnostico", "tratamiento", "clinica", "centro de salud", "puesto de salud", "samú", "samu", "emergencia", "atencion primaria"),
+    "ambiente": ("ambiente", "ministerio del ambiente", "servicio nacional de asuntos", "organismo de evaluacion", "evaluacion ambiental", "recursos naturales", "biodiversidad", " Areas Protegidas", "conservacion", "cambio climatico", "descontaminacion", "residuos solidos", "agua", "manejo de residuos", "OEFA", "SENAPE", "autoridad ambiental"),
+}
+
+# Mean days of a process by a word in the buyer's name, in this order, and otherwise; the amount from which a tender is due.
+SECTOR_DAYS = {"MTC": 45, "MINSA": 38, "MINEDU": 35, "GORE": 42, "ESSALUD": 40}
+OTHER_DAYS = 40
+TENDER_AMOUNT = 400_000
+
+# Words that public texts must not have (substrings, lower case), and what is suggested for some.
+FORBIDDEN = ["corrupto", "corrupta", "corruptos", "corruptas", "corrupción", "robó", "robaron", "robar", "ladrón", "ladrones", "mafioso", "mafia", "culpable", "criminal", "delito", "delincuente", "cómplice", "cómplices"]
+SUGGESTED = {"corrupto": "que presenta señales de riesgo", "corrupta": "que presenta señales de riesgo", "corrupción": "señales de riesgo", "robó": "recibió un contrato que merece revisión", "robaron": "recibieron contratos que merecen revisión", "mafia": "red de relaciones cruzadas", "cómplice": "vinculado", "cómplices": "vinculados", "delito": "patrón atípico", "criminal": "atípico", "delincuente": "involucrado en señales de riesgo"}
+
+# Headers by which the fields of open-data rows go, the first filled one counts.
+OPEN_DATA = {
+    "codigo_proceso": ["codigo_proceso", "codigo", "id_proceso", "n_proceso", "proceso", "nomenclatura"],
+    "entity_name": ["entidad", "nombre_entidad", "comprador", "entidad_contratante"],
+    "entity_ruc": ["ruc_entidad", "entidad_ruc", "ruccomprador", "ruc_entidad_contratante"],
+    "supplier_name": ["proveedor", "contratista", "adjudicatario", "ganador", "razon_social_proveedor"],
+    "supplier_ruc": ["ruc_proveedor", "proveedor_ruc", "ruccontratista", "ruc_adjudicatario", "ruc"],
+    "monto": ["monto", "monto_adjudicado", "valor_adjudicado", "importe", "valor_referencial", "valor_estimado"],
+    "fecha": ["fecha", "fecha_adjudicacion", "fecha_buena_pro", "fecha_publicacion", "fecha_convocatoria", "fecha_contrato"],
+    "region": ["region", "departamento", "departamento_entidad"],
+    "miembro_comite": ["miembro_comite", "integrante_comite", "nombre_miembro", "funcionario", "nombres"],
+    "cargo_comite": ["cargo_comite", "rol", "cargo", "tipo_miembro"],
+    "tipo_proceso": ["tipo_proceso", "modalidad", "procedimiento", "tipo_seleccion"],
+    "objeto": ["objeto", "descripcion", "objeto_contractual", "nomenclatura"],
+    "contrato": ["contrato", "numero_contrato", "codigo_contrato"],
+    "orden_compra": ["orden_compra", "numero_orden", "ocam", "orden"],
+    "comite": ["comite", "codigo_comite", "numero_comite"],
+    "consorcio": ["consorcio", "nombre_consorcio"],
+    "anio": ["anio", "año", "year", "periodo"],
+    "explicit": ["id", "uuid", "codigo", "codigo_registro"],
+}
+PORTAL = {
+    "external_id": ["codigo_proceso", "codigo", "id_proceso", "n_proceso", "proceso"],
+    "entity_name": ["entidad", "nombre_entidad", "comprador", "entidad_contratante"],
+    "supplier_name": ["proveedor", "contratista", "adjudicatario", "ganador"],
+    "entity_ruc": ["ruc_entidad", "entidad_ruc", "ruccomprador"],
+    "supplier_ruc": ["ruc_proveedor", "proveedor_ruc", "ruccontratista", "ruc"],
+    "monto": ["monto", "monto_adjudicado", "valor_adjudicado", "importe"],
+    "fecha": ["fecha", "fecha_adjudicacion", "fecha_buena_pro", "fecha_publicacion"],
+    "region": ["region", "departamento"],
+    "modalidad": ["modalidad", "tipo_proceso", "procedimiento"],
+    "objeto": ["objeto", "descripcion", "nomenclatura"],
+}
+# A row's record type by its category; other categories are their own.
+RECORD_TYPES = {"procedimientos": "contract", "convocatorias": "contract", "contratos": "contract", "ordenes_compra": "purchase_order", "proveedores": "company", "entidades": "public_entity", "comites": "committee_member", "pac": "annual_plan", "pronunciamientos": "pronouncement"}
+RISK_HINTS = {"contratacion_directa": ["contratacion directa", "contratación directa"], "unico_postor": ["unico postor", "único postor", "postor unico"], "proceso_desierto": ["desierto"]}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,23 +40,34 @@ def strip_boilerplate(pages: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(inner)).drop("_lines")
 
 
-HEADING = re.compile(r"^\s*((?:\d+(?:\.\d+)*\.?|[IVXLC]+\.)\s+[A-ZÁÉÍÓÚÑ][^\n]{2,100}|[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ \t]{4,80})\s*$", re.MULTILINE)
+# A heading, and a heading line of a section (at most 120 characters).
+HEADING = re.compile(r"^\s*(?:[IVXLCDM]+\.\s+|[0-9]+(?:\.[0-9]+)*\s+)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ0-9 /,\-]{4,})\s*$", re.MULTILINE)
+SECTION_LINE = r"^\s*(?:[IVXLCDM]+\.\s+|[0-9]+(?:\.[0-9]+)*\.?\s+)?[A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ0-9 /,\-:]{3,}\s*$"
+#: What a sentence ends with, by preference.
+SENTENCE_ENDS = (". ", ".\n", "? ", "! ")
+
+
+def boundary(text: str, start: int, end: int) -> int:
+    """Where a chunk [start, end) is cut: after a paragraph or else a sentence beyond its middle, else at the last blank, else the last line end."""
+    for marks in (("\n\n",), *((m,) for m in SENTENCE_ENDS), (" ",), ("\n",)):
+        at = text.rfind(marks[0], start + 1, end)
+        strong = marks[0] not in (" ", "\n")
+        if at > (start + (end - start) // 2 if strong else start):
+            return at + len(marks[0]) if strong else at
+    return end
 
 
 def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of chunks of at most ``size``; an end prefers a paragraph, then a sentence, in the chunk's second half, then any space."""
+    """(start, end) of chunks of at most ``size``; the next starts at most one character before an end."""
     out, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            middle = start + size // 2
-            cuts = [at + len(mark) for mark in ("\n\n", ". ", ".\n") if (at := text.rfind(mark, middle, end)) >= 0]
-            blank = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
-            end = cuts[0] if cuts else blank if blank > start else end
+            end = boundary(text, start, end)
         out.append((start, end))
         if end >= len(text):
             break
-        start = max(end - overlap, start + 1)
+        start = max(end - overlap, end - 1, start + 1)
     return out
 
 
@@ -78,12 +90,13 @@ def chunks(pages: DataFrame, size: int = 1200, overlap: int = 1) -> DataFrame:
                     text += "\n\n" if starts else ""
                     starts.append(len(text))
                     text += p["text"] or ""
-                page = lambda at: parts[max(0, sum(s <= at for s in starts) - 1)]["page_number"]  # noqa: B023, E731
-                heads = [(m.start(), m[1].strip()) for m in HEADING.finditer(text)]
+                page = lambda at: parts[max(0, bisect(starts, at) - 1)]["page_number"]  # noqa: B023, E731
+                heads = [(m.end(), m[1].strip()) for m in HEADING.finditer(text)]
                 n = 0
                 for a, b in cut_points(text, size, overlap):
                     if body := text[a:b].strip():
-                        hint = next((h for at, h in reversed(heads) if at < a), None)
+                        last = HEADING.search(text, text.rfind("\n", 0, a) + 1, a)  # a heading line that the chunk's start cuts
+                        hint = last[1].strip() if last else next((h for at, h in reversed(heads) if at <= a), None)
                         rows.append((doc, f"{doc}::{n:05d}", n, page(a), page(b - 1), a, b, hint, body))
                         n += 1
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK.split(", ")])
@@ -93,26 +106,31 @@ def chunks(pages: DataFrame, size: int = 1200, overlap: int = 1) -> DataFrame:
 
 
 def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 160) -> DataFrame:
-    """Chunks within each page, white space made single blanks, ends moved back to a blank, with a real overlap."""
-    kind = "document_id string, page_number int, chunk_index int, text string"
+    """(document_id, chunk_index, page_number, char_start, char_end, text): chunks within each page, white space made single blanks, ends moved back to a blank.
+
+    chunk_index counts through the document, by page; offsets are those of the page's text with single blanks.
+    """
+    kind = "document_id string, page_number int, char_start int, char_end int, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, page, text in zip(batch["document_id"], batch["page_number"], batch["text"]):
-                text, start, n = " ".join((text or "").split()), 0, 0
+                text, start = " ".join((text or "").split()), 0
                 while start < len(text):
                     end = min(start + size, len(text))
                     if end < len(text) and (blank := text.rfind(" ", start + 1, end)) > start:
                         end = blank
-                    rows.append((doc, page, n, text[start:end].strip()))
-                    n += 1
+                    if body := text[start:end].strip():
+                        rows.append((doc, page, start, end, body))
                     if end >= len(text):
                         break
                     start = max(end - overlap, start + 1)
-            yield pd.DataFrame(rows, columns=["document_id", "page_number", "chunk_index", "text"])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
 
-    return pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, kind)
+    cut = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, kind)
+    index = F.row_number().over(W.partitionBy("document_id").orderBy("page_number", "char_start")) - 1
+    return cut.select("document_id", index.alias("chunk_index"), "page_number", "char_start", "char_end", "text")
 
 
 def tokens(text: Column) -> Column:
@@ -192,19 +210,26 @@ def critique(flags: DataFrame, chunk_texts: DataFrame, min_confidence: float = 0
     return joined.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_text")
 
 
-def similar_quotes(flags: DataFrame, least: float = 0.7) -> DataFrame:
-    """flags (document_id, flag_code, flag_id, confidence, quote) that stay: by confidence, one goes if a kept quote of its code shares 70 % of tokens."""
+def signature(quote: Column) -> Column:
+    """Different words of a quote's first 180 characters, lower-case, without accents and signs."""
+    plain = F.regexp_replace(F.lower(c.fold(F.coalesce(quote, F.lit("")))), r"(?U)[^\w\s]", " ")
+    plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+    return F.array_distinct(F.filter(F.split(F.substring(plain, 1, 180), " "), lambda x: x != ""))
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        kept, sets = [], []
-        for i, row in group.sort_values(["confidence", "flag_id"], ascending=[False, True]).iterrows():
-            t = set(row["folded"].split())
-            if not any(len(t & s) >= least * len(t | s) for s in sets):
-                kept.append(i)
-                sets.append(t)
-        return group.loc[kept].drop(columns="folded")
 
-    return flags.withColumn("folded", F.lower(c.fold(F.coalesce("quote", F.lit(""))))).groupBy("document_id", "flag_code").applyInPandas(run, flags.schema)
+def similar_quotes(flags: DataFrame, least: float = 0.7) -> DataFrame:
+    """flags (document_id, flag_code, flag_id, confidence, quote) that stay: by confidence, one goes if a kept quote of its code shares ``least`` of their words.
+
+    A quote without a word is like no other.  Equal signatures go first, so what a group folds is bounded by its different ones.
+    """
+    names = flags.columns
+    best = W.partitionBy("document_id", "flag_code", "_sig").orderBy(F.desc("confidence"), "flag_id")
+    rows = flags.withColumn("_sig", signature(F.col("quote"))).withColumn("_k", F.row_number().over(best)).where((F.col("_k") == 1) | (F.size("_sig") == 0))
+    item = F.struct((-F.col("confidence")).alias("o"), "flag_id", "_sig", F.struct(*names).alias("row"))
+    groups = rows.groupBy("document_id", "flag_code").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) >= least * F.size(F.array_union(a, b)))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: alike(k["_sig"], x["_sig"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return groups.select(F.explode(kept).alias("x")).select("x.row.*")
 
 
 #: Points of a flag's severity.
@@ -224,25 +249,33 @@ def score(flags: DataFrame, context: DataFrame, cap: int = 100, activation: int
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """(document_id, label, page_start, page_end): runs of pages whose headings have one label; a page without one goes on with the label before."""
-    head = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"^\s*[A-ZÁÉÍÓÚÑ0-9][A-ZÁÉÍÓÚÑ0-9 .]{4,80}\s*$"))
-    label = F.nullif(c.cluster(F.get(head, F.lit(0)), F.lit("")), F.lit("Otros"))
-    order = W.partitionBy("document_id").orderBy("page_number")
-    rows = pages.select("document_id", "page_number", F.coalesce(F.last(label, True).over(order), F.lit("Otros")).alias("label"))
-    rows = rows.withColumn("new", F.coalesce((F.col("label") != F.lag("label").over(order)).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    return rows.groupBy("document_id", "run", "label").agg(F.min("page_number").alias("page_start"), F.max("page_number").alias("page_end")).drop("run")
-
+    """(document_id, place, label, page_start, page_end, heading): from each heading line with a label to the page before the next one.
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Tokens hashed into buckets with a sign, scaled to unit length: vectors for tests without a model."""
+    All lines of a page are looked at; neighbours of one label are one section, whose heading is the first.
+    """
+    lines = F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
+    rows = pages.select("document_id", "page_number", lines.alias("line", "raw")).withColumn("raw", F.regexp_replace("raw", r"(?U)^\s+|\s+$", ""))
+    rows = rows.where(F.char_length("raw").between(1, 120) & F.col("raw").rlike(SECTION_LINE))
+    rows = rows.withColumn("label", c.cluster(F.col("raw"), F.lit(""))).where("label != 'Otros'")
+    order = W.partitionBy("document_id").orderBy("page_number", "line")
+    total = pages.groupBy("document_id").agg(F.max("page_number").alias("last"))
+    rows = rows.join(total, "document_id").withColumn("page_end", F.greatest(F.coalesce(F.lead("page_number").over(order) - 1, "last"), "page_number"))
+    rows = rows.withColumn("run", F.sum(F.coalesce((F.col("label") != F.lag("label").over(order)).cast("int"), F.lit(1))).over(order))
+    first = F.min_by("raw", F.struct("page_number", "line")).alias("heading")
+    out = rows.groupBy("document_id", "run", "label").agg(F.min("page_number").alias("page_start"), F.max("page_end").alias("page_end"), first)
+    return out.select("document_id", F.col("run").cast("int").alias("place"), "label", "page_start", "page_end", "heading")
+
+
+def hash_embedding(text: Column, dim: int = 256) -> Column:
+    """Tokens hashed into buckets (first four digest bytes) with a sign (the fifth's lowest bit), scaled to unit length: vectors without a model."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         def one(t: str | None) -> list[float]:
             v = [0.0] * dim
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
+                h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+                v[int.from_bytes(h[:4], "big") % dim] += 1.0 if h[4] & 1 else -1.0
             norm = math.sqrt(sum(x * x for x in v)) or 1.0
             return [x / norm for x in v]
 
@@ -251,6 +284,15 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return run(text)
 
 
+def legal_filter(rows: DataFrame, text: Column, mode: Column) -> DataFrame:
+    """rows with terms, status and text: passed without a banned term; else by mode blocked (no text), flagged (as it is) or sanitized (neutral words)."""
+    found = c.banned_terms(text)
+    none = F.size(found) == 0
+    status = F.when(none, "passed").when(mode == "reject", "blocked").when(mode == "flag", "flagged").otherwise("sanitized")
+    out = F.when(none | (mode == "flag"), text).when(mode == "sanitize", c.neutral(text))
+    return rows.withColumns({"terms": F.array_join(found, ","), "status": status, "text": out})
+
+
 def weakened(flags: DataFrame, weak: Column, most: float = 0.45) -> DataFrame:
     """Signals in a neutral place are low and at most ``most`` sure."""
     return flags.withColumns({"severity": F.when(weak, "low").otherwise(F.col("severity")), "confidence": F.when(weak, F.least("confidence", F.lit(most))).otherwise(F.col("confidence"))})

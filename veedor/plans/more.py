@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import audits as a
 from ..operators import documents as d
-from ..operators import text as tx
 from . import star
-from .records import PAGES_SQL, RULE_WORDS, pages
+from .records import PAGES_SQL, pages
 from .star import sql
 
 QUERIES: dict = {}
@@ -64,11 +63,6 @@ def a22(spark, sf):
     return d.pack_graph(pack_documents(spark, sf), "conv_id", "doc")
 
 
-@query("a23_pack_analyze", f"SELECT conv_id, {KIND} AS kind, count(*) AS n, count(*) FILTER (length(text) > 100) AS usable FROM conversations GROUP BY ALL")
-def a23(spark, sf):
-    return pack_documents(spark, sf).groupBy("conv_id", "kind").agg(F.count("*").alias("n"), F.count_if(F.length("text") > 100).alias("usable"))
-
-
 @query("a11_batch_metrics", "SELECT CASE WHEN n_chars = 0 THEN '0' WHEN n_chars < 1000 THEN '1-999' WHEN n_chars < 5000 THEN '1000-4999' ELSE '5000+' END AS bucket, count(*) AS n, count(*) FILTER (lang = 'en') AS n_en FROM documents GROUP BY 1")
 def a11(spark, sf):
     bucket = c.bucket(F.col("n_chars"), [(1, "1-999"), (1000, "1000-4999"), (5000, "5000+")], "0")
@@ -115,15 +109,6 @@ def t32(spark, sf):
     return star.won(spark, sf).select("external_id", F.format_string("Contrato %s por %s de %s", "external_id", F.col("monto").cast("string"), "entidad").alias("quote"))
 
 
-@query("x22_retry", f"WITH {PAGES_SQL}, f AS (SELECT document_id, count(*) FILTER (contains(text, '!!')) AS hits FROM page WHERE page_number <= 5 GROUP BY 1), g AS (SELECT document_id, count(*) FILTER (contains(text, '!!')) AS again FROM page WHERE page_number <= 10 GROUP BY 1) SELECT document_id, CASE WHEN hits = 0 THEN again ELSE hits END AS hits, hits = 0 AS retried FROM f JOIN g USING (document_id)")
-def x22(spark, sf):
-    def hits(top, name):
-        return pages(spark, sf).where(F.col("page_number") <= top).groupBy("document_id").agg(F.count_if(F.col("text").contains("!!")).alias(name))
-
-    j = hits(5, "hits").join(hits(10, "again"), "document_id")
-    return j.select("document_id", F.when(F.col("hits") == 0, F.col("again")).otherwise(F.col("hits")).alias("hits"), (F.col("hits") == 0).alias("retried"))
-
-
 @query("x26_synthesize", "SELECT source AS document_id, count(*) AS n, CASE WHEN avg((doc_id % 100)::DOUBLE / 100) >= 0.65 THEN 'high' WHEN avg((doc_id % 100)::DOUBLE / 100) >= 0.40 THEN 'medium' ELSE 'low' END AS level, array_to_string(list_sort(list(DISTINCT 'q' || doc_id % 7))[1:5], ',') AS questions FROM documents GROUP BY 1")
 def x26(spark, sf):
     k = F.col("doc_id")
@@ -138,54 +123,21 @@ def x30(spark, sf):
     return d.classify(docs, [("tdr", 90, r"\btdr\b"), ("contrato", 50, r"\bcontrato\b")]).select("p_partkey", "kind")
 
 
-@query("x16_plan", "SELECT * FROM (SELECT s_suppkey AS document_id, f AS flag_code, f || '-' || p AS query FROM supplier, (VALUES ('A'), ('B')) t(f), range(6) r(p) WHERE p % 3 <> s_suppkey % 3) QUALIFY row_number() OVER (PARTITION BY document_id, flag_code ORDER BY query) <= 4")
-def x16(spark, sf):
-    s = star.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("document_id"))
-    flags = s.select("document_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("flag_code"))
-    templates = spark.range(6).select(F.col("id").alias("place"), (F.col("id") % 3).cast("string").alias("cluster"), F.explode(F.array(F.lit("A"), F.lit("B"))).alias("flag_code")).withColumn("query", F.concat_ws("-", "flag_code", F.col("place").cast("string")))
-    clusters = s.select("document_id", F.explode(F.array(*map(F.lit, "012"))).alias("cluster")).where(F.col("cluster").cast("int") != F.col("document_id") % 3)
-    return d.plan(flags, templates, clusters)
-
-
-@query("x33_debug_retrieval", "SELECT source AS document_id, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs, min(doc_id) AS first_hit, max(doc_id) AS last_hit FROM documents GROUP BY 1")
-def x33(spark, sf):
-    return star.read(spark, sf, "documents").groupBy(F.col("source").alias("document_id")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.min("doc_id").alias("first_hit"), F.max("doc_id").alias("last_hit"))
-
-
 @query("x32_token_search", "SELECT doc_id FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the') AND list_contains(string_split(lower(text), ' '), 'with')")
 def x32(spark, sf):
     words = F.split(F.lower("text"), " ")
     return star.read(spark, sf, "documents").where(F.array_contains(words, "the") & F.array_contains(words, "with")).select("doc_id")
 
 
-@query("x18_regex_flags", "SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+\\$\\$\\$')) AS quote, CASE WHEN source IN ('src1', 'src2') THEN 0.45 ELSE 0.6 END::DOUBLE AS confidence FROM documents WHERE regexp_matches(text, '[A-Za-z]+\\$\\$\\$')")
-def x18(spark, sf):
-    quote = F.lower(F.regexp_extract("text", r"[A-Za-z]+\$\$\$", 0))
-    weak = F.least(F.lit(0.6), F.when(F.col("source").isin("src1", "src2"), 0.45).otherwise(0.6))  # a neutral cluster weakens a signal
-    return star.read(spark, sf, "documents").where(quote != "").select("doc_id", quote.alias("quote"), weak.cast("double").alias("confidence"))
-
-
-@query("x15_lookup", "SELECT flag_code, arg_min(item_id, (p, item_id)) AS item_id FROM (SELECT ['A', 'B', 'C'][(item_id % 3 + 1)::INT] AS flag_code, item_id, item_id % 4 AS p FROM benchmark) GROUP BY 1")
-def x15(spark, sf):
-    k = F.col("item_id")
-    rows = star.read(spark, sf, "benchmark").select(F.element_at(F.array(*map(F.lit, "ABC")), (k % 3 + 1).cast("int")).alias("flag_code"), "item_id", (k % 4).alias("p"))
-    return a.greatest_per_group(rows, "flag_code", F.col("p"), F.col("item_id")).select("flag_code", "item_id")
-
-
-@query("n6_extract_flags", "SELECT d.doc_id, d.source, l.toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id AND l.quality = 0")
-def n6(spark, sf):
-    return star.read(spark, sf, "documents").join(star.read(spark, sf, "labels").where("quality = 0"), "doc_id").select("doc_id", "source", "toxic")
-
-
 @query("n7_extract_represents", sql("SELECT ruc, person_id FROM company WHERE suppkey % 2 = 0"))
 def n7(spark, sf):
     rel = star.companies(spark, sf).select("ruc", "person_id", F.to_json(F.create_map(F.when(F.col("suppkey") % 2 == 0, "cargo").otherwise("x"), F.lit("gerente"))).alias("properties"))
     return rel.where(F.get_json_object("properties", "$.cargo").isNotNull()).select("ruc", "person_id")
 
 
-@query("n11_resolve_record", "SELECT o_orderkey::VARCHAR AS wanted, arg_min(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, (-l_extendedprice::DECIMAL(18,2), l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS external_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 7 = 0 GROUP BY 1")
+@query("n11_resolve_record", "SELECT o_orderkey::VARCHAR AS wanted, arg_min(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey, (-l_extendedprice::DECIMAL(18,2), l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey)) AS external_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def n11(spark, sf):
-    wanted = star.read(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("wanted"))
+    wanted = star.read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("wanted"))
     records = star.read(spark, sf, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("external_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("monto"))
     return d.resolve(wanted, records).select("wanted", "external_id")
 
@@ -201,9 +153,9 @@ def n13(spark, sf):
     return d.first_per_contract(star.read(spark, sf, "documents"), "source", 3, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "place")
 
 
-@query("n16_index_stats", "SELECT lang, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:3], ',') AS samples FROM documents GROUP BY lang")
+@query("n16_index_stats", "SELECT lang, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY lang")
 def n16(spark, sf):
-    return star.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3).cast("array<string>"), ",").alias("samples"))
+    return star.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 @query("n19_production_guard", "SELECT page_id FROM pages WHERE page_id % 3 > 0")
@@ -212,12 +164,6 @@ def n19(spark, sf):
     return d.guard(p, "path").select("page_id")
 
 
-@query("n20_html_rows", "SELECT page_id, len(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1)) AS n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def n20(spark, sf):
-    links = F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), 1)
-    return star.read(spark, sf, "pages").select("page_id", F.size(links).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
 @query("n26_link_discovery", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
 def n26(spark, sf):
     return star.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
@@ -230,27 +176,3 @@ def n22(spark, sf):
     return co.select("suppkey").join(reg, "suppkey", "left").select("suppkey", F.coalesce("e", F.lit("NO_ENCONTRADO")).alias("estado"))
 
 
-@query("n23_list_dossiers", f"WITH {PAGES_SQL} SELECT document_id, bool_or(page_number = 1) AS has_first, bool_or(contains(text, '$$$')) AS has_signs, count(*) AS n FROM page GROUP BY 1")
-def n23(spark, sf):
-    return pages(spark, sf).groupBy("document_id").agg(F.bool_or(F.col("page_number") == 1).alias("has_first"), F.bool_or(F.col("text").contains("$$$")).alias("has_signs"), F.count("*").alias("n"))
-
-
-@query("x28_legal_safe", f"WITH {PAGES_SQL} SELECT document_id, page_number, contains(lower(text), 'worthless') AS hit FROM page")
-def x28(spark, sf):
-    found = F.filter(F.array(F.lit("worthless")), lambda w: F.lower("text").contains(w))
-    return pages(spark, sf).select("document_id", "page_number", (F.size(found) > 0).alias("hit"))
-
-
-@query("x17_retrieve", f"WITH {PAGES_SQL} SELECT q.item_id AS query_id, d.chunk_id FROM (SELECT item_id FROM benchmark WHERE item_id < 5) q JOIN (SELECT doc_id AS chunk_id FROM page WHERE page_number <= 2) d ON true WHERE (q.item_id + d.chunk_id) % 3 = 0")
-def x17(spark, sf):
-    chunks = pages(spark, sf).where("page_number <= 2").select(F.col("doc_id").alias("chunk_id"))
-    asked = star.read(spark, sf, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"))  # the stated query set travels to the chunks
-    return chunks.join(F.broadcast(asked), (F.col("query_id") + F.col("chunk_id")) % 3 == 0).select("query_id", "chunk_id")
-
-
-@query("c8_cdc_pipeline", f"WITH {PAGES_SQL}, f AS (SELECT document_id, count(*) FILTER (contains(text, ' | ')) AS n FROM page GROUP BY 1) SELECT CASE WHEN n >= 2 THEN 'flagged' ELSE 'clean' END AS status, count(*) AS documents FROM f GROUP BY 1")
-def c8(spark, sf):
-    table = [(k, *v) for k, v in RULE_WORDS.items() if k == "R-B"]
-    flags = tx.page_flags(pages(spark, sf), [(table[0][0], *table[0][1:4], (r" \| ",))], most=1000).groupBy("document_id").agg(F.count("*").alias("n"))
-    j = pages(spark, sf).select("document_id").distinct().join(flags, "document_id", "left")
-    return j.groupBy(F.when(F.col("n") >= 2, "flagged").otherwise("clean").alias("status")).agg(F.count("*").alias("documents"))

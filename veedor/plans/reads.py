@@ -30,10 +30,10 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-@query("s1_release_scan", f"WITH {T1} SELECT * FROM flat WHERE period_year = 1996")
+@query("s1_release_scan", f"WITH {T1} SELECT * FROM flat")
 def s1(spark, sf):
     path = fresh_path(spark, "releases")
-    releases(spark, sf).where("date like '1996%'").write.option("compression", "gzip").json(path)
+    releases(spark, sf).write.option("compression", "gzip").json(path)
     return rel.flatten(readers.releases(spark, path))
 
 
@@ -58,10 +58,10 @@ def s12(spark, sf):
     return readers.sources(spark, rows, "active", "P0").select("source_code", "priority")
 
 
-@query("s13_jsonl", "SELECT user_id, event_type, value FROM events WHERE event_id % 10 = 0")
+@query("s13_jsonl", "SELECT user_id, event_type, value FROM events ")
 def s13(spark, sf):
     path = fresh_path(spark, "events")
-    star.read(spark, sf, "events").where("event_id % 10 = 0").select("user_id", "event_type", "value").write.json(path)
+    star.read(spark, sf, "events").select("user_id", "event_type", "value").write.json(path)
     return readers.jsonl(spark, path, "user_id long, event_type string, value double")
 
 
@@ -120,15 +120,6 @@ def n9(spark, sf):
     return graph.edges(spark, sf)["committee"]
 
 
-@query("n10_graph_ingest", graph.esql("SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'GANA_CONTRATO' AS kind, ruc AS a, external_id AS b FROM won UNION SELECT DISTINCT 'COMPRO_A', entidad_ruc, external_id FROM won UNION SELECT DISTINCT 'REPRESENTA', rep_id, ruc FROM represents UNION SELECT DISTINCT 'MIEMBRO_COMITE', person_id, external_id FROM committee) GROUP BY kind"))
-def n10(spark, sf):
-    e, won = graph.edges(spark, sf), star.won(spark, sf)
-    edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
-    every = edge(won, "GANA_CONTRATO", "ruc", "external_id").unionByName(edge(won, "COMPRO_A", "entidad_ruc", "external_id"))
-    every = every.unionByName(edge(e["represents"], "REPRESENTA", "rep_id", "ruc")).unionByName(edge(e["committee"], "MIEMBRO_COMITE", "person_id", "external_id"))
-    return every.distinct().groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @query("n14_prepare_analyzer", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS pages, CASE WHEN count(*) FILTER (length(text) > 100) = 0 THEN 'skipped' ELSE 'ready' END AS status FROM page GROUP BY 1")
 def n14(spark, sf):
     out = pages(spark, sf).groupBy("document_id").agg(F.count("*").alias("pages"), F.count_if(F.length("text") > 100).alias("k"))
@@ -140,10 +131,10 @@ def n15(spark, sf):
     return pages(spark, sf).where(F.length("text") > 0).select("document_id", "page_number", F.length("text").cast("long").alias("char_count"))
 
 
-@query("n17_mime_type", "SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages WHERE regexp_matches(url, '^[^?#]*$')")
+@query("n17_mime_type", "SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
 def n17(spark, sf):
     kind = c.file_type(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("url"))
-    return star.read(spark, sf, "pages").where(F.col("url").rlike("^[^?#]*$")).select("page_id", F.when(kind == "html", "text/html").otherwise("application/octet-stream").alias("mime"))
+    return star.read(spark, sf, "pages").select("page_id", F.when(kind == "html", "text/html").otherwise("application/octet-stream").alias("mime"))
 
 
 @query("n18_pages_inspect", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 2) AS mean FROM page GROUP BY 1")
@@ -157,10 +148,10 @@ def n21(spark, sf):
     return graph.edges(spark, sf)["sanction"].select("person_id", d.active_sanction(F.lit("terminada"), F.col("hasta"), "1998-06-01").alias("active"))
 
 
-@query("n24_get_dossier", sql(f", {DOSSIER_SQL.strip()} SELECT d.ocid, total_score, flag_code FROM dossier d LEFT JOIN flag f ON f.doc_id = d.ocid WHERE d.ocid < 50"))
+@query("n24_get_dossier", sql(f", {DOSSIER_SQL.strip()} SELECT d.ocid, total_score, flag_code FROM dossier d LEFT JOIN flag f ON f.doc_id = d.ocid"))
 def n24(spark, sf):
     flags, dossiers, _ = dossier_tables(spark, sf)
-    return dossiers.where("ocid < 50").join(flags.select("ocid", "flag_code"), "ocid", "left").select("ocid", "total_score", "flag_code")
+    return dossiers.join(flags.select("ocid", "flag_code"), "ocid", "left").select("ocid", "total_score", "flag_code")
 
 
 @query("n25_demo_cases", sql(f", {DOSSIER_SQL.strip()} SELECT v.ocid, v.title, d.risk_level FROM (VALUES (1::BIGINT, 'A'), (5::BIGINT, 'B'), (-1::BIGINT, 'C')) v(ocid, title) LEFT JOIN dossier d USING (ocid)"))
@@ -180,13 +171,6 @@ def t5(spark, sf):
     return releases(spark, sf).select("ocid", F.coalesce("buyer.name", F.lit("")).alias("entity"), F.coalesce("tender.value.amount", F.lit(0)).cast("double").alias("amount"), F.coalesce(F.lit(None).cast("string"), F.lit("SIN CODIGO")).alias("code"))
 
 
-@query("t7_alias_row", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'a' || s_suppkey WHEN s_suppkey % 3 = 1 THEN 'b' || s_suppkey END AS ruc FROM supplier")
-def t7(spark, sf):
-    k = F.col("s_suppkey")
-    rows = star.read(spark, sf, "supplier").select("s_suppkey", F.when(k % 3 == 0, F.concat(F.lit("a"), k.cast("string"))).alias("RUC "), F.when(k % 3 == 1, F.concat(F.lit("b"), k.cast("string"))).alias("Ruc_Proveedor"))
-    return rel.aliased(rows, {"ruc": ["ruc", "ruc_proveedor"]}, ["s_suppkey"])
-
-
 @query("t34_discovery_row", sql("SELECT external_id, coalesce(entidad, '') AS entidad, coalesce(empresa, '') AS proveedor, monto::DOUBLE AS monto FROM won WHERE anio = 1997"))
 def t34(spark, sf):
     return star.won(spark, sf).where("anio = 1997").select("external_id", F.coalesce("entidad", F.lit("")).alias("entidad"), F.coalesce("empresa", F.lit("")).alias("proveedor"), F.col("monto").cast("double").alias("monto"))
@@ -204,12 +188,6 @@ def x14(spark, sf):
     return sinks.load_index(spark, path, "hash", 64).select("vec_id", F.size("embedding").alias("dim"))
 
 
-@query("x19_weak_signal", "SELECT doc_id, CASE WHEN lang = 'en' AND NOT contains(text, '###') THEN 'low' ELSE 'high' END AS severity, CASE WHEN lang = 'en' AND NOT contains(text, '###') THEN 0.45 ELSE 0.6 END::DOUBLE AS confidence FROM documents WHERE contains(text, '$$$')")
-def x19(spark, sf):
-    weak = (F.col("lang") == "en") & ~F.col("text").contains("###")
-    return tx.weakened(star.read(spark, sf, "documents").where("contains(text, '$$$')").select("doc_id", "lang", "text", F.lit("high").alias("severity"), F.lit(0.6).alias("confidence")), weak).select("doc_id", "severity", "confidence")
-
-
 @query("k9_run_artifacts", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS n FROM page WHERE regexp_matches(lower(translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')), '[a-z]+ \\| [a-z]+') GROUP BY 1")
 def k9(spark, sf):
     path = fresh_path(spark, "run")
@@ -218,9 +196,9 @@ def k9(spark, sf):
     return spark.read.schema("document_id string").json(f"{path}/flags").groupBy("document_id").agg(F.count("*").alias("n"))
 
 
-@query("s11_manual_manifest", "SELECT s_suppkey, row_number() OVER (ORDER BY s_name) AS place FROM supplier WHERE s_suppkey <= 20")
+@query("s11_manual_manifest", "SELECT s_suppkey, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
 def s11(spark, sf):
     path = fresh_path(spark, "manifest")
-    star.read(spark, sf, "supplier").where("s_suppkey <= 20").select("s_suppkey", "s_name").write.option("header", True).csv(path)
+    star.read(spark, sf, "supplier").select("s_suppkey", "s_name").write.option("header", True).csv(path)
     rows = readers.delimited(spark, path, ("s_suppkey", "s_name")).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
     return rows.select("s_suppkey", F.row_number().over(W.orderBy("s_name")).cast("long").alias("place"))  # a hand-made manifest is small

@@ -89,16 +89,16 @@ def delimited(spark: SparkSession, path: str, required: tuple[str, ...] = (), **
     return df
 
 
-def catalogue(spark: SparkSession, path: str) -> DataFrame:
+def catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(dataset, title, resource, format, url) from catalogue search results."""
     schema = "result struct<results:array<struct<name:string,title:string,resources:array<struct<name:string,format:string,url:string>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("result.results").alias("d"))
+    rows = spark.read.schema(schema).option("multiLine", multi_line).json(path).select(F.explode("result.results").alias("d"))
     return rows.select("d.name", "d.title", F.explode_outer("d.resources").alias("r")).select(F.col("name").alias("dataset"), "title", F.col("r.name").alias("resource"), "r.format", "r.url")
 
 
 def procedures(spark: SparkSession, path: str) -> DataFrame:
     """Procedures from metadata files, one object a file."""
-    return spark.read.option("multiLine", True).option("pathGlobFilter", "metadata.json").option("recursiveFileLookup", True).schema("uuid string, codigo string, entidad string, objeto string, fecha string, monto string").json(path)
+    return spark.read.option("multiLine", True).option("pathGlobFilter", "metadata.json").option("recursiveFileLookup", True).schema("uuid string, nomenclatura string, numero string, codigo string, entidad string, descripcion string, objeto string, cuantia string, fecha_hora string, fecha string, monto string").json(path)
 
 
 def dossiers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -159,3 +159,29 @@ def sources(spark: SparkSession, rows: list[tuple[str, str, str, str]], status:
     df = spark.createDataFrame(rows, "source_code string, source_type string, priority string, status string")
     df = df if status is None else df.where(F.col("status") == status)
     return df if priority is None else df.where(F.col("priority") == priority)
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines (gz too); lines that are no JSON are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def table_of(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of spreadsheets (file, row, cells) under their first row's headers, trimmed; a missing cell is empty, a missing column null."""
+    first = cells.where("row = 0").select("file", F.transform("cells", lambda x: F.trim(x)).alias("_heads"))
+    rows = cells.where("row > 0").join(first, "file")
+    value = lambda n: F.when(F.array_position("_heads", n) > 0, F.coalesce(F.trim(F.get("cells", (F.array_position("_heads", n) - 1).cast("int"))), F.lit("")))
+    return rows.select(*[value(n).alias(n) for n in columns])
+
+
+def delivery(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The three tables of a delivery: processes, documents, awards."""
+    return {name: delimited(spark, f"{path}/{name}") for name in ("processes", "documents", "awards")}
+
+
+def listing(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """(dossier, one boolean for each of names): which files each folder has; only names are read, by the executors' listing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    parts = F.split("path", "/")
+    rows = files.select(F.element_at(parts, -2).alias("dossier"), F.element_at(parts, -1).alias("_file"))
+    return rows.groupBy("dossier").agg(*[F.bool_or(F.col("_file") == f).alias(n) for n, f in names.items()])

@@ -59,3 +59,47 @@ def load_index(spark, path: str, model: str, dim: int) -> DataFrame:
     if (found.model, found.dim) != (model, dim):
         raise ValueError(f"index is of {found.model}/{found.dim}, not {model}/{dim}")
     return spark.read.parquet(f"{path}/vectors")
+
+
+def document_tables(tables: dict[str, DataFrame], path: str, order: str) -> dict[str, DataFrame]:
+    """Idempotent loads of a document store's tables, each by its own key; the latest by ``order`` stays."""
+    keys = {"documents": ["document_id"], "pages": ["document_id", "page_number"], "chunks": ["document_id", "chunk_index"], "flags": ["document_id", "flag_code", "page_number", "quote"], "embeddings": ["chunk_id"]}
+    return {name: merge_table(df, f"{path}/{name}", keys[name], order) for name, df in tables.items()}
+
+
+def files(rows: DataFrame, path: str) -> None:
+    """A file for each row (name, body) under path, written by the executors through the file system of the path."""
+    spark = rows.sparkSession
+    staged = f"{path}-staged"
+    rows.select(F.expr("replace(name, '/', '~')").alias("name"), "body").write.partitionBy("name").option("compression", "none").text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(staged)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in fs.listStatus(root):
+        if "=" not in folder.getPath().getName():
+            continue
+        for i, part in enumerate(p for p in fs.listStatus(folder.getPath()) if p.getPath().getName().startswith("part-")):
+            to = hadoop.Path(f"{path}/" + folder.getPath().getName().removeprefix("name=").replace("~", "/"))
+            fs.mkdirs(to.getParent())
+            fs.rename(part.getPath(), to)
+    fs.delete(root, True)
+
+
+def spreadsheet(df: DataFrame, path: str) -> None:
+    """One xlsx file with inline strings for each task's rows, headers first; written as Spark's binary rows cannot be, so by way of ``files``."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    names = df.columns
+    table = df.toPandas()  # a sheet holds a bounded number of rows
+    cell = lambda v: f'<c t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [names, *table.itertuples(index=False)])
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    spark = df.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/book.xlsx")
+    stream = to.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(to, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
