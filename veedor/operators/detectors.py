@@ -39,29 +39,30 @@ def inactive_supplier(won: DataFrame, estados=("BAJA",), condiciones=("NO HABIDO
     return top(out, limit, F.desc("monto_total"), F.col("ruc"), F.col("entidad"))
 
 
-def _pairs_at_buyer(members: DataFrame, per: DataFrame, key: str, buyer: list[str]) -> DataFrame:
-    """Companies of one key that sell to one buyer, as pairs; ``per`` has n and monto of each (suppkey, buyer)."""
-    left = members.join(per, "suppkey")
-    a, b = left.alias("a"), left.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (key, *buyer)]
-    cond = F.col("a.ruc") < F.col("b.ruc")
-    for c in same:
-        cond = cond & c
-    return a.join(b, cond)
+def few(df: DataFrame, by: str, c: str, most: int, name: str) -> DataFrame:
+    """(by, name): the ``most`` least values of c, joined by commas; tasks keep so many of each group before they meet, so no group is gathered whole."""
+    order = W.partitionBy(by).orderBy(c)
+    rows = df.select(by, c).distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", c))), lambda x: x[c].cast("string")), ",").alias(name))
 
 
 def shared_key(won: DataFrame, companies: DataFrame, key: str, buyer=("entidad_ruc", "entidad"), min_pairs: int = 1, dedup_contracts: bool = False, limit: int | None = None) -> DataFrame:
     """Two or more companies with one address or representative that sell to one buyer.
 
     The amount is summed over the cross product of a pair's contracts, as the signal defines it: each contract
-    counts once for each contract of the other; with dedup_contracts each counts once a pair.  The cross product is not made: counts give its sum.
+    counts once for each contract of the other; with dedup_contracts each counts once a pair.  Neither pairs nor products
+    are made: over pairs of different companies the sum of a.m b.n + b.m a.n is M N less each company's own m n.
     """
     per = won.groupBy("suppkey", *buyer).agg(F.count("*").alias("n"), F.sum("monto").alias("m"))
-    pairs = _pairs_at_buyer(companies.select("suppkey", "ruc", "empresa", key), per, key, list(buyer))
-    amount = F.col("a.m") + F.col("b.m") if dedup_contracts else F.col("a.m") * F.col("b.n") + F.col("b.m") * F.col("a.n")
-    rows = pairs.select(F.col(f"a.{key}").alias(key), *[F.col(f"a.{c}").alias(c) for c in buyer], F.explode(F.array("a.empresa", "b.empresa")).alias("empresa"), (amount / 2).cast("decimal(38,6)").alias("half"))
-    out = rows.groupBy(key, *buyer).agg(F.count("*").alias("two"), F.countDistinct("empresa").alias("n_empresas"), names("empresa").alias("empresas"), money(F.sum("half")).alias("monto_cluster"))
-    out = out.where(F.col("two") >= 2 * min_pairs).drop("two")
+    own = companies.select("suppkey", "ruc", "empresa", key).join(per, "suppkey").groupBy(key, *buyer, "ruc").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("c"), F.collect_set("empresa").alias("e"))
+    wide = lambda x: x.cast("decimal(38,2)")
+    out = own.groupBy(key, *buyer).agg(
+        F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("own_pairs"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum(wide(F.col("m")) * F.col("n")).alias("own_mn"), F.sum(wide(F.col("m")) * F.col("c")).alias("own_mc"),
+        F.array_distinct(F.flatten(F.collect_set("e"))).alias("e"),
+    )
+    amount = wide(F.col("m")) * F.col("members") - F.col("own_mc") if dedup_contracts else wide(F.col("m")) * F.col("n") - F.col("own_mn")
+    pairs = (F.col("members") * F.col("members") - F.col("own_pairs")) / 2
+    out = out.where((pairs >= min_pairs) & (pairs > 0)).select(key, *buyer, F.size("e").cast("long").alias("n_empresas"), F.array_join(F.array_sort("e"), ",").alias("empresas"), money(amount).alias("monto_cluster"))
     return top(out, limit, F.desc("monto_cluster"), F.col(key), F.col(buyer[0]))
 
 
@@ -124,11 +125,31 @@ def direct_award_outlier(won: DataFrame, procedures=("Simplificada", "Directa"),
     for p in procedures:
         direct = direct | F.col("modalidad").contains(p)
     rows = won.where(direct).withColumn("x", F.col("monto").cast("double"))
-    cut = rows.groupBy("modalidad").agg(F.percentile("x", quantile).alias("cut"))  # one row a procedure type
-    out = rows.join(cut, "modalidad").where("x > cut").select("external_id", "ruc", "empresa", "entidad", "modalidad", F.col("x").alias("monto"), F.round("cut", 2).alias("p90_tipo"), "fecha", "region")
+    cut = quantile_of(rows, "modalidad", "x", quantile).withColumnRenamed("value", "cut")  # one row a procedure type
+    out = rows.join(F.broadcast(cut) if len(procedures) < 1_000 else cut, "modalidad").where("x > cut").select("external_id", "ruc", "empresa", "entidad", "modalidad", F.col("x").alias("monto"), F.round("cut", 2).alias("p90_tipo"), "fecha", "region")
     return top(out, limit, F.desc("monto"), F.col("external_id"))
 
 
+def quantile_of(rows: DataFrame, by: str, c: str, q: float, near: float = 0.005) -> DataFrame:
+    """(by, value): the exact interpolated quantile of each group, without a group's values in one buffer.
+
+    A sketch bounds the quantile from both sides; values below are counted, and only the different ones between are ranked.
+    """
+    sketch = F.percentile_approx(c, F.array(F.lit(max(q - near, 0.0)), F.lit(min(q + near, 1.0))), 10_000)
+    group = rows.groupBy(by).agg(F.count(c).alias("_n"), F.min(c).alias("_min"), F.max(c).alias("_max"), sketch.alias("_s"))
+    small = F.col("_n") < 2_000
+    edges = group.select(by, "_n", F.when(small, F.col("_min")).otherwise(F.col("_s")[0]).alias("_lo"), F.when(small, F.col("_max")).otherwise(F.col("_s")[1]).alias("_hi"))
+    j = rows.select(by, c).join(edges, by)
+    below = j.where(F.col(c) < F.col("_lo")).groupBy(by).agg(F.count("*").alias("_below"))
+    mid = j.where(F.col(c).between(F.col("_lo"), F.col("_hi"))).groupBy(by, c, "_n").agg(F.count("*").alias("_k")).join(below, by, "left")
+    upto = F.sum("_k").over(W.partitionBy(by).orderBy(c)) + F.coalesce("_below", F.lit(0))
+    at, mid = q * (F.col("_n") - 1), mid.withColumn("_upto", upto)
+    has = lambda i: (F.col("_upto") - F.col("_k") <= i) & (i < F.col("_upto"))
+    low, high = F.max(F.when(has(F.floor(at)), F.col(c))), F.max(F.when(has(F.ceil(at)), F.col(c)))
+    out = mid.groupBy(by, "_n").agg(low.alias("_a"), high.alias("_b"))
+    return out.select(by, (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))).alias("value"))
+
+
 def single_client(won: DataFrame, supplier=("ruc", "empresa"), client: str = "entidad", min_contracts: int = 3, max_clients: int = 1, min_years: int = 2, limit: int | None = None) -> DataFrame:
     out = won.groupBy(*supplier).agg(F.count("*").alias("n_contratos"), F.countDistinct(client).alias("n_clientes"), F.countDistinct("anio").alias("n_anios"), total("monto_total"), F.min(client).alias("cliente"))
     out = out.where((F.col("n_contratos") >= min_contracts) & (F.col("n_clientes") <= max_clients) & (F.col("n_anios") >= min_years))

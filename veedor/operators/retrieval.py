@@ -145,10 +145,12 @@ def critiqued(chunks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     return tx.critique(tx.similar_quotes(found), chunks.select("chunk_id", "text"))
 
 
-def with_retry(chunks: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """As ``critiqued``; a document with candidates of which none is accepted is searched again for twice as many hits.  ``retried`` says so."""
-    once = critiqued(chunks, queries, top)
+def with_retry(chunks: DataFrame, queries: DataFrame, top: int = 5, keep=lambda df, name: df) -> DataFrame:
+    """``keep`` may write what is used twice.  As ``critiqued``; a document with candidates of which none is accepted is searched again for twice as many hits.  ``retried`` says so."""
+    queries = keep(queries, "plan")
+    once = keep(critiqued(chunks, queries, top), "candidates")
     again = once.groupBy("document_id").agg(F.bool_or("accepted").alias("any")).where("not any").select("document_id")
+    again = keep(again, "again")
     twice = critiqued(chunks.join(again, "document_id", "left_semi"), queries.join(again, "document_id", "left_semi"), 2 * top)
     return once.join(again, "document_id", "left_anti").withColumn("retried", F.lit(False)).unionByName(twice.withColumn("retried", F.lit(True)))
 

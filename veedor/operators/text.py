@@ -142,14 +142,16 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 
     Only query tokens are joined, by equality on the token; statistics are over all chunks.
     """
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("token"))
-    tf = words.groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    rows = chunks.select("chunk_id", tokens(F.col("text")).alias("w")).withColumn("dl", F.size("w"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = rows.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = df.agg(F.avg(idf).alias("mean"))
-    df = df.crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(idf < 0, epsilon * F.col("mean")).otherwise(idf).alias("idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("token"))
+    wanted = asked.select("token").distinct()
+    df = df.join(wanted, "token", "left_semi").crossJoin(F.broadcast(mean)).select("token", "avgdl", F.when(idf < 0, epsilon * F.col("mean")).otherwise(idf).alias("idf"))
+    # Only tokens of queries are counted by chunk; the others are dropped as they are exploded.
+    tf = rows.select("chunk_id", "dl", F.explode("w").alias("token")).join(wanted, "token", "left_semi").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
     hits = asked.join(df, "token").join(tf, "token")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")

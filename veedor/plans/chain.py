@@ -11,6 +11,7 @@ from ..functions import columns as c
 from ..functions import rules
 from ..operators import retrieval as rt
 from ..operators import text as tx
+from ..sources.shared import written
 from . import star
 from .records import FOLD_SQL, PAGES_SQL, pages
 
@@ -137,12 +138,13 @@ def x20(spark, sf):
 
 @query("x22_retry")
 def x22(spark, sf):
-    return rt.with_retry(*planned(spark, sf)).select("document_id", "flag_code", "chunk_id", "reason", "accepted", "retried")
+    return rt.with_retry(*planned(spark, sf), keep=written).select("document_id", "flag_code", "chunk_id", "reason", "accepted", "retried")
 
 
 @query("x33_debug_retrieval")
 def x33(spark, sf):
     chunks, plan = planned(spark, sf)
+    plan = written(plan, "plan")
     return rt.diagnostics(plan, rt.retrieve(chunks, plan), rt.critiqued(chunks, plan, 5))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..operators import patterns as p
+from ..operators.detectors import few
 from . import star
 from .signals import DOSSIER_SQL, dossier_tables
 from .star import sql
@@ -296,4 +297,4 @@ def g10(spark, sf):
 @query("g11_api_flag_aggregate", f"WITH {DOSSIER_SQL.strip().split(', oc AS')[0]} SELECT flag_code, count(*) AS n, array_to_string(list_sort(list(DISTINCT doc_id))[1:5], ',') AS ocids FROM flag GROUP BY flag_code")
 def g11(spark, sf):
     flags, _, _ = dossier_tables(spark, sf)
-    return flags.groupBy("flag_code").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("ocid")), 1, 5).cast("array<string>"), ",").alias("ocids"))
+    return flags.groupBy("flag_code").agg(F.count("*").alias("n")).join(few(flags, "flag_code", "ocid", 5, "ocids"), "flag_code")

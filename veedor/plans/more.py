@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import audits as a
 from ..operators import documents as d
+from ..operators.detectors import few
 from . import star
 from .records import PAGES_SQL, pages
 from .star import sql
@@ -153,9 +154,10 @@ def n13(spark, sf):
     return d.first_per_contract(star.read(spark, sf, "documents"), "source", 3, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "place")
 
 
-@query("n16_index_stats", "SELECT lang, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY lang")
+@query("n16_index_stats", "SELECT lang, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:3], ',') AS samples FROM documents GROUP BY lang")
 def n16(spark, sf):
-    return star.read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    docs = star.read(spark, sf, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(few(docs, "lang", "doc_id", 3, "samples"), "lang")
 
 
 @query("n19_production_guard", "SELECT page_id FROM pages WHERE page_id % 3 > 0")
