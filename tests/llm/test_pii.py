@@ -69,7 +69,7 @@ def test_disclosure_matches_brute_force(spark):
             every = {i for _, x, y in plain(t) for i, p in enumerate(places) if p[1] > x and p[0] < y}
             for i in [*range(max(0, own[0] - 3), own[0]), *range(own[-1] + 1, min(len(places), own[-1] + 4))]:
                 if i not in every:
-                    here.append(((k, t[a:b].lower()), t[slice(*places[i])].lower(), places[i]))
+                    here += [(name, t[slice(*places[i])].lower(), places[i]) for name in pii.protected(k, t[a:b])]
         near.append(here)
         for w in {w.lower() for w in t.split()}:
             n_t[w] = n_t.get(w, 0) + 1
@@ -87,7 +87,7 @@ def test_disclosure_matches_brute_force(spark):
         base = plain(t or "")
         extra = sorted((5 if d >= 0.6 else 4, *p) for p, d in best.items() if d >= 0.2)
         say = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
-        want.append((i, *(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(say(base).encode()).hexdigest(), say(base + extra)))
+        want.append((i, *(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(say(base).encode()).hexdigest(), say(base + extra), len(extra)))
     assert got == sorted(map(str, want))
     assert any("term_general" in x for x in got) and any("term_remove" in x for x in got)
 
@@ -99,3 +99,17 @@ def test_sanitised_text(spark):
     assert "[EMAIL]" in got[0] and "@" not in got[0] and "surgeon" not in got[0]
     assert got[102] == "[IP] host [CARD]" and got[100] == "" and got[1] == dict(corpus())[1]
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_an_entity_of_one_text_has_evidence_by_what_it_shares(spark):
+    """Each address stands in one text; their domain, and the word that goes with it, in several."""
+    rows = [(i, f"filler{i} text acme person{i}@acme.example more filler{i}") for i in range(5)] + [(50 + i, f"filler{i} text other{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert all("acme" not in got[i] and "[EMAIL]" in got[i] for i in range(5)) and all(got[i] == t for i, t in rows if i >= 50)
+    assert pii.protected(0, "A.b@X.org") == ["email:a.b@x.org", "email~x.org"] and pii.protected(1, "10.1.2.3")[1] == "ip~10.1.2"
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000 + "a@b.org " + "word " * 10), (2, "x")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_email) for r in pii.report(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]

@@ -4,7 +4,9 @@ Patterns find protected entities.  After Sanchez and Batet's C-sanitisation, a t
 their pointwise mutual information, estimated from co-occurrence over the whole corpus, covers the entity's
 information content: disclosure = PMI(t; e) / -log2 p(e), which is 1 when t never occurs without e.  Terms near an
 entity whose disclosure reaches ``generalise`` are replaced by a class of words, from ``remove`` on they are taken out.
-Pairs seen together in fewer than ``support`` texts are no evidence.  Only texts that hold the entity change.
+An entity is protected as itself and as what it shares with others (an address's domain, a number's first digits), so
+an entity of one text has evidence too; a term goes by the larger disclosure.  Pairs seen together in fewer than ``support``
+texts are no evidence.  Only texts that hold the entity change.
 """
 
 from __future__ import annotations
@@ -69,6 +71,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def protected(kind: int, text: str) -> list[str]:
+    """An entity's names: itself, and its domain, network, issuer or area."""
+    text = text.lower()
+    digits = "".join(c for c in text if c.isdigit())
+    shared = (text.rpartition("@")[2], text.rpartition(".")[0], digits[:6], digits[:5])[kind]
+    return [f"{KINDS[kind]}:{text}", f"{KINDS[kind]}~{shared}"]
+
+
 def around(text: str, spans: list[tuple[int, int, int]], hashes: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
     """(entity, term, start, end) for the words within ``window`` words of each entity that overlap no entity themselves."""
     places = [m.span() for m in WORD.finditer(text)]
@@ -79,10 +89,10 @@ def around(text: str, spans: list[tuple[int, int, int]], hashes: np.ndarray, win
         taken[low:high] = True
     out = []
     for (kind, a, b), (low, high) in zip(spans, inside):
-        entity = xxhash.xxh64_intdigest(f"{KINDS[kind]}:{text[a:b].lower()}") - (1 << 63)
-        for i in [*range(max(0, low - window), low), *range(high, min(len(places), high + window))]:
-            if not taken[i]:
-                out.append((entity, int(hashes[i : i + 1].view(np.int64)[0]), *places[i]))
+        near = [i for i in [*range(max(0, low - window), low), *range(high, min(len(places), high + window))] if not taken[i]]
+        for name in protected(kind, text[a:b]):
+            entity = xxhash.xxh64_intdigest(name) - (1 << 63)
+            out += [(entity, int(hashes[i : i + 1].view(np.int64)[0]), *places[i]) for i in near]
     return out
 
 
@@ -128,11 +138,11 @@ def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: floa
     return joined.where(content > 0).select("e", "t", (pmi / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
-def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 6, support: int = 3, generalise: float = 0.6, remove: float = 0.9, filter_bits: int = 1 << 24) -> DataFrame:
+def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, support: int = 3, generalise: float = 0.6, remove: float = 0.9, filter_bits: int = 1 << 24) -> DataFrame:
     """(doc_id, th, spans) for every row; spans: array of (kind, start, end), kind an index of KINDS, base ones first.
 
-    Null and empty texts have no spans.  Rows with one id and one text have the same spans.  ``filter_bits`` bounds
-    the bitmap of candidate terms; a full one costs time and loses nothing.
+    Null and empty texts have no spans.  Rows with one id and one text have the same spans; very long texts count whole;
+    an empty table gives no row; other columns are not looked at.  ``filter_bits`` bounds the bitmap of candidate terms; a full one costs time and loses nothing.
     """
     rows = keyed(docs, id_col, text_col)
     found = written(rows.mapInArrow(lambda b: _found(b, window), f"doc_id long, th {TH}, base array<struct<kind:int,start:int,end:int>>, near array<struct<e:long,t:long,start:int,end:int>>"), "entities")
@@ -152,14 +162,18 @@ def said(spans):
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for every row: nulls, repeats and long texts as ``detected`` takes them."""
     found = detected(docs, **options)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = F.filter("spans", lambda s: s["kind"] < 4)
-    return found.select("doc_id", *map(count, range(4)), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, range(4)), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] > 3)).cast("long").alias("n_term"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, text): entities replaced by their kind in brackets, general terms by the class of word they are, removed terms by nothing."""
+    """(doc_id, text): entities replaced by their kind in brackets, general terms by the class of word they are, removed terms by nothing.
+
+    Null texts become empty; repeated rows each get a row; other columns are not looked at.
+    """
     rows = keyed(docs, id_col, text_col)
     spans = detected(docs, id_col, text_col, **options).dropDuplicates(["doc_id", "th"])
 
