@@ -243,3 +243,22 @@ def test_quantiles_are_exact_without_a_group_in_one_buffer(spark):
         xs, at = sorted(xs), 0.9 * (len(xs) - 1)
         a, b = xs[math.floor(at)], xs[math.ceil(at)]
         assert got[g] == pytest.approx(a + (b - a) * (at - math.floor(at)))
+
+
+def test_doctrine_chunks(spark):
+    body = "\n\n".join(f"Paragraph {i} " + "text " * 30 for i in range(9)) + "\n\nsole source, audit trail"
+    pages = spark.createDataFrame([("d", 1, "Red Flags of Procurement\n\n" + body), ("d", 2, "no title here.\n\nshort"), ("d", 3, None), ("e", 1, "x")], "document_id string, page_number int, text string")
+    got = tx.paragraph_chunks(pages).orderBy("document_id", "page_number", "chunk_index").collect()
+    first = [x for x in got if (x.document_id, x.page_number) == ("d", 1)]
+    want, held = [], []
+    for p in re.split(r"\n\s*\n", re.sub(r"[ \t]+", " ", pages.first().text).strip()):
+        size = sum(len(x.strip()) + 2 for x in held) - (2 if want else 0)
+        if held and size >= 200 and size + len(p.strip()) > 700:
+            want.append("\n\n".join(x.strip() for x in held))
+            held = [p]
+        else:
+            held.append(p)
+    want.append("\n\n".join(x.strip() for x in held))
+    assert [x.text for x in first] == want and all(x.section == "Red Flags of Procurement" for x in got if x.document_id == "d")
+    assert first[-1].flag_codes == ["SPECIFIC_EQUIPMENT_REQUIREMENT", "LOW_TRACEABILITY_OUTPUT", "AI_NO_AUDIT_TRAIL"] and first[0].flag_codes == []
+    assert [x.section for x in got if x.document_id == "e"] == [None]

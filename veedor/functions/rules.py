@@ -260,3 +260,16 @@ PORTAL = {
 # A row's record type by its category; other categories are their own.
 RECORD_TYPES = {"procedimientos": "contract", "convocatorias": "contract", "contratos": "contract", "ordenes_compra": "purchase_order", "proveedores": "company", "entidades": "public_entity", "comites": "committee_member", "pac": "annual_plan", "pronunciamientos": "pronouncement"}
 RISK_HINTS = {"contratacion_directa": ["contratacion directa", "contratación directa"], "unico_postor": ["unico postor", "único postor", "postor unico"], "proceso_desierto": ["desierto"]}
+
+# Words of doctrine texts and the flags that they speak of, in this order; lower case, without accents.
+DOCTRINE_WORDS = {
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": ("excessive documentation", "documentary requirements", "documentary burden", "notari", "legaliz", "physical document", "lengthy paperwork", "burdensome documentation", "administrative burden", "compliance with paperwork"),
+    "OBSOLETE_PHYSICAL_FORMAT": ("physical format", "printed copies", "paper-based", "hard copy", "in person submission"),
+    "OVER_SPECIFIED_EXPERIENCE": ("over-specified experience", "narrow experience", "tailored experience", "tailored to a specific", "restrictive qualification", "qualification criteria", "narrow qualification", "specific bidder", "tailoring requirements", "unreasonable prequalification", "restrictive prequalification", "prequalification requirements", "technical specifications are too", "specifications too narrow", "favor a specific", "prequalification criteria"),
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": ("brand name specification", "specific brand", "or equivalent", "particular brand", "single source", "sole source", "specifications are too broad or too narrow", "technical specifications too narrow", "specifications favor", "tailored to a specific bidder", "trademark"),
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": ("excessive certification", "iso certification", "certification requirement", "accreditation requirement"),
+    "SUBJECTIVE_EVALUATION_CRITERIA": ("subjective criteria", "discretion", "discretionary", "without measurable", "without clear criteria", "evaluator's judgment", "without weighted criteria"),
+    "UNREALISTIC_DEADLINE": ("short deadline", "tight deadline", "insufficient time", "unreasonable timeline", "rushed timeline", "abnormally short"),
+    "LOW_TRACEABILITY_OUTPUT": ("traceability", "audit trail", "machine readable", "structured data", "open data", "dataset deliverable", "non-structured"),
+    "AI_NO_AUDIT_TRAIL": ("ai accountability", "automated decision", "algorithmic", "ai governance", "human oversight", "audit trail"),
+}

@@ -7,6 +7,7 @@ import math
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -300,10 +301,49 @@ def weakened(flags: DataFrame, weak: Column, most: float = 0.45) -> DataFrame:
     return flags.withColumns({"severity": F.when(weak, "low").otherwise(F.col("severity")), "confidence": F.when(weak, F.least("confidence", F.lit(most))).otherwise(F.col("confidence"))})
 
 
+def doctrine_flags(text: Column, words: dict = rules.DOCTRINE_WORDS) -> Column:
+    """The flags of which a doctrine text has a word, in the table's order."""
+    hay = F.lower(c.fold(text))
+    has = lambda ws: reduce(lambda a, b: a | b, [hay.contains(w) for w in ws])
+    return F.array_compact(F.array(*[F.when(has(ws), F.lit(code)) for code, ws in words.items()]))
+
+
+#: Small words of a title in title case.
+TITLE_WORDS = ("and", "of", "in", "to", "the", "for")
+
+
+def title_of(text: str) -> str | None:
+    """The first of a page's first eight lines that is a title: 2 to 12 words, at most 90 characters, no full stop, all but one capitalised or small."""
+    for line in text.splitlines()[:8]:
+        line = line.strip()
+        words = line.split()
+        if line and len(line) <= 90 and not line.endswith(".") and 2 <= len(words) <= 12:
+            if sum(w[0].isupper() or w in TITLE_WORDS for w in words) >= max(2, len(words) - 1):
+                return line
+    return None
+
+
+def packed_paragraphs(text: str, target: int, least: int) -> list[str]:
+    """Paragraphs joined until the next would pass ``target`` characters, once there are ``least``."""
+    if len(text) <= target:
+        return [text] if text.strip() else []
+    parts, held, size = [], [], 0
+    for paragraph in map(str.strip, re.split(r"\n\s*\n", text)):
+        if not paragraph:
+            continue
+        if held and size >= least and size + len(paragraph) > target:
+            parts.append("\n\n".join(held))
+            held, size = [paragraph], len(paragraph)
+        else:
+            held.append(paragraph)
+            size += len(paragraph) + 2
+    return [p for p in [*parts, "\n\n".join(held)] if p]
+
+
 def paragraph_chunks(pages: DataFrame, target: int = 700, least: int = 200) -> DataFrame:
-    """(document_id, page_number, chunk_index, section, text): paragraphs packed to about ``target`` characters; a page's last title carries on.
+    """(document_id, page_number, chunk_index, section, text, quote, flag_codes): a page's paragraphs packed to about ``target`` characters, with the flags they speak of.
 
-    Each page is packed on its own; a title is the last heading on this or an earlier page of the document.
+    Each page is packed on its own; the section is the title on this or the last earlier page of the document that has one.
     """
     kind = "document_id string, page_number int, chunk_index int, section string, text string"
 
@@ -311,20 +351,10 @@ def paragraph_chunks(pages: DataFrame, target: int = 700, least: int = 200) -> D
         for batch in batches:
             rows = []
             for doc, page, text in zip(batch["document_id"], batch["page_number"], batch["text"]):
-                packed, section = [], None
-                for paragraph in re.split(r"\n\s*\n|\n", text or ""):
-                    paragraph = paragraph.strip()
-                    if not paragraph:
-                        continue
-                    if HEADING.fullmatch(paragraph):
-                        section = paragraph
-                    if packed and len(packed[-1]) + len(paragraph) < target or packed and len(packed[-1]) < least:
-                        packed[-1] += "\n" + paragraph
-                    else:
-                        packed.append(paragraph)
-                rows += [(doc, page, i, section, body) for i, body in enumerate(packed)]
+                text = re.sub(r"[ \t]+", " ", text or "").strip()
+                rows += [(doc, page, i, title_of(text), body) for i, body in enumerate(packed_paragraphs(text, target, least))]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
 
     rows = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), "text").mapInPandas(run, kind)
     carried = F.last("section", True).over(W.partitionBy("document_id").orderBy("page_number", "chunk_index"))
-    return rows.withColumn("section", carried)
+    return rows.withColumns({"section": carried, "quote": F.trim(F.substring("text", 1, 480)), "flag_codes": doctrine_flags(F.col("text"))})

@@ -178,7 +178,8 @@ def t34(spark, sf):
 
 @query("x6_paragraph_chunks")
 def x6(spark, sf):
-    return tx.paragraph_chunks(pages(spark, sf))
+    said = F.when(F.col("doc_id") % 5 == 0, "\n\nThe Discretion of the Evaluator\nsole source or equivalent; audit trail").otherwise("")
+    return tx.paragraph_chunks(pages(spark, sf).withColumn("text", F.concat(F.regexp_replace("text", r"\. ", ".\n\n"), said))).withColumn("flag_codes", F.array_join("flag_codes", ","))
 
 
 @query("x14_index_save_load", "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
