@@ -49,3 +49,16 @@ def test_too_few_labels(spark, labels):
     model = quality_zstd.fit(df, y)
     assert {0 <= r.score <= 1 for r in quality_zstd.scored(df, model).collect()} == {True}
     assert quality_zstd.scored(df.limit(0), model).count() == 0
+
+
+def test_scores_do_not_depend_on_how_rows_lie(spark):
+    """Nor on bounds that bind; repeated rows and a very long text are scored like any other."""
+    docs, labels = corpus(300)
+    rows = [*docs, docs[3], (5_000, "long text " * 300_000, "s")]
+    df, y = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    options = {"per_class": 40, "calibration": 100, "sample_bytes": 8_000}
+    scores = []
+    for d, lab in ((df, y), (df.repartition(7), y.repartition(5)), (df.orderBy(quality_zstd.F.desc("text")), y.orderBy(quality_zstd.F.desc("doc_id")))):
+        got = quality_zstd.scored(d, quality_zstd.fit(d, lab, **options)).collect()
+        scores.append(sorted((r.doc_id, r.score) for r in got))
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(rows)

@@ -32,6 +32,31 @@ def brute(text):
     return [n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, cover(8), cover(4), max(runs, default=0)]
 
 
+def brute_by_windows(text):
+    """As brute, by sets of windows, for long texts: a word is covered if it is in a window that comes twice."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = len(w)
+
+    def twice(k):
+        seen = {}
+        for i in range(n - k + 1):
+            seen.setdefault(tuple(w[i : i + k]), []).append(i)
+        return [i for places in seen.values() if len(places) > 1 for i in places]
+
+    cover = lambda k: len({i + j for i in twice(k) for j in range(k)})
+    low, high = 0, n
+    while low < high:  # runs of each length below the longest come twice as well
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if twice(middle) else (low, middle - 1)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return [n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), cover(8), cover(4), low]
+
+
+def test_both_brute_versions_agree():
+    assert all(brute(t) == brute_by_windows(t) for t in some_texts())
+
+
 def some_texts():
     r = random.Random(7)
     out = ["", None, " \n ", "a", "a a", "x " * 60, "é ü ñ 東京 🙂\n\né ü ñ 東京 🙂\r\né ü", "a\nb\n a\na\n\n\nb", "\na", "a\n"]

@@ -111,3 +111,14 @@ def test_nothing_too_large_is_dropped_after_the_last_dealing():
     with pytest.raises(RuntimeError):
         list(simhash._met(3, 2, True)([rows]))
     assert sum(b.num_rows for b in simhash._met(3, 2)([rows])) == 3
+
+
+def test_a_long_text_in_pieces_has_the_same_fingerprint():
+    import random
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["ab", "c", "d" * 40]) for _ in range(r.randint(0, 80))) + r.choice(["", " ", "\n\n"]) for _ in range(60)] + ["", " ", "one", "one two", "x" * 500]
+    for text in texts:
+        assert {simhash.fingerprint(text.encode(), piece=p) for p in (1, 7, 64, 1 << 20)} == {brute_fp(text)}
+    long = "lorem ipsum dolor " * 400_000
+    assert simhash.fingerprint(long.encode()) == simhash.fingerprint(long.encode(), piece=1 << 16)

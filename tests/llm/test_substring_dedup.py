@@ -102,3 +102,12 @@ def test_blocks_cover_every_window_once():
     start, size, _ = substring_dedup.blocks(w.hashes, w.first, 9)
     got = [p for s, n in zip(start, size) for p in range(s, s + n)]
     assert got == [p for a, b in zip(w.first[:-1], w.first[1:]) for p in range(a, b - 8)]
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"u{i}" for i in range(150_000)) + " " + passage + " " + " ".join(f"v{i}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, long), (2, "x " + passage), (3, "same " * 200_000)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.removed(docs).collect()}
+    assert got == {1: (300_060, 60), 2: (61, 60), 3: (200_000, 200_000)}

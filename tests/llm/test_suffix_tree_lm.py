@@ -126,3 +126,25 @@ def test_evidence_counts_alike_at_every_size(spark, travel):
     alone = {r.doc_id: r.score - r.base_score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), least_context=2e-4, least_pair=2e-4).collect()}
     many = {r.doc_id: r.score - r.base_score for r in got}
     assert all(many[600 + i] > alone[600 + i] + 3 for i in range(4))
+
+
+def test_very_long_text_and_small_flushes(spark, monkeypatch):
+    """A text of many flushes' size, and rows over many flushes, score as by brute force."""
+    r = random.Random(8)
+    rows = corpus() + [(700, " ".join(f"w{r.randrange(50)}" for _ in range(30_000)))]
+    want, _ = brute(rows, 2, 0.0, 0.0)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = lambda x: (str(x[0]), x[2])
+    for a, b in zip(sorted(map(tuple, lm.scored(docs, least_head=0.01, least_sent=0.01).collect()), key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+
+
+def test_index_finds_each_hash():
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        values = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) >> np.uint64(r.integers(0, 40)))
+        asked = np.concatenate([values, r.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at = lm.Index(values).find(asked)
+        where = {int(v): i for i, v in enumerate(values)}
+        assert at.tolist() == [where.get(int(x), -1) for x in asked]

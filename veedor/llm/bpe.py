@@ -232,7 +232,9 @@ def encode(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
 
 
 def decode(encoded: DataFrame, ranks: Ranks, ids_col: str = "ids") -> DataFrame:
-    """The rows with a further column ``decoded`` (binary): the bytes of all ids, joined.  Null ids: no bytes."""
+    """The rows with a further column ``decoded`` (binary): the bytes of all ids, joined.  Null ids: no bytes.  A column of that name is an error."""
+    if "decoded" in encoded.columns:
+        raise ValueError("there is a column named decoded already")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -210,8 +210,8 @@ def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
 def least(df: DataFrame, rank: str, most: int, *ties: str) -> DataFrame:
     """The ``most`` rows with the least ``rank`` (an XXH64 of a key), ties by ``ties``: at most about that many rows meet in one task, whatever the table's size."""
     n = df.count()
-    if n > 2 * most:
-        share = (most + 8 * most**0.5 + 100) / n  # of evenly spread ranks; that fewer than most fall below is beyond chance
+    share = (most + 8 * most**0.5 + 100) / max(n, 1)  # of evenly spread ranks; that fewer than most fall below is beyond chance
+    if share < 1:
         few = df.where(F.col(rank) < F.lit(int(-(2**63) + share * 2**64)))
         if few.count() >= most:
             df = few

@@ -209,6 +209,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
     base_failed: fewer than 20 words, or over 30 % of words in repeated 8-word windows.  The method fails a text
     when maximal repeats of ``min_words`` words or more cover over ``max_covered`` of it, or one has over ``max_repeat`` words.
+    Null and empty texts have no words and fail; repeated rows each get a row; very long texts count whole; an empty table gives none.
     """
     m = measured(docs, id_col, text_col, min_words)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -217,7 +218,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that pass, all columns as they were."""
+    """The rows of docs that pass (see ``judged``), all columns as they were, whatever their names."""
     kind = StructType([StructField("_row", docs.schema)])
     limits = {"min_words": 4, "max_covered": 0.4, "max_repeat": 120} | options
 
