@@ -32,14 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors.
 
     Tables that a result may still be read from stay until the folder is cleared; the others go with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = path
     return table

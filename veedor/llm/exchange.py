@@ -9,6 +9,7 @@ counts cost a third of what rows of the same numbers do.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from . import common
+
 ROWS = "place int, kind int, flush long, n int, blob binary"
 NAMES = ["place", "kind", "flush", "n", "blob"]
 #: Values that a place holds on average, at most.
-PER_PLACE = 1_000_000
+PER_PLACE = 2_000_000
 Part = tuple[int, list[np.ndarray]]
 _COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
@@ -31,6 +34,21 @@ def places_for(spark: SparkSession, values: int) -> int:
     return 1 << (least - 1).bit_length()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A packed table in the shared folder; its blobs are compressed already, and a codec's buffers outside the heap would only pile up."""
+    return common.written(df, name, "uncompressed")
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back, so that a worker that waits for its next task does not keep what its last one needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def packed(columns: list[np.ndarray]) -> bytes:
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
     return _COMPRESSOR.compress(b"".join(planes))
@@ -59,7 +77,11 @@ def dealt(parts: Iterator[Part], places: int, flush: int = 0, thin: Callable = l
         columns = [c[order] for c in columns]
         place = (columns[0] >> shift).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1, [len(place)]])
-        yield rows([(int(place[a]), kind, flush, int(b - a), packed(thin([c[a:b] for c in columns]))) for a, b in zip(cuts[:-1], cuts[1:])])
+        batch = rows([(int(place[a]), kind, flush, int(b - a), packed(thin([c[a:b] for c in columns]))) for a, b in zip(cuts[:-1], cuts[1:])])
+        del columns, place, order
+        trim()
+        yield batch
+    trim()
 
 
 def together(parts: Iterator[Part], least: int = 500_000) -> Iterator[Part]:
@@ -101,6 +123,7 @@ def met(table: DataFrame, places: int, settle: Callable[[int, Iterator[Row]], It
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, rows in groupby(each(batches), lambda row: row[at]):
             yield from settle(place, (row[1:] for row in rows))
+            trim()
 
     return table.repartition(places, by).sortWithinPartitions(by, "kind").mapInArrow(run, schema)
 

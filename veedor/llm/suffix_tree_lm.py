@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import Words, discard, mix, slices, tally, words, written
+from .common import Words, discard, mix, slices, tally, words
 
 #: The end's hash; no word has it unless by a chance of 2**-64.
 END = np.uint64(0x0EAD_0F7E_C7E4_D001)
@@ -157,7 +157,7 @@ def counted(learn: DataFrame, places: int) -> tuple[int, int, DataFrame]:
     """(number of tokens, of different ones, a table of PRIOR rows of all of them); lp and own are filled in later."""
 
     def unigrams(batches):
-        found = tally((sequence_tokens(words(b.column(1), fold=True)).view(np.int64) for b in slices(batches)), "h")
+        found = tally((sequence_tokens(words(b.column(1), fold=True)).view(np.int64) for b in slices(batches)), "h", HELD)
         return exchange.dealt(((RUN, [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()]) for b in found), places)
 
     def settle(place, held):
@@ -168,7 +168,7 @@ def counted(learn: DataFrame, places: int) -> tuple[int, int, DataFrame]:
         blob = exchange.packed([h, n, np.zeros(len(h)), np.zeros(len(h))])
         yield pa.RecordBatch.from_arrays([pa.array([n.sum()]), pa.array([PRIOR], pa.int32()), pa.array([0]), pa.array([len(h)], pa.int32()), pa.array([blob])], ["n_tokens", *exchange.NAMES[1:]])
 
-    table = written(exchange.met(learn.mapInArrow(unigrams, exchange.ROWS), places, settle, "n_tokens long, kind int, flush long, n int, blob binary"), "tokens")
+    table = exchange.written(exchange.met(learn.mapInArrow(unigrams, exchange.ROWS), places, settle, "n_tokens long, kind int, flush long, n int, blob binary"), "tokens")
     n, v = (int(x) for x in table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first())
     return n, v, table
 
@@ -221,7 +221,7 @@ def grown(learn: DataFrame, max_context: int, least_count: int, least_context: f
 
         dealt_runs = learn.mapInArrow(lambda b, found=found: exchange.dealt(tally_runs(found(b)), places), exchange.ROWS)
         suffixes = prior.mapInArrow(lambda b, priors=priors: exchange.dealt(((PRIOR, [h[m >= floor], lp[m >= floor]]) for h, m, lp, _ in priors(b)), places), exchange.ROWS)
-        seen = written(exchange.met(dealt_runs.unionByName(suffixes), places, with_suffix), "runs")
+        seen = exchange.written(exchange.met(dealt_runs.unionByName(suffixes), places, with_suffix), "runs")
         def entered(place, held, length=length, first=first):
             """The divergence test of each context: its entries, and the weights of the runs one shorter."""
             (p, s, m, suffix), (h, total, own) = exchange.gathered(held, {RUN: KINDS[RUN], PRIOR: ["u8", "i8", "f8"]}).values()
@@ -257,7 +257,7 @@ def grown(learn: DataFrame, max_context: int, least_count: int, least_context: f
 
         entries = seen.mapInArrow(lambda b: exchange.dealt(((RUN, c) for _, c in parts_of(b, RUN)), places), exchange.ROWS)
         contexts = prior.mapInArrow(lambda b, priors=priors: exchange.dealt(((PRIOR, [h, m, own]) for h, m, _, own in priors(b)), places), exchange.ROWS)
-        prior = written(exchange.met(entries.unionByName(contexts), places, entered), "entries")
+        prior = exchange.written(exchange.met(entries.unionByName(contexts), places, entered), "entries")
         levels.append(prior)
         sent.unpersist()
         discard(seen, *([] if length > 2 else [tokens]))
@@ -271,7 +271,7 @@ def grown(learn: DataFrame, max_context: int, least_count: int, least_context: f
     table = prior.mapInArrow(last, exchange.ROWS)
     for level in levels:
         table = table.unionByName(level.where(F.col("kind") != PRIOR))
-    table = written(table, "weights")
+    table = exchange.written(table, "weights")
     discard(*levels)
     return n, v, table
 
