@@ -182,11 +182,13 @@ def x6(spark, sf):
     return tx.paragraph_chunks(pages(spark, sf).withColumn("text", F.concat(F.regexp_replace("text", r"\. ", ".\n\n"), said))).withColumn("flag_codes", F.array_join("flag_codes", ","))
 
 
-@query("x14_index_save_load", "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings")
+@query("x14_index_save_load", "SELECT vec_id, len(embedding)::INT AS dim, length(text) AS chars FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
 def x14(spark, sf):
     path = fresh_path(spark, "index")
-    sinks.save_index(star.read(spark, sf, "embeddings").select("vec_id", "embedding"), path, "hash", 64)
-    return sinks.load_index(spark, path, "hash", 64).select("vec_id", F.size("embedding").alias("dim"))
+    chunks = star.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    sinks.save_index(star.read(spark, sf, "embeddings").select("vec_id", "embedding"), path, "hash", 64, chunks)
+    loaded = sinks.load_index(spark, path, "hash", 64).join(sinks.load_chunks(spark, path), "vec_id", "left")
+    return loaded.select("vec_id", F.size("embedding").alias("dim"), F.length("text").cast("long").alias("chars"))
 
 
 @query("k9_run_artifacts", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS n FROM page WHERE regexp_matches(lower(translate(text, 'áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ', 'aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC')), '[a-z]+ \\| [a-z]+') GROUP BY 1")

@@ -46,9 +46,11 @@ def contract_chunks(won: DataFrame) -> DataFrame:
     return won.select("external_id", text.alias("text"), tags.alias("tags"), meta.alias("metadata"))
 
 
-def save_index(vectors: DataFrame, path: str, model: str, dim: int) -> None:
-    """Vectors with a manifest of what made them."""
+def save_index(vectors: DataFrame, path: str, model: str, dim: int, chunks: DataFrame | None = None) -> None:
+    """Vectors, and the chunks that they stand for, with a manifest of what made them."""
     spark = vectors.sparkSession
+    if chunks is not None:
+        chunks.write.mode("overwrite").parquet(f"{path}/chunks")
     vectors.write.mode("overwrite").parquet(f"{path}/vectors")
     spark.createDataFrame([(model, dim)], "model string, dim int").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
@@ -61,6 +63,11 @@ def load_index(spark, path: str, model: str, dim: int) -> DataFrame:
     return spark.read.parquet(f"{path}/vectors")
 
 
+def load_chunks(spark, path: str) -> DataFrame:
+    """The chunks of an index that were saved with it."""
+    return spark.read.parquet(f"{path}/chunks")
+
+
 def document_tables(tables: dict[str, DataFrame], path: str, order: str) -> dict[str, DataFrame]:
     """Idempotent loads of a document store's tables, each by its own key; the latest by ``order`` stays."""
     keys = {"documents": ["document_id"], "pages": ["document_id", "page_number"], "chunks": ["document_id", "chunk_index"], "flags": ["document_id", "flag_code", "page_number", "quote"], "embeddings": ["chunk_id"]}
