@@ -30,6 +30,32 @@ def plain(text):
     return out
 
 
+def secrets(text):
+    """Assignments to a key's name of 16 or more signs with a letter and a digit."""
+    out = []
+    for m in re.finditer(r"(?i)(?<![a-z0-9])(api_key|token|password) {0,3}[:=] {0,3}[\"']?([a-z0-9+/_.=~-]{16,})[\"']?", text):
+        if re.search("[0-9]", m[2]) and re.search("[a-z]", m[2], re.I):
+            out.append((4, *m.span()))
+    return out
+
+
+def replaced(text, spans):
+    """The text sign by sign: the first sign of a span says what it was."""
+    out, at = "", 0
+    for k, a, b in sorted(spans, key=lambda x: x[1:]):
+        if b > at:
+            said = f"[{pii.KINDS[k].upper()}]" if k < 5 else "[NUMBER]" if text[a:b].strip(".,;:").isdigit() else "[NAME]" if text[a].isupper() else "[WORD]"
+            out, at = out + text[at:a] + (said if k < 6 else ""), b
+    return out + text[at:]
+
+
+def test_credentials():
+    for text in ['x token = "04dbebab91ab85687d33" y', "API_KEY: abcdefghij0123456789", "password=short1", "a token = aaaaaaaaaaaaaaaaaaaaaaa", "tokens = 04dbebab91ab85687d33", "the token: 04dbebab91ab85687d33, é token='A1b2C3d4E5f6G7h8'"]:
+        assert pii.secret_spans(text) == secrets(text)
+    assert pii.protected(4, 'Token = "04db"') == ['secret:token = "04db"', "secret~token"]
+    assert pii.secret_spans("token=" * 100_000) == [] and pii.secret_spans("token " * 100_000) == []
+
+
 def test_base_spans_match_the_patterns():
     @settings(max_examples=1500, deadline=None)
     @given(st.text("ab@.1250+-() %_é,\n4", max_size=60))
@@ -51,7 +77,7 @@ def corpus():
     plainwords = [f"word{i}" for i in range(30)]
     text = lambda *x: " ".join([*r.choices(plainwords, k=8), *x, *r.choices(plainwords, k=8)])
     rows = [(i, text("surgeon", "ana@hospital.example", "lima") if i % 4 == 0 else text("surgeon") if i % 4 == 1 and i < 30 else text("lima" if i % 3 else "x")) for i in range(80)]
-    return rows + [(100, None), (101, ""), (None, "call +51 1 555 0000 or ana@hospital.example"), (4, rows[4][1]), (102, "192.168.0.1 host 4111111111111111")]
+    return rows + [(100, None), (101, ""), (None, "call +51 1 555 0000 or ana@hospital.example"), (4, rows[4][1]), (102, "192.168.0.1 host 4111111111111111"), (103, 'a token = "04dbebab91ab85687d33" Lima b')]
 
 
 def test_disclosure_matches_brute_force(spark):
@@ -60,13 +86,14 @@ def test_disclosure_matches_brute_force(spark):
     options = {"window": 3, "support": 3, "generalise": 0.2, "remove": 0.6}
     got = sorted(map(str, map(tuple, pii.report(docs, **options).collect())))
     near, n_t, n_e, n_et = [], {}, {}, {}
+    entities = lambda t: plain(t) + secrets(t)
     for _, t in rows:
         t = t or ""
         places = [m.span() for m in re.finditer(r"\S+", t)]
         here = []
-        for k, a, b in plain(t):
+        for k, a, b in entities(t):
             own = [i for i, p in enumerate(places) if p[1] > a and p[0] < b]
-            every = {i for _, x, y in plain(t) for i, p in enumerate(places) if p[1] > x and p[0] < y}
+            every = {i for _, x, y in entities(t) for i, p in enumerate(places) if p[1] > x and p[0] < y}
             for i in [*range(max(0, own[0] - 3), own[0]), *range(own[-1] + 1, min(len(places), own[-1] + 4))]:
                 if i not in every:
                     here += [(name, t[slice(*places[i])].lower(), places[i]) for name in pii.protected(k, t[a:b])]
@@ -84,10 +111,10 @@ def test_disclosure_matches_brute_force(spark):
             if n_et[e, w] >= 3:
                 d = math.log2(n_et[e, w] * len(rows) / n_t[w] / n_e[e]) / math.log2(len(rows) / n_e[e])
                 best[place] = max(best.get(place, 0), d)
-        base = plain(t or "")
-        extra = sorted((5 if d >= 0.6 else 4, *p) for p, d in best.items() if d >= 0.2)
+        base, secret = plain(t or ""), secrets(t or "")
+        extra = sorted((6 if d >= 0.6 else 5, *p) for p, d in best.items() if d >= 0.2)
         say = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
-        want.append((i, *(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(say(base).encode()).hexdigest(), say(base + extra), len(extra)))
+        want.append((i, *(sum(k == x for x, _, _ in base) for k in range(4)), hashlib.sha256(say(base).encode()).hexdigest(), say(base + secret + extra), len(secret), len(extra), len(base + secret + extra), hashlib.sha256(replaced(t or "", base + secret + extra).encode()).hexdigest()))
     assert got == sorted(map(str, want))
     assert any("term_general" in x for x in got) and any("term_remove" in x for x in got)
 

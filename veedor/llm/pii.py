@@ -7,10 +7,13 @@ entity whose disclosure reaches ``generalise`` are replaced by a class of words,
 An entity is protected as itself and as what it shares with others (an address's domain, a number's first digits), so
 an entity of one text has evidence too; a term goes by the larger disclosure.  Pairs seen together in fewer than ``support``
 texts are no evidence.  Only texts that hold the entity change.
+
+Beside the four base kinds, credentials (a key's name, a sign and a value) are entities too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,13 +25,19 @@ from pyspark.sql import functions as F
 
 from .common import TH, bitmap, in_bitmap, keyed, same_row, slices, tally, words, written
 
-KINDS = ["email", "ip", "card", "phone", "term_general", "term_remove"]
+KINDS = ["email", "ip", "card", "phone", "secret", "term_general", "term_remove"]
+#: Kinds below BASE are those of the contract, kinds below ENTITY are protected; the others are terms.
+BASE, ENTITY = 4, 5
 #: Each is linear in the text: possessive repeats, and no start inside a run that a start before it has covered.
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|passw(?:or)?d)[\x20\t]{0,3}[:=][\x20\t]{0,3}[\"']?(?P<value>[A-Za-z0-9+/_.=~-]{16,}+)[\"']?",
+    re.IGNORECASE | re.ASCII,
+)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LUHN = [sum(divmod(2 * d, 10)) for d in range(10)]
 
@@ -71,11 +80,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of credentials: the whole assignment, if its value has letters and digits."""
+    found = (m for m in SECRET.finditer(text) if any(c.isdigit() for c in m["value"]) and any(c.isalpha() for c in m["value"])) if "=" in text or ":" in text else ()
+    return [(BASE, *m.span()) for m in found]
+
+
+def cleaned(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Entities replaced by their kind in brackets, general terms by the class of word they are, removed terms by nothing; of overlapping spans the first counts."""
+    parts, at = [], 0
+    for kind, start, end in sorted(spans, key=lambda s: s[1:]):
+        if end <= at:
+            continue
+        word = text[start:end]
+        parts.append(text[at : max(at, start)])
+        if kind < ENTITY:
+            parts.append(f"[{KINDS[kind].upper()}]")
+        elif KINDS[kind] == "term_general":
+            parts.append("[NUMBER]" if word.strip(".,;:").isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]")
+        at = end
+    return "".join([*parts, text[at:]])
+
+
 def protected(kind: int, text: str) -> list[str]:
-    """An entity's names: itself, and its domain, network, issuer or area."""
+    """An entity's names: itself, and its domain, network, issuer, area or key's name."""
     text = text.lower()
     digits = "".join(c for c in text if c.isdigit())
-    shared = (text.rpartition("@")[2], text.rpartition(".")[0], digits[:6], digits[:5])[kind]
+    shared = (text.rpartition("@")[2], text.rpartition(".")[0], digits[:6], digits[:5], re.split("[ \t:=]", text, maxsplit=1)[0])[kind]
     return [f"{KINDS[kind]}:{text}", f"{KINDS[kind]}~{shared}"]
 
 
@@ -100,14 +131,18 @@ SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32(
 NEAR = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
+FOUND = ["doc_id long", f"th {TH}", "base array<struct<kind:int,start:int,end:int>>", "near array<struct<e:long,t:long,start:int,end:int>>", "clean binary"]
+
+
 def _found(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        w, base, near = words(batch.column(2), fold=True), [], []
+        w, base, near, clean = words(batch.column(2), fold=True), [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            spans = base_spans(text)
+            spans = base_spans(text) + secret_spans(text)
+            clean.append(hashlib.sha256(cleaned(text, spans).encode()).digest())
             base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
             near.append([dict(zip(("e", "t", "start", "end"), x)) for x in around(text, spans, w.hashes[w.first[i] : w.first[i + 1]], window)] if spans else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR))], ["doc_id", "th", "base", "near"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR)), pa.array(clean, pa.binary())], [x.split()[0] for x in FOUND])
 
 
 def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: float, filter_bits: int) -> DataFrame:
@@ -138,21 +173,36 @@ def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: floa
     return joined.where(content > 0).select("e", "t", (pmi / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
+def searched(docs: DataFrame, id_col: str, text_col: str, window: int, support: int, generalise: float, remove: float, filter_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keyed rows, entities of every row, (doc_id, th, terms) of rows with terms)."""
+    rows = keyed(docs, id_col, text_col)
+    found = written(rows.mapInArrow(lambda b: _found(b, window), ", ".join(FOUND)), "entities")
+    pairs = disclosing(found, rows, support, generalise, filter_bits)
+    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
+    told = near.join(pairs, ["e", "t"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))
+    kind = F.when(F.col("d") >= remove, ENTITY + 1).otherwise(ENTITY)
+    return rows, found, told.groupBy("doc_id", "th").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("terms"))
+
+
+def spans_of(base, terms):
+    return F.array_sort(F.concat(base, F.coalesce(terms, F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
+
+
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, support: int = 3, generalise: float = 0.6, remove: float = 0.9, filter_bits: int = 1 << 24) -> DataFrame:
     """(doc_id, th, spans) for every row; spans: array of (kind, start, end), kind an index of KINDS, base ones first.
 
     Null and empty texts have no spans.  Rows with one id and one text have the same spans; very long texts count whole;
     an empty table gives no row; other columns are not looked at.  ``filter_bits`` bounds the bitmap of candidate terms; a full one costs time and loses nothing.
     """
-    rows = keyed(docs, id_col, text_col)
-    found = written(rows.mapInArrow(lambda b: _found(b, window), f"doc_id long, th {TH}, base array<struct<kind:int,start:int,end:int>>, near array<struct<e:long,t:long,start:int,end:int>>"), "entities")
-    pairs = disclosing(found, rows, support, generalise, filter_bits)
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
-    told = near.join(pairs, ["e", "t"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove, 5).otherwise(4)
-    terms = told.groupBy("doc_id", "th").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("terms"))
-    both = same_row(found, terms, "left")
-    return both.select("doc_id", "th", F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:int,start:int,end:int>>")))).alias("spans"))
+    _, found, terms = searched(docs, id_col, text_col, window, support, generalise, remove, filter_bits)
+    return same_row(found, terms, "left").select("doc_id", "th", spans_of(F.col("base"), F.col("terms")).alias("spans"))
+
+
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches (_, _, text, spans) with their sanitised texts."""
+    for batch in slices(batches):
+        spans = ([(s["kind"], s["start"], s["end"]) for s in x or []] for x in batch.column(3).to_pylist())
+        yield batch, [cleaned(text, s) for text, s in zip(batch.column(2).to_pylist(), spans)]
 
 
 def said(spans):
@@ -161,12 +211,36 @@ def said(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for every row: nulls, repeats and long texts as ``detected`` takes them."""
-    found = detected(docs, **options)
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    base = F.filter("spans", lambda s: s["kind"] < 4)
-    return found.select("doc_id", *map(count, range(4)), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] > 3)).cast("long").alias("n_term"))
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 12, support: int = 3, generalise: float = 0.6, remove: float = 0.9, filter_bits: int = 1 << 24) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans, sanitised_sha256) for every row: nulls, repeats and long texts as ``detected`` takes them.
+
+    sanitised_sha256 is the hash of what ``sanitised`` gives.  Only texts with terms are joined with them; a bitmap of fixed size finds these, a full one costs time and loses nothing.
+    """
+    rows, found, terms = searched(docs, id_col, text_col, window, support, generalise, remove, filter_bits)
+    terms = written(same_row(terms, found.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"]), "inner").select("doc_id", "th", spans_of(F.col("base"), F.col("terms")).alias("spans")), "terms")
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(terms.select("th.a"), filter_bits))
+
+    def with_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key = batch.column(1).field(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            hit = np.flatnonzero(in_bitmap(sent.value, key, filter_bits))
+            if len(hit):
+                yield batch.take(pa.array(hit))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _cleaned(batches):
+            digests = pa.array([hashlib.sha256(x.encode()).digest() for x in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), digests], ["doc_id", "th", "spans", "told"])
+
+    changed = same_row(rows.mapInArrow(with_terms, f"doc_id long, th {TH}, text string"), terms, "inner")
+    changed = changed.mapInArrow(hashed, f"doc_id long, th {TH}, spans array<struct<kind:int,start:int,end:int>>, told binary").dropDuplicates(["doc_id", "th"])
+    both = same_row(found, changed, "left").select("doc_id", F.coalesce("spans", F.array_sort("base")).alias("spans"), F.lower(F.hex(F.coalesce("told", "clean"))).alias("sanitised_sha256"))
+    count = lambda low, high, name: F.size(F.filter("spans", lambda s: s["kind"].between(low, high))).cast("long").alias(name)
+    base = F.filter("spans", lambda s: s["kind"] < BASE)
+    return both.select(
+        "doc_id", *[count(k, k, f"n_{KINDS[k]}") for k in range(BASE)], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+        count(BASE, BASE, "n_secret"), count(ENTITY, ENTITY + 1, "n_term"), F.size("spans").cast("long").alias("n_spans"), "sanitised_sha256",
+    )
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -178,18 +252,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     spans = detected(docs, id_col, text_col, **options).dropDuplicates(["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                parts, at = [], 0
-                for s in sorted(spans or [], key=lambda s: (s["start"], s["end"])):
-                    if s["end"] <= at:
-                        continue
-                    kind, word = s["kind"], text[s["start"] : s["end"]]
-                    parts.append(text[at : max(at, s["start"])])
-                    parts.append(f"[{KINDS[kind].upper()}]" if kind < 4 else "" if kind == 5 else "[NUMBER]" if word.strip(".,;:").isdigit() else "[NAME]" if word[:1].isupper() else "[WORD]")
-                    at = s["end"]
-                out.append("".join([*parts, text[at:]]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        for batch, texts in _cleaned(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return same_row(rows, spans, "left").mapInArrow(run, "doc_id long, text string")
