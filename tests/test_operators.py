@@ -107,3 +107,57 @@ def test_physical_presentation_and_single_supplier(spark):
     pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "document_id string, page_number int, text string")
     got = {(r.rule_id, r.flag_code, r.severity, r.score, r.page_number) for r in tx.page_flags(pages).collect()}
     assert got == {("TDR-R007", "PHYSICAL_PRESENTATION_REQUIRED", "medium", 15, 0), ("TDR-R007", "PHYSICAL_PRESENTATION_REQUIRED", "medium", 15, 1), ("TDR-R008", "SINGLE_SUPPLIER_CONTEXT", "medium", 15, 2), ("TDR-R008", "SINGLE_SUPPLIER_CONTEXT", "medium", 15, 3)}
+
+
+def test_vector_search_beyond_the_sent_queries(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, [r.choice([-1.0, 0.5, 0.25, 1.0]) for _ in range(4)]) for i in range(200)]
+    v = spark.createDataFrame(rows, "chunk_id long, v array<double>").repartition(5)
+    q = v.where("chunk_id % 20 = 0").selectExpr("chunk_id as query_id", "v as q")
+    want = []
+    for i, x in rows[::20]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in rows)[:3]
+        want += [(i, j, -s, k + 1) for k, (s, j) in enumerate(best)]
+    for sent in (0, 20_000):
+        assert sorted(tuple(x) for x in tx.vector_top(v, q, 3, sent=sent).select("query_id", "chunk_id", "score", "rank").collect()) == sorted(want)
+    assert tx.vector_top(v, q.limit(0), 3).count() == 0 == tx.vector_top(v.limit(0), q, 3).count()
+
+
+def test_case_records_have_defaults(spark):
+    from veedor.operators import releases as rel
+    from veedor.sources import readers
+
+    rows = [
+        {"ocid": "a", "buyer": {"name": "", "id": None}, "tender": {"title": "", "description": "obra", "value": {"amount": 5.0}, "numberOfTenderers": 0}, "awards": [{"date": "2024-02-03T00:00", "suppliers": [{"id": "s1"}, {"id": ""}, {"id": None}]}]},
+        {"ocid": None, "tender": {"numberOfTenderers": 7, "tenderPeriod": {"startDate": "2023-01-02T10:00"}}, "awards": [{"value": {"amount": 3.0}}]},
+    ]
+    import json
+
+    schema = ", ".join(readers.RELEASE.split(",\n"))
+    df = spark.createDataFrame([(json.dumps(x),) for x in rows], "j string").select(F.from_json("j", schema).alias("r")).select("r.*")
+    got = [tuple(r) for r in rel.case_record(df, "2000-01-01").collect()]
+    assert got[0] == ("a", "", "", "obra", 5.0, 5.0, "2000-01-01", "2024-02-03", 3, ["s1"], "OCDS/OECE")
+    assert got[1] == ("", "", "", "", 0.0, 3.0, "2023-01-02", "2000-01-01", 7, [], "OCDS/OECE")
+    said = spark.createDataFrame([("S", "E", 2.5), (None, "", None)], "s string, e string, m double").select(rel.won_sentence(F.col("s"), F.col("e"), F.col("m")).alias("q"))
+    assert [r.q for r in said.collect()] == ["S gano contrato con E por 2.50.", "Proveedor no identificado gano contrato con entidad no identificada."]
+
+
+def test_lookups_and_summaries(spark):
+    from veedor.operators import documents as dc
+
+    found = dc.register_lookup(spark.createDataFrame([("1",), ("2",), (None,)], "ruc string"), spark.createDataFrame([("1", "A", "ACTIVO", None, "15")], "ruc string, razon_social string, estado string, condicion string, ubigeo string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("1", "A", "ACTIVO", "", "15"), ("2", "", "NO_ENCONTRADO", "", ""), (None, "", "NO_ENCONTRADO", "", "")]))
+    cases = spark.createDataFrame([("x", "t"), ("y", "u")], "ocid string, title string")
+    dossiers = spark.createDataFrame([("x", "ALTO", 40, 2)], "ocid string, risk_level string, total_score int, total_flags int")
+    flags = spark.createDataFrame([("x", 1, "low", "uno", 3), ("x", 2, "high", "dos", 4)], "ocid string, flag_id int, severity string, evidence_quote string, page_number int")
+    assert sorted(tuple(r) for r in dc.demo_cases(cases, dossiers, flags).collect()) == [("x", "t", "ALTO", 40, 2, "dos", 4), ("y", "u", "SIN_DATOS", 0, 0, None, None)]
+    rows = [("d", 2, "B", "b", None, 9, 0.5, ["q2", "q1"]), ("d", 1, "A", "a", "why", 1, 0.8, ["q1"]), ("d", 3, "C", "c", "", 2, 0.65, None)]
+    f = spark.createDataFrame(rows, "document_id string, flag_id int, flag_code string, flag_name string, explanation string, page_number int, confidence double, questions array<string>")
+    got = {r.document_id: r for r in dc.synthesis(f, spark.createDataFrame([("d",), ("e",), ("d",)], "document_id string")).collect()}
+    assert (got["d"].n, got["d"].level, got["d"].questions) == (3, "high", "q1,q2") and "(A, B, C)" in got["d"].summary
+    assert got["d"].summary.endswith("- a: why (pag. 1)\n- b:  (pag. 9)\n- c:  (pag. 2)")
+    assert (got["e"].n, got["e"].level, got["e"].questions, got["e"].summary) == (0, "low", "", dc.NO_FLAGS)
+    texts = spark.createDataFrame([("The cat with",), ("the",), (None,)], "text string")
+    assert tx.token_search(texts, "The", "with").count() == 1

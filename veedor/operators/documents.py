@@ -93,11 +93,43 @@ def classify(documents: DataFrame, table: list[tuple[str, int, str]]) -> DataFra
     return documents.withColumn("kind", F.coalesce(best["kind"], F.lit("unknown")))
 
 
-def synthesis(flags: DataFrame, key: str = "document_id", most: int = 5) -> DataFrame:
-    """Per document: the number of flags, confidence by their average, and at most ``most`` distinct questions."""
-    avg = F.avg("confidence")
-    level = F.when(avg >= 0.65, "high").when(avg >= 0.40, "medium").otherwise("low")
-    return flags.groupBy(key).agg(F.count("*").alias("n"), level.alias("level"), F.array_join(F.slice(F.array_sort(F.collect_set("question")), 1, most), ",").alias("questions"))
+#: Sentences of a summary.
+NO_FLAGS = "No se encontro evidencia suficiente para sostener senales de riesgo bajo los criterios evaluados. El documento no presenta patrones atipicos en las secciones analizadas."
+WITH_FLAGS = "Se identificaron %d senales de riesgo en el documento analizado (%s). Cada senal esta respaldada por evidencia textual extraida del documento y contrastada con la metodologia de referencia (OCP Red Flags Guide / OECD). Se recomienda revision humana de las clausulas senaladas."
+DETAIL, DETAIL_LINE = "Detalle de las senales:", "- %s: %s (pag. %s)"
+
+
+def synthesis(flags: DataFrame, documents: DataFrame, key: str = "document_id", most: int = 5) -> DataFrame:
+    """Per document of ``documents``: the number of flags, confidence by their average, the first ``most`` different questions, and a summary.
+
+    flags: key, flag_id (their order), flag_code, flag_name, explanation, page_number, confidence, questions (array).  What
+    is gathered per document is what its summary says.  A document without flags has low confidence and no question.
+    """
+    item = F.struct("flag_id", "flag_code", "flag_name", F.coalesce("explanation", F.lit("")).alias("explanation"), F.col("page_number").cast("string").alias("page"), "questions")
+    per = flags.groupBy(key).agg(F.avg("confidence").alias("c"), F.array_sort(F.collect_list(item)).alias("f"))
+    j = documents.select(key).distinct().join(per, key, "left")
+    n = F.when(F.col("f").isNull(), 0).otherwise(F.size("f"))
+    level = F.when(F.col("c") >= 0.65, "high").when(F.col("c") >= 0.40, "medium").otherwise("low")
+    asked = F.array_compact(F.array_distinct(F.flatten(F.transform("f", lambda x: F.coalesce(x["questions"], F.array().cast("array<string>"))))))
+    lines = F.transform("f", lambda x: F.format_string(DETAIL_LINE, x["flag_name"], x["explanation"], x["page"]))
+    text = F.concat(F.format_string(WITH_FLAGS, n, F.array_join(F.transform("f", lambda x: x["flag_code"]), ", ")), F.lit(f"\n\n{DETAIL}\n"), F.array_join(lines, "\n"))
+    return j.select(key, n.cast("long").alias("n"), level.alias("level"), F.coalesce(F.array_join(F.slice(asked, 1, most), ","), F.lit("")).alias("questions"), F.when(n > 0, text).otherwise(NO_FLAGS).alias("summary"))
+
+
+def register_lookup(wanted: DataFrame, register: DataFrame, key: str = "ruc") -> DataFrame:
+    """Each wanted key with its register row: razon_social, estado, condicion, ubigeo; NO_ENCONTRADO and empty fields where there is none."""
+    fields = {"razon_social": "", "estado": "NO_ENCONTRADO", "condicion": "", "ubigeo": ""}
+    j = wanted.select(key).join(register.select(key, *fields, F.lit(True).alias("_found")), key, "left")
+    return j.select(key, *[F.when(F.col("_found"), F.coalesce(f, F.lit(""))).otherwise(other).alias(f) for f, other in fields.items()])
+
+
+def demo_cases(cases: DataFrame, dossiers: DataFrame, flags: DataFrame) -> DataFrame:
+    """Stated cases (ocid and other columns) with their dossier's level, score and number of flags, and the quote of its first high flag, else of its first."""
+    head = flags.groupBy("ocid").agg(F.min_by(F.struct("evidence_quote", "page_number"), F.struct(F.coalesce(F.upper("severity") != "HIGH", F.lit(True)), "flag_id")).alias("h"))
+    j = cases.join(dossiers.select("ocid", "risk_level", "total_score", "total_flags"), "ocid", "left").join(head, "ocid", "left")
+    none = {"risk_level": F.lit("SIN_DATOS"), "total_score": F.lit(0), "total_flags": F.lit(0)}
+    told = [F.coalesce(c, v).alias(n) for (c, v), n in zip(none.items(), ("risk_level", "score", "flag_count"))]
+    return j.select(*cases.columns, *told, F.col("h.evidence_quote").alias("headline_quote"), F.col("h.page_number").alias("headline_page"))
 
 
 def plan(flags: DataFrame, templates: DataFrame, clusters: DataFrame, most: int = 4) -> DataFrame:

@@ -34,6 +34,32 @@ def flatten(releases: DataFrame) -> DataFrame:
     )
 
 
+def case_record(releases: DataFrame, today: str, source: str = "OCDS/OECE") -> DataFrame:
+    """One flat case a release: buyer, object, amounts asked and awarded, dates, bidders.
+
+    The first award counts, its amount before the tender's; missing texts are empty, amounts 0, dates ``today``; the
+    number of bidders is the stated one unless missing or 0, else that of the award's suppliers, at least one.
+    """
+    award = F.get("awards", F.lit(0))
+    suppliers = F.coalesce(award["suppliers"], F.array().cast("array<struct<id:string,name:string>>"))
+    filled = lambda *x: F.coalesce(*[F.when(c != "", c) for c in x], F.lit(""))
+    day = lambda x: F.coalesce(F.when(F.substring(x, 1, 10) != "", F.substring(x, 1, 10)), F.lit(today))
+    stated = F.when(F.col("tender.numberOfTenderers") != 0, F.col("tender.numberOfTenderers"))
+    return releases.select(
+        F.coalesce("ocid", F.lit("")).alias("code"), filled(F.col("buyer.name")).alias("entity"), filled(F.col("buyer.id")).alias("entity_id"), filled(F.col("tender.title"), F.col("tender.description")).alias("object"),
+        F.coalesce("tender.value.amount", F.lit(0)).cast("double").alias("amount"), F.coalesce(award["value"]["amount"], F.col("tender.value.amount"), F.lit(0)).cast("double").alias("awarded"),
+        day(F.col("tender.tenderPeriod.startDate")).alias("called_on"), day(award["date"]).alias("awarded_on"), F.coalesce(stated, F.greatest(F.size(suppliers), F.lit(1))).cast("int").alias("n_bidders"),
+        F.filter(F.transform(suppliers, lambda s: s["id"]), lambda x: x != "").alias("bidders"), F.lit(source).alias("source"),
+    )
+
+
+def won_sentence(supplier: Column, entity: Column, amount: Column) -> Column:
+    """Who won from whom, and for how much if that is known."""
+    filled = lambda x, other: F.coalesce(F.when(x != "", x), F.lit(other))
+    much = F.coalesce(F.concat(F.lit(" por "), amount.cast("decimal(38,2)").cast("string")), F.lit(""))
+    return F.concat(filled(supplier, "Proveedor no identificado"), F.lit(" gano contrato con "), filled(entity, "entidad no identificada"), much, F.lit("."))
+
+
 def split(releases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(processes, documents, awards): three projections of releases; document ids are numbered from 0001 in their release."""
     buyer = party(F.col("parties"), "buyer")

@@ -138,6 +138,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
 
 
+def token_search(documents: DataFrame, *wanted: str) -> DataFrame:
+    """Documents whose text has all the words; null texts have none."""
+    words = F.split(F.lower("text"), " ")
+    return documents.where(reduce(lambda a, b: a & b, [F.array_contains(words, w.lower()) for w in wanted], F.lit(True)))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, top: int = 20) -> DataFrame:
     """(query_id, chunk_id, score, rank): Okapi scores above zero; a token's negative idf becomes epsilon times the average idf.
 
@@ -164,10 +170,15 @@ def ranked(scored: DataFrame, top: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, top: int = 20, min_score: float | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by inner product of unit vectors; queries (query_id, q) are a stated, small set and travel."""
+def vector_top(vectors: DataFrame, queries: DataFrame, top: int = 20, min_score: float | None = None, sent: int = 20_000) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by inner product of unit vectors; queries (query_id, q) are a stated set.
+
+    At most ``sent`` queries travel to every task; beyond that partitions of both sides meet two at a time, so no task holds them all.
+    Each task gives on its ``top`` rows of a query.
+    """
+    few = queries.limit(sent + 1).count() <= sent
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
+    scored = vectors.crossJoin(F.broadcast(queries) if few else queries.hint("shuffle_replicate_nl")).select("query_id", "chunk_id", F.round(dot, 6).alias("score"))
     return ranked(scored if min_score is None else scored.where(F.col("score") >= min_score), top)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import audits as a
 from ..operators import documents as d
+from ..operators import releases as rel
+from ..operators import text as tx
 from ..operators.detectors import few
 from . import star
 from .records import PAGES_SQL, pages
@@ -105,16 +107,29 @@ def t9(spark, sf):
     return star.read(spark, sf, "supplier").select("s_suppkey", kind.alias("tipo"), d.active_sanction(F.when(k % 3 == 0, "Sanción vigente"), until, "2000-01-01").alias("active"))
 
 
-@query("t32_evidence_quote", sql("SELECT external_id, 'Contrato ' || external_id || ' por ' || monto::VARCHAR || ' de ' || entidad AS quote FROM won"))
+@query("t32_evidence_quote", sql("SELECT external_id, CASE WHEN suppkey % 5 = 0 THEN 'Proveedor no identificado' ELSE empresa END || ' gano contrato con ' || entidad || CASE WHEN suppkey % 7 = 0 THEN '' ELSE ' por ' || monto::DECIMAL(18,2)::VARCHAR END || '.' AS quote FROM won"))
 def t32(spark, sf):
-    return star.won(spark, sf).select("external_id", F.format_string("Contrato %s por %s de %s", "external_id", F.col("monto").cast("string"), "entidad").alias("quote"))
+    k = F.col("suppkey")
+    return star.won(spark, sf).select("external_id", rel.won_sentence(F.when(k % 5 > 0, F.col("empresa")), F.col("entidad"), F.when(k % 7 > 0, F.col("monto"))).alias("quote"))
 
 
-@query("x26_synthesize", "SELECT source AS document_id, count(*) AS n, CASE WHEN avg((doc_id % 100)::DOUBLE / 100) >= 0.65 THEN 'high' WHEN avg((doc_id % 100)::DOUBLE / 100) >= 0.40 THEN 'medium' ELSE 'low' END AS level, array_to_string(list_sort(list(DISTINCT 'q' || doc_id % 7))[1:5], ',') AS questions FROM documents GROUP BY 1")
+X26 = f"""WITH f AS (SELECT conv_id, turn, 'F' || turn % 3 AS code, 'Name ' || turn % 3 AS name, turn + 1 AS page, ((turn + conv_id) % 5)::DOUBLE / 4 AS confidence FROM conversations WHERE turn % 2 = 1 AND conv_id % 5 > 0),
+q AS (SELECT conv_id, 'q' || turn % 4 AS q, min(turn) AS t FROM f GROUP BY ALL), s AS (SELECT conv_id, array_to_string(list(q ORDER BY t)[1:5], ',') AS questions FROM q GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) AS n, avg(confidence) AS c, string_agg(code, ', ' ORDER BY turn) AS codes, string_agg('- ' || name || ': why (pag. ' || page || ')', chr(10) ORDER BY turn) AS lines FROM f GROUP BY conv_id)
+SELECT conv_id, coalesce(n, 0)::BIGINT AS n, CASE WHEN c >= 0.65 THEN 'high' WHEN c >= 0.40 THEN 'medium' ELSE 'low' END AS level, coalesce(questions, '') AS questions,
+  CASE WHEN n > 0 THEN replace(replace('{d.WITH_FLAGS}', '%d', n::VARCHAR), '%s', codes) || chr(10) || chr(10) || '{d.DETAIL}' || chr(10) || lines ELSE '{d.NO_FLAGS}' END AS summary
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN g USING (conv_id) LEFT JOIN s USING (conv_id)"""
+
+
+@query("x26_synthesize", X26)
 def x26(spark, sf):
-    k = F.col("doc_id")
-    flags = star.read(spark, sf, "documents").select(F.col("source").alias("document_id"), ((k % 100) / 100).alias("confidence"), F.concat(F.lit("q"), (k % 7).cast("string")).alias("question"))
-    return d.synthesis(flags)
+    talk, t = star.read(spark, sf, "conversations"), F.col("turn")
+    code, s = (t % 3).cast("string"), lambda x: F.lit(x)
+    flags = talk.where("turn % 2 = 1 and conv_id % 5 > 0").select(
+        "conv_id", t.alias("flag_id"), F.concat(s("F"), code).alias("flag_code"), F.concat(s("Name "), code).alias("flag_name"), s("why").alias("explanation"), (t + 1).alias("page_number"),
+        (((t + F.col("conv_id")) % 5) / 4).alias("confidence"), F.array(F.concat(s("q"), (t % 4).cast("string"))).alias("questions"),
+    )
+    return d.synthesis(flags, talk, "conv_id")
 
 
 @query("x30_doc_class", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'tdr' WHEN p_partkey % 4 = 1 THEN 'contrato' WHEN p_partkey % 4 = 2 THEN 'tdr' ELSE 'unknown' END AS kind FROM part")
@@ -126,8 +141,7 @@ def x30(spark, sf):
 
 @query("x32_token_search", "SELECT doc_id FROM documents WHERE list_contains(string_split(lower(text), ' '), 'the') AND list_contains(string_split(lower(text), ' '), 'with')")
 def x32(spark, sf):
-    words = F.split(F.lower("text"), " ")
-    return star.read(spark, sf, "documents").where(F.array_contains(words, "the") & F.array_contains(words, "with")).select("doc_id")
+    return tx.token_search(star.read(spark, sf, "documents"), "the", "with").select("doc_id")
 
 
 @query("n7_extract_represents", sql("SELECT ruc, person_id FROM company WHERE suppkey % 2 = 0"))
@@ -171,10 +185,7 @@ def n26(spark, sf):
     return star.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-@query("n22_ruc_lookup", sql("SELECT suppkey, CASE WHEN suppkey % 2 = 0 THEN estado ELSE 'NO_ENCONTRADO' END AS estado FROM company"))
+@query("n22_ruc_lookup", sql("SELECT ruc, CASE WHEN suppkey % 2 = 0 THEN empresa ELSE '' END AS razon_social, CASE WHEN suppkey % 2 = 0 THEN estado ELSE 'NO_ENCONTRADO' END AS estado, CASE WHEN suppkey % 2 = 0 THEN condicion ELSE '' END AS condicion, CASE WHEN suppkey % 2 = 0 THEN ubigeo ELSE '' END AS ubigeo FROM company"))
 def n22(spark, sf):
     co = star.companies(spark, sf)
-    reg = co.where("suppkey % 2 = 0").select("suppkey", F.col("estado").alias("e"))
-    return co.select("suppkey").join(reg, "suppkey", "left").select("suppkey", F.coalesce("e", F.lit("NO_ENCONTRADO")).alias("estado"))
-
-
+    return d.register_lookup(co, co.where("suppkey % 2 = 0").withColumnRenamed("empresa", "razon_social"))

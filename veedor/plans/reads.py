@@ -154,10 +154,14 @@ def n24(spark, sf):
     return dossiers.join(flags.select("ocid", "flag_code"), "ocid", "left").select("ocid", "total_score", "flag_code")
 
 
-@query("n25_demo_cases", sql(f", {DOSSIER_SQL.strip()} SELECT v.ocid, v.title, d.risk_level FROM (VALUES (1::BIGINT, 'A'), (5::BIGINT, 'B'), (-1::BIGINT, 'C')) v(ocid, title) LEFT JOIN dossier d USING (ocid)"))
+@query("n25_demo_cases", sql(f""", {DOSSIER_SQL.strip()}, head AS (SELECT doc_id AS ocid, arg_max(flag_code, score) AS headline_quote, 1 AS headline_page FROM flag GROUP BY 1)
+SELECT v.ocid, v.title, coalesce(d.risk_level, 'SIN_DATOS') AS risk_level, coalesce(total_score, 0)::INT AS score, coalesce(total_flags, 0)::BIGINT AS flag_count, headline_quote, headline_page
+FROM (VALUES (1::BIGINT, 'A'), (5::BIGINT, 'B'), (-1::BIGINT, 'C')) v(ocid, title) LEFT JOIN dossier d USING (ocid) LEFT JOIN head USING (ocid)"""))
 def n25(spark, sf):
+    flags, dossiers, _ = dossier_tables(spark, sf)
     cases = spark.createDataFrame([(1, "A"), (5, "B"), (-1, "C")], "ocid long, title string")
-    return cases.join(dossier_tables(spark, sf)[1].select("ocid", "risk_level"), "ocid", "left")
+    told = flags.select("ocid", (-F.col("score")).alias("flag_id"), "severity", F.col("flag_code").alias("evidence_quote"), F.col("page").alias("page_number"))
+    return d.demo_cases(cases, dossiers, told)
 
 
 @query("t3_party_region", "SELECT 'ocds-' || o_orderkey AS ocid, 'lima' AS region, 1.0::DOUBLE AS contract_amount FROM orders")
@@ -166,9 +170,14 @@ def t3(spark, sf):
     return r.select("ocid", rel.party(F.col("parties"), "buyer")["address"]["department"].alias("region"), F.get("contracts", F.lit(0))["value"]["amount"].cast("double").alias("contract_amount"))
 
 
-@query("t5_case_record", "SELECT 'ocds-' || o_orderkey AS ocid, 'C' || o_custkey AS entity, coalesce(o_totalprice, 0)::DOUBLE AS amount, 'SIN CODIGO' AS code FROM orders")
+@query("t5_case_record", """WITH a AS (SELECT l_orderkey, arg_min(struct_pack(p := l_extendedprice, k := l_partkey, s := l_suppkey), concat_ws('-', l_linenumber, l_partkey, l_suppkey)) AS a FROM lineitem WHERE l_orderkey % 50 > 0 GROUP BY 1)
+SELECT 'ocds-' || o_orderkey AS code, 'C' || o_custkey AS entity, 'b' AS entity_id, 'Title' AS object, coalesce(o_totalprice, 0)::DOUBLE AS amount, coalesce(a.p, o_totalprice, 0)::DOUBLE AS awarded,
+  CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '2024-01-01' END AS called_on, '2024-01-01' AS awarded_on, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 1 END AS n_bidders,
+  CASE WHEN a.k % 10 > 0 THEN 'PE-RUC-20' || lpad(a.s::VARCHAR, 9, '0') ELSE '' END AS bidders, 'OCDS/OECE' AS source FROM orders LEFT JOIN a ON o_orderkey = l_orderkey""")
 def t5(spark, sf):
-    return releases(spark, sf).select("ocid", F.coalesce("buyer.name", F.lit("")).alias("entity"), F.coalesce("tender.value.amount", F.lit(0)).cast("double").alias("amount"), F.coalesce(F.lit(None).cast("string"), F.lit("SIN CODIGO")).alias("code"))
+    k = F.substring_index("ocid", "-", -1).cast("long")
+    tender = F.col("tender").withField("numberOfTenderers", F.when(k % 3 == 0, 4)).withField("tenderPeriod", F.struct(F.when(k % 2 == 0, F.col("date")).alias("startDate"))).withField("description", F.lit(None).cast("string"))
+    return rel.case_record(releases(spark, sf).withColumn("tender", tender), "2024-01-01").withColumn("bidders", F.array_join("bidders", ","))
 
 
 @query("t34_discovery_row", sql("SELECT external_id, coalesce(entidad, '') AS entidad, coalesce(empresa, '') AS proveedor, monto::DOUBLE AS monto FROM won WHERE anio = 1997"))

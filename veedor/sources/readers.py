@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RELEASE = """ocid string, date string, buyer struct<id:string,name:string>,
-tender struct<id:string,procurementMethod:string,procurementMethodDetails:string,title:string,description:string,value:struct<amount:double>,documents:array<struct<id:string,title:string,url:string,format:string>>>,
+tender struct<id:string,procurementMethod:string,procurementMethodDetails:string,title:string,description:string,value:struct<amount:double>,documents:array<struct<id:string,title:string,url:string,format:string>>,numberOfTenderers:int,tenderPeriod:struct<startDate:string>>,
 awards array<struct<id:string,date:string,status:string,value:struct<amount:double>,suppliers:array<struct<id:string,name:string>>>>,
 contracts array<struct<value:struct<amount:double>>>,
 parties array<struct<id:string,name:string,roles:array<string>,identifier:struct<id:string,scheme:string>,additionalIdentifiers:array<struct<id:string,scheme:string,legalName:string>>,address:struct<department:string>>>"""
