@@ -153,8 +153,8 @@ class Words:
         return np.diff(self.first)
 
 
-def words(column: pa.Array, fold: bool = False) -> Words:
-    """All words of a column of texts; fold lower-cases A-Z first."""
+def words(column: pa.Array, fold: bool = False, white: np.ndarray = WHITE, hashed: bool = True) -> Words:
+    """All words of a column of texts: runs of bytes outside ``white``; fold lower-cases A-Z first.  Without ``hashed`` there are no hashes."""
     raw, offsets = raw_text(column)
     n = len(raw)
     if not n:
@@ -162,7 +162,7 @@ def words(column: pa.Array, fold: bool = False) -> Words:
         return Words(np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64), raw)
     if fold:
         raw = FOLD[raw]
-    inside = ~WHITE[raw]
+    inside = ~white[raw]
     edge = np.zeros(n + 1, bool)  # a text's start parts words as white space does
     edge[offsets] = True
     starts = inside.copy()
@@ -170,7 +170,7 @@ def words(column: pa.Array, fold: bool = False) -> Words:
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    return Words(span_hashes(raw, s, e), s, e, np.searchsorted(s, offsets), raw)
+    return Words(span_hashes(raw, s, e) if hashed else np.zeros(0, np.uint64), s, e, np.searchsorted(s, offsets), raw)
 
 
 def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
@@ -188,6 +188,54 @@ def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, piece: int = 1 <<
     return mix(h)
 
 
+def pieces_of(mask_ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges [a, b) of things whose sizes add up to ``mask_ends``: about ``most`` in each, a larger one alone."""
+    at = 0
+    while at < len(mask_ends):
+        done = int(mask_ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(mask_ends, done + most, side="right")))
+        yield at, to
+        at = to
+
+
+def strings(w: Words) -> Iterator[tuple[int, int, pa.DictionaryArray]]:
+    """(a, b, the words a to b, dictionary-encoded), some MB of bytes at a time; equal words have equal codes within such a piece."""
+    lengths = w.ends - w.starts
+    for a, b in pieces_of(np.cumsum(lengths), 1 << 22):
+        offsets = np.zeros(b - a + 1, np.int32)
+        np.cumsum(lengths[a:b], out=offsets[1:])
+        low, high = int(w.starts[a]), int(w.ends[b - 1])
+        edges = np.zeros(high - low + 1, np.int8)  # +1 where a word begins, -1 after it
+        edges[w.starts[a:b] - low] += 1
+        edges[w.ends[a:b] - low] -= 1
+        data = w.raw[low:high][np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+        yield a, b, pa.StringArray.from_buffers(b - a, pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+
+
+def summed(parts: Iterator[pa.Table], keys: list[str], most: int = 600_000, size: int = 1 << 26) -> Iterator[pa.RecordBatch]:
+    """Rows of the parts with equal ``keys`` added up over a task (every other column is a sum), given out whenever more than ``most`` rows or ``size`` bytes are held."""
+    held: list[pa.Table] = []
+    rows = kept = 0
+    names: list[str] = []
+
+    def merged() -> pa.Table:
+        t = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([(c, "sum") for c in names if c not in keys])
+        return t.rename_columns(keys + [c for c in names if c not in keys]).select(names)
+
+    for part in parts:
+        names = part.column_names
+        held.append(part)
+        rows += part.num_rows
+        if rows > max(2 * kept, most // 2):
+            held = [merged()]
+            rows = kept = held[0].num_rows
+            if kept > most or held[0].nbytes > size:
+                yield from held[0].combine_chunks().to_batches(max_chunksize=100_000)
+                held, rows, kept = [], 0, 0
+    if held:
+        yield from merged().combine_chunks().to_batches(max_chunksize=100_000)
+
+
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Hashes of all runs of k values; the result has len(h) - k + 1 entries."""
     if len(h) < k:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
+from . import bpe, divergence, exact_dedup, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,43 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(documents(spark, sf_dir)).drop("th")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), o AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS d FROM o GROUP BY ALL
+), k AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(d) >= 30
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n_all FROM k GROUP BY lang
+), g AS (
+  SELECT e.lang, e.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN c ON e.lang = c.lang AND e.source = c.source LEFT JOIN k ON c.lang = k.lang AND c.term = k.term
+  GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.total + 5 * v.v) AS p, 1 + (1000000000 * (k.n + 5)) // (v.n_all + 5 * v.v) AS q
+  FROM g JOIN v USING (lang) JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q)::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term' AS part, item, value, rank::INTEGER AS rank FROM terms WHERE rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -133,10 +170,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_boosted_urls": op9_boosted_urls,
     "op10_repetition": op10_repetition,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op7_relative_lz": OP7_SQL,
     "op8_pfair_mix": OP8_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
