@@ -82,7 +82,7 @@ def vocabulary(counts: DataFrame, least_docs: int = 30) -> DataFrame:
     """(lang, term, n_lang, chunk, at) of the kept terms: n_lang occurrences in the language, place ``at`` in vocabulary chunk ``chunk``."""
     terms = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("d").alias("d")).where(F.col("d") >= least_docs)
     sizes = terms.groupBy("lang").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = terms.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks").cast("int"))
+    dealt = terms.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), "chunks").cast("int")).repartition("lang", "chunk")  # not by lang alone
     return dealt.select("lang", "term", "n_lang", "chunk", (F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1).alias("at"))
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, divergence, exact_dedup, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
+from . import bpe, collocations, divergence, exact_dedup, language_id, mixing, pii, quality_zstd, repetition, simhash, substring_dedup, suffix_tree_lm, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +122,43 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.judged(documents(spark, sf_dir)).drop("th")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+
+]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) s(k))
+), c AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*)::HUGEINT AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cut AS (
+  SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, 2000000 * c.f // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c WHERE k > 1) c
+  JOIN c l ON l.lang = c.lang AND l.phrase = array_to_string(c.ws[1:j], ' ')
+  JOIN c r ON r.lang = c.lang AND r.phrase = array_to_string(c.ws[j + 1:], ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), held AS (
+  SELECT lang, array_to_string(ws[i:i + s - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT lang, ws, f, s, unnest(range(1, k - s + 2)) AS i FROM c, (VALUES (2), (3)) z(s) WHERE s < k) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE h.most IS NULL OR 100 * h.most < 80 * b.a
+), words AS (
+  SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN words USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(documents(spark, sf_dir))
 
@@ -159,6 +196,13 @@ SELECT lang, source, 'term' AS part, item, value, rank::INTEGER AS rank FROM ter
 """
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.fit(docs.where(~held_out).select("text", "lang"))
+    return language_id.predicted(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
@@ -170,12 +214,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pfair_mix": op8_pfair_mix,
     "op9_boosted_urls": op9_boosted_urls,
     "op10_repetition": op10_repetition,
+    "op11_collocations": op11_collocations,
     "op12_source_divergence": op12_source_divergence,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op7_relative_lz": OP7_SQL,
     "op8_pfair_mix": OP8_SQL,
+    "op11_collocations": OP11_SQL,
     "op12_source_divergence": OP12_SQL,
 }
