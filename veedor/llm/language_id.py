@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import discard, mix, raw_text, slices, text_key, written
+from .common import bounded, discard, mix, raw_text, slices, text_key, written
 
 DIMS_BITS = 14
 DIMS = 1 << DIMS_BITS
 LONGEST = 4
+#: Languages whose sample shares are broadcast; more are joined by shuffle.
+MOST_LANGS = 10_000
 #: Texts that are turned into features at once: a dense row of DIMS numbers each.
 ROWS_AT_ONCE = 256
 #: Families of languages, by two-letter code.
@@ -172,7 +174,8 @@ def sampled(docs: DataFrame, text_col: str, lang_col: str, per_lang: int) -> Dat
     rows = docs.where(F.col(lang_col).isNotNull() & has_letter(F.col(text_col).cast("string"))).select(F.col(lang_col).cast("string").alias("lang"), text_key(text).alias("th"), text.alias("text"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = (F.lit(per_lang + 8 * per_lang**0.5 + 100.0) / F.col("n")).alias("share")  # of evenly spread hashes: fewer than per_lang below it is beyond chance
-    few = rows.join(sizes.select(F.col("lang").alias("_l"), share), F.col("lang") == F.col("_l")).where(F.col("th.a") / 2.0**64 + 0.5 <= F.col("share"))
+    shares = bounded(written(sizes.select(F.col("lang").alias("_l"), share), "language-shares"), MOST_LANGS)  # so that no text moves before it is chosen
+    few = rows.join(shares, F.col("lang") == F.col("_l")).where(F.col("th.a") / 2.0**64 + 0.5 <= F.col("share"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
