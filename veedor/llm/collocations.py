@@ -63,8 +63,8 @@ class Phrases:
             last = np.flatnonzero(BREAKS[w.raw])
             at = np.searchsorted(last, w.starts)
             self.new[1:] |= at[1:] != at[:-1]
-        begin = np.flatnonzero(self.new)
-        self.left = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n))) - np.arange(n)  # words to the piece's end
+        begin = np.append(np.flatnonzero(self.new), n)
+        self.left = np.repeat(begin[1:], np.diff(begin)) - np.arange(n)  # words to the piece's end
         lang = batch.column(0).dictionary_encode()
         self.langs = lang.dictionary.to_pylist()
         self.lang = np.repeat(lang.indices.to_numpy(), w.counts)
@@ -184,19 +184,22 @@ def sketched(rows: DataFrame, n_words: int, least: int, most_bits: int = MOST_BI
 
 
 def dealt(rows: DataFrame, sketch: Sketch, shards: int, parts: int) -> DataFrame:
-    """Rows (lang, shard, part, kind, blob): each task's candidates, once, and the runs of words that a shard's candidates may cover."""
+    """Rows (lang, shard, part, kind, blob): each task's candidates, once, and the runs of words that a shard's candidates may cover.
+
+    A candidate's part is one of ``parts`` by its hash, so that many tasks may make them distinct; a text's part is that of the task.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         sketch, seen = sent.value, np.zeros(0, np.uint64)
         part = TaskContext.get().partitionId() % parts
-        held: dict[tuple[str, int, int], list[bytes]] = {}
-        sizes: dict[tuple[str, int, int], int] = {}
+        held: dict[tuple[str, int, int, int], list[bytes]] = {}
+        sizes: dict[tuple[str, int, int, int], int] = {}
         total = 0
 
-        def given(keys: list[tuple[str, int, int]]) -> pa.RecordBatch:
-            out = [(lang, shard, part if kind else -1, kind, press.compress(b"\n".join(held.pop((lang, shard, kind))))) for lang, shard, kind in keys]
+        def given(keys: list[tuple[str, int, int, int]]) -> pa.RecordBatch:
+            out = [(*key, press.compress(b"\n".join(held.pop(key)))) for key in keys]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()])], ["lang", "shard", "part", "kind", "blob"])
 
         for batch in slices(batches, most=1 << 21):
@@ -222,11 +225,11 @@ def dealt(rows: DataFrame, sketch: Sketch, shards: int, parts: int) -> DataFrame
             h, first = np.unique(np.concatenate([x for _, x in hashes.values()]), return_index=True)
             fresh = ~np.isin(h, seen, assume_unique=True)
             seen = np.concatenate([seen, h[fresh]])
-            begin, size = begin[first[fresh]], size[first[fresh]]
-            for kind, b, s in ((CANDIDATE, begin, size), (TEXT, at, length)):
-                order = np.argsort(shard[b], kind="stable")
-                b, s = b[order], s[order]
-                cut = np.flatnonzero(np.concatenate([[True], shard[b][1:] != shard[b][:-1]])) if len(b) else []
+            begin, size, slot = begin[first[fresh]], size[first[fresh]], ((h[fresh] >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+            for kind, b, s, group in ((CANDIDATE, begin, size, shard[begin] * parts + slot), (TEXT, at, length, shard[at] * parts + part)):
+                order = np.argsort(group, kind="stable")
+                b, s, group = b[order], s[order], group[order]
+                cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(b) else []
                 for low, high in zip(cut, [*cut[1:], len(b)]):
                     runs = np.cumsum(s[low:high]) - s[low:high]
                     place = np.arange(int(s[low:high].sum())) + np.repeat(b[low:high] - runs, s[low:high])
@@ -237,8 +240,9 @@ def dealt(rows: DataFrame, sketch: Sketch, shards: int, parts: int) -> DataFrame
                         new[1:] |= place[1:] != place[:-1] + 1
                     else:
                         new[runs] = True
-                    lang, number = divmod(int(shard[b[low]]), shards)
-                    key = (p.langs[lang], number, kind)
+                    where, slice_ = divmod(int(group[low]), parts)
+                    lang, number = divmod(where, shards)
+                    key = (p.langs[lang], number, slice_, kind)
                     text = b"".join(spelled(p.words, place, new))
                     held.setdefault(key, []).append(text)
                     sizes[key] = sizes.get(key, 0) + len(text)
@@ -269,7 +273,7 @@ def candidates(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for (lang, shard), mine in groupby(rows_of(batches), lambda row: row[:2]):
+        for (lang, shard, _), mine in groupby(rows_of(batches), lambda row: row[:3]):
             phrases = set()
             for row in mine:
                 phrases.update(row[4].split(b"\n"))
@@ -278,13 +282,13 @@ def candidates(found: DataFrame) -> DataFrame:
             n = len(out)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([shard] * n, pa.int32()), pa.array([-1] * n, pa.int32()), pa.array([CANDIDATE] * n, pa.int32()), pa.array(out)], ["lang", "shard", "part", "kind", "blob"])
 
-    return found.where(F.col("kind") == CANDIDATE).repartition("lang", "shard").sortWithinPartitions("lang", "shard").mapInArrow(run, ROWS)
+    return found.where(F.col("kind") == CANDIDATE).repartition("lang", "shard", "part").sortWithinPartitions("lang", "shard", "part").mapInArrow(run, ROWS)
 
 
 def scanned(found: DataFrame, known: DataFrame, parts: int) -> DataFrame:
     """(lang, phrase, n): how often each candidate occurs; a candidate that occurs has a row for each part it occurs in."""
     every = F.sequence(F.lit(0), F.lit(parts - 1))
-    sent = known.withColumn("part", F.explode(every)).select(found.columns).union(found.where(F.col("kind") == TEXT))
+    sent = known.drop("part").withColumn("part", F.explode(every)).select(found.columns).union(found.where(F.col("kind") == TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (lang, _, _), mine in groupby(rows_of(batches), lambda row: row[:3]):
