@@ -140,3 +140,46 @@ def test_an_entity_of_one_text_has_evidence_by_what_it_shares(spark):
 def test_a_very_long_text(spark):
     docs = spark.createDataFrame([(1, "word " * 400_000 + "a@b.org " + "word " * 10), (2, "x")], "doc_id long, text string")
     assert [(r.doc_id, r.n_email) for r in pii.report(docs).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
+
+
+def test_a_long_text_of_many_entities_takes_linear_time_and_bounded_memory():
+    """A log of addresses: each has 24 words around it, and most are there once."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    class Here:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    def run(lines):
+        text = " ".join(f"10.{i // 65536 % 256}.{i // 256 % 256}.{i % 256} user{i % 97} said ok" for i in range(lines))
+        kind = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([{"a": 1, "b": 2}], kind), pa.array([text])], ["doc_id", "th", "text"])
+        tracemalloc.start()
+        began, rows = time.process_time(), 0
+        for out in pii._found(iter([batch]), 12, pii.TOGETHER):
+            rows += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return len(text), rows, time.process_time() - began, peak
+
+    held = TaskContext._taskContext
+    TaskContext._taskContext = Here()
+    try:
+        half, whole = run(95_000), run(190_000)
+    finally:
+        TaskContext._taskContext = held
+    assert whole[0] > 5_000_000 and whole[1] > 1.9 * half[1]
+    assert whole[2] < 3.5 * half[2] + 2 and whole[3] < 500 << 20
+
+
+def test_a_text_in_pieces_counts_as_one(spark, monkeypatch):
+    """With two entities at a time each pair still counts once a text, so spans stay the same."""
+    rows = corpus() + [(200 + i, "surgeon ana@hospital.example lima ana@hospital.example surgeon 1.2.3.4 ana@hospital.example x ana@hospital.example") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    options = {"window": 3, "support": 3, "generalise": 0.2, "remove": 0.6}
+    want = sorted(map(str, pii.report(docs, **options).collect()))
+    monkeypatch.setattr(pii, "TOGETHER", 2)
+    assert sorted(map(str, pii.report(docs, **options).collect())) == want

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TH, bitmap, in_bitmap, keyed, same_row, slices, tally, words, written
+from .common import TH, bitmap, in_bitmap, keyed, raw_text, same_row, slices, tally, words, written
 
 KINDS = ["email", "ip", "card", "phone", "secret", "term_general", "term_remove"]
 #: Kinds below BASE are those of the contract, kinds below ENTITY are protected; the others are terms.
@@ -110,47 +111,152 @@ def protected(kind: int, text: str) -> list[str]:
     return [f"{KINDS[kind]}:{text}", f"{KINDS[kind]}~{shared}"]
 
 
-def around(text: str, spans: list[tuple[int, int, int]], hashes: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for the words within ``window`` words of each entity that overlap no entity themselves."""
-    places = [m.span() for m in WORD.finditer(text)]
-    starts, ends = np.array([p[0] for p in places]), np.array([p[1] for p in places])
-    taken = np.zeros(len(places), bool)
-    inside = [(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, b))) for _, a, b in spans]
-    for low, high in inside:
-        taken[low:high] = True
-    out = []
-    for (kind, a, b), (low, high) in zip(spans, inside):
-        near = [i for i in [*range(max(0, low - window), low), *range(high, min(len(places), high + window))] if not taken[i]]
-        for name in protected(kind, text[a:b]):
-            entity = xxhash.xxh64_intdigest(name) - (1 << 63)
-            out += [(entity, int(hashes[i : i + 1].view(np.int64)[0]), *places[i]) for i in near]
-    return out
+#: Entities of a text whose surroundings are looked at together.
+TOGETHER = 8_192
+
+
+class Around:
+    """The words of a text that lie within ``window`` words of its entities and overlap none, in code points."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray, window: int, together: int):
+        self.text, self.spans, self.window, self.together = text, spans, window, together
+        at = np.array([s[1:] for s in spans], np.int64).reshape(-1, 2)
+        self.low, self.high = np.searchsorted(ends, at[:, 0], side="right"), np.searchsorted(starts, at[:, 1])
+        edges = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edges, self.low, 1)
+        np.add.at(edges, np.maximum(self.high, self.low), -1)
+        self.taken = np.cumsum(edges[:-1]) > 0
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(entity, word): an entity's hashes with the numbers of its words, for ``together`` entities at a time."""
+        step = np.arange(self.window)
+        for a in range(0, len(self.spans), self.together):
+            names = [protected(kind, self.text[x:y]) for kind, x, y in self.spans[a : a + self.together]]
+            hashes = np.array([[xxhash.xxh64_intdigest(n) - (1 << 63) for n in two] for two in names], np.int64)
+            low, high = self.low[a : a + self.together, None], self.high[a : a + self.together, None]
+            word = np.concatenate([low - self.window + step, high + step], axis=1)
+            ok = (word >= 0) & (word < len(self.taken))
+            ok[ok] = ~self.taken[word[ok]]
+            of = np.nonzero(ok)[0]
+            yield hashes[of].T.ravel(), np.tile(word[ok], 2)
+
+
+def distinct(*columns: np.ndarray) -> list[np.ndarray]:
+    """Each combination of the columns' values once."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return [c[new] for c in columns]
+
+
+def texts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, text, entities, word starts, word ends, word hashes) of each text; words are worked out where there are entities."""
+    w, offsets, after = None, None, None
+    for i, text in enumerate(batch.column(2).to_pylist()):
+        spans = base_spans(text) + secret_spans(text)
+        if not spans:
+            yield i, text, spans, None, None, None
+            continue
+        if w is None:
+            w, (_, offsets) = words(batch.column(2), fold=True), raw_text(batch.column(2))
+            after = np.flatnonzero((w.raw & 0xC0) == 0x80)  # bytes that begin no code point
+        low, high = w.first[i], w.first[i + 1]
+        skipped = np.searchsorted(after, offsets[i])
+        point = lambda at: at - offsets[i] - (np.searchsorted(after, at) - skipped)  # noqa: B023, E731
+        yield i, text, spans, point(w.starts[low:high]), point(w.ends[low:high]), w.hashes[low:high].view(np.int64)
 
 
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-NEAR = pa.struct([("e", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-
-
-FOUND = ["doc_id long", f"th {TH}", "base array<struct<kind:int,start:int,end:int>>", "near array<struct<e:long,t:long,start:int,end:int>>", "clean binary"]
+SPANS = "array<struct<kind:int,start:int,end:int>>"
+#: Rows of texts (base and clean, with doc_id and th), and rows of counts: n texts have term t around entity e, or have e (t is null).  Counts with a
+#: ``text`` are of one text in pieces and may repeat.
+FOUND = ["doc_id long", f"th {TH}", f"base {SPANS}", "clean binary", "e long", "t long", "n long", "text long"]
+
+
+def _spans(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
+    flat = np.array([x for s in rows for x in s], np.int32).reshape(-1, 3)
+    values = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], fields=list(SPAN))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in rows])]).astype(np.int32)), values)
+
+
+def _found(batches: Iterator[pa.RecordBatch], window: int, together: int) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in FOUND]
+    th = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+    held: list[list[np.ndarray]] = []  # (e, t, n); t of an entity's own count is in other rows
+    size = number = 0
+    own: list[list[np.ndarray]] = []
+
+    def counts(e: np.ndarray, t: np.ndarray | None, n: np.ndarray, text: int | None) -> pa.RecordBatch:
+        m = len(e)
+        none = [pa.nulls(m, k) for k in (pa.int64(), th, pa.list_(SPAN), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(e), pa.nulls(m, pa.int64()) if t is None else pa.array(t), pa.array(n), pa.nulls(m, pa.int64()) if text is None else pa.array(np.full(m, text))], names)
+
+    def summed(parts: list[list[np.ndarray]], keys: int) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = np.lexsort(columns[:keys])
+        columns = [c[order] for c in columns]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for c in columns[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        begin = np.flatnonzero(new)
+        return [*(c[begin] for c in columns[:keys]), np.add.reduceat(columns[keys], begin)]
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        if held:
+            e, t, n = summed(held, 2)
+            yield counts(e, t, n, None)
+        if own:
+            e, n = summed(own, 1)
+            yield counts(e, None, n, None)
 
-
-def _found(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        w, base, near, clean = words(batch.column(2), fold=True), [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            spans = base_spans(text) + secret_spans(text)
+        base, clean, few = [], [], []
+        for i, text, spans, starts, ends, hashes in texts_of(batch):
+            base.append(spans)
             clean.append(hashlib.sha256(cleaned(text, spans).encode()).digest())
-            base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-            near.append([dict(zip(("e", "t", "start", "end"), x)) for x in around(text, spans, w.hashes[w.first[i] : w.first[i + 1]], window)] if spans else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(SPAN)), pa.array(near, pa.list_(NEAR)), pa.array(clean, pa.binary())], [x.split()[0] for x in FOUND])
-
-
-def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: float, filter_bits: int) -> DataFrame:
+            if not spans:
+                continue
+            near = Around(text, spans, starts, ends, window, together)
+            if len(spans) <= together:
+                e, word = next(near.pieces())
+                few.append((np.full(len(e), i), e, hashes[word]))
+                continue
+            number += 1
+            key = (TaskContext.get().partitionId() << 32) + number
+            for e, word in near.pieces():
+                e, t = distinct(e, hashes[word])
+                yield counts(e, t, np.ones(len(e), np.int64), key)
+                e = np.unique(e)
+                yield counts(e, None, np.ones(len(e), np.int64), key)
+        if few:
+            i, e, t = distinct(*(np.concatenate(c) for c in zip(*few)))
+            held.append([e, t, np.ones(len(e), np.int64)])
+            _, e = distinct(i, e)
+            own.append([e, np.ones(len(e), np.int64)])
+            size += len(held[-1][0])
+            if size > 1_000_000:
+                held, own = [summed(held, 2)], [summed(own, 1)]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield from flushed()
+                    held, own, size = [], [], 0
+        n = batch.num_rows
+        key = pa.StructArray.from_arrays([batch.column(1).field(k) for k in range(2)], fields=list(th))  # as in the rows of counts
+        yield pa.RecordBatch.from_arrays([batch.column(0), key, _spans(base), pa.array(clean, pa.binary()), *[pa.nulls(n, pa.int64())] * 4], names)
+    yield from flushed()
+
+
+def disclosing(found: DataFrame, rows: DataFrame, total: int, support: int, generalise: float, filter_bits: int) -> DataFrame:
     """(e, t, disclosure) of the pairs that reach ``generalise``; counts are numbers of texts, over all rows."""
-    total = found.count()
-    near = found.where(F.size("near") > 0)
-    entities = found.where(F.size("base") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["e"]))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
-    pairs = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p")).groupBy("p.e", "p.t").agg(F.count("*").alias("n_et"))
+    counts = found.where("e is not null").select("e", "t", "n", "text")
+    once = counts.where("text is null").select("e", "t", "n").unionByName(counts.where("text is not null").dropDuplicates(["text", "e", "t"]).select("e", "t", "n"))
+    entities = once.where("t is null").groupBy("e").agg(F.sum("n").alias("n_e"))
+    pairs = once.where("t is not null").groupBy("e", "t").agg(F.sum("n").alias("n_et"))
     pairs = written(pairs.where(F.col("n_et") >= support), "pairs")
     # Only terms of such pairs are counted; a fixed bitmap finds them, and passes a few others that the join drops.
     sent = rows.sparkSession.sparkContext.broadcast(bitmap(pairs.select("t").distinct(), filter_bits))
@@ -173,12 +279,39 @@ def disclosing(found: DataFrame, rows: DataFrame, support: int, generalise: floa
     return joined.where(content > 0).select("e", "t", (pmi / content).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
+def pair_key(e: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """One value for a pair, for the bitmap; the same as ``pair_column``."""
+    t = t.view(np.uint64)
+    return e.view(np.uint64) ^ ((t << np.uint64(23)) | (t >> np.uint64(41)))
+
+
+def pair_column() -> Column:
+    return F.col("e").bitwiseXOR(F.shiftleft("t", 23).bitwiseOR(F.shiftrightunsigned("t", 41)))
+
+
 def searched(docs: DataFrame, id_col: str, text_col: str, window: int, support: int, generalise: float, remove: float, filter_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed rows, entities of every row, (doc_id, th, terms) of rows with terms)."""
-    rows = keyed(docs, id_col, text_col)
-    found = written(rows.mapInArrow(lambda b: _found(b, window), ", ".join(FOUND)), "entities")
-    pairs = disclosing(found, rows, support, generalise, filter_bits)
-    near = found.where(F.size("near") > 0).select("doc_id", "th", F.explode("near").alias("x")).select("doc_id", "th", "x.*")
+    rows, together = keyed(docs, id_col, text_col), TOGETHER
+    table = written(rows.mapInArrow(lambda b: _found(b, window, together), ", ".join(FOUND)), "entities")
+    found = table.where("clean is not null").select("doc_id", "th", "base", "clean")
+    pairs = written(disclosing(table, rows, found.count(), support, generalise, filter_bits), "disclosing")
+    # Terms of pairs that disclose are looked up in the texts again: a fixed bitmap finds them, and passes a few others that the join drops.
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(pairs.select(pair_column().alias("p")), filter_bits))
+
+    def told_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = []
+            for i, text, spans, starts, ends, hashes in texts_of(batch):
+                for e, word in Around(text, spans, starts, ends, window, together).pieces() if spans else ():
+                    t = hashes[word]
+                    hit = np.flatnonzero(in_bitmap(sent.value, pair_key(e, t), filter_bits))
+                    held.append((np.full(len(hit), i), e[hit], t[hit], starts[word[hit]], ends[word[hit]]))
+            if held:
+                i, e, t, start, end = (np.concatenate(c) for c in zip(*held))
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(e), pa.array(t), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "th", "e", "t", "start", "end"])
+
+    near = rows.select("doc_id", "th", "text").mapInArrow(told_in, f"doc_id long, th {TH}, e long, t long, start int, end int")
     told = near.join(pairs, ["e", "t"]).groupBy("doc_id", "th", "start", "end").agg(F.max("disclosure").alias("d"))
     kind = F.when(F.col("d") >= remove, ENTITY + 1).otherwise(ENTITY)
     return rows, found, told.groupBy("doc_id", "th").agg(F.collect_list(F.struct(kind.alias("kind"), "start", "end")).alias("terms"))
