@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import pytest
+import zstandard
 
 from veedor.llm import quality_zstd
 
@@ -62,3 +64,35 @@ def test_scores_do_not_depend_on_how_rows_lie(spark):
         got = quality_zstd.scored(d, quality_zstd.fit(d, lab, **options)).collect()
         scores.append(sorted((r.doc_id, r.score) for r in got))
     assert scores[0] == scores[1] == scores[2] and len(scores[0]) == len(rows)
+
+
+def brute_score(model, text):
+    """The compressed sizes block by block under either dictionary, and the logistic curve of their differences."""
+    raw, sizes = (text or "").encode(), []
+    for d in (model.good, model.bad):
+        blocks = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        sizes.append(sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for b in blocks))
+    good, bad = sizes
+    x = [1.0, (bad - good) / len(raw), (bad - good) / max(sizes), min(sizes) / len(raw)] if raw else [1.0, 0.0, 0.0, 0.0]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, model.weights))))
+
+
+def test_scores_of_a_given_model_match_brute_force(spark):
+    docs, labels = corpus(150)
+    df = spark.createDataFrame([*docs, (900, None, "s"), (901, "", "s"), (902, "é" * 5_000, "s")], "doc_id long, text string, source string")
+    model = quality_zstd.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in quality_zstd.scored(df, model).collect()}
+    for i, text in [(d, t) for d, t, _ in docs] + [(900, None), (901, ""), (902, "é" * 5_000)]:
+        assert abs(got[i] - brute_score(model, text)) < 1e-12
+
+
+def test_a_very_long_labelled_text_does_not_reach_the_dictionaries(spark):
+    docs, labels = corpus(200)
+    kept = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    longs = [i for i in range(10_000, 10_030) if zlib.crc32(str(i).encode()) % 5]
+    more = kept.unionByName(spark.createDataFrame([(i, "s") for i in longs], "doc_id long, source string").selectExpr("doc_id", "repeat('WORD!! ', 900000) as text", "source"))
+    y = spark.createDataFrame([*labels, *((i, 0, 0) for i in longs)], "doc_id long, quality int, toxic int")
+    model = quality_zstd.fit(more, y, sample_bytes=1 << 20, calibration=50)
+    assert model.good and model.bad and len(model.bad) < 100_000
+    alone = quality_zstd.fit(kept, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), sample_bytes=1 << 20, calibration=50)
+    assert model.good == alone.good and model.bad == alone.bad

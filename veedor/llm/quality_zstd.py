@@ -14,10 +14,10 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, least, raw_text, slices
+from .common import keyed, least, raw_text, slices, written
 
 BLOCK, SAMPLE_BLOCK = 1_024, 2_048
 
@@ -79,8 +79,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A model from labelled rows that are not held out.
 
     The sample is bounded: ``per_class`` rows of either label build the dictionaries, with at most ``sample_bytes`` of
-    whole texts each; ``calibration`` others, in their natural proportion, fit the weights.  Rows are taken in the order of a hash of the id.
-    With too few labels (none for the dictionary of a class) the score is the rate of label 1.
+    whole texts each (none longer than an eighth of that); ``calibration`` others, in their natural proportion, fit the weights.  Rows are taken in the order of a hash of the id.
+    With too few labels (none for the dictionary of a class; an empty table) the score is the rate of label 1.  Of an id labelled twice the larger label
+    counts; null ids and labels do not; null and empty texts are rows like others.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("r", F.xxhash64("doc_id"))
@@ -89,14 +90,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     second = least(known.where(~half).withColumn("s", F.xxhash64(F.lit(2), "doc_id")), "s", calibration, "doc_id").drop("s").withColumn("use", F.lit(2))
     chosen = first[0].unionByName(first[1]).unionByName(second)  # at most 2 * per_class + calibration rows of two numbers
     rows = keyed(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    # The rows of a dictionary are chosen by numbers alone, in an order that does not depend on how the table lies in files; only their texts move.
+    sizes = rows.where("use < 2").select("use", "r", "doc_id", "th", F.octet_length("text").alias("bytes")).where(F.col("bytes") <= sample_bytes // 8)
+    order = Window.partitionBy("use").orderBy("r", "doc_id", "th")
+    sizes = sizes.withColumns({"k": F.row_number().over(order), "sum": F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    wanted = written(sizes.where((F.col("k") <= per_class) & (F.col("sum") <= sample_bytes)).groupBy("use", "doc_id", "th").agg(F.min("k").alias("k"), F.count("*").alias("copies")), "dictionary-rows")
+    found = rows.where("use < 2").select("doc_id", "th", "text").join(F.broadcast(wanted), ["doc_id", "th"]).groupBy("use", "k").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))  # at most 2 * per_class keys
     texts: dict[int, list[bytes]] = {0: [], 1: []}
-    held = {0: 0, 1: 0}
-    # Sorted, so that the dictionaries do not depend on how the table lies in files.
-    for r in rows.where("use < 2").orderBy("use", "r", "doc_id", "th").select("use", "text").toLocalIterator():
-        t = r.text.encode()
-        if held[r.use] + len(t) <= sample_bytes:
-            texts[r.use].append(t)
-            held[r.use] += len(t)
+    for r in found.orderBy("use", "k").toLocalIterator():  # at most sample_bytes of each class
+        texts[r.use] += [r.text.encode()] * r.copies
     base = Model(dictionary(texts[1], size), dictionary(texts[0], size), [0.0] * 4)
     if not base.good or not base.bad:
         n, ones = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
