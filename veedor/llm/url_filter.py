@@ -76,6 +76,10 @@ def lexical(url: str, host: str, path: str, rates: dict[str, float], rate: float
     ]
 
 
+#: Folds of the suffix rates that trees are trained on.
+FOLDS = 5
+
+
 @dataclass
 class Tree:
     feature: list[int] = field(default_factory=list)
@@ -105,8 +109,8 @@ class Boosted:
     rate: float
 
     def block_probability(self, urls: list[tuple[str, str, str]]) -> np.ndarray:
-        if not urls:
-            return np.zeros(0)
+        if not urls or not self.trees:
+            return np.full(len(urls), 1 / (1 + math.exp(-self.bias)))
         x = np.array([lexical(*u, self.rates, self.rate) for u in urls], float)
         return 1 / (1 + np.exp(-(self.bias + sum((t.predict(x) for t in self.trees), np.zeros(len(x))))))
 
@@ -173,14 +177,22 @@ def train(urls: list[tuple[str, str, str]], blocked: np.ndarray, trees: int = 60
 
 def _boosted(urls: list[tuple[str, str, str]], blocked: np.ndarray, trees: int, depth: int, rate: float, least: int, ridge: float, shrink: float) -> Boosted:
     n, share = len(urls), (float(blocked.sum()) + 0.5) / (len(urls) + 1)
-    seen, bad = Counter(), Counter()
-    for (_, host, _), y in zip(urls, blocked):
+    fold = np.arange(n) % FOLDS
+    seen, bad = ([Counter() for _ in range(FOLDS)] for _ in range(2))
+    for (_, host, _), y, k in zip(urls, blocked, fold):
         for s in suffixes(host):
-            seen[s] += 1
-            bad[s] += int(y)
-    rates = {s: (bad[s] + shrink * share) / (c + shrink) for s, c in seen.items() if c >= 5}
+            seen[k][s] += 1
+            bad[k][s] += int(y)
+    every, ones = sum(seen, Counter()), sum(bad, Counter())
+
+    def rates_of(c: Counter, b: Counter) -> dict[str, float]:
+        return {s: (b[s] + shrink * share) / (m + shrink) for s, m in c.items() if m >= 5}
+
+    rates = rates_of(every, ones)
+    # A row's own label is in none of the rates that it is trained on: each fold takes those of the other folds.
+    others = [rates_of(Counter({s: m - seen[k][s] for s, m in every.items()}), Counter({s: ones[s] - bad[k][s] for s in every})) for k in range(FOLDS)]
     model = Boosted(math.log(share / (1 - share)), [], rates, share)
-    x = np.array([lexical(*u, rates, share) for u in urls], float)
+    x = np.array([lexical(*u, others[k], share) for u, k in zip(urls, fold)], float)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 33)[1:-1])) for f in range(x.shape[1])]
     bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
     score = np.full(n, model.bias)
@@ -200,7 +212,8 @@ def split(pages: DataFrame, id_col: str, url_col: str) -> DataFrame:
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most: int = 20_000, **options) -> Boosted:
     """A model from labelled urls (label true or 1: blocked; null labels are left out).
 
-    The sample is bounded: the ``most`` different urls with the least hashes.  A url with both labels counts as blocked.
+    The sample is bounded: the ``most`` different urls with the least hashes, ties by url.  A url with both labels counts as blocked.
+    An empty table, or one label alone, gives the rate without trees.  A very long url counts whole.
     """
     host, path = parts(F.col(url_col).cast("string"))
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), host.alias("host"), path.alias("path"), F.col(label_col).cast("int").alias("y"))
