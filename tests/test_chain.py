@@ -11,6 +11,7 @@ import pytest
 from veedor.functions import rules
 from veedor.operators import retrieval as rt
 from veedor.operators import rows as r
+from veedor.operators import chunking, similar
 from veedor.operators import text as tx
 
 
@@ -58,7 +59,7 @@ def test_document_chunks(spark):
     docs = {f"d{k}": ["".join(rand.choice(bits) for _ in range(rand.randint(0, 120))) for _ in range(4)] for k in range(12)} | {"long": ["palabra " * 5_000], "null": [None, "y"]}
     pages = spark.createDataFrame([(d, i + 1, t) for d, ps in docs.items() for i, t in enumerate(ps)], "document_id string, page_number int, text string")
     got = {}
-    for x in tx.chunks(pages, size=200).collect():
+    for x in chunking.chunks(pages, size=200).collect():
         got.setdefault(x.document_id, []).append(x)
     heading = re.compile(r"^\s*(?:[IVXLCDM]+\.\s+|[0-9]+(?:\.[0-9]+)*\s+)?([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ0-9 /,\-]{4,})\s*$", re.M)
     for d, ps in docs.items():
@@ -73,7 +74,7 @@ def test_document_chunks(spark):
         rows = sorted(got.get(d, []), key=lambda x: x.chunk_index)
         assert [(x.char_start, x.char_end, x.page_start, x.page_end, x.section_hint, x.text) for x in rows] == want
         assert [x.chunk_id for x in rows] == [f"{d}::{i:05d}" for i in range(len(rows))]
-    assert tx.chunks(pages.limit(0)).count() == 0
+    assert chunking.chunks(pages.limit(0)).count() == 0
 
 
 def test_page_chunks_count_through_a_document(spark):
@@ -106,9 +107,19 @@ def test_similar_quotes(spark):
     flags = [(rand.choice("de"), rand.choice("XY"), i, rand.choice([0.4, 0.5, 0.9]), " ".join(word() for _ in range(rand.randint(1, 6)))) for i in range(150)]
     flags += [("d", "X", 200 + i, 0.5, q) for i, q in enumerate(["", None, "...", "a" * 400 + " b", "a" * 400 + " c"])]
     df = spark.createDataFrame(flags, "document_id string, flag_code string, flag_id int, confidence double, quote string")
-    got = tx.similar_quotes(df)
+    got = similar.similar_quotes(df)
     assert got.columns == df.columns and sorted(x.flag_id for x in got.collect()) == brute_dedup(flags)
-    assert tx.similar_quotes(df.limit(0)).count() == 0
+    assert sorted(x.flag_id for x in similar.similar_quotes(df, at_once=1).collect()) == brute_dedup(flags)  # by rounds
+    assert sorted(x.flag_id for x in similar.similar_quotes(df, per_row=0).collect()) == brute_dedup(flags)  # by leaders first
+    assert similar.similar_quotes(df.limit(0)).count() == 0
+
+
+def test_ten_thousand_quotes_of_one_code(spark):
+    """A third are copies but for a word, and none of the others are alike."""
+    rand = random.Random(6)
+    flags = [("d", "X", i, 0.5, f"el plazo de entrega de los bienes es demasiado corto segun el area usuaria numero{i}" if i % 3 == 0 else " ".join(f"w{rand.randrange(3_000)}" for _ in range(9))) for i in range(10_000)]
+    kept = {x.flag_id for x in similar.similar_quotes(spark.createDataFrame(flags, "document_id string, flag_code string, flag_id int, confidence double, quote string")).collect()}
+    assert kept == {0} | {i for i in range(10_000) if i % 3}
 
 
 def corpus():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veedor.functions import columns as c
 from veedor.operators import changes as ch
 from veedor.operators import detectors as d
+from veedor.operators import chunking, similar
 from veedor.operators import text as tx
 
 
@@ -64,7 +65,7 @@ def test_shared_key_counts_pairs(spark):
 def test_chunks_keep_pages_and_headings(spark):
     pages = [("d", 1, "1 OBJETO DEL SERVICIO\n" + "palabra " * 120), ("d", 2, "2.1 PLAZO DE ENTREGA\nDiez dias."), ("e", 1, ""), ("f", 1, None)]
     df = spark.createDataFrame(pages, "document_id string, page_number int, text string")
-    got = tx.chunks(df, size=300).orderBy("chunk_id").collect()
+    got = chunking.chunks(df, size=300).orderBy("chunk_id").collect()
     assert {r.document_id for r in got} == {"d"} and got[0].page_start == 1 and got[-1].page_end == 2
     assert all(len(r.text) <= 300 for r in got) and got[-1].section_hint == "OBJETO DEL SERVICIO"
     assert tx.page_chunks(df, 300, 50).where("document_id = 'd' and page_number = 1").count() >= 4
@@ -91,7 +92,7 @@ def test_rules_scores_and_quotes(spark):
 def test_similar_quotes(spark):
     rows = [("d", "F", 1, 0.9, "uno dos tres cuatro"), ("d", "F", 2, 0.8, "UNO dos trés cuatro"), ("d", "G", 3, 0.5, "uno dos tres cuatro"), ("d", "F", 4, 0.1, None)]
     df = spark.createDataFrame(rows, "document_id string, flag_code string, flag_id int, confidence double, quote string")
-    assert sorted(r.flag_id for r in tx.similar_quotes(df).collect()) == [1, 3, 4]
+    assert sorted(r.flag_id for r in similar.similar_quotes(df).collect()) == [1, 3, 4]
 
 
 def test_all_hits_of_a_hot_document_are_kept(spark, tmp_path):

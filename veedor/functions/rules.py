@@ -273,3 +273,80 @@ DOCTRINE_WORDS = {
     "LOW_TRACEABILITY_OUTPUT": ("traceability", "audit trail", "machine readable", "structured data", "open data", "dataset deliverable", "non-structured"),
     "AI_NO_AUDIT_TRAIL": ("ai accountability", "automated decision", "algorithmic", "ai governance", "human oversight", "audit trail"),
 }
+
+# What a summary says and asks about a flag.
+EXPLANATIONS = {
+    "LOW_TRACEABILITY_OUTPUT": "Entregables sin formato estructurado o digital reducen la capacidad de supervision y auditoria.",
+    "OBSOLETE_PHYSICAL_FORMAT": "La entrega exclusivamente fisica limita el acceso publico y la trazabilidad de los resultados.",
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": "Una carga documental alta puede desincentivar la participacion de postores pequenos o especializados.",
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": "Especificaciones tecnicas restrictivas pueden reducir la competencia y favorecer a un proveedor determinado.",
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": "Certificaciones desproporcionadas crean barreras de entrada artificiales que limitan el numero de postores.",
+    "SUBJECTIVE_EVALUATION_CRITERIA": "Criterios sin rubricas medibles permiten decisiones discrecionales en la adjudicacion.",
+    "UNREALISTIC_DEADLINE": "Plazos cortos pueden excluir a postores que requieren tiempo para preparar propuestas de calidad.",
+    "OVER_SPECIFIED_EXPERIENCE": "Requisitos de experiencia muy especificos pueden estar disenados para un proveedor en particular.",
+}
+SUMMARY_QUESTIONS = {
+    "LOW_TRACEABILITY_OUTPUT": ["Por que no se exige un entregable en formato estructurado o base de datos?", "Como se garantizara la trazabilidad de los resultados del servicio?"],
+    "OBSOLETE_PHYSICAL_FORMAT": ["Cual es el sustento tecnico para exigir entrega exclusivamente fisica?", "Se ha considerado un formato digital alternativo que permita mayor transparencia?"],
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": ["Se ha evaluado si la cantidad de documentos exigidos es proporcional al objeto del servicio?", "Que estudios de mercado respaldan estos requisitos documentales?"],
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": ["Por que se especifica una marca o modelo unico sin alternativa equivalente?", "Existe un estudio tecnico que justifique esta especificacion exclusiva?"],
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": ["Las certificaciones exigidas son proporcionales al valor del contrato?", "Existen al menos tres proveedores en el mercado que puedan cumplir estos requisitos?"],
+    "SUBJECTIVE_EVALUATION_CRITERIA": ["Como se garantizara la objetividad en la evaluacion si no hay rubricas medibles?", "Que pesos especificos tiene cada criterio de evaluacion?"],
+    "UNREALISTIC_DEADLINE": ["El plazo de presentacion permite una participacion plural de postores?", "Se ha comparado este plazo con el estandar del mercado para servicios similares?"],
+    "OVER_SPECIFIED_EXPERIENCE": ["Cuantos proveidores en el mercado cumplen con los anos de experiencia exigidos?", "Existe un sustento objetivo para el monto acumulado minimo requerido?"],
+}
+# A dossier's questions by flag, those of every dossier, and its request.
+DOSSIER_QUESTIONS = {
+    "EXCESSIVE_DOCUMENT_REQUIREMENT": [
+        "¿Existe sustento del area usuaria que justifique el volumen documental requerido?",
+        "¿Se evaluo si este requisito limitaba la cantidad de postores?",
+        "¿Cuantos postores presentaron propuesta en este proceso?",
+        "¿El requisito documental fue observado durante el periodo de consultas?",
+    ],
+    "OBSOLETE_PHYSICAL_FORMAT": [
+        "¿Por que se exige entrega en formato fisico o en soporte obsoleto?",
+        "¿Existe justificacion tecnica documentada para este requerimiento?",
+        "¿El formato fisico dificulta la auditoria digital posterior del entregable?",
+    ],
+    "SPECIFIC_EQUIPMENT_REQUIREMENT": [
+        "¿Por que se exige equipamiento de marca o tipo especifico en lugar de especificaciones funcionales?",
+        "¿Cuantos proveedores en el mercado podian cumplir este requisito?",
+        "¿El requerimiento de equipamiento fue parte del estudio de mercado?",
+        "¿Quien del area usuaria definio el equipamiento especifico y con que sustento?",
+    ],
+    "EXCESSIVE_CERTIFICATION_REQUIREMENT": [
+        "¿Por que se exige esta certificacion internacional?",
+        "¿Cuantos proveedores peruanos cuentan con esta certificacion?",
+        "¿La certificacion es proporcional al objeto de la contratacion?",
+        "¿El requerimiento de certificacion fue incluido en el estudio de mercado previo?",
+    ],
+    "LOW_TRACEABILITY_OUTPUT": [
+        "¿Como se verificara y validara el cumplimiento del entregable descrito?",
+        "¿Existen criterios de aceptacion e indicadores medibles para este entregable?",
+        "¿Quien del area usuaria firma la conformidad del servicio y con que rubrica?",
+    ],
+    "SUBJECTIVE_EVALUATION_CRITERIA": [
+        "¿Cual es la rubrica verificable y auditable asociada a este criterio de evaluacion?",
+        "¿Existio pronunciamiento de algun postor sobre la subjetividad de este criterio?",
+        "¿El comite de evaluacion documento como aplico este criterio en el acta?",
+        "¿Se puede reproducir la evaluacion a partir del acta disponible?",
+    ],
+}
+EVERY_DOSSIER_ASKS = [
+    "¿Donde esta el requerimiento del area usuaria que origino este proceso?",
+    "¿El estudio de mercado consulto al menos tres fuentes independientes?",
+    "¿El valor referencial fue aprobado por el funcionario competente?",
+    "¿El contrato final y la conformidad del servicio estan disponibles publicamente?",
+]
+DOSSIER_REQUEST = """Solicito copia digital del expediente de contratacion asociado al procedimiento %s, incluyendo:
+
+1. Requerimiento del area usuaria.
+2. Terminos de referencia o especificaciones tecnicas completas.
+3. Estudio de mercado utilizado para determinar el valor estimado.
+4. Relacion de postores registrados o que adquirieron las bases.
+5. Acta de evaluacion tecnica y economica.
+6. Acta de otorgamiento de buena pro.
+7. Contrato suscrito con el proveedor ganador.
+8. Conformidades del servicio o entrega.
+9. Sustento tecnico de los requisitos observados en las paginas: %s.
+10. Cualquier informe que justifique la inclusion de certificaciones, equipos o condiciones especificas."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 
 def best_document(documents: DataFrame, key: str, classes: list[tuple[str, str]]) -> DataFrame:
     """Per process the class of its best document, the first class whose pattern a title matches, and how many documents it has."""
@@ -42,6 +46,43 @@ def pack_graph(documents: DataFrame, key: str, doc: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
+def pack_nodes_edges(packs: DataFrame, documents: DataFrame, chunks: DataFrame, clusters: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of process packs.
+
+    nodes: (pack_id, node_id, node_type, label, properties) of types process_pack, document, chunk, semantic_cluster and missing_key; properties is a map of texts.
+    edges: (pack_id, source_id, target_id, relationship, properties): PACK_CONTAINS_DOCUMENT, DOCUMENT_NEEDS_OCR (to ``ocr``), DOCUMENT_HAS_CHUNK,
+    DOCUMENT_HAS_CLUSTER, CLUSTER_CONTAINS_CHUNK, PACK_MISSING_KEY.
+
+    packs (pack_id, mode), documents (pack_id, document_id, file_name, kind, pages, pages_needing_ocr), chunks (document_id, chunk_id, section_hint, page_start,
+    page_end), clusters (cluster_id, label, chunk_id), one row a chunk, missing (pack_id, key).  A cluster belongs to each document that has one of its chunks.
+    Rows repeated in any of them give one node and one edge.
+    """
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    node_id = lambda kind, c: F.concat_ws("::", text("pack_id"), F.lit(kind), text(c))
+    told = lambda **kv: F.map_filter(F.create_map(*[x for k, v in kv.items() for x in (F.lit(k), text(v))]), lambda k, v: v.isNotNull())
+    node = lambda df, kind, c, label, **kv: df.select("pack_id", node_id(kind, c).alias("node_id"), F.lit(kind).alias("node_type"), text(label).alias("label"), told(**kv).alias("properties"))
+    edge = lambda df, a, b, name, **kv: df.select("pack_id", a.alias("source_id"), b.alias("target_id"), F.lit(name).alias("relationship"), (told(**kv) if kv else F.create_map().cast("map<string,string>")).alias("properties"))
+    pack, doc, chunk, cluster = node_id("process_pack", F.lit("root")), node_id("document", "document_id"), node_id("chunk", "chunk_id"), node_id("semantic_cluster", "cluster_id")
+    totals = documents.groupBy("pack_id").agg(F.countDistinct("document_id").alias("total_documents"), F.sum("pages").alias("total_pages"))
+    packs = packs.join(totals, "pack_id", "left").na.fill(0, ["total_documents", "total_pages"])
+    held = chunks.join(documents.select("pack_id", "document_id").distinct(), "document_id")
+    grouped = clusters.join(held.select("pack_id", "document_id", "chunk_id").distinct(), "chunk_id")
+    sizes = grouped.groupBy("pack_id", "cluster_id", "label").agg(F.countDistinct("chunk_id").alias("chunk_count"))
+    nodes = [
+        node(packs, "process_pack", F.lit("root"), "pack_id", mode="mode", total_documents="total_documents", total_pages="total_pages"),
+        node(documents, "document", "document_id", "file_name", document_type="kind", pages_total="pages", pages_needing_ocr="pages_needing_ocr"),
+        node(held, "chunk", "chunk_id", F.coalesce(text("section_hint"), F.substring(text("chunk_id"), -8, 8)), page_start="page_start", page_end="page_end"),
+        node(sizes, "semantic_cluster", "cluster_id", "label", chunk_count="chunk_count"),
+        node(missing, "missing_key", "key", F.concat(F.lit("missing: "), text("key")), key="key"),
+    ]
+    edges = [
+        edge(documents, pack, doc, "PACK_CONTAINS_DOCUMENT"), edge(documents.where("pages_needing_ocr > 0"), doc, F.lit("ocr"), "DOCUMENT_NEEDS_OCR", pages="pages_needing_ocr"), edge(held, doc, chunk, "DOCUMENT_HAS_CHUNK"),
+        edge(grouped, doc, cluster, "DOCUMENT_HAS_CLUSTER"), edge(grouped, cluster, chunk, "CLUSTER_CONTAINS_CHUNK"), edge(missing, pack, node_id("missing_key", "key"), "PACK_MISSING_KEY", key="key"),
+    ]
+    once = lambda parts, *by: reduce(lambda a, b: a.unionByName(b), [p.dropDuplicates(list(by)) for p in parts])
+    return once(nodes, "node_id"), once(edges, "source_id", "target_id")
+
+
 def bridge(manifest: DataFrame, contracts: DataFrame, key: str = "ocid") -> DataFrame:
     """The manifest with its contract, or the reason why there is none."""
     c = contracts.select(F.col(key).alias("_key"), "external_id").groupBy("_key").agg(F.min("external_id").alias("external_id"))
@@ -116,6 +157,33 @@ def synthesis(flags: DataFrame, documents: DataFrame, key: str = "document_id",
     return j.select(key, n.cast("long").alias("n"), level.alias("level"), F.coalesce(F.array_join(F.slice(asked, 1, most), ","), F.lit("")).alias("questions"), F.when(n > 0, text).otherwise(NO_FLAGS).alias("summary"))
 
 
+def by_code(table: dict[str, list[str]], code: Column) -> Column:
+    """The texts of a code in a table of few codes, in order; none for another code."""
+    listed = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(listed[code], F.array().cast("array<string>"))
+
+
+def explained(flags: DataFrame, explanations: dict[str, str] = rules.EXPLANATIONS, questions: dict[str, list[str]] = rules.SUMMARY_QUESTIONS) -> DataFrame:
+    """flags with the explanation and the questions of their flag_code, as ``synthesis`` wants them; an unknown code has an empty one and none."""
+    said = F.create_map(*[F.lit(x) for kv in explanations.items() for x in kv])
+    return flags.withColumns({"explanation": F.coalesce(said[F.col("flag_code")], F.lit("")), "questions": by_code(questions, F.col("flag_code"))})
+
+
+def dossier_questions(flags: DataFrame, documents: DataFrame, key: str = "document_id", table: dict[str, list[str]] = rules.DOSSIER_QUESTIONS, every: list[str] = rules.EVERY_DOSSIER_ASKS, request: str = rules.DOSSIER_REQUEST) -> DataFrame:
+    """(key, questions, pages, request) for every document (key, procedure): what its dossier asks the authority, and the request it sends.
+
+    Questions go by code in the order of their first flag (page_number, flag_code), then those of every dossier, each once.  pages: the flagged
+    pages, rising, or N/A.  A null procedure is named by the key.  Codes are few; pages are those of one document.
+    """
+    codes = flags.groupBy(key, "flag_code").agg(F.min("page_number").alias("page"))
+    asked = codes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("page", "flag_code"))), lambda x: x["flag_code"]).alias("codes"))
+    where = flags.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("page_number")), ", ").alias("pages"))
+    j = documents.select(key, F.coalesce(F.col("procedure").cast("string"), F.col(key).cast("string")).alias("_procedure")).join(asked, key, "left").join(where, key, "left")
+    own = F.flatten(F.transform(F.coalesce("codes", F.array().cast("array<string>")), lambda c: by_code(table, c)))
+    pages = F.coalesce("pages", F.lit("N/A"))
+    return j.select(key, F.array_distinct(F.concat(own, F.array(*map(F.lit, every)))).alias("questions"), pages.alias("pages"), F.format_string(request, "_procedure", pages).alias("request"))
+
+
 def register_lookup(wanted: DataFrame, register: DataFrame, key: str = "ruc") -> DataFrame:
     """Each wanted key with its register row: razon_social, estado, condicion, ubigeo; NO_ENCONTRADO and empty fields where there is none."""
     fields = {"razon_social": "", "estado": "NO_ENCONTRADO", "condicion": "", "ubigeo": ""}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import fresh_path
-from .detectors import money, names
+from .detectors import few, money, names
+from .groups import classes, two_least
 
 
 def family_conflict(committee: DataFrame, family: DataFrame, represents: DataFrame, won: DataFrame) -> DataFrame:
@@ -75,23 +76,39 @@ def subgraph(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
 COI_POINTS = {"MIEMBRO_COMITE": 25, "REPRESENTANTE_DE": 20, "FAMILIAR_DE": 30, "MONOPOLIO_PROVEEDOR": 15, "DIRECCION_COMPARTIDA": 10}
 
 
+def shared_address(companies: DataFrame) -> DataFrame:
+    """(ruc, other, n): each company's other companies at its address: how many, and the least; no pairs are made."""
+    total = companies.groupBy("address_hash").agg(F.count("*").alias("total"))
+    own = companies.groupBy("address_hash", "ruc").agg(F.count("*").alias("own"))
+    j = companies.select("ruc", "address_hash").join(total, "address_hash").join(own, ["address_hash", "ruc"]).join(two_least(companies, "address_hash", "ruc"), "address_hash")
+    return j.where("total > own").select("ruc", F.when(F.col("first") == F.col("ruc"), F.col("second")).otherwise(F.col("first")).alias("other"), (F.col("total") - F.col("own")).alias("n"))
+
+
 def coi_score(relations: DataFrame, points: dict[str, int] = COI_POINTS, cap: int = 100) -> DataFrame:
-    """(ruc, coi_score, kinds): the points of each relation, added and capped."""
+    """(ruc, coi_score, kinds) of relations (ruc, kind, place, other, n): the points of each of its n, added and capped."""
     table = F.create_map(*[F.lit(x) for kv in points.items() for x in kv])
-    return relations.groupBy("ruc").agg(F.least(F.sum(F.coalesce(table[F.col("kind")], F.lit(0))), F.lit(cap)).cast("int").alias("coi_score"), names("kind").alias("kinds"))
+    return relations.groupBy("ruc").agg(F.least(F.sum(F.coalesce(table[F.col("kind")], F.lit(0)) * F.col("n")), F.lit(cap)).cast("int").alias("coi_score"), names("kind").alias("kinds"))
 
 
 def coi_signals(relations: DataFrame, points: dict[str, int] = COI_POINTS) -> DataFrame:
-    """The first relation of each kind that has points, by its place."""
+    """The first relation of each kind that has points, by its place; ``other`` is the least of the n it stands for."""
     first = relations.where(F.col("kind").isin(*points)).groupBy("ruc", "kind").agg(F.min(F.struct("place", "other")).alias("x"))
     return first.select("ruc", "kind", F.col("x.place").alias("place"), F.col("x.other").alias("other"))
 
 
-def community(represents: DataFrame) -> DataFrame:
-    """For each company, the others that share a representative."""
-    a, b = represents.alias("a"), represents.alias("b")
-    pairs = a.join(b, (F.col("a.rep_id") == F.col("b.rep_id")) & (F.col("a.ruc") != F.col("b.ruc"))).select(F.col("a.ruc").alias("ruc"), F.col("b.ruc").alias("other"), F.col("a.rep_id").alias("rep_id"))
-    return pairs.groupBy("ruc").agg(names("other").alias("companies"), names("rep_id").alias("persons"), F.countDistinct("other").alias("n_companies"))
+def community(represents: DataFrame, listed: int = 1000) -> DataFrame:
+    """(ruc, companies, persons, n_companies): for each company the others that share a representative: their number, and the first ``listed`` of them.
+
+    A company with one representative takes both from that class; only those with several join the classes' members, to count none twice.
+    """
+    own = classes(represents, "ruc", "rep_id")
+    reps = own.groupBy("ruc").agg(names("rep_id").alias("persons"), F.count("*").alias("n_reps"))
+    one = own.join(reps.where("n_reps = 1").select("ruc"), "ruc")
+    heads = few(own, "rep_id", "ruc", listed + 1, "heads")
+    single = one.join(heads, "rep_id").select("ruc", F.array_join(F.slice(F.array_remove(F.split("heads", ","), F.col("ruc")), 1, listed), ",").alias("companies"), (F.col("members") - 1).alias("n_companies"))
+    many = own.join(reps.where("n_reps > 1").select("ruc"), "ruc").select("ruc", "rep_id").join(own.select("rep_id", F.col("ruc").alias("other")), "rep_id").where("ruc <> other").select("ruc", "other").distinct()
+    several = many.groupBy("ruc").agg(F.count("*").alias("n_companies")).join(few(many, "ruc", "other", listed, "companies"), "ruc").select("ruc", "companies", "n_companies")
+    return single.unionByName(several).join(reps, "ruc").select("ruc", "companies", "persons", "n_companies")
 
 
 def carousel(represents: DataFrame, won: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..functions import rules
 from . import text as tx
+from . import vector_index
+from .similar import similar_quotes
 
 #: A text's first characters, which is what a hit shows.
 EXCERPT = 400
@@ -142,7 +144,7 @@ def flags(hits: DataFrame, evidence: dict = rules.EVIDENCE, known: dict = rules.
 def critiqued(chunks: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """Retrieval, flags, similar quotes and critique in one: the candidates with reason and accepted."""
     found = flags(retrieve(chunks, queries, top)).withColumn("flag_id", F.col("query_id") * 1000 + F.col("rank"))
-    return tx.critique(tx.similar_quotes(found), chunks.select("chunk_id", "text"))
+    return tx.critique(similar_quotes(found), chunks.select("chunk_id", "text"))
 
 
 def with_retry(chunks: DataFrame, queries: DataFrame, top: int = 5, keep=lambda df, name: df) -> DataFrame:
@@ -171,3 +173,42 @@ def anchor(asked: DataFrame, doctrine: DataFrame) -> DataFrame:
     by_id = doctrine.select(F.col("chunk_id").alias("_id"))
     j = asked.join(by_id, F.col("anchor_id") == F.col("_id"), "left").join(first, "flag_code", "left")
     return j.withColumn("chunk_id", F.coalesce("_id", "_first")).drop("_id", "_first")
+
+
+def doctrine_hits(questions: DataFrame, doctrine: DataFrame, top: int = 10) -> DataFrame:
+    """(document_id, place, flag_code, chunk_id, score): the ``top`` doctrine chunks (chunk_id, text, flag_code) nearest each document's question.
+
+    Each different question is searched once, by matrix products; blank and null questions have no hits.  It feeds ``plan``.
+    """
+    asked = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("document_id", "question")
+    found = vector_index.exact(doctrine.select("chunk_id", tx.hash_embedding(F.col("text")).alias("v")), asked.select(F.col("question").alias("query_id")).distinct().withColumn("q", tx.hash_embedding(F.col("query_id"))), top)
+    hits = found.join(doctrine.select("chunk_id", "flag_code"), "chunk_id")
+    return asked.join(hits, F.col("question") == F.col("query_id")).select("document_id", F.col("rank").alias("place"), "flag_code", "chunk_id", "score")
+
+
+def anchored(asked: DataFrame, doctrine: DataFrame) -> DataFrame:
+    """As ``anchor``, with a third way: a flag that no doctrine chunk names gets the chunk nearest its own words.  doctrine has ``text`` too."""
+    found = anchor(asked, doctrine)
+    lost = found.where("chunk_id is null").select("flag_code").distinct()
+    words = F.lower(F.replace("flag_code", F.lit("_"), F.lit(" ")))
+    near = vector_index.exact(doctrine.select("chunk_id", tx.hash_embedding(F.col("text")).alias("v")), lost.select(F.col("flag_code").alias("query_id"), tx.hash_embedding(words).alias("q")), 1)
+    out = found.join(near.select(F.col("query_id").alias("flag_code"), F.col("chunk_id").alias("_near")), "flag_code", "left")
+    return out.withColumn("chunk_id", F.coalesce("chunk_id", "_near")).drop("_near")
+
+
+def debug_rows(queries: DataFrame, hits: DataFrame, judged: DataFrame, shown: int = 300) -> DataFrame:
+    """(document_id, part, query_id, flag_code, rank, query, clusters, anchor_id, chunk_id, score, excerpt, reason): what a search did, row by row.
+
+    part ``query``: a query of the plan; ``hit``: a chunk that it found, with the excerpt's first ``shown`` characters; ``candidate``: a flag
+    and the reason against it, null if it was accepted.  Columns that a part does not have are null.
+    """
+    names = ["document_id", "part", "query_id", "flag_code", "rank", "query", "clusters", "anchor_id", "chunk_id", "score", "excerpt", "reason"]
+    kinds = {"rank": "int", "query": "string", "clusters": "string", "anchor_id": "string", "chunk_id": "string", "score": "double", "excerpt": "string", "reason": "string"}
+
+    def rows(df: DataFrame, part: str, **columns: Column) -> DataFrame:
+        own = {"document_id": F.col("document_id"), "part": F.lit(part), "query_id": F.col("query_id").cast("long"), "flag_code": F.col("flag_code")} | {k: v.cast(kinds[k]) for k, v in columns.items()}
+        return df.select(*[own.get(n, F.lit(None).cast(kinds.get(n, "string"))).alias(n) for n in names])
+
+    out = rows(queries, "query", query=F.col("query"), clusters=F.array_join("clusters", ","), anchor_id=F.col("anchor_id"))
+    out = out.unionByName(rows(hits, "hit", rank=F.col("rank"), chunk_id=F.col("chunk_id"), score=F.col("score"), excerpt=F.substring("excerpt", 1, shown)))
+    return out.unionByName(rows(judged, "candidate", rank=F.col("rank"), chunk_id=F.col("chunk_id"), excerpt=F.col("quote"), reason=F.col("reason")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect
 from collections.abc import Iterator
 from functools import reduce
 
@@ -75,37 +74,6 @@ def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 CHUNK = "document_id string, chunk_id string, chunk_index int, page_start int, page_end int, char_start int, char_end int, section_hint string, text string"
 
 
-def chunks(pages: DataFrame, size: int = 1200, overlap: int = 1) -> DataFrame:
-    """A document's pages joined by an empty line and cut into chunks, with the pages each lies on and the last heading before it.
-
-    The cut of a chunk depends on the one before, so a document is cut in one piece, and documents in parallel.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, parts in zip(batch["document_id"], batch["pages"]):
-                parts = sorted(parts, key=lambda p: p["page_number"])
-                text, starts = "", []
-                for p in parts:
-                    text += "\n\n" if starts else ""
-                    starts.append(len(text))
-                    text += p["text"] or ""
-                page = lambda at: parts[max(0, bisect(starts, at) - 1)]["page_number"]  # noqa: B023, E731
-                heads = [(m.end(), m[1].strip()) for m in HEADING.finditer(text)]
-                n = 0
-                for a, b in cut_points(text, size, overlap):
-                    if body := text[a:b].strip():
-                        last = HEADING.search(text, text.rfind("\n", 0, a) + 1, a)  # a heading line that the chunk's start cuts
-                        hint = last[1].strip() if last else next((h for at, h in reversed(heads) if at <= a), None)
-                        rows.append((doc, f"{doc}::{n:05d}", n, page(a), page(b - 1), a, b, hint, body))
-                        n += 1
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in CHUNK.split(", ")])
-
-    whole = pages.groupBy("document_id").agg(F.collect_list(F.struct("page_number", "text")).alias("pages"))
-    return whole.select(F.col("document_id").cast("string").alias("document_id"), "pages").mapInPandas(run, CHUNK)
-
-
 def page_chunks(pages: DataFrame, size: int = 1200, overlap: int = 160) -> DataFrame:
     """(document_id, chunk_index, page_number, char_start, char_end, text): chunks within each page, white space made single blanks, ends moved back to a blank.
 
@@ -214,36 +182,29 @@ def dossiers(flags: DataFrame) -> DataFrame:
     return out.withColumn("risk_level", c.bucket(F.col("total_score"), points, lowest))
 
 
-def critique(flags: DataFrame, chunk_texts: DataFrame, min_confidence: float = 0.3) -> DataFrame:
-    """accepted, or the first reason against: no chunk, empty quote, quote not literal in the chunk, low confidence, accusatory words."""
-    joined = flags.join(chunk_texts.select("chunk_id", F.col("text").alias("_text")), "chunk_id", "left")
-    reason = F.coalesce(
-        F.when(F.col("_text").isNull(), "chunk_missing"), F.when(F.trim(F.coalesce("quote", F.lit(""))) == "", "quote_empty"), F.when(~F.col("_text").contains(F.col("quote")), "quote_not_literal"),
-        F.when(F.col("confidence") < min_confidence, "low_confidence"), F.when(F.size(c.banned_terms(F.col("quote"))) > 0, "accusatory"),
-    )
-    return joined.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_text")
-
-
-def signature(quote: Column) -> Column:
-    """Different words of a quote's first 180 characters, lower-case, without accents and signs."""
-    plain = F.regexp_replace(F.lower(c.fold(F.coalesce(quote, F.lit("")))), r"(?U)[^\w\s]", " ")
-    plain = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    return F.array_distinct(F.filter(F.split(F.substring(plain, 1, 180), " "), lambda x: x != ""))
-
-
-def similar_quotes(flags: DataFrame, least: float = 0.7) -> DataFrame:
-    """flags (document_id, flag_code, flag_id, confidence, quote) that stay: by confidence, one goes if a kept quote of its code shares ``least`` of their words.
+def critique(flags: DataFrame, chunk_texts: DataFrame | None = None, min_confidence: float = 0.3, dual: bool = False) -> DataFrame:
+    """flags with ``accepted``, or the first ``reason`` against one.
 
-    A quote without a word is like no other.  Equal signatures go first, so what a group folds is bounded by its different ones.
+    In this order: an empty quote, a page below 1 (if flags have pages), no chunk, a quote that is not literally in its chunk (if that chunk is given),
+    with ``dual`` no doctrine anchor (``anchor_id``) or one without quote (``anchor_quote``) or source (``anchor_source``), low confidence, accusatory words.
     """
-    names = flags.columns
-    best = W.partitionBy("document_id", "flag_code", "_sig").orderBy(F.desc("confidence"), "flag_id")
-    rows = flags.withColumn("_sig", signature(F.col("quote"))).withColumn("_k", F.row_number().over(best)).where((F.col("_k") == 1) | (F.size("_sig") == 0))
-    item = F.struct((-F.col("confidence")).alias("o"), "flag_id", "_sig", F.struct(*names).alias("row"))
-    groups = rows.groupBy("document_id", "flag_code").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (F.size(F.array_intersect(a, b)) >= least * F.size(F.array_union(a, b)))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: alike(k["_sig"], x["_sig"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(F.explode(kept).alias("x")).select("x.row.*")
+    blank = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == ""
+    given = flags.withColumn("_text", F.lit(None).cast("string")) if chunk_texts is None else flags.join(chunk_texts.select("chunk_id", F.col("text").alias("_text")), "chunk_id", "left")
+    checks = [F.when(blank("quote"), "quote_empty")]
+    if "page_number" in flags.columns:
+        checks.append(F.when(F.coalesce(F.col("page_number"), F.lit(0)) < 1, "page_invalid"))
+    checks += [F.when(blank("chunk_id"), "chunk_id_missing"), F.when(~F.col("_text").contains(F.col("quote")), "quote_not_literal")]
+    if dual:
+        checks += [F.when(blank("anchor_id"), "anchor_missing"), F.when(blank("anchor_quote"), "anchor_quote_empty"), F.when(blank("anchor_source"), "anchor_source_empty")]
+    checks += [F.when(F.col("confidence") < min_confidence, "low_confidence"), F.when(F.size(c.banned_terms(F.col("quote"))) > 0, "accusatory")]
+    reason = F.coalesce(*checks)
+    return given.withColumns({"reason": reason, "accepted": reason.isNull()}).drop("_text")
+
+
+def needs_replan(judged: DataFrame) -> DataFrame:
+    """(document_id, n_candidates, n_accepted, needs_replan): a document is searched again if it has candidates and none was accepted."""
+    per = judged.groupBy("document_id").agg(F.count("*").alias("n_candidates"), F.count_if("accepted").alias("n_accepted"))
+    return per.withColumn("needs_replan", F.col("n_accepted") == 0)
 
 
 #: Points of a flag's severity.

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..functions import rules
+from ..operators import chunking, fulltext, vector_index
 from ..operators import retrieval as rt
 from ..operators import text as tx
-from ..sources.shared import written
+from ..operators.similar import similar_quotes
+from ..sources.shared import fresh_path, written
 from . import star
 from .records import FOLD_SQL, PAGES_SQL, pages
 
@@ -66,6 +68,37 @@ def planned(spark, sf):
     return chunks, rt.plan(questions, hits, chunks.select("document_id", F.col("cluster").alias("label")))
 
 
+def doctrine(spark, sf):
+    """Every tenth benchmark text has no flag; the others have one by number."""
+    k = F.col("item_id")
+    return star.read(spark, sf, "benchmark").select(F.concat(F.lit("d"), k.cast("string")).alias("chunk_id"), (k % 7).alias("place"), F.when(k % 10 > 0, pick(list(rules.PLANNER_QUERIES)[:-2], k)).alias("flag_code"), "text")
+
+
+@query("x16_doctrine_plan")
+def x16_doctrine(spark, sf):
+    """The plan from the doctrine's own hits; hashed vectors are part of it, and tests hold it against a brute-force version."""
+    chunks = desk(spark, sf)
+    first = chunks.groupBy("document_id").agg(F.min_by("text", "page_number").alias("question"))
+    questions = written(first.withColumn("question", F.array_join(F.slice(F.split("question", " "), 1, 20), " ")), "questions")
+    hits = rt.doctrine_hits(questions, doctrine(spark, sf))
+    return rt.plan(questions, hits, chunks.select("document_id", F.col("cluster").alias("label"))).select("document_id", "flag_code", "query_id", "anchor_id")
+
+
+@query("x15_anchored")
+def x15_anchored(spark, sf):
+    """Every flag asks, by an id that exists or not; the last two flags have no doctrine and take the nearest text."""
+    k = F.col("item_id")
+    asked = star.read(spark, sf, "benchmark").select(k.alias("asked_id"), pick(list(rules.PLANNER_QUERIES), k).alias("flag_code"), F.when(k % 3 == 0, F.concat(F.lit("d"), (k + 1).cast("string"))).alias("anchor_id"))
+    return rt.anchored(asked, doctrine(spark, sf)).select("asked_id", "flag_code", "chunk_id")
+
+
+@query("x33_debug_rows")
+def x33_rows(spark, sf):
+    chunks, plan = planned(spark, sf)
+    plan = written(plan, "plan")
+    return rt.debug_rows(plan, rt.retrieve(chunks, plan), rt.critiqued(chunks, plan, 5))
+
+
 def values(rows: list[tuple], columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + f") v({columns})"
 
@@ -133,7 +166,7 @@ def x19(spark, sf):
 def x20(spark, sf):
     """Which flags stay depends on those kept before; tests hold it against a brute-force version."""
     found = rt.flags(all_hits(spark, sf)).withColumn("flag_id", F.col("chunk_id"))
-    return tx.similar_quotes(found).select("document_id", "flag_code", "flag_id", F.md5("quote").alias("quote"))
+    return similar_quotes(found).select("document_id", "flag_code", "flag_id", F.md5("quote").alias("quote"))
 
 
 @query("x22_retry")
@@ -181,7 +214,25 @@ def x9(spark, sf):
 @query("x5_doc_chunks")
 def x5(spark, sf):
     """Each cut depends on the one before; tests hold it against a brute-force version."""
-    return tx.chunks(titled(spark, sf)).select("document_id", "chunk_id", "page_start", "page_end", "char_start", "char_end", "section_hint", F.md5("text").alias("text"))
+    return chunking.chunks(titled(spark, sf)).select("document_id", "chunk_id", "page_start", "page_end", "char_start", "char_end", "section_hint", F.md5("text").alias("text"))
+
+
+@query("x11_vector_index")
+def x11_index(spark, sf):
+    """Near the exact x11_vector_topk; tests measure the recall."""
+    e = star.read(spark, sf, "embeddings")
+    index = vector_index.build(e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), fresh_path(spark, "vector-index"))
+    return vector_index.search(index, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
+@query("x32_fulltext")
+def x32_index(spark, sf):
+    """Stems are beyond SQL; tests hold searches against a brute-force version.  Every twentieth benchmark text asks with its first two words, in each mode."""
+    docs = star.read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    mode = F.explode(F.array(*map(F.lit, ("all", "any", "phrase")))).alias("mode")
+    some = star.read(spark, sf, "benchmark").where("item_id % 20 = 0").select("item_id", mode, F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
+    asked = some.select(F.concat_ws(":", "item_id", "mode").alias("query_id"), "mode", "text")
+    return fulltext.search(fulltext.build(docs, fresh_path(spark, "inverted-index")), asked)
 
 
 @query("x4_page_chunks")

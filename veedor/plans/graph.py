@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import groups
 from ..operators import metrics as m
 from ..operators import patterns as p
 from ..operators.detectors import few
@@ -85,6 +86,28 @@ def d2(spark, sf):
     return m.same_attribute(star.companies(spark, sf), "person_id")
 
 
+CLASSES = """, k AS (SELECT DISTINCT ruc, {0} AS value FROM company WHERE {1}), s AS (SELECT value, min(ruc) AS class_id, count(*) AS members FROM k GROUP BY value HAVING count(*) > 1)
+SELECT ruc, value AS {0}, class_id, members FROM k JOIN s USING (value)"""
+
+
+@query("d1_address_classes", sql(CLASSES.format("address_hash", "NOT is_generic")))
+def d1_classes(spark, sf):
+    return groups.classes(star.companies(spark, sf).where("not is_generic"), "ruc", "address_hash")
+
+
+@query("d2_representative_classes", sql(CLASSES.format("person_id", "true")))
+def d2_classes(spark, sf):
+    return groups.classes(star.companies(spark, sf), "ruc", "person_id")
+
+
+@query("g3_components", f"""WITH RECURSIVE {star.SQL.strip()}, near AS (SELECT DISTINCT a.ruc AS a, b.ruc AS b FROM company a JOIN company b ON a.person_id = b.person_id OR (a.address_hash = b.address_hash AND NOT a.is_generic AND NOT b.is_generic)),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), c AS (SELECT a AS ruc, min(b) AS component FROM reach GROUP BY a)
+SELECT ruc, component, count(*) OVER (PARTITION BY component) AS members FROM c""")
+def g3_components(spark, sf):
+    c = star.companies(spark, sf).withColumn("home", F.when(~F.col("is_generic"), F.col("address_hash")))
+    return groups.shared_components(c, "ruc", "person_id", "home")
+
+
 COUNTS = """SELECT 'Company' AS label, count(*) AS n FROM company UNION ALL SELECT 'PublicEntity', count(*) FROM entity UNION ALL SELECT 'Contract', count(*) FROM contract
 UNION ALL SELECT 'Address', count(DISTINCT address_hash) FROM company UNION ALL SELECT 'Person', count(DISTINCT person_id) FROM company UNION ALL SELECT 'WON', count(*) FROM won"""
 
@@ -200,12 +223,11 @@ REL = REL.replace(" SEMI JOIN (SELECT 1) ON true", "").replace("person_id AS oth
 
 def relations(spark, sf):
     e, c = edges(spark, sf), star.companies(spark, sf)
-    kind = lambda df, k, place, other: df.select("ruc", F.lit(k).alias("kind"), F.lit(place).alias("place"), other.alias("other"))
+    kind = lambda df, k, place, other, n=F.lit(1): df.select("ruc", F.lit(k).alias("kind"), F.lit(place).alias("place"), other.alias("other"), n.cast("long").alias("n"))
     won = star.won(spark, sf).select("external_id", "ruc")
     out = kind(won.join(e["committee"], "external_id"), "MIEMBRO_COMITE", 10, F.col("person_id"))
     out = out.unionByName(kind(c, "REPRESENTANTE_DE", 20, F.col("person_id"))).unionByName(kind(c.join(e["family"], "person_id"), "FAMILIAR_DE", 30, F.col("relative_id")))
-    a, b = c.select("ruc", "address_hash"), c.select(F.col("ruc").alias("r2"), "address_hash")
-    return out.unionByName(kind(a.join(b, "address_hash").where("ruc <> r2"), "DIRECCION_COMPARTIDA", 40, F.col("r2"))).unionByName(kind(c, "OTRO", 5, F.lit("x")))
+    return out.unionByName(kind(p.shared_address(c), "DIRECCION_COMPARTIDA", 40, F.col("other"), F.col("n"))).unionByName(kind(c, "OTRO", 5, F.lit("x")))
 
 
 @query("p10_coi_score", esql(REL + """ SELECT ruc, least(sum(CASE kind WHEN 'MIEMBRO_COMITE' THEN 25 WHEN 'REPRESENTANTE_DE' THEN 20 WHEN 'FAMILIAR_DE' THEN 30 WHEN 'MONOPOLIO_PROVEEDOR' THEN 15 WHEN 'DIRECCION_COMPARTIDA' THEN 10 ELSE 0 END), 100)::INT AS coi_score,

@@ -462,11 +462,19 @@ def x23(spark, sf):
     return tx.score(flags, context)
 
 
-@query("x21_critic", """SELECT item_id, reason, reason IS NULL AS accepted FROM (SELECT b.item_id, CASE WHEN b.item_id % 5 = 0 THEN 'chunk_missing' WHEN b.item_id % 5 = 1 THEN 'quote_empty' WHEN b.item_id % 5 = 2 THEN 'quote_not_literal' WHEN b.item_id % 5 = 3 THEN 'low_confidence' END AS reason FROM benchmark b)""")
+_REASONS = ["quote_empty", "page_invalid", "chunk_id_missing", "quote_not_literal", "anchor_missing", "anchor_quote_empty", "anchor_source_empty", "low_confidence"]
+
+
+@query("x21_critic", "SELECT item_id, reason, reason IS NULL AS accepted FROM (SELECT item_id, CASE item_id % 10 " + " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(_REASONS)) + " END AS reason FROM benchmark)")
 def x21(spark, sf):
-    b, k = star.read(spark, sf, "benchmark"), F.col("item_id") % 5
-    flags = b.select("item_id", F.when(k == 0, -1).otherwise(F.col("item_id")).alias("chunk_id"), F.when(k == 1, " ").when(k == 2, "zzz not there").otherwise(F.substring("text", 5, 30)).alias("quote"), F.when(k == 3, 0.1).otherwise(0.9).alias("confidence"))
-    return tx.critique(flags, b.select(F.col("item_id").alias("chunk_id"), "text")).select("item_id", "reason", "accepted")
+    """Every benchmark text as a flag that fails one check, or none, or (the last) names a chunk that is not given."""
+    b, k = star.read(spark, sf, "benchmark"), F.col("item_id") % 10
+    fails = lambda i, bad, good: F.when(k == i, bad).otherwise(good)
+    flags = b.select(
+        "item_id", F.when(k == 2, None).when(k == 9, -1).otherwise(F.col("item_id")).alias("chunk_id"), F.when(k == 0, " ").when(k == 3, "zzz not there").otherwise(F.substring("text", 5, 30)).alias("quote"), fails(1, 0, 3).alias("page_number"),
+        fails(4, F.lit(None), "a").alias("anchor_id"), fails(5, "", "q").alias("anchor_quote"), fails(6, " ", "s").alias("anchor_source"), fails(7, 0.1, 0.9).alias("confidence"),
+    )
+    return tx.critique(flags, b.select(F.col("item_id").alias("chunk_id"), "text"), dual=True).select("item_id", "reason", "accepted")
 
 
 @query("x29_smoke_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20")
