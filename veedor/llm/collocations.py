@@ -40,6 +40,8 @@ SCALE = 2_000_000
 MOST_BITS = 29
 #: Candidates of an automaton, about; and words that one task scans, about.
 PER_SHARD, PER_PART = 128_000, 4_000_000
+#: Places of the sketch, at most: a place adds up what comes to it as it comes, and holds its own cells alone; more would make blobs of a few values.
+MOST_PLACES = 4096
 #: Bytes that part pieces, and bytes that part words.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BREAKS = np.zeros(256, bool)
@@ -142,7 +144,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def sketched(rows: DataFrame, n_words: int, least: int, most_bits: int = MOST_BITS) -> Sketch:
     """The sketch of all phrases of rows (lang, text): cell sums are made where cells live, and only one bit of each comes to the driver."""
     bits = min(max(16, (3 * n_words // 16).bit_length()), most_bits)
-    places = min(exchange.places_for(rows.sparkSession, 0), 1 << (bits - 9))
+    places = min(exchange.places_for(rows.sparkSession, 6 * n_words), MOST_PLACES, 1 << (bits - 9))
     shift, width = np.uint64(63 - bits), (2 << bits) // places
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[exchange.Part]:
