@@ -2,8 +2,8 @@
 
 A table here has rows (place, kind, flush, n, blob): n values of each of some columns, the first of which are 64-bit
 hashes in rising order.  The hash's first bits are its place; what has one place meets in one task (``met``).  As a task
-sums equal keys before it deals, a hot key sends one value a flush.  The number of places grows with the input
-(``places_for``), so a place holds a bounded share.  Blobs are byte planes under zstandard: sorted hashes and small
+sums equal keys before it deals, a hot key sends one value a flush.  The number of places grows with the values
+(``places_for``), so up to MOST_PLACES a place holds a bounded share; a partition may have several places.  Blobs are byte planes under zstandard: sorted hashes and small
 counts cost a third of what rows of the same numbers do.
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -24,14 +25,22 @@ ROWS = "place int, kind int, flush long, n int, blob binary"
 NAMES = ["place", "kind", "flush", "n", "blob"]
 #: Values that a place holds on average, at most.
 PER_PLACE = 2_000_000
+#: Places, at most: a flush of a million values gives some 60 to each of so many, below which blobs would cost more than they hold.  Over
+#: 3e10 values (those of some 200 GB of text) places hold more than PER_PLACE.  Partitions of an exchange, at most: each then has several places, one after another.
+MOST_PLACES, MOST_PARTITIONS = 1 << 14, 4096
 Part = tuple[int, list[np.ndarray]]
 _COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def places_for(spark: SparkSession, values: int) -> int:
-    """A power of two: at least the session's shuffle partitions, and one for each PER_PLACE values."""
+    """A power of two: at least the session's shuffle partitions, and one for each PER_PLACE values, up to MOST_PLACES."""
     least = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-values // PER_PLACE))
-    return 1 << (least - 1).bit_length()
+    return min(1 << (least - 1).bit_length(), MOST_PLACES)
+
+
+def words_in(texts: DataFrame) -> int:
+    """About how many words a table's ``text`` has, six bytes each: what places are reckoned from before anything is counted."""
+    return (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -125,7 +134,7 @@ def met(table: DataFrame, places: int, settle: Callable[[int, Iterator[Row]], It
             yield from settle(place, (row[1:] for row in rows))
             trim()
 
-    return table.repartition(places, by).sortWithinPartitions(by, "kind").mapInArrow(run, schema)
+    return table.repartition(min(places, MOST_PARTITIONS), by).sortWithinPartitions(by, "kind").mapInArrow(run, schema)
 
 
 def gathered(rows: Iterator[Row], kinds: dict[int, list[str]]) -> dict[int, list[np.ndarray]]:

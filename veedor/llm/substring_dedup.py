@@ -93,9 +93,8 @@ def occurrences(h: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.n
     return np.searchsorted(places, low + size - 1 + width - 1, side="right") - np.searchsorted(places, low)
 
 
-def recurring(docs: DataFrame, window: int, bits: int) -> np.ndarray:
+def recurring(docs: DataFrame, window: int, bits: int, places: int) -> np.ndarray:
     """The bitmap of anchors that occur twice or more; bits / 8 bytes.  Counts err to more, never to fewer."""
-    places = exchange.places_for(docs.sparkSession, 0)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in slices(batches):
@@ -271,7 +270,8 @@ def factored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         raise ValueError("a window has two words at least")
     rows = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
-    sent, places = spark.sparkContext.broadcast(recurring(rows, window, filter_bits)), exchange.places_for(spark, 0)
+    places = exchange.places_for(spark, exchange.words_in(rows))  # there are at most as many windows as words
+    sent = spark.sparkContext.broadcast(recurring(rows, window, filter_bits, places))
     asked = rows.mapInArrow(lambda b: _asking(b, window, sent, places), exchange.ROWS)
     replies = exchange.met(asked, places, _answered)
     parsed = written(exchange.met(replies, places, _parsed(window), f"doc_id long, th {TH}, factors {FACTORS}", by="flush"), "factors")
