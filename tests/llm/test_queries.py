@@ -105,3 +105,13 @@ def test_op10(spark, docs):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, signs, lines, repeated, failed)
         assert r.kept == (not failed and covered <= 0.4 * n and longest <= 120)
+
+
+def test_op13(spark, docs):
+    got = rows(spark, "op13_language_id")
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
+    assert got.keys() == docs.keys() and list(next(iter(got.values())).asDict()) == ["doc_id", "held_out", "lang_pred", "score"]
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [i for i, r in got.items() if r.held_out]
+    assert sum(got[i].lang_pred == lang[i] for i in held) >= 0.95 * len(held)
+    assert all(r.lang_pred in {*lang.values(), "und"} for r in got.values())
