@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from veedor.functions import rules
 from veedor.operators import retrieval as rt
@@ -273,3 +274,60 @@ def test_doctrine_chunks(spark):
     assert [x.text for x in first] == want and all(x.section == "Red Flags of Procurement" for x in got if x.document_id == "d")
     assert first[-1].flag_codes == ["SPECIFIC_EQUIPMENT_REQUIREMENT", "LOW_TRACEABILITY_OUTPUT", "AI_NO_AUDIT_TRAIL"] and first[0].flag_codes == []
     assert [x.section for x in got if x.document_id == "e"] == [None]
+
+
+def test_doctrine_search_and_its_fallback(spark):
+    rand = random.Random(11)
+    words = "plazo marca modelo comite juicio sobre copia legalizada norma doctrina riesgo mercado".split()
+    text = lambda n: " ".join(rand.choice(words) for _ in range(n))
+    doctrine = [(f"k{i:02d}", i % 5, [None, "A_B", "C"][i % 3], text(rand.randint(1, 9))) for i in range(40)]
+    questions = [(f"d{i}", q) for i, q in enumerate([text(4), text(2), None, "  ", text(4), "plazo marca"])] + [("d9", "plazo marca")]
+    known = spark.createDataFrame(doctrine, "chunk_id string, place int, flag_code string, text string")
+    asked = spark.createDataFrame(questions, "document_id string, question string")
+    vectors = {r.text: r.v for r in known.select("text").unionByName(asked.selectExpr("question as text")).unionByName(spark.createDataFrame([("marca modelo",)], "text string")).where("text is not null").distinct().withColumn("v", tx.hash_embedding(F.col("text"))).collect()}
+
+    def nearest(q, top):
+        scores = sorted((-round(sum(a * b for a, b in zip(vectors[t], vectors[q])), 6), c, flag) for c, _, flag, t in doctrine)
+        return [(i + 1, flag, c, -s) for i, (s, c, flag) in enumerate(scores[:top])]
+
+    got = sorted(tuple(r) for r in rt.doctrine_hits(asked, known, 7).select("document_id", "place", "chunk_id", "score").collect())
+    assert got == sorted((d, place, c, s) for d, q in questions if (q or "").strip() for place, _, c, s in nearest(q, 7))
+    wanted = spark.createDataFrame([(1, "A_B", "k05"), (2, "A_B", "none"), (3, "C", None), (4, "MARCA_MODELO", None), (5, "MARCA_MODELO", "k07")], "i int, flag_code string, anchor_id string")
+    first = lambda code: min((place, c) for c, place, flag, _ in doctrine if flag == code)[1]
+    assert {r.i: r.chunk_id for r in rt.anchored(wanted, known).collect()} == {1: "k05", 2: first("A_B"), 3: first("C"), 4: nearest("marca modelo", 1)[0][2], 5: "k07"}
+    assert rt.doctrine_hits(asked, known.limit(0)).count() == 0 and rt.doctrine_hits(asked.limit(0), known).count() == 0
+
+
+def test_debug_rows(spark):
+    plan = spark.createDataFrame([("d", 0, "A", "q1", ["x", "y"], "k1"), ("d", 1, "B", "q2", [], None)], "document_id string, query_id int, flag_code string, query string, clusters array<string>, anchor_id string")
+    hits = spark.createDataFrame([("d", 0, "A", 7, 0.5, 1, "e" * 400)], "document_id string, query_id int, flag_code string, chunk_id int, score double, rank int, excerpt string")
+    judged = spark.createDataFrame([("d", 0, "A", 7, 1, "quote", "low_confidence"), ("d", 1, "B", 8, 2, "q", None)], "document_id string, query_id int, flag_code string, chunk_id int, rank int, quote string, reason string")
+    got = sorted((r.part, r.query_id, r.flag_code, r["rank"], r.query, r.clusters, r.anchor_id, r.chunk_id, r.score, r.excerpt, r.reason) for r in rt.debug_rows(plan, hits, judged).collect())
+    assert got == [
+        ("candidate", 0, "A", 1, None, None, None, "7", None, "quote", "low_confidence"), ("candidate", 1, "B", 2, None, None, None, "8", None, "q", None), ("hit", 0, "A", 1, None, None, None, "7", 0.5, "e" * 300, None),
+        ("query", 0, "A", None, "q1", "x,y", "k1", None, None, None, None), ("query", 1, "B", None, "q2", "", None, None, None, None, None),
+    ]
+
+
+def test_critic_checks_in_order(spark):
+    good = {"flag_id": 0, "chunk_id": "c", "quote": "tres copias", "page_number": 1, "anchor_id": "a", "anchor_quote": "q", "anchor_source": "s", "confidence": 0.9}
+    cases = [({}, None), ({"quote": " "}, "quote_empty"), ({"page_number": 0}, "page_invalid"), ({"page_number": None}, "page_invalid"), ({"chunk_id": None}, "chunk_id_missing"), ({"quote": "cuatro"}, "quote_not_literal"), ({"chunk_id": "other", "quote": "cuatro"}, None),
+             ({"anchor_id": None}, "anchor_missing"), ({"anchor_quote": ""}, "anchor_quote_empty"), ({"anchor_source": " "}, "anchor_source_empty"), ({"confidence": 0.1}, "low_confidence"), ({"quote": "", "page_number": 0, "confidence": 0.0}, "quote_empty")]
+    df = spark.createDataFrame([tuple((good | c | {"flag_id": i}).values()) for i, (c, _) in enumerate(cases)], "flag_id int, chunk_id string, quote string, page_number int, anchor_id string, anchor_quote string, anchor_source string, confidence double")
+    texts = spark.createDataFrame([("c", "piden tres copias")], "chunk_id string, text string")
+    judged = tx.critique(df.withColumn("document_id", F.lit("d")), texts, dual=True)
+    assert {r.flag_id: (r.reason, r.accepted) for r in judged.collect()} == {i: (want, want is None) for i, (_, want) in enumerate(cases)}
+    assert tuple(tx.needs_replan(judged).first()) == ("d", 12, 2, False) and tx.needs_replan(judged.where("not accepted")).first().needs_replan
+
+
+def test_dossier_questions_and_explanations(spark):
+    from veedor.operators import documents as d
+
+    codes = list(rules.DOSSIER_QUESTIONS)
+    flags = spark.createDataFrame([("d", codes[1], 3), ("d", codes[0], 9), ("d", codes[1], 11), ("d", "OTHER", 1)], "document_id string, flag_code string, page_number int")
+    docs = spark.createDataFrame([("d", "P-1"), ("e", None)], "document_id string, procedure string")
+    got = {r.document_id: r for r in d.dossier_questions(flags, docs).collect()}
+    assert got["d"].questions == rules.DOSSIER_QUESTIONS[codes[1]] + rules.DOSSIER_QUESTIONS[codes[0]] + rules.EVERY_DOSSIER_ASKS and got["d"].pages == "1, 3, 9, 11"
+    assert got["e"].questions == rules.EVERY_DOSSIER_ASKS and got["e"].request == rules.DOSSIER_REQUEST % ("e", "N/A") and got["d"].request == rules.DOSSIER_REQUEST % ("P-1", "1, 3, 9, 11")
+    told = {r.flag_code: (r.explanation, r.questions) for r in d.explained(flags).collect()}
+    assert told["OTHER"] == ("", []) and told[codes[1]] == (rules.EXPLANATIONS[codes[1]], rules.SUMMARY_QUESTIONS[codes[1]])
