@@ -71,3 +71,11 @@ def test_shared_address(spark):
     rows = [("a", "h"), ("b", "h"), ("b", "h"), ("c", "h"), ("d", "x")]
     got = sorted(map(tuple, p.shared_address(spark.createDataFrame(rows, "ruc string, address_hash string")).collect()))
     assert got == [("a", "b", 3), ("b", "a", 2), ("b", "a", 2), ("c", "a", 3)]
+
+
+def test_a_subgraph_at_a_date(spark):
+    edges = [("a", "b", None, None), ("b", "c", "2020-01-01", "2020-12-31"), ("c", "d", "2021-01-01", None), ("a", "e", None, "2019-12-31")]
+    df = spark.createDataFrame(edges, "a string, b string, desde string, hasta string").selectExpr("a", "b", "cast(desde as date) as desde", "cast(hasta as date) as hasta")
+    at = lambda day: {r.node: r.depth for r in p.subgraph(df, "a", 9, day).collect()}
+    assert at("2020-12-31") == {"a": 0, "b": 1, "c": 2} and at("2019-12-31") == {"a": 0, "b": 1, "e": 1} and at("2021-06-01") == {"a": 0, "b": 1}
+    assert at(None) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 1}

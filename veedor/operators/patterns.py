@@ -49,12 +49,19 @@ def declared_conflict(stakes: DataFrame, officials: DataFrame, won: DataFrame) -
     return joined.groupBy("person_id", "ruc", "entidad_ruc").agg(F.count("*").alias("n_contratos"), money(F.sum("monto")).alias("monto_total"))
 
 
-def subgraph(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
-    """(node, depth): what lies within max_depth steps of start over edges (a, b) either way, at its least depth.
+def valid_at(edges: DataFrame, as_of) -> DataFrame:
+    """Edges whose validity (desde, hasta, both included; null: open) holds a date."""
+    day = F.lit(as_of).cast("date")
+    return edges.where(F.coalesce(F.col("desde") <= day, F.lit(True)) & F.coalesce(F.col("hasta") >= day, F.lit(True)))
+
+
+def subgraph(edges: DataFrame, start: str, max_depth: int, as_of=None) -> DataFrame:
+    """(node, depth): what lies within max_depth steps of start over edges (a, b) either way, at its least depth; with ``as_of`` only over edges (a, b, desde, hasta) valid at that date.
 
     A breadth-first frontier: nodes reached before are anti-joined, so no node is expanded twice and no paths are kept.
     """
     spark = edges.sparkSession
+    edges = edges if as_of is None else valid_at(edges, as_of)
 
     def kept(df: DataFrame) -> DataFrame:
         """Written to the shared folder, so that a level does not work out the levels before it again."""

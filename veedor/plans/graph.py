@@ -214,6 +214,18 @@ def p9(spark, sf):
     return p.subgraph(graph_edges(spark, sf), "20000000001", 4)
 
 
+@query("p9_subgraph_at", "WITH RECURSIVE " + star.SQL.strip() + """, e AS (SELECT ruc AS a, person_id AS b FROM company WHERE inicio <= DATE '1997-06-01' UNION SELECT ruc, address_hash FROM company WHERE NOT is_generic AND (suppkey % 4 > 0 OR DATE '1996-12-31' >= DATE '1997-06-01')),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk(node, depth) AS (SELECT '20000000001', 0 UNION SELECT u.b, depth + 1 FROM walk JOIN u ON node = u.a WHERE depth < 4)
+SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""")
+def p9_at(spark, sf):
+    """As p9_subgraph at a day: companies have their representative from their start on, and every fourth left its address in 1996."""
+    c = star.companies(spark, sf)
+    never = F.lit(None).cast("date")
+    people = c.select(F.col("ruc").alias("a"), F.col("person_id").alias("b"), F.col("inicio").alias("desde"), never.alias("hasta"))
+    homes = c.where("not is_generic").select(F.col("ruc").alias("a"), F.col("address_hash").alias("b"), never.alias("desde"), F.when(F.col("suppkey") % 4 == 0, F.lit("1996-12-31").cast("date")).alias("hasta"))
+    return p.subgraph(people.unionByName(homes), "20000000001", 4, "1997-06-01")
+
+
 REL = """, rel AS (
   SELECT ruc, 'MIEMBRO_COMITE' AS kind, 10 AS place, person_id AS other FROM won JOIN committee USING (external_id) SEMI JOIN (SELECT 1) ON true
   UNION ALL SELECT ruc, 'REPRESENTANTE_DE', 20, person_id FROM company UNION ALL SELECT c.ruc, 'FAMILIAR_DE', 30, relative_id FROM company c JOIN family f ON f.person_id = c.person_id
