@@ -150,14 +150,15 @@ def svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c: flo
 
 
 def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of the logistic curve through margins of classes -1 and 1, by Newton's method, with smoothed targets."""
+    """(slope, shift) of the logistic curve through margins of classes -1 and 1, by Newton's method, with smoothed targets; both classes weigh the same, so a rare one is not judged by its rarity."""
     up, down = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    weight = np.where(y > 0, len(y) / (2 * max(up, 1)), len(y) / (2 * max(down, 1)))
     theta = np.array([4.0, 0.0])
     one = np.stack([margin, np.ones(len(margin))], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(one @ theta, -30, 30)))
-        step = np.linalg.solve(one.T @ (one * (p * (1 - p))[:, None]) + np.diag([0.01, 0.01]), one.T @ (p - target) + 0.01 * (theta - [4.0, 0.0]))
+        step = np.linalg.solve(one.T @ (one * (weight * p * (1 - p))[:, None]) + np.diag([0.01, 0.01]), one.T @ (weight * (p - target)) + 0.01 * (theta - [4.0, 0.0]))
         theta = theta - step
         if np.abs(step).max() < 1e-6:
             break
