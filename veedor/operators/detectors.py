@@ -125,8 +125,8 @@ def direct_award_outlier(won: DataFrame, procedures=("Simplificada", "Directa"),
     for p in procedures:
         direct = direct | F.col("modalidad").contains(p)
     rows = won.where(direct).withColumn("x", F.col("monto").cast("double"))
-    cut = quantile_of(rows, "modalidad", "x", quantile).withColumnRenamed("value", "cut")  # one row a procedure type
-    out = rows.join(F.broadcast(cut) if len(procedures) < 1_000 else cut, "modalidad").where("x > cut").select("external_id", "ruc", "empresa", "entidad", "modalidad", F.col("x").alias("monto"), F.round("cut", 2).alias("p90_tipo"), "fecha", "region")
+    cut = quantile_of(rows, "modalidad", "x", quantile).withColumnRenamed("value", "cut")  # one row a procedure type: Spark broadcasts it by its size
+    out = rows.join(cut, "modalidad").where("x > cut").select("external_id", "ruc", "empresa", "entidad", "modalidad", F.col("x").alias("monto"), F.round("cut", 2).alias("p90_tipo"), "fecha", "region")
     return top(out, limit, F.desc("monto"), F.col("external_id"))
 
 
