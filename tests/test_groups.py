@@ -3,6 +3,7 @@
 import random
 
 from veedor.operators import groups as g
+from veedor.operators import metrics as m
 from veedor.operators import patterns as p
 
 
@@ -79,3 +80,11 @@ def test_a_subgraph_at_a_date(spark):
     at = lambda day: {r.node: r.depth for r in p.subgraph(df, "a", 9, day).collect()}
     assert at("2020-12-31") == {"a": 0, "b": 1, "c": 2} and at("2019-12-31") == {"a": 0, "b": 1, "e": 1} and at("2021-06-01") == {"a": 0, "b": 1}
     assert at(None) == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 1}
+
+
+def test_same_attribute_gives_all_pairs_of_a_hot_value(spark):
+    """Every pair, also of a value that over 1,000 share, and as often as a company is given."""
+    rows = [(f"c{i:04d}", "hot") for i in range(1300)] + [("a", "x"), ("b", "x"), ("a", "x"), ("c", "y"), (None, "x"), ("e", None)]
+    got = m.same_attribute(spark.createDataFrame(rows, "ruc string, home string"), "home")
+    assert got.where("via = 'hot'").count() == got.where("via = 'hot'").distinct().count() == 1300 * 1299 // 2
+    assert [tuple(r) for r in got.where("via <> 'hot'").collect()] == [("a", "b", "x")] * 2

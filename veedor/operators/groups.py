@@ -30,6 +30,20 @@ def pairs(rows: DataFrame, member: str, value: str, most: int) -> DataFrame:
     return full.unionByName(star)
 
 
+def all_pairs(rows: DataFrame, member: str, value: str, per: int = 1000) -> DataFrame:
+    """(a, b, value), a before b: every pair of rows with one value, as often as rows repeat; null members and values have none.
+
+    The rows of a value are dealt over as many parts as it has ``per`` rows, so the pairs of a hot one are made by several tasks; what is
+    sent on is the pairs' number / ``per``.
+    """
+    own = rows.select(member, value).where(F.col(member).isNotNull() & F.col(value).isNotNull())
+    sizes = own.groupBy(value).agg(F.ceil(F.count("*") / per).cast("int").alias("_parts"))
+    dealt = own.join(sizes, value)
+    left = dealt.select(value, F.pmod(F.xxhash64(member), "_parts").cast("int").alias("_part"), F.col(member).alias("a"))
+    right = dealt.select(value, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col(member).alias("b"))
+    return left.join(right, [value, "_part"]).where("a < b").select("a", "b", value)
+
+
 def two_least(rows: DataFrame, value: str, member: str) -> DataFrame:
     """(value, first, second): the two least different members of a value; second is null where there is one."""
     own = rows.select(value, member).distinct()

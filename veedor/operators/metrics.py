@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .detectors import money, share
-from .groups import pairs
+from .groups import all_pairs
 
 
 def client_diversity(companies: DataFrame, won: DataFrame) -> DataFrame:
@@ -59,9 +59,9 @@ def summary(scores: DataFrame, diversity: DataFrame, high: int = 50) -> DataFram
     return both.agg(F.count("*").alias("companies"), F.round(F.avg("risk_score_v2"), 4).alias("avg_score"), F.round(F.avg("diversity_clients"), 4).alias("avg_diversity"), F.max("risk_score_v2").alias("max_score"), F.count_if(F.col("risk_score_v2") >= high).alias("n_high"))
 
 
-def same_attribute(companies: DataFrame, key: str, most: int = 1000) -> DataFrame:
-    """Pairs of companies with one value of an attribute, each once; of a value that more than ``most`` share, each with the least of them."""
-    return pairs(companies, "ruc", key, most).select(F.col("a").alias("ruc_a"), F.col("b").alias("ruc_b"), F.col(key).alias("via"))
+def same_attribute(companies: DataFrame, key: str) -> DataFrame:
+    """All pairs of companies with one value of an attribute."""
+    return all_pairs(companies, "ruc", key).select(F.col("a").alias("ruc_a"), F.col("b").alias("ruc_b"), F.col(key).alias("via"))
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
