@@ -88,3 +88,10 @@ def test_same_attribute_gives_all_pairs_of_a_hot_value(spark):
     got = m.same_attribute(spark.createDataFrame(rows, "ruc string, home string"), "home")
     assert got.where("via = 'hot'").count() == got.where("via = 'hot'").distinct().count() == 1300 * 1299 // 2
     assert [tuple(r) for r in got.where("via <> 'hot'").collect()] == [("a", "b", "x")] * 2
+
+
+def test_community_lists_all_others_of_a_hot_representative(spark):
+    rows = [(f"c{i:04d}", "hot") for i in range(1100)] + [("c0000", "p"), ("z", "p")]
+    got = {r.ruc: r for r in p.community(spark.createDataFrame(rows, "ruc string, rep_id string")).where("ruc in ('c0000', 'c0007')").collect()}
+    assert got["c0007"].companies == ",".join(f"c{i:04d}" for i in range(1100) if i != 7) and got["c0007"].n_companies == 1099
+    assert got["c0000"].companies == ",".join([*(f"c{i:04d}" for i in range(1, 1100)), "z"]) and got["c0000"].persons == "hot,p"

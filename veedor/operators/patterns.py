@@ -103,18 +103,19 @@ def coi_signals(relations: DataFrame, points: dict[str, int] = COI_POINTS) -> Da
     return first.select("ruc", "kind", F.col("x.place").alias("place"), F.col("x.other").alias("other"))
 
 
-def community(represents: DataFrame, listed: int = 1000) -> DataFrame:
-    """(ruc, companies, persons, n_companies): for each company the others that share a representative: their number, and the first ``listed`` of them.
+def community(represents: DataFrame, listed: int | None = None) -> DataFrame:
+    """(ruc, companies, persons, n_companies): for each company the others that share a representative, all or the first ``listed`` of them, and their number.
 
     A company with one representative takes both from that class; only those with several join the classes' members, to count none twice.
     """
     own = classes(represents, "ruc", "rep_id")
     reps = own.groupBy("ruc").agg(names("rep_id").alias("persons"), F.count("*").alias("n_reps"))
     one = own.join(reps.where("n_reps = 1").select("ruc"), "ruc")
-    heads = few(own, "rep_id", "ruc", listed + 1, "heads")
-    single = one.join(heads, "rep_id").select("ruc", F.array_join(F.slice(F.array_remove(F.split("heads", ","), F.col("ruc")), 1, listed), ",").alias("companies"), (F.col("members") - 1).alias("n_companies"))
+    heads = few(own, "rep_id", "ruc", listed + 1, "heads") if listed else own.groupBy("rep_id").agg(names("ruc").alias("heads"))
+    others = F.array_remove(F.split("heads", ","), F.col("ruc"))
+    single = one.join(heads, "rep_id").select("ruc", F.array_join(F.slice(others, 1, listed) if listed else others, ",").alias("companies"), (F.col("members") - 1).alias("n_companies"))
     many = own.join(reps.where("n_reps > 1").select("ruc"), "ruc").select("ruc", "rep_id").join(own.select("rep_id", F.col("ruc").alias("other")), "rep_id").where("ruc <> other").select("ruc", "other").distinct()
-    several = many.groupBy("ruc").agg(F.count("*").alias("n_companies")).join(few(many, "ruc", "other", listed, "companies"), "ruc").select("ruc", "companies", "n_companies")
+    several = many.groupBy("ruc").agg(F.count("*").alias("n_companies")).join(few(many, "ruc", "other", listed, "companies") if listed else many.groupBy("ruc").agg(names("other").alias("companies")), "ruc").select("ruc", "companies", "n_companies")
     return single.unionByName(several).join(reps, "ruc").select("ruc", "companies", "persons", "n_companies")
 
 
