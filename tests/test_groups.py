@@ -95,3 +95,15 @@ def test_community_lists_all_others_of_a_hot_representative(spark):
     got = {r.ruc: r for r in p.community(spark.createDataFrame(rows, "ruc string, rep_id string")).where("ruc in ('c0000', 'c0007')").collect()}
     assert got["c0007"].companies == ",".join(f"c{i:04d}" for i in range(1100) if i != 7) and got["c0007"].n_companies == 1099
     assert got["c0000"].companies == ",".join([*(f"c{i:04d}" for i in range(1, 1100)), "z"]) and got["c0000"].persons == "hot,p"
+
+
+def test_family_conflict_never_meets_all_companies_of_a_representative(spark):
+    """No join goes by the relative alone, which would give each contract once for every company that the relative represents."""
+    committee = spark.createDataFrame([(f"x{i}", "a") for i in range(200)], "external_id string, person_id string")
+    family = spark.createDataFrame([("a", "b")], "person_id string, relative_id string")
+    represents = spark.createDataFrame([(f"c{i}", "b") for i in range(500)] + [("c1", "z")], "ruc string, rep_id string")
+    won = spark.createDataFrame([(f"x{i}", f"c{i}" if i % 2 else "other", 1.5) for i in range(200)], "external_id string, ruc string, monto double")
+    got = p.family_conflict(committee, family, represents, won)
+    assert sorted(map(tuple, got.collect())) == sorted((f"x{i}", "a", "b", f"c{i}", 1.5) for i in range(1, 200, 2))
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 3 and all(any(k in line for k in ("external_id", "person_id", "ruc")) for line in joins)

@@ -11,8 +11,13 @@ from .groups import classes, two_least
 
 
 def family_conflict(committee: DataFrame, family: DataFrame, represents: DataFrame, won: DataFrame) -> DataFrame:
-    """A committee member's relative represents the company that won the committee's contract."""
-    return committee.join(family, "person_id").join(represents, F.col("relative_id") == F.col("rep_id")).join(won.select("external_id", "ruc", "monto"), ["external_id", "ruc"]).select("external_id", "person_id", "relative_id", "ruc", money(F.col("monto")).alias("monto"))
+    """A committee member's relative represents the company that won the committee's contract.
+
+    Contracts meet their winners first, so a contract never meets all companies of a representative.
+    """
+    related = committee.join(family, "person_id").join(won.select("external_id", "ruc", "monto"), "external_id")
+    own = represents.select("ruc", F.col("rep_id").alias("relative_id"))
+    return related.join(own, ["ruc", "relative_id"]).select("external_id", "person_id", "relative_id", "ruc", money(F.col("monto")).alias("monto"))
 
 
 def electoral_return(donations: DataFrame, governs: DataFrame, won: DataFrame) -> DataFrame:
