@@ -91,3 +91,18 @@ def test_no_source_with_a_weight_is_left_out(spark):
     got = mixing.mixed(docs, mixing.tempered(docs), block=2)
     assert got.where("slot is null").count() == 0 and got.where("in_mix").count() > 3_900
     assert mixing.served({"a": 1.0, "b": 0.0})[0] == {"a": 1000, "b": 0}
+
+
+def test_rows_are_dealt_once_for_their_ranks(spark):
+    """Ranges and offsets meet by the column that the rows were dealt by, so wide rows are not dealt again for the join."""
+    docs = spark.createDataFrame(rows(), "doc_id long, source string, slot string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = mixing.ranked(docs, "doc_id", "source", docs["slot"].alias("wide"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    wide = [line for line in plan.splitlines() if line.lstrip().startswith(":")]  # the join's left side: the rows
+    assert sum("Exchange" in line for line in wide) == 1

@@ -79,12 +79,13 @@ def ranked(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key(id_col).alias("key"), *more)
     names = rows.columns[3:]
     ranges = 16 ** max(1, len(f"{docs.count() // RANGE_ROWS:x}"))
-    rows = rows.withColumn("range", F.substring("key", 1, len(f"{ranges - 1:x}")))
-    sizes = rows.groupBy("source", "range").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).select(F.col("source").alias("_source"), F.col("range").alias("_range"), "before")
-    inner = rows.withColumn("inner", F.row_number().over(W.partitionBy("source", "range").orderBy("key", "doc_id")) - 1)
-    joined = inner.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
-    return joined.select("doc_id", "source", "key", (F.col("before") + F.col("inner")).alias("rank"), *names)
+    # One column says source and range, null apart from all names, so the rows (which may be wide) are dealt once for both ranks and the join.
+    place = F.concat(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), F.substring("key", 1, len(f"{ranges - 1:x}")))
+    rows = rows.withColumns({"place": place, "range": F.substring("key", 1, len(f"{ranges - 1:x}"))})
+    sizes = rows.groupBy("source", "range", "place").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("range")) - F.col("n")).select("place", "before")
+    inner = rows.withColumn("inner", F.row_number().over(W.partitionBy("place").orderBy("key", "doc_id")) - 1)
+    return inner.join(before, "place").select("doc_id", "source", "key", (F.col("before") + F.col("inner")).alias("rank"), *names)
 
 
 def mixed(docs: DataFrame, weights: dict, id_col: str = "doc_id", source_col: str = "source", block: int = 64, period: int = 1_000) -> DataFrame:
