@@ -7,7 +7,9 @@ the columns of documents.  Tables may be empty and have further columns with any
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veedor.llm import bpe, common, exact_dedup, mixing, repetition, simhash
@@ -42,10 +44,28 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded_sha256) for every row: the tokens, and the hash of what they decode to; null and empty texts have none."""
+    """(doc_id, n_tokens, ids, decoded_sha256, place) for every row: the tokens, and the hash of what they decode to; null and empty texts have none.
+
+    ``place`` is the row's number from 0 in the order of the table given, which the mix has made.
+    """
     ranks = bpe.Ranks.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = bpe.decode(bpe.encode(docs, ranks), ranks)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    numbered = placed(docs).select(F.struct("doc_id", "place").alias("doc_id"), "text")
+    both = bpe.decode(bpe.encode(numbered, ranks), ranks)
+    return both.select("doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.place")
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): rows numbered from 0 as they lie in the files of a table, which a sorted table keeps its order in; what is no table of files is written first.
+
+    Only the files' row counts are gathered, so no row moves.
+    """
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return placed(common.written(docs.select("doc_id", "text"), "tokens-in"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("n"))
+    before = files.select("_file", (F.sum("n").over(W.orderBy(F.length("_file"), "_file")) - F.col("n")).alias("_before"))  # one row a file
+    return rows.join(F.broadcast(before), "_file").select("doc_id", "text", (F.col("_before") + F.col("_row")).alias("place"))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mix", mix), ("tokens", tokens)]

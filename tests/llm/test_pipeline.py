@@ -73,3 +73,15 @@ def test_pipeline_keeps_all_clean_documents(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     got = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect())
     assert got == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_places_of_the_tokens_follow_the_mix(spark, tmp_path):
+    """Each stage has an effect on the result: the mix decides the place of every document."""
+    rows = some_docs() + [(2000 + i, f"{i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en", "big", 1) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+    want = [r.doc_id for r in docs.collect()]
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("place", "doc_id").collect()
+    assert [r.doc_id for r in sorted(got)] == want != sorted(want) and sorted(r.place for r in got) == list(range(len(want)))
