@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .text import CHUNK, boundary
+from .text import CHUNK, boundary, sliced
 
 SEGMENT = 65_536
 # A heading line, and what its beginning may look like.
@@ -76,7 +76,7 @@ def pieces(where: DataFrame, size: int, segment: int) -> DataFrame:
     kind = "document_id string, seg int, total long, at long, page_number int, text string, line string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 64):
             rows = []
             for doc, page, start, total, last, text in batch[["document_id", "page_number", "start", "total", "last", "text"]].itertuples(index=False):
                 span = text if last else text + BETWEEN
@@ -98,7 +98,7 @@ def headings(where: DataFrame, segment: int) -> DataFrame:
     kind = "document_id string, seg int, at long, heading string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 64):
             rows = []
             for doc, start, text in batch[["document_id", "start", "text"]].itertuples(index=False):
                 at = start
@@ -117,7 +117,7 @@ def entered(segments: DataFrame, size: int, overlap: int, segment: int) -> DataF
     inner = segments.where(F.col("total") > segment)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 64):
             out = [exits(joined(parts), size if seg else 1, size, overlap, total - seg * segment, segment) for seg, total, parts in zip(batch["seg"], batch["total"], batch["parts"])]
             yield pd.DataFrame({"document_id": batch["document_id"], "seg": batch["seg"], "exits": out})
 
@@ -155,7 +155,7 @@ def chunks(pages: DataFrame, size: int = 1200, overlap: int = 1, segment: int =
     kind = "document_id string, seg int, k int, page_start int, page_end int, char_start int, char_end int, hint string, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, 64):
             out = []
             for doc, seg, total, parts, line, entry, heads in batch[["document_id", "seg", "total", "parts", "line", "entry", "heads"]].itertuples(index=False):
                 base, text = seg * segment, joined(parts)
