@@ -53,3 +53,21 @@ def test_rows_of_a_sorted_table_are_numbered_by_file(spark):
 def test_frames_are_cut_small():
     parts = list(tx.sliced(iter([pd.DataFrame({"a": range(600)}), pd.DataFrame({"a": []})])))
     assert [len(p) for p in parts] == [256, 256, 88]
+
+
+def test_a_query_is_multiplied_where_it_is_not_zero(spark):
+    """The same scores as over all places, and each different query is hashed once."""
+    chunks = spark.createDataFrame([("d", i, f"uno dos tres {i} plazo de entrega") for i in range(6)] + [("e", 9, None)], "document_id string, chunk_id long, text string")
+    queries = spark.createDataFrame([(d, k, q) for d in "de" for k, q in enumerate(["plazo de entrega", "tres 4", None, "uno uno tres"])], "document_id string, query_id long, query string")
+    got = rt.vectors(chunks, queries)
+    dense = chunks.select("document_id", "chunk_id", tx.hash_embedding(chunks["text"]).alias("v")).join(queries.select("document_id", "query_id", tx.hash_embedding(queries["query"]).alias("q")), "document_id").collect()
+    want = {(r.query_id, r.chunk_id): round(sum(a * b for a, b in zip(r.v, r.q)), 6) for r in dense}
+    assert {(r.query_id, r.chunk_id): r.score for r in got.collect()} == want and "zip_with" not in optimized(got)
+
+
+def test_few_rows_travel_where_queries_are_many(spark):
+    r = np.random.default_rng(2)
+    unit = lambda n: [(f"x{i:03d}", (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(r.integers(-2, 3, (n, 8)) + 0.25)]
+    vectors, queries = spark.createDataFrame(unit(40), "chunk_id string, v array<double>"), spark.createDataFrame([*unit(90), (None, None)], "query_id string, q array<double>")
+    got = vector_index.exact(vectors, queries, 7, sent=50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tx.vector_top(vectors, queries.where("q is not null"), 7).collect())) and "Join" not in optimized(got)
