@@ -71,3 +71,19 @@ def test_few_rows_travel_where_queries_are_many(spark):
     vectors, queries = spark.createDataFrame(unit(40), "chunk_id string, v array<double>"), spark.createDataFrame([*unit(90), (None, None)], "query_id string, q array<double>")
     got = vector_index.exact(vectors, queries, 7, sent=50)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tx.vector_top(vectors, queries.where("q is not null"), 7).collect())) and "Join" not in optimized(got)
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_grows_with_documents_is_dealt_and_not_sent_through_the_driver(spark):
+    """Only the different queries' vectors may travel to all tasks; plans, scores, texts and quotes meet by key at any size."""
+    chunks = spark.createDataFrame([("d", i, f"se pide copia legalizada {i} formato A3", "Otros") for i in range(4)], "document_id string, chunk_id long, text string, cluster string")
+    plan = spark.createDataFrame([("d", 7, "formato A3", "OBSOLETE_PHYSICAL_FORMAT", [])], "document_id string, query_id long, query string, flag_code string, clusters array<string>")
+    hits = rt.retrieve(chunks, plan)
+    assert physical(hits).count("BroadcastExchange") <= 1 and hits.count() == 4
+    judged = rt.critiqued(chunks, plan, 5, written(hits, "hits"))
+    assert "BroadcastExchange" not in physical(judged) and judged.count() > 0
+    assert "BroadcastExchange" not in physical(rt.diagnostics(plan, written(hits, "hits"), judged))
+    assert "BroadcastExchange" not in physical(rt.plan(spark.createDataFrame([("d", "copias")], "document_id string, question string"), spark.createDataFrame([], "document_id string, place int, flag_code string, chunk_id string"), chunks.selectExpr("document_id", "cluster label")))
