@@ -87,3 +87,33 @@ def test_what_grows_with_documents_is_dealt_and_not_sent_through_the_driver(spar
     assert "BroadcastExchange" not in physical(judged) and judged.count() > 0
     assert "BroadcastExchange" not in physical(rt.diagnostics(plan, written(hits, "hits"), judged))
     assert "BroadcastExchange" not in physical(rt.plan(spark.createDataFrame([("d", "copias")], "document_id string, question string"), spark.createDataFrame([], "document_id string, place int, flag_code string, chunk_id string"), chunks.selectExpr("document_id", "cluster label")))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_contracts_are_not_dealt_by_their_few_nations(spark):
+    """Order lines meet orders that know their customers, and nations travel whatever size Spark thinks they have."""
+    from veedor.plans import star
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(star.won(spark, SF))
+        assert "hashpartitioning(nationkey" not in plan and "hashpartitioning(c_nationkey" not in plan and plan.count("hashpartitioning(l_orderkey") == 1 and "hashpartitioning(l_suppkey" not in plan.split("Exchange hashpartitioning(l_orderkey")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contracts_are_not_dealt_by_their_few_procedures(spark):
+    from veedor.plans import signals
+
+    for name in ("f09_direct_award_outlier", "f12_amount_outlier"):
+        plan = physical(signals.QUERIES[name](spark, SF))
+        assert "hashpartitioning(modalidad" not in plan and "hashpartitioning(region" not in plan
+
+
+def test_a_contract_is_not_sent_once_more_for_each_distinct_count(spark):
+    from veedor.plans import graph, signals
+
+    assert "Expand" not in physical(signals.QUERIES["f10_monogamous_supplier"](spark, SF))
+    assert "Expand" not in physical(graph.QUERIES["g6_company_summary"](spark, SF))
