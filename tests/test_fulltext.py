@@ -63,3 +63,12 @@ def test_empty_index_and_repeated_words(spark, tmp_path):
     assert one.count() == 3 and [tuple(r) for r in ft.search(one, asked).collect()] == [(1, 5, 10_000)]
     twice = spark.createDataFrame([(1, "phrase", "obra obra")], "query_id long, mode string, text string")
     assert [tuple(r) for r in ft.search(one, twice).collect()] == [(1, 5, 9_999)]
+
+
+def test_postings_of_a_document_need_no_shuffle(spark):
+    """All positions of a document are put together where its row lies, blocks too; each different word is stemmed once a task."""
+    docs = spark.createDataFrame([(1, "Torres de la torre; torres " + "río " * 5000), (2, None), (3, "")], "document_id long, text string")
+    rows = ft.postings(docs)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lexeme, r.document_id, r.block): r.positions for r in rows.collect()}
+    assert got == {(stem("torre"), 1, 0): [0, 3, 4], (stem("río"), 1, 0): list(range(5, 4096)), (stem("río"), 1, 1): list(range(4096, 5005))}
