@@ -117,3 +117,20 @@ def test_a_contract_is_not_sent_once_more_for_each_distinct_count(spark):
 
     assert "Expand" not in physical(signals.QUERIES["f10_monogamous_supplier"](spark, SF))
     assert "Expand" not in physical(graph.QUERIES["g6_company_summary"](spark, SF))
+
+
+def test_few_scores_are_held_at_a_time():
+    """Memory of the nearest centres and of who asks a cell: bounded by a block, and a bit for each query and cell."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    x, centres = r.normal(size=(6000, 8)).astype(np.float32), r.normal(size=(1000, 8)).astype(np.float32)
+    tracemalloc.start()
+    bits = vector_index.asked_cells(x, centres, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # all scores and their order at once: 72 MB and more
+    order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :400]
+    want = np.zeros((1000, 6000), bool)
+    want[order.ravel(), np.repeat(np.arange(6000), 400)] = True
+    assert (np.unpackbits(bits, axis=1, count=6000).astype(bool) != want).mean() < 1e-4 and (vector_index.nearest(x, centres, 1)[:, 0] == order[:, 0]).mean() > 0.999
