@@ -134,3 +134,7 @@ def test_few_scores_are_held_at_a_time():
     want = np.zeros((1000, 6000), bool)
     want[order.ravel(), np.repeat(np.arange(6000), 400)] = True
     assert (np.unpackbits(bits, axis=1, count=6000).astype(bool) != want).mean() < 1e-4 and (vector_index.nearest(x, centres, 1)[:, 0] == order[:, 0]).mean() > 0.999
+
+
+def test_both_sides_of_a_record_come_from_one_pass(spark):
+    assert "Union" not in optimized(records.QUERIES["t19_map_to_graph"](spark, SF))
