@@ -162,3 +162,13 @@ def test_lookups_and_summaries(spark):
     assert (got["e"].n, got["e"].level, got["e"].questions, got["e"].summary) == (0, "low", "", dc.NO_FLAGS)
     texts = spark.createDataFrame([("The cat with",), ("the",), (None,)], "text string")
     assert tx.token_search(texts, "The", "with").count() == 1
+
+
+def test_a_supplier_of_many_clients_is_not_monogamous(spark, monkeypatch):
+    """Clients are counted over all of a supplier's contracts: grouped by client, each had one and the limit dropped none."""
+    from veedor.plans import signals, star
+
+    rows = [("a", "A", "c", y, 10) for y in (2001, 2002, 2002)] + [("b", "B", f"c{k}", y, 10) for k in range(531) for y in (2001, 2001, 2002)]
+    monkeypatch.setattr(star, "won", lambda spark, sf: spark.createDataFrame(rows, "ruc string, empresa string, cliente_ruc string, anio int, monto int").withColumn("monto", F.col("monto").cast("decimal(18,2)")))
+    got = signals.QUERIES["f10_monogamous_supplier"](spark, "")
+    assert [tuple(r) for r in got.collect()] == [("a", "A", 3, 1, 2, 30.0, "c")]
