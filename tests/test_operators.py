@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from veedor.functions import columns as c
+from veedor.functions import rules
 from veedor.operators import changes as ch
 from veedor.operators import detectors as d
 from veedor.operators import chunking, similar
@@ -172,3 +173,13 @@ def test_a_supplier_of_many_clients_is_not_monogamous(spark, monkeypatch):
     monkeypatch.setattr(star, "won", lambda spark, sf: spark.createDataFrame(rows, "ruc string, empresa string, cliente_ruc string, anio int, monto int").withColumn("monto", F.col("monto").cast("decimal(18,2)")))
     got = signals.QUERIES["f10_monogamous_supplier"](spark, "")
     assert [tuple(r) for r in got.collect()] == [("a", "A", 3, 1, 2, 30.0, "c")]
+
+
+def test_dossiers_ask_and_every_document_has_one(spark):
+    flags = [("d", "LOW_TRACEABILITY_OUTPUT", "low", 10, 10), ("d", "SUBJECTIVE_EVALUATION_CRITERIA", "medium", 15, 2), ("d", "LOW_TRACEABILITY_OUTPUT", "low", 10, 2), ("d", "UNKNOWN", "high", 1, 1)]
+    documents = spark.createDataFrame([("d", "AS-1"), ("e", None)], "document_id string, procedure string")
+    got = {r.document_id: r for r in tx.dossiers(spark.createDataFrame(flags, "document_id string, flag_code string, severity string, score int, page_number int"), documents).collect()}
+    d, e, q = got["d"], got["e"], rules.DOSSIER_QUESTIONS
+    assert (d.total_flags, d.n_low, d.n_medium, d.n_high, d.total_score, d.pages, d.risk_level) == (4, 2, 1, 1, 36, 3, "MEDIO")
+    assert d.questions == q["LOW_TRACEABILITY_OUTPUT"] + q["SUBJECTIVE_EVALUATION_CRITERIA"] + rules.EVERY_DOSSIER_ASKS and d.request == rules.DOSSIER_REQUEST % ("AS-1", "1, 2, 10")
+    assert (e.total_flags, e.total_score, e.pages, e.risk_level, e.questions, e.request) == (0, 0, 0, "SIN_SENALES", rules.EVERY_DOSSIER_ASKS, rules.DOSSIER_REQUEST % ("e", "N/A"))
