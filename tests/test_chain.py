@@ -331,3 +331,22 @@ def test_dossier_questions_and_explanations(spark):
     assert got["e"].questions == rules.EVERY_DOSSIER_ASKS and got["e"].request == rules.DOSSIER_REQUEST % ("e", "N/A") and got["d"].request == rules.DOSSIER_REQUEST % ("P-1", "1, 3, 9, 11")
     told = {r.flag_code: (r.explanation, r.questions) for r in d.explained(flags).collect()}
     assert told["OTHER"] == ("", []) and told[codes[1]] == (rules.EXPLANATIONS[codes[1]], rules.SUMMARY_QUESTIONS[codes[1]])
+
+
+def test_one_pass_finds_what_both_rankers_find(spark):
+    """Odd rows too: nulls, white space of either kind, more chunks than a ranker keeps; and texts are dealt once."""
+    rand = random.Random(11)
+    words = "entrega\u00a0plazo documentos Plazo comité\u2003modelo ÑANDÚ marca informe".split(" ")
+    text = lambda: rand.choice([" ", "\n", "\x1f"]).join(rand.choice(words) for _ in range(rand.randint(0, 120)))
+    data = [(rand.choice("de"), i, text(), rand.choice(["Otros", "Plazos", None])) for i in range(200)] + [("d", 300, None, "Otros"), ("d", None, "plazo", "Otros"), (None, 301, "plazo", "Otros"), ("f", 302, "plazo", "Otros"), ("g", 303, None, "Otros")]
+    plan = [(d, q, "X", query, clusters) for d in ("d", "e", "g", "h", None) for q, (query, clusters) in enumerate([("plazo plazo marca", []), ("plazo documentos", ["Otros"]), (None, []), ("", ["Nada"]), ("comité modelo", None), ("ñandú", [])])] + [("d", None, "X", "plazo", [])]
+    chunks = spark.createDataFrame(data, "document_id string, chunk_id long, text string, cluster string")
+    queries = spark.createDataFrame(plan, "document_id string, query_id int, flag_code string, query string, clusters array<string>")
+    both = rt.vectors(chunks, queries).unionByName(rt.bm25(chunks, queries)).groupBy("document_id", "query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.lit(60) + F.col("rank"))), 8).alias("score"))
+    j = both.join(queries, ["document_id", "query_id"]).join(chunks, ["document_id", "chunk_id"]).where((F.size("clusters") == 0) | F.array_contains("clusters", F.col("cluster")))
+    j = j.withColumn("excerpt", F.when(F.char_length("text") <= 400, F.col("text")).otherwise(F.concat(F.substring("text", 1, 400), F.lit("..."))))
+    want = rt._ranked(j, 30).select("document_id", "query_id", "flag_code", "chunk_id", "score", "rank", "cluster", "excerpt")
+    got = rt.retrieve(chunks, queries, 30)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 150
+    assert rt.retrieve(chunks, queries)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
