@@ -350,3 +350,11 @@ def test_one_pass_finds_what_both_rankers_find(spark):
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 150
     assert rt.retrieve(chunks, queries)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_retried_chunks_are_dealt_once(spark):
+    """They are searched and looked up, so they are kept in between."""
+    names = []
+    chunks = spark.createDataFrame([("bad", i, f"un robo notarial numero {i}", "Otros") for i in range(8)], "document_id string, chunk_id long, text string, cluster string")
+    plan = spark.createDataFrame([("bad", "EXCESSIVE_DOCUMENT_REQUIREMENT", 1, "robo notarial copias", [])], "document_id string, flag_code string, query_id long, query string, clusters array<string>")
+    assert rt.with_retry(chunks, plan, 2, keep=lambda df, name: names.append(name) or df).where("retried").count() > 0 and "chunks-again" in names
