@@ -138,3 +138,13 @@ def test_few_scores_are_held_at_a_time():
 
 def test_both_sides_of_a_record_come_from_one_pass(spark):
     assert "Union" not in optimized(records.QUERIES["t19_map_to_graph"](spark, SF))
+
+
+def test_a_page_is_folded_and_looked_through_for_a_title_once(spark, monkeypatch):
+    pages = spark.createDataFrame([("d", 1, "Red Flags of Procurement\n\nthe DISCRETIÓN of few; audit trail"), ("d", 2, None)], "document_id string, page_number int, text string")
+    found = tx.paragraph_chunks(pages)
+    assert [(r.section, r.flag_codes) for r in found.collect()] == [("Red Flags of Procurement", ["SUBJECTIVE_EVALUATION_CRITERIA", "LOW_TRACEABILITY_OUTPUT", "AI_NO_AUDIT_TRAIL"])]
+    assert optimized(found).count("translate(") == 1
+    seen = []
+    monkeypatch.setattr(tx, "title_of", lambda text: seen.append(text) or "T")
+    assert len(tx.page_paragraphs("d", 1, "\n\n".join(["word " * 100] * 9), 700, 200)) > 5 and len(seen) == 1
