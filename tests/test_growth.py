@@ -148,3 +148,9 @@ def test_a_page_is_folded_and_looked_through_for_a_title_once(spark, monkeypatch
     seen = []
     monkeypatch.setattr(tx, "title_of", lambda text: seen.append(text) or "T")
     assert len(tx.page_paragraphs("d", 1, "\n\n".join(["word " * 100] * 9), 700, 200)) > 5 and len(seen) == 1
+
+
+def test_flags_of_two_kinds_of_edges_are_worked_out_once(spark):
+    from veedor.plans import rows
+
+    assert "regexp" not in optimized(rows.QUERIES["n10_graph_ingest"](spark, SF)).lower()

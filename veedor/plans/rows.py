@@ -126,7 +126,7 @@ def n10(spark, sf):
     e, won = graph.edges(spark, sf), written(star.won(spark, sf).select("external_id", "ruc", "entidad_ruc"), "won")
     from ..operators import retrieval as rt
 
-    flags = rt.flags(all_hits(spark, sf)).select("document_id", F.concat("document_id", "flag_code", F.col("chunk_id").cast("string")).alias("flag_id"))
+    flags = written(rt.flags(all_hits(spark, sf)).select("document_id", F.concat("document_id", "flag_code", F.col("chunk_id").cast("string")).alias("flag_id")), "flags")  # two kinds of edges come from them
     number = placed(written(won.select("external_id", "ruc").orderBy("external_id"), "by-id"), "n")
     link = pages(spark, sf).select("document_id").distinct().withColumn("n", F.substring("document_id", 2, 18).cast("long")).join(number, "n")
     edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"))
